@@ -5,25 +5,85 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from askgrid.llm.language import markup_language, page_host
 from askgrid.llm.workspace import table
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.linededup import delete_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return delete_repeats(docs).select("doc_id", "n_lines", "n_deleted", F.char_length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
+
+
+OP5_SQL = r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+every AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM cut),
+seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM every
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs AS (SELECT *, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w || chr(10) || lead(line, 3) OVER w AS run
+         FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS line_again,
+                  run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS run_again FROM runs),
+marked AS (SELECT doc_id, i, (line_again AND length(line) >= 50)
+                  OR max(run_again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 1 AS gone FROM ranked),
+kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS text, count(*) AS n FROM every e
+         LEFT JOIN marked m ON m.doc_id = e.doc_id AND m.i = e.i WHERE NOT coalesce(m.gone, false) GROUP BY e.doc_id)
+SELECT c.doc_id, coalesce(len(c.lines), 0)::INT AS n_lines, (coalesce(len(c.lines), 0) - coalesce(k.n, 0))::INT AS n_deleted,
+       CASE WHEN c.text IS NOT NULL THEN length(coalesce(k.text, '')) END::BIGINT AS kept_chars,
+       CASE WHEN c.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5
+FROM cut c LEFT JOIN kept k ON k.doc_id = c.doc_id
+"""
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askgrid.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs), host=F.col("source"), declared=markup_language(F.col("text")))
+    return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "kept")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages: markup, address suffix and host take part."""
+    from askgrid.llm.language import fit, identify
+
+    pages = table(spark, sf_dir, "pages").withColumn("host", page_host(F.col("url")))
+    found = identify(pages, fit(table(spark, sf_dir, "documents")), "html", F.col("host"), markup_language(F.col("html")), markup=True)
+    return found.select("page_id", "host", "language", F.round("posterior", 6).alias("posterior"), "kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askgrid.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.quality import judge, log_ratios
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, log_ratios(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_minhash_neardup)}
+    return {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op8_toxicity, op10_quality, pages_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": OP5_SQL}
