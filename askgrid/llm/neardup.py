@@ -7,14 +7,15 @@ its documents are compared with each other; larger nodes branch on, at most ``DE
 A pair of similarity s shares a leaf of depth d in one tree with probability s^d, so all 16
 trees miss a pair of 0.85 with probability 1e-13 at depth 1 and 3e-7 at depth 3.
 
-Comparing is in two rounds, so that a family of m near copies costs about m comparisons:
-first every leaf member against the leaf's hub (the member closest to the leaf's majority
-sketch), then only pairs that the first round left in different components. Both rounds are
-pre-filtered by size and by a 64-bit sketch, and confirmed on full sets. No candidate is
-capped: the second round takes all that remain.
+Comparing is in two rounds: first every leaf member against the leaf's hub (the member closest
+to the leaf's majority sketch), then only pairs that the first round left in different
+components. Both rounds are pre-filtered by size and by a 256-bit sketch, and confirmed on full
+sets. No candidate is capped: the second round takes all that remain, small leaves pair by
+pair, large leaves in blocks of ``BLOCK`` x ``BLOCK`` whose common tokens one matrix product
+counts, so a family of m near copies emits about m links and never its m^2 pairs.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is its own
-component; rows that share a doc_id are one vertex; a null doc_id takes no part (component
+component; rows repeated whole get equal results; a null doc_id takes no part (component
 null, kept). Other columns of the input are ignored.
 """
 
@@ -23,14 +24,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm import textcore
 from askgrid.llm.workspace import forget, written
 
-TREES, DEPTH, LEAF, HASHES = 16, 3, 16, 64
+TREES, DEPTH, LEAF, HASHES, BLOCK = 16, 3, 16, 128, 512
+SKETCH = ("s0", "s1", "s2", "s3")  # two bits of each minwise value
 #: Rows of 8 bytes that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -56,14 +59,14 @@ def _features(words: int):
                 n.append(len(tokens))
                 one.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(textcore.mix(tokens + np.uint64(7))).view(np.int64)) if len(tokens) else 0)
-                bits.append(np.packbits((least & np.uint64(1)).astype(bool)).view(">i8")[0])
+                pair = np.concatenate([least & np.uint64(1), (least >> np.uint64(1)) & np.uint64(1)])
+                bits.append(np.packbits(pair.astype(bool)).view(">i8").astype(np.int64))
                 paths.append(least[: TREES * DEPTH].view(np.int64))
             flat = pa.array(np.concatenate(paths) if paths else np.zeros(0, np.int64))
             offsets = pa.array(np.arange(len(paths) + 1, dtype=np.int32) * TREES * DEPTH)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["id", "n", "one", "two", "bits", "paths"],
-            )
+            bits = np.array(bits, np.int64).reshape(-1, len(SKETCH))
+            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, one, two)], *[pa.array(bits[:, k]) for k in range(len(SKETCH))], pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "one", "two", *SKETCH, "paths"])
 
     return run
 
@@ -81,13 +84,23 @@ def _sets(words: int):
 
 
 def _far(percent: int) -> int:
-    """Sketch bits that may differ: about 5.5 standard deviations beyond a pair at the threshold."""
-    same = (1 + percent / 100) / 2
-    return HASHES - int(HASHES * same - 5.5 * (HASHES * same * (1 - same)) ** 0.5)
+    """Sketch bits that may differ: 5.5 standard deviations beyond a pair at the threshold.
+
+    Each of HASHES values gives two bits: both agree if the minwise tokens do (chance p), else each with chance 1/2.
+    """
+    p = percent / 100
+    deviation = (HASHES * p * (1 - p) + HASHES * (1 - p) / 2) ** 0.5
+    return int(HASHES * (1 - p) + 5.5 * deviation)
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether two sketched sets may be similar enough: sizes and sketches, of columns x_n, x_s0 ... and y_n, y_s0 ..."""
+    off = sum((F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{x}{SKETCH[0]}").bitwiseXOR(F.col(f"{y}{SKETCH[0]}"))))
+    return (F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * percent) & (off <= _far(percent))
 
 
-def _alike(n: str, m: str, percent: int):
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+def _named(prefix: str, *columns: str) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in columns]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -115,37 +128,80 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+def _token_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, tokens) of the documents in ``ids``."""
+    ids = written(ids.distinct(), "candidates")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = written(texts.mapInArrow(_sets(words), "id long, tokens array<long>"), "sets")
+    return written(texts.mapInArrow(_sets(words), "id long, tokens array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets = _token_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, words)
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     links = written(both.where(F.col("common") * 100 >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct(), "links")
-    forget(ids)
     forget(sets)
     return links
 
 
+def _block_links(percent: int):
+    """Links between the left and right members of a block whose roots differ, one for each pair of roots they join."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [frame[frame["left"]].reset_index(drop=True), frame[~frame["left"]].reset_index(drop=True)]
+        found: list[tuple[int, int]] = []
+        if len(sides[0]) and len(sides[1]):
+            sizes = [np.array([len(t) for t in f["tokens"]], np.int64) for f in sides]
+            tokens, which = np.unique(np.concatenate([np.asarray(t) for f in sides for t in f["tokens"]]), return_inverse=True)
+            owner = np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes))
+            shared = np.bincount(which)[which] > 1
+            which, owner = which[shared], owner[shared]
+            order = np.argsort(which, kind="stable")
+            which, owner = which[order], owner[order]
+            common = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+            for at in range(0, int(which[-1]) + 1 if len(which) else 0, 8192):  # tokens in slices, so the matrices stay small
+                lo, hi = np.searchsorted(which, (at, at + 8192))
+                grid = np.zeros((len(common) + common.shape[1], 8192), np.float32)
+                grid[owner[lo:hi], which[lo:hi] - at] = 1
+                common += grid[: len(common)] @ grid[len(common) :].T
+            either = sizes[0][:, None] + sizes[1][None, :] - common
+            near = (common * 100 >= percent * either) & (sides[0]["root"].to_numpy()[:, None] != sides[1]["root"].to_numpy()[None, :])
+            joined: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
+            for i, j in zip(*np.nonzero(near)):
+                a, b = top(int(sides[0]["root"][i])), top(int(sides[1]["root"][j]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    found.append((int(sides[0]["id"][i]), int(sides[1]["id"][j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _leaves(reps: DataFrame) -> DataFrame:
-    """(leaf, size, id, n, bits): the chosen-path leaves with at least two documents."""
+    """(leaf, size, id, n and sketch): the chosen-path leaves with at least two documents."""
     here = reps.where("n > 0")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
-    walk = here.select("id", "n", "bits", tree, "paths")
+    walk = here.select("id", "n", *SKETCH, tree, "paths")
     name = F.xxhash64("t", F.col("paths")[F.col("t") * DEPTH])
-    walk = walk.select("id", "n", "bits", name.alias("p1"), *[F.col("paths")[F.col("t") * DEPTH + d].alias(f"m{d + 1}") for d in range(1, DEPTH)])
+    walk = walk.select("id", "n", *SKETCH, name.alias("p1"), *[F.col("paths")[F.col("t") * DEPTH + d].alias(f"m{d + 1}") for d in range(1, DEPTH)])
     found = []
     for depth in range(1, DEPTH + 1):
         node = f"p{depth}"
         sizes = walk.groupBy(node).agg(F.count("*").alias("size")).where("size > 1")
         rest = [f"m{d}" for d in range(depth + 1, DEPTH + 1)]
-        level = written(walk.join(written(sizes, "nodes"), node).select("id", "n", "bits", node, "size", *rest), f"level-{depth}")
+        level = written(walk.join(written(sizes, "nodes"), node).select("id", "n", *SKETCH, node, "size", *rest), f"level-{depth}")
         last = depth == DEPTH
-        found.append(level.where(F.lit(True) if last else F.col("size") <= LEAF).select(F.col(node).alias("leaf"), "size", "id", "n", "bits"))
+        found.append(level.where(F.lit(True) if last else F.col("size") <= LEAF).select(F.col(node).alias("leaf"), "size", "id", "n", *SKETCH))
         if not last:
-            walk = level.where(F.col("size") > LEAF).select("id", "n", "bits", F.xxhash64(node, f"m{depth + 1}").alias(f"p{depth + 1}"), *rest[1:])
+            walk = level.where(F.col("size") > LEAF).select("id", "n", *SKETCH, F.xxhash64(node, f"m{depth + 1}").alias(f"p{depth + 1}"), *rest[1:])
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -153,17 +209,44 @@ def _leaves(reps: DataFrame) -> DataFrame:
 
 
 def _hubs(leaves: DataFrame) -> DataFrame:
-    """(leaf, hub, hub_n, hub_bits): of each leaf the member closest to its majority sketch; ties to the smallest id."""
-    ones = [F.sum(F.shiftright("bits", j).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{j}") for j in range(HASHES)]
-    votes = leaves.where(F.col("size") > LEAF).groupBy("leaf").agg(F.count("*").alias("votes"), *ones)
-    major = F.lit(0).cast("long")
-    for j in range(HASHES):
-        major = major.bitwiseOR(F.when(F.col(f"b{j}") * 2 > F.col("votes"), F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
-    majority = written(votes.select("leaf", major.alias("major")), "majority")
-    near = leaves.join(majority, "leaf").select("leaf", F.bit_count(F.col("bits").bitwiseXOR(F.col("major"))).alias("off"), "id", "n", "bits")
-    large = near.groupBy("leaf").agg(F.min(F.struct("off", "id", "n", "bits")).alias("h"))
-    small = leaves.where(F.col("size") <= LEAF).groupBy("leaf").agg(F.min(F.struct(F.lit(0).alias("off"), "id", "n", "bits")).alias("h"))
-    return large.unionByName(small).select("leaf", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.bits").alias("hub_bits"))
+    """(leaf, h_id, h_n, h_s0 ...): of each leaf the member closest to its majority sketch; in small leaves the smallest id."""
+    long = lambda x: F.lit(x).cast("long")
+    big = leaves.where(F.col("size") > LEAF)
+    votes = big.groupBy("leaf").agg(F.count("*").alias("votes"), *[F.sum(F.shiftright(s, j).bitwiseAND(long(1))).alias(f"{s}_{j}") for s in SKETCH for j in range(64)])
+    major = []
+    for s in SKETCH:
+        bits = long(0)
+        for j in range(64):
+            bits = bits.bitwiseOR(F.when(F.col(f"{s}_{j}") * 2 > F.col("votes"), F.shiftleft(long(1), j)).otherwise(long(0)))
+        major.append(bits.alias(f"m_{s}"))
+    majority = written(votes.select("leaf", *major), "majority")
+    off = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"m_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"m_{SKETCH[0]}"))))
+    member = ("id", "n", *SKETCH)
+    near = big.join(majority, "leaf").select("leaf", F.struct(off.alias("off"), *member).alias("h"))
+    small = leaves.where(F.col("size") <= LEAF).select("leaf", F.struct(F.lit(0).alias("off"), *member).alias("h"))
+    return near.unionByName(small).groupBy("leaf").agg(F.min("h").alias("h")).select("leaf", *[F.col(f"h.{c}").alias(f"h_{c}") for c in member])
+
+
+def _across(placed: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links inside large leaves between members of different components, ``placed`` having each member's root and its hub's."""
+    member = ("id", "n", *SKETCH, "root")
+    apart = placed.where("root <> hub_root").select("leaf", *_named("a_", *member))
+    other = placed.select("leaf", *_named("", *member))
+    may = _alike("", "a_", percent) & (F.col("root") != F.col("a_root"))
+    # Semi joins: at most a row for each member, however many partners it may have.
+    left = written(apart.join(other, (apart["leaf"] == other["leaf"]) & may, "left_semi"), "apart")
+    right = other.join(left.select(F.col("leaf").alias("a_leaf"), *[c for c in left.columns if c != "leaf"]), (F.col("leaf") == F.col("a_leaf")) & may, "left_semi")
+    right = written(right.select("leaf", "id", "root"), "partners")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("live") / BLOCK)).cast("int")
+    live = right.groupBy("leaf").agg(F.count("*").alias("live")).select("leaf", blocks.alias("blocks"))
+    own, every = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = left.select("leaf", F.col("a_id").alias("id"), F.col("a_root").alias("root")).join(live, "leaf").select("leaf", "id", "root", F.lit(True).alias("left"), own.alias("i"), every.alias("j"))
+    rows = rows.unionByName(right.join(live, "leaf").select("leaf", "id", "root", F.lit(False).alias("left"), every.alias("i"), own.alias("j")))
+    sets = _token_sets(right.select("id").union(left.select("a_id")), docs, words)
+    links = rows.join(sets, "id").groupBy("leaf", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "block-links")
+    forget(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
@@ -172,45 +255,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked where 100 * |A and B| >= percent * |A or B| over their distinct
     ``words``-word shingles; a component is what links reach and its id the smallest doc_id in it.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, one long, two long, bits long, paths array<long>"
+    schema = f"id long, n long, one long, two long, {', '.join(f'{s} long' for s in SKETCH)}, paths array<long>"
     features = written(docs.mapInArrow(_features(words), schema), "features")
     known = features.where("id is not null")
     # A class is one distinct set; the join back carries a few bytes a document.
     classes = written(known.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "classes")
-    lone = classes.where("copies = 1").count()
-    reps = known.join(classes.select("n", "one", "two", F.col("class").alias("id")), ["n", "one", "two", "id"]).select("id", "n", "bits", "paths")
-    reps = written(reps.dropDuplicates(["id", "n", "bits"]), "reps")
+    reps = known.join(classes.select("n", "one", "two", F.col("class").alias("id")), ["n", "one", "two", "id"]).select("id", "n", *SKETCH, "paths")
+    reps = written(reps.dropDuplicates(["id", "n", *SKETCH]), "reps")
     leaves = written(_leaves(reps), "leaves")
     hubs = written(_hubs(leaves), "hubs")
 
-    far = _far(percent)
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= far
-    stars = leaves.join(hubs, "leaf").where((F.col("id") != F.col("hub")) & _alike("n", "hub_n", percent) & close("bits", "hub_bits"))
-    stars = written(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "stars")
+    stars = leaves.join(hubs, "leaf").where((F.col("id") != F.col("h_id")) & _alike("", "h_", percent))
+    stars = written(stars.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), "stars")
     links = _confirmed(stars, docs, percent, words)
     roots = components(links)
 
-    # What the hubs left apart: members outside their hub's component, against the whole leaf.
+    # What the hubs left apart: members outside their hub's component, against all others of the leaf.
     placed = leaves.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = written(placed.join(hubs.select("leaf", "hub"), "leaf"), "placed")
-    hub_root = placed.where("id = hub").select("leaf", F.col("root").alias("hub_root")).dropDuplicates(["leaf"])
-    apart = placed.join(hub_root, "leaf").where("root <> hub_root")
-    apart = apart.select("leaf", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("root").alias("a_root"))
-    rest = placed.join(apart, "leaf").where((F.col("root") != F.col("a_root")) & _alike("n", "a_n", percent) & close("bits", "a_bits"))
-    rest = rest.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, docs, percent, words))
-        roots = components(links)
-    for gone in (reps, leaves, hubs, stars, placed):
+    hub_roots = hubs.select("leaf", F.col("h_id").alias("id")).join(roots, "id", "left").select("leaf", F.coalesce("root", "id").alias("hub_root"))
+    placed = written(placed.join(hub_roots, "leaf"), "placed")
+    small = placed.where(F.col("size") <= LEAF)
+    member = ("id", "n", *SKETCH, "root")
+    apart = small.where("root <> hub_root").select("leaf", *_named("a_", *member))
+    pairs = small.join(apart, "leaf").where((F.col("root") != F.col("a_root")) & _alike("", "a_", percent))
+    pairs = written(pairs.select(F.least("id", "a_id").alias("a"), F.greatest("id", "a_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    known_links = more = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))  # components so far, as stars
+    if not pairs.isEmpty():
+        more = more.unionByName(_confirmed(pairs, docs, percent, words))
+    large = placed.where(F.col("size") > LEAF)
+    if not large.where("root <> hub_root").isEmpty():
+        more = more.unionByName(_across(large, docs, percent, words))
+    if more is not known_links:
+        roots = components(more)
+    for gone in (reps, leaves, hubs, stars, placed, pairs):
         forget(gone)
 
     # Only classes with copies and linked vertices move; all others keep their own id.
     members = features.select("id", "n", "one", "two")
     shared = classes.where("copies > 1").drop("copies")
-    shared = F.broadcast(shared) if classes.count() - lone <= BROADCAST_IDS // 4 else shared
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS // 4 else shared
     members = members.join(shared, ["n", "one", "two"], "left").withColumn("class", F.coalesce("class", "id"))
     roots = roots.select(F.col("id").alias("class"), "root")
     out = members.join(roots, "class", "left").withColumn("component_id", F.coalesce("root", "class"))
