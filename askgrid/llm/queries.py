@@ -86,6 +86,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askgrid.llm.toxicity import fit, score_documents
 
@@ -139,10 +156,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op8_toxicity, op9_chat_format, op10_quality, pages_language, chat_streams)}
+    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, pages_language, chat_streams)}
 
 
 def oracle_sql() -> dict[str, str]:
     said = _op9_sql()
     own = "UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
-    return {"op2_warc": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_chat_format": said, "chat_streams": said.replace(own, "")}
+    return {"op2_warc": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_topk": OP7_SQL, "op9_chat_format": said, "chat_streams": said.replace(own, "")}
