@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,3 +200,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     scored = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(_scores(weights, offset), f"`{id_col}` long, score double")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
     return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    weights, offset = model.weights.astype(np.float32), model.offset
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series([_score(weights, offset, t or "") for t in texts], dtype="float64")
+
+    return docs.where(scores(F.col(text_col).cast("string")) < 0.5)
