@@ -44,6 +44,14 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from askgrid.llm.sentencepiece import encode_digests, load
+
+    return encode_digests(table(spark, sf_dir, "documents"), load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askgrid.llm.warc import round_trip
 
@@ -156,7 +164,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, pages_language, chat_streams)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, pages_language, chat_streams)}
 
 
 def oracle_sql() -> dict[str, str]:
