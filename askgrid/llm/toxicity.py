@@ -4,9 +4,9 @@ A word is the average of the embeddings of its hashed character n-grams (3 to 6
 ends included) and of the word itself, so a misspelling shares most of its vector with what it
 imitates. A segment of ``SEGMENT`` words is the average of its words, goes through a linear
 softmax, and a document is as toxic as its most toxic segment: one insult in a long text isn't
-averaged away. Embeddings and softmax are trained jointly in numpy (Adam) on the driver, on a
+averaged away. Embeddings and softmax are trained jointly in numpy (Adam) in one task, on a
 bounded sample of labelled rows: ``MAX_TOXIC`` and ``MAX_CLEAN`` rows and ``MAX_TRAIN_BYTES``
-of text at most, chosen by hash. Rows with crc32(doc_id as text) mod 5 = 0 are never learnt from.
+of text at most, chosen by hash; the driver sees the trained numbers only. Rows with crc32(doc_id as text) mod 5 = 0 are never learnt from.
 
 As the layers are linear, a trained model collapses into one number a bucket: scoring is a
 vectorised pass over the bytes of every whole text.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from askgrid.llm import textcore
 
 BUCKETS, DIMENSIONS, SEGMENT = 1 << 17, 16, 8
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 3000, 6000, 48_000_000
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 2500, 4500, 24_000_000
 _GRAMS = (3, 4, 5, 6)
 RATE = (0.5, 0.05, 0.2)
 #: ASCII but letters and digits separates words; bytes of other characters belong to them.
@@ -105,9 +105,13 @@ def train(texts: list[str], toxic: list[int], steps: int = 140, seed: int = 5) -
         words = np.where(_BREAK[body], np.uint8(32), body).tobytes().decode("utf-8", "replace").split(" ")
         runs.append(np.array([known.setdefault(w, len(known)) for w in words if w], np.int32))
         lengths.append(len(runs[-1]))
-    buckets, owners, n_words = subwords(" ".join(known))
-    order = np.argsort(owners, kind="stable")
-    buckets, grams = buckets[order], np.bincount(owners, minlength=n_words)
+    n_words, every, held = len(known), list(known), []
+    del known
+    for at in range(0, n_words, 20_000):
+        own, owners, n = subwords(" ".join(every[at : at + 20_000]))
+        held.append((own[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=n)))
+    buckets, grams = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int32) for k in (0, 1))
+    del every, held
     first_gram = np.cumsum(grams) - grams
     some = np.array(lengths) > 0
     y, lengths = y[some], np.array(lengths)[some]
@@ -158,8 +162,8 @@ def train(texts: list[str], toxic: list[int], steps: int = 140, seed: int = 5) -
     return Model(embeddings, softmax, bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """The bounded sample: labelled rows outside the held-out fold, in hash order, within the row and byte bounds."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(id, toxic, text) of the bounded sample: labelled rows outside the held-out fold, in hash order, within the row and byte bounds."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     picked = None
@@ -175,10 +179,25 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
             total += r["size"]
             chosen.append(r["id"])
     if not chosen:
-        return [], []
+        return None
     some = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    found = sorted((r["id"], r["toxic"], r["text"]) for r in rows.join(F.broadcast(some), "id").collect())
-    return [t for _, _, t in found], [y for _, y, _ in found]
+    return rows.join(F.broadcast(some), "id").dropDuplicates(["id"]).select("id", "toxic", "text")
+
+
+def _train_task(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("id")
+    model = train(frame["text"].tolist(), frame["toxic"].tolist())
+    return pd.DataFrame({"embeddings": [model.embeddings.tobytes()], "softmax": [model.softmax.tobytes()], "bias": [model.bias.tobytes()]})
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Trained where the sample is gathered: the rows of one bounded group."""
+    rows = training_rows(docs, labels)
+    if rows is None:
+        return train([], [])
+    got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_train_task, "embeddings binary, softmax binary, bias binary").first()
+    grid = lambda k, *shape: np.frombuffer(bytes(got[k]), np.float32).reshape(shape)
+    return Model(grid("embeddings", BUCKETS, DIMENSIONS), grid("softmax", DIMENSIONS, 2), grid("bias", 2))
 
 
 def _scores(weights: np.ndarray, offset: float):
@@ -190,10 +209,6 @@ def _scores(weights: np.ndarray, offset: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*training_rows(docs, labels))
-
-
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     weights, offset = model.weights.astype(np.float32), model.offset
