@@ -168,7 +168,9 @@ def identify(docs: DataFrame, model: Likelihoods, text_col: str = "text", host:
     rows = rows.withColumn("_ag_scores", F.when(F.col("_ag_text").isNotNull(), F.array(*scores)))
     top = F.array_max("_ag_scores")
     mass = F.aggregate(F.transform("_ag_scores", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
-    language = F.coalesce(F.element_at(F.array(*map(F.lit, languages)), best(F.col("_ag_scores")).cast("int") + 1), F.lit("und"))
+    language = F.lit("und")
+    for k, name in reversed(list(enumerate(languages))):  # ties to the first by name
+        language = F.when(F.col("_ag_scores")[k] == top, name).otherwise(language)
     rows = rows.withColumns({"language": language, "posterior": F.coalesce(1 / mass, F.lit(0.0))})
     rows = rows.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= LEAST_POSTERIOR))
     return rows.select(*docs.columns, "language", "posterior", "kept")
