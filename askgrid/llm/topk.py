@@ -11,7 +11,8 @@ partial scores only. For blocks of queries against blocks of candidates:
    scores could not lift them to the cutoff;
 3. what was sent is scored in full and ranked, ties to the smaller id.
 
-Integer arithmetic throughout: float64 products where they are exact, 64-bit integers beyond.
+Integer arithmetic throughout: float64 products where they are exact, 64-bit integers beyond;
+scores that could pass 64 bits are an error, never wrong.
 Of equal candidate vectors only the k + 1 smallest ids can be among a query's best k, so a
 vector that a third of all rows share is scored k + 1 times.
 
@@ -71,6 +72,8 @@ def _parts(groups: int, width: int) -> list[slice]:
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact a @ b.T in int64."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if bound >= 2**63:
+        raise OverflowError("scores beyond 64 bits")
     return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if bound < 2**53 else a @ b.T
 
 
