@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgrid.sources.catalog import dense_rowid
+
 
 def precision_at_k(predictions: Column, targets: Column, k: int) -> Column:
     """Share of the first k predictions that are targets; repeated predictions count every time."""
@@ -24,9 +26,8 @@ def recall_at_k(predictions: Column, targets: Column, k: int, required: int | No
 
 def column_signatures(result: DataFrame, order: list[str]) -> DataFrame:
     """(n, signature) of each column: one number for its values in row order, nulls as empty text."""
-    place = Window.orderBy(*order)
-    rows = result.withColumn("_at", F.row_number().over(place))
-    sums = [F.sum(F.xxhash64("_at", F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k, c in enumerate(result.columns)]
+    rows = dense_rowid(result, order)
+    sums = [F.sum(F.xxhash64("rowid", F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k, c in enumerate(result.columns)]
     wide = rows.agg(F.count("*").alias("n"), *sums)
     return wide.select("n", F.explode(F.array(*[f"s{k}" for k in range(len(result.columns))])).alias("signature"))
 

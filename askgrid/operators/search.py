@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from askgrid.functions.text import embedding_text
 
+QUERY_BLOCK, ROW_BLOCK = 512, 20_000
 INDEX = "table_name string, column_name string, value string, embedding array<float>"
 
 
@@ -71,20 +72,30 @@ def extend_index(index: DataFrame, values: DataFrame, embedder: Embedder) -> Dat
     return index.unionByName(embed_values(fresh, embedder))
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, keys: list[str], value: str, query: str = "query_id", least: float | None = None, hint: bool = True) -> DataFrame:
-    """The k best rows of ``index`` for each row of ``queries`` (query, embedding): score, rank; ties to the smaller value.
+def nearest(queries: DataFrame, index: DataFrame, k: int | None, keys: list[str], value: str, query: str = "query_id", least: float | None = None, leave_self: bool = False) -> DataFrame:
+    """The k best rows of ``index`` for each row of ``queries`` (query, embedding), or all that score ``least``: score, rank; ties to the smaller value.
 
-    A stated, bounded query set meets the index where its rows are: the queries are broadcast, each
-    task ranks its own part, and k rows a query and task are shuffled. With ``hint`` off the engine
-    chooses the join, for query sets without a bound.
+    The query set meets all rows in blocks. While it fits in one block of QUERY_BLOCK queries it is
+    broadcast; beyond, blocks of queries and of rows are joined on both their numbers, so no task
+    gets more than one block of each. The best k are cut in each task before anything is shuffled.
     """
-    asked = queries.select(query, *[F.col(c) for c in keys if c in queries.columns], unit(F.col("embedding")).alias("_q"))
-    asked = F.broadcast(asked) if hint else asked
     shared = [c for c in keys if c in queries.columns]
+    asked = queries.select(query, *shared, unit(F.col("embedding")).alias("_q"))
     rows = index.withColumn("_v", unit(F.col("embedding"))).drop("embedding")
-    met = rows.join(asked, shared) if shared else rows.join(asked, F.lit(True))
-    scored = met.withColumn("score", F.round(dot(F.col("_q"), F.col("_v")), 4)).drop("_q", "_v")
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        met = rows.withColumn("_b", F.lit(0)).join(F.broadcast(asked.withColumn("_b", F.lit(0))), ["_b", *shared])
+    else:
+        parts = max(1, -(-rows.count() // ROW_BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        asked = asked.withColumn("_b", own(query, blocks)).withColumn("_c", every(parts))
+        met = rows.withColumn("_c", own(value, parts)).withColumn("_b", every(blocks)).join(asked, ["_b", "_c", *shared]).drop("_c")
+    met = met.where(F.col(value) != F.col(query)) if leave_self else met
+    scored = met.withColumn("score", F.round(dot(F.col("_q"), F.col("_v")), 4)).drop("_q", "_v", "_b")
     scored = scored.where(F.col("score") >= least) if least is not None else scored
+    if k is None:
+        return scored
     order = Window.partitionBy(query, *keys).orderBy(F.desc("score"), value)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

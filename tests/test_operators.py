@@ -234,3 +234,14 @@ def test_streams_equal_tables(spark, sf, tmp_path):
             assert got.exceptAll(wanted).count() == wanted.exceptAll(got).count() == 0
         else:  # the last sessions stay open until the watermark passes them
             assert got.exceptAll(wanted).count() == 0
+
+
+def test_blocks_of_queries_find_the_same_neighbours(spark, sf, monkeypatch):
+    index = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    wanted = index.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = []
+    for block in (512, 7):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(search, "ROW_BLOCK", 60)
+        found.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in search.nearest(wanted, index, 4, [], "vec_id", leave_self=True).collect()))
+    assert found[0] == found[1] and len(found[0]) == 4 * wanted.count()
