@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Protocol
@@ -209,15 +209,28 @@ def needs_follow_up(tables: list[str]) -> bool:
     return not tables or len(tables) > 3
 
 
-def execute(spark: SparkSession, sql: str, limit: int = PROBED) -> dict:
-    """{result, error}: at most ``limit`` rows, long texts cut; errors are told and never raised."""
+def _shown(value):
+    """A cell as it is returned: long texts are cut at a space."""
+    return value if not isinstance(value, str) or len(value) <= CELL else re.sub(r" [^ ]*$", "", value[: CELL - 3]) + "..."
+
+
+def execute(spark: SparkSession, sql: str, limit: int = PROBED, args: dict | None = None, fetch: str = "all") -> dict:
+    """{result, error}: at most ``limit`` rows, or one with fetch "one"; errors are told and never raised.
+
+    ``args`` are the values of named parameters (``:name``).
+    """
     try:
         own, _ = checked(spark, sql)
-        rows = spark.sql(own).limit(limit).collect()
+        rows = spark.sql(own, args=args).limit(1 if fetch == "one" else limit).collect()
     except (NotAQuery, PySparkException) as e:
         return {"result": [], "error": str(e).splitlines()[0]}
-    cut = lambda v: v if not isinstance(v, str) or len(v) <= CELL else re.sub(r" [^ ]*$", "", v[: CELL - 3]) + "..."
-    return {"result": [{k: cut(v) for k, v in r.asDict().items()} for r in rows], "error": None}
+    return {"result": [{k: _shown(v) for k, v in r.asDict().items()} for r in rows], "error": None}
+
+
+def cursor(spark: SparkSession, sql: str, args: dict | None = None) -> Iterator[dict]:
+    """All rows of a query, partition by partition."""
+    own, _ = checked(spark, sql)
+    return (r.asDict() for r in spark.sql(own, args=args).toLocalIterator())
 
 
 def replay(assistant: Assistant, samples: list[dict], at_once: int = AT_ONCE) -> list[dict]:

@@ -7,6 +7,17 @@ import os
 from pyspark.sql import SparkSession
 
 
+def settings(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; comments, blank lines and quotes around values are left out."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, sign, value = line.strip().partition("=")
+            if sign and not name.startswith("#"):
+                out[name.strip().removeprefix("export ")] = value.strip().strip("'\"")
+    return out
+
+
 def get_spark(app: str = "askgrid", cores: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own session.
 

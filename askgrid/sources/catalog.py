@@ -71,12 +71,16 @@ class TableCatalog:
         self.tables[name] = table
         return table
 
-    def write(self, name: str, table: DataFrame, if_exists: str = "fail", order: list[str] | None = None) -> DataFrame:
+    def write(self, name: str, table: DataFrame, if_exists: str = "fail", order: list[str] | None = None, least_rows: int = 0) -> DataFrame | None:
         """Write a table and register it; ``order`` gives rows a dense rowid by those columns.
 
+        Tables of fewer than ``least_rows`` rows are left out.
+
         Row numbers need one order over all rows: ranges are sorted in parallel, and each range's
         offset comes from the counts of those before it.
         """
+        if least_rows and table.limit(least_rows).count() < least_rows:
+            return None
         table = joined_lists(table)
         if order:
             table = dense_rowid(table, order)

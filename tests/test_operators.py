@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from askgrid.operators import chatlog, columns, search, sheets
-from askgrid.plans.assist import Assistant, OfflineModel, choice, execute, needs_follow_up, replay
+from askgrid.plans.assist import Assistant, OfflineModel, choice, cursor, execute, needs_follow_up, replay
 from askgrid.sources import catalog, logs, xlsx
 from askgrid.streaming import sessions
 
@@ -164,6 +164,7 @@ def tables(spark, tmp_path):
 def test_catalog(spark, tables):
     table = tables.tables["BĐS Bán 500"]
     assert sorted(r.rowid for r in table.collect()) == list(range(1, 13)) and table.first().tags == "a; b"
+    assert tables.write("small", table, least_rows=20) is None
     with pytest.raises(FileExistsError):
         tables.write("BĐS Bán 500", table.drop("rowid"))
     tables.describe("BĐS Bán 500", spark.createDataFrame([("Quận/Huyện", "description", "old"), ("k", "group", "1"), ("tags", "group", "x")], catalog.EAV))
@@ -197,6 +198,8 @@ def test_assistant(spark, tables):
     bad = Assistant(spark, tables, OfflineModel({"sql": "DROP TABLE x"}))
     assert bad.respond([("user", "q")])["error"]
     assert execute(spark, "SELECT nothing FROM nowhere")["result"] == []
+    assert execute(spark, "SELECT k FROM `BĐS Bán 500` WHERE k > :least ORDER BY k", args={"least": 3}, fetch="one")["result"] == [{"k": 4}]
+    assert len(list(cursor(spark, "SELECT * FROM `BĐS Bán 500`;"))) == 12
     got = replay(helper, [{"current_message": "quận 2"}, {"current_message": "quận 0", "conversation_history": [{"role": "user", "content": "x"}]}], 2)
     assert [r["index"] for r in got] == [0, 1] and all(r["output"] for r in got)
     assert needs_follow_up([]) and not needs_follow_up(["a"])
@@ -245,3 +248,10 @@ def test_blocks_of_queries_find_the_same_neighbours(spark, sf, monkeypatch):
         monkeypatch.setattr(search, "ROW_BLOCK", 60)
         found.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in search.nearest(wanted, index, 4, [], "vec_id", leave_self=True).collect()))
     assert found[0] == found[1] and len(found[0]) == 4 * wanted.count()
+
+
+def test_settings(tmp_path):
+    from askgrid.session import settings
+
+    (tmp_path / "env").write_text("# note\nexport A='x y'\nB=1=2\n\n")
+    assert settings(str(tmp_path / "env")) == {"A": "x y", "B": "1=2"}
