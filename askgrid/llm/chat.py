@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askgrid.llm.workspace import lean_batches
+
 OPEN, CLOSE, MARK = "<|turn|>", "<|end|>\n", "\u2060"
 #: Control strings of common chat templates besides this one's own.
 CONTROL = ["<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>"]
@@ -175,6 +177,7 @@ def format_log(events: DataFrame) -> DataFrame:
     sort spills to disk, and nothing of a conversation is collected.
     """
     columns = [F.col(c).cast("long" if c in ("conv_id", "seq") else "string").alias(c) for c in _EVENTS]
+    lean_batches(events.sparkSession)
     dealt = events.select(*columns).repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "seq", "message", "role", "text")
     return dealt.select("conv_id", "kind", "message", "role", "text").mapInArrow(_render, SEGMENTS)
 

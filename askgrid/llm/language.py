@@ -21,11 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askgrid.llm.workspace import written
+from askgrid.llm import textcore
+from askgrid.llm.workspace import lean_batches, written
 
 BUCKETS, SAMPLE_ROWS, MAX_LANGUAGES = 1 << 15, 4000, 64
 BROADCAST_HOSTS = 500_000
@@ -110,9 +112,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
 
 
 def _text_evidence(model: Likelihoods, markup: bool):
-    @F.pandas_udf("array<double>")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else model.of(plain(t) if markup else t) for t in texts], dtype=object)
+    @F.arrow_udf("array<double>")
+    def evidence(texts: pa.Array) -> pa.Array:
+        found = (t.as_py() for t in texts)
+        scores = [None if t is None else model.of(plain(t) if markup else t) for t in found]
+        textcore.release()
+        return pa.array(scores, pa.list_(pa.float64()))
 
     return evidence
 
@@ -132,6 +137,7 @@ def domain_of(host: Column) -> Column:
 
 def identify(docs: DataFrame, model: Likelihoods, text_col: str = "text", host: Column | None = None, declared: Column | None = None, markup: bool = False) -> DataFrame:
     """``docs`` with language, posterior and kept; host and declared are expressions over its columns."""
+    lean_batches(docs.sparkSession)
     languages = model.languages
     host = (F.lit(None) if host is None else host).cast("string")
     declared = (F.lit(None) if declared is None else declared).cast("string")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm import textcore
-from askgrid.llm.workspace import forget, written
+from askgrid.llm.workspace import forget, lean_batches, written
 
 TREES, DEPTH, LEAF, HASHES, BLOCK = 16, 3, 16, 128, 512
 SKETCH = ("s0", "s1", "s2", "s3")  # two bits of each minwise value
@@ -67,6 +67,7 @@ def _features(words: int):
             bits = np.array(bits, np.int64).reshape(-1, len(SKETCH))
             columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, one, two)], *[pa.array(bits[:, k]) for k in range(len(SKETCH))], pa.ListArray.from_arrays(offsets, flat)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "one", "two", *SKETCH, "paths"])
+        textcore.release()
 
     return run
 
@@ -212,15 +213,14 @@ def _hubs(leaves: DataFrame) -> DataFrame:
     """(leaf, h_id, h_n, h_s0 ...): of each leaf the member closest to its majority sketch; in small leaves the smallest id."""
     long = lambda x: F.lit(x).cast("long")
     big = leaves.where(F.col("size") > LEAF)
-    votes = big.groupBy("leaf").agg(F.count("*").alias("votes"), *[F.sum(F.shiftright(s, j).bitwiseAND(long(1))).alias(f"{s}_{j}") for s in SKETCH for j in range(64)])
-    major = []
-    for s in SKETCH:
-        bits = long(0)
-        for j in range(64):
-            bits = bits.bitwiseOR(F.when(F.col(f"{s}_{j}") * 2 > F.col("votes"), F.shiftleft(long(1), j)).otherwise(long(0)))
-        major.append(bits.alias(f"m_{s}"))
-    majority = written(votes.select("leaf", *major), "majority")
-    off = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"m_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"m_{SKETCH[0]}"))))
+    # A quarter of the sketch places the hub well enough; the choice decides the work left over, not the result.
+    s = SKETCH[0]
+    votes = big.groupBy("leaf").agg(F.count("*").alias("votes"), *[F.sum(F.shiftright(s, j).bitwiseAND(long(1))).alias(f"b{j}") for j in range(64)])
+    major = long(0)
+    for j in range(64):
+        major = major.bitwiseOR(F.when(F.col(f"b{j}") * 2 > F.col("votes"), F.shiftleft(long(1), j)).otherwise(long(0)))
+    majority = written(votes.select("leaf", major.alias("major")), "majority")
+    off = F.bit_count(F.col(s).bitwiseXOR(F.col("major")))
     member = ("id", "n", *SKETCH)
     near = big.join(majority, "leaf").select("leaf", F.struct(off.alias("off"), *member).alias("h"))
     small = leaves.where(F.col("size") <= LEAF).select("leaf", F.struct(F.lit(0).alias("off"), *member).alias("h"))
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked where 100 * |A and B| >= percent * |A or B| over their distinct
     ``words``-word shingles; a component is what links reach and its id the smallest doc_id in it.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id long, n long, one long, two long, {', '.join(f'{s} long' for s in SKETCH)}, paths array<long>"
     features = written(docs.mapInArrow(_features(words), schema), "features")

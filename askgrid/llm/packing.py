@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.workspace import forget, written
+from askgrid.llm import textcore
+from askgrid.llm.workspace import forget, lean_batches, written
 
 CAPACITY = 2048
 GROUP = 20_000
@@ -38,24 +39,29 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @functools.cache
-def _encoders(name: str):
+def _whole(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     whole.encode_special_tokens = True
+    return whole
+
+
+@functools.cache
+def _fast(name: str):
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return whole, fast
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str, name: str = "byte_bpe_50k") -> list[int]:
     """Ids of a whole text; special tokens' strings are ordinary text."""
-    whole, fast = _encoders(name)
-    return whole.encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else fast.encode_ordinary(text)
+    return _whole(name).encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else _fast(name).encode_ordinary(text)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -76,6 +82,9 @@ def _pieces(name: str, capacity: int, end: int):
             columns = zip(*rows) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        _whole.cache_clear()
+        _fast.cache_clear()
+        textcore.release()
 
     return run
 
@@ -150,6 +159,7 @@ def _pack(step: int, capacity: int, last: bool):
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the closing id, cut at the capacity."""
+    lean_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer, capacity, end), _PIECES)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm import textcore
+from askgrid.llm.workspace import lean_batches
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 500_000
@@ -72,6 +73,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(target / raw) of each bucket, add-one smoothed; raw counts cover every document."""
+    lean_batches(docs.sparkSession)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS).withColumn("trusted", F.lit(True))
     marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -107,5 +109,6 @@ def _judged(ratios: np.ndarray, threshold: float):
 
 def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base figures, log_ratio and the verdict ``kept`` for every row."""
+    lean_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _BASE) + ", base_failed boolean, log_ratio double, kept boolean"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_judged(ratios, threshold), schema)

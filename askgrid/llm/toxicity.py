@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm import textcore
+from askgrid.llm.workspace import lean_batches
 
 BUCKETS, DIMENSIONS, SEGMENT = 1 << 17, 16, 8
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 2500, 4500, 24_000_000
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 2500, 4500, 20_000_000
 _GRAMS = (3, 4, 5, 6)
 RATE = (0.5, 0.05, 0.2)
 #: ASCII but letters and digits separates words; bytes of other characters belong to them.
@@ -148,9 +149,13 @@ def train(texts: list[str], toxic: list[int], steps: int = 140, seed: int = 5) -
         inside = np.repeat(start[live] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         on_word = np.bincount(tokens[inside], np.repeat(on_segment[live] / size[live], n), n_words)
         used = np.flatnonzero(on_word)
-        n = grams[used]
-        inside = np.repeat(first_gram[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        on_bucket = np.bincount(buckets[inside], np.repeat(on_word[used] / n, n), BUCKETS).astype(np.float32)
+        on_bucket = np.zeros(BUCKETS)
+        for at in range(0, len(used), 20_000):
+            some = used[at : at + 20_000]
+            n = grams[some]
+            inside = np.repeat(first_gram[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            on_bucket += np.bincount(buckets[inside], np.repeat(on_word[some] / n, n), BUCKETS)
+        on_bucket = on_bucket.astype(np.float32)
         push = (softmax[:, 1] - softmax[:, 0])[None, :] * on_bucket[:, None]
         pull = embeddings.T @ on_bucket
         tilt = np.float32(slope.sum())
@@ -187,6 +192,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
 def _train_task(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("id")
     model = train(frame["text"].tolist(), frame["toxic"].tolist())
+    textcore.release()
     return pd.DataFrame({"embeddings": [model.embeddings.tobytes()], "softmax": [model.softmax.tobytes()], "bias": [model.bias.tobytes()]})
 
 
@@ -205,6 +211,7 @@ def _scores(weights: np.ndarray, offset: float):
         for batch in batches:
             found = [_score(weights, offset, t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
+        textcore.release()
 
     return run
 
@@ -212,6 +219,7 @@ def _scores(weights: np.ndarray, offset: float):
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     weights, offset = model.weights.astype(np.float32), model.offset
+    lean_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(_scores(weights, offset), f"`{id_col}` long, score double")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
     return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -221,8 +229,11 @@ def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs`` that score under 0.5, with all their columns."""
     weights, offset = model.weights.astype(np.float32), model.offset
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([_score(weights, offset, t or "") for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        found = [_score(weights, offset, t.as_py() or "") for t in texts]
+        textcore.release()
+        return pa.array(found, pa.float64())
 
+    lean_batches(docs.sparkSession)
     return docs.where(scores(F.col(text_col).cast("string")) < 0.5)

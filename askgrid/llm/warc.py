@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm.workspace import new_path, written
+from askgrid.llm.workspace import lean_batches, new_path, written
 
 MAGIC = 0x184D2A5D  # the skippable frame that holds a dictionary
 ARCHIVE_BYTES, CHUNK = 16_000_000, 1 << 16
@@ -244,6 +244,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write a record for each page into archives under ``folder`` (shared by all executors); the table of finished archives."""
     spark = pages.sparkSession
+    lean_batches(pages.sparkSession)
     folder = folder or new_path(spark, "archives")
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     done = written(with_revisits(pages, min_bytes).mapInArrow(_write(folder), "path string, records long, bytes long"), "archive-list")
@@ -253,6 +254,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """One row for each record of the listed archives; ``error`` is null for valid ones."""
+    lean_batches(archives.sparkSession)
     return archives.select("path").mapInArrow(_read(folder), _RECORDS)
 
 

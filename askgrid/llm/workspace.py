@@ -26,8 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/askgrid-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written, once no result is read any more."""
+    delete(spark, own_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,5 +62,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bound what goes to Python at once by bytes, so batches of very long texts fit; a lower bound of the session stays."""
+    set_to = spark._jsparkSession.sessionState().conf().getConfString(_BATCH, "67108864b")
+    size = int("".join(c for c in set_to if c.isdigit())) << {"k": 10, "m": 20, "g": 30}.get(set_to.strip("b")[-1:].lower(), 0)
+    if size > _BATCH_BYTES or size <= 0:
+        spark.conf.set(_BATCH, f"{_BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

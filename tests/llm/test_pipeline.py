@@ -59,3 +59,14 @@ def test_odd_and_empty_tables(spark, sf, odd, none):
 
 def test_run_is_the_stages(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages["packing"][1].count()
+
+
+def test_sweeping_leaves_nothing(spark):
+    import os
+
+    from askgrid.llm import workspace
+
+    kept = workspace.written(spark.range(3), "kept")
+    assert kept.count() == 3 and os.path.isdir(workspace.own_dir(spark).removeprefix("file://"))
+    workspace.sweep(spark)
+    assert not os.path.exists(workspace.own_dir(spark).removeprefix("file://"))
