@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text is normalised (spaces become the meta symbol, one is put in front) and cut into words where
-no piece can reach across: before a meta symbol, and around characters that no longer piece
-holds. Only distinct words are encoded: their bounded-length substrings are exploded, equi-joined
+no piece can reach across: before a meta symbol, and between two characters that no piece holds
+side by side. Only distinct words are encoded: their bounded-length substrings are exploded, equi-joined
 to the piece table and grouped by word, and a higher-order aggregate folds each word's edges.
 
 Two folds exist. A unigram model takes Viterbi's: the best score at each place in the word. A
@@ -13,7 +13,8 @@ score. Words over ``LATTICE_CHARS`` characters, of which a bit set can't hold th
 merged with a heap in Python.
 
 Occurrences meet their words' ids in two ways: at most ``FREQUENT`` words, the most frequent ones,
-are broadcast and resolved in place; all other occurrences are joined through a shuffle.
+are broadcast and resolved in place; all other occurrences are joined through a shuffle. Words are
+dealt in partitions of ``WORDS``, so one partition's edges are gathered in memory.
 
 Defined results: null and empty texts have no pieces; characters that no piece holds are encoded
 as bytes; rows repeated whole are encoded once each; other columns are ignored.
@@ -27,6 +28,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm.workspace import written
+from askgrid.llm.workspace import forget, lean_batches, written
 
 META = "▁"
-LATTICE_CHARS, FREQUENT, COUNTED_AT_ONCE = 62, 250_000, 300_000
+LATTICE_CHARS, FREQUENT, COUNTED_AT_ONCE, WORDS = 62, 400_000, 400_000, 20_000
+_FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 PRIME = 2**31 - 1
 #: Kinds of pieces, and models, in the file format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -71,6 +74,38 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
         yield key >> 3, struct.unpack("<f", part)[0] if kind == 5 else part
 
 
+_RUN = re.compile(f"{META}+[^{META}]*|[^{META}]+")
+
+
+class Cutter:
+    """Cuts runs, a meta symbol and what follows it, into words: where no piece holds the two characters that meet."""
+
+    def __init__(self, joined: frozenset[str]):
+        letters = sorted({c for pair in joined for c in pair})
+        self.place = np.zeros(0x110000, np.int32)  # of each character that some pair has, from 1
+        for k, c in enumerate(letters, 1):
+            self.place[ord(c)] = k
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for pair in joined:
+            self.joined[self.place[ord(pair[0])], self.place[ord(pair[1])]] = True
+
+    def __call__(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all runs, and the number of each run's words; runs are cut together."""
+        if not runs:
+            return [], np.zeros(0, np.int64)
+        whole = "".join(runs)
+        at = self.place[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        cut = np.zeros(len(whole) + 1, bool)
+        cut[1:-1] = ~self.joined[at[:-1], at[1:]]
+        cut[0] = True
+        cut[ends] = True
+        edges = np.flatnonzero(cut)
+        places = edges.tolist()
+        words = [whole[i:j] for i, j in zip(places, places[1:])]
+        return words, np.diff(np.searchsorted(edges, ends), prepend=0)
+
+
 @dataclass(frozen=True)
 class Model:
     pieces: tuple[tuple[str, float, int], ...]  # text, score, kind; the place is the id
@@ -89,11 +124,8 @@ class Model:
     def unknown(self) -> int:
         return next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
 
-    def words(self) -> re.Pattern:
-        """Matches the words of a normalised text, one after the other, leaving nothing out."""
-        joined = "".join(sorted({c for t, _, k in self.pieces if k in (NORMAL, USER) and len(t) > 1 for c in t} - {META}))
-        own = "[" + re.escape(joined) + "]" if joined else "(?!)"
-        return re.compile(f"(?s){META}+{own}*|{own}+|.")
+    def cutter(self) -> Cutter:
+        return Cutter(frozenset(t[i : i + 2] for t, _, k in self.pieces if k in (NORMAL, USER) for i in range(len(t) - 1)))
 
     def normalised(self, text: str) -> str:
         return META * (self.dummy_prefix and bool(text)) + text.replace(" ", META)
@@ -134,42 +166,52 @@ def _bytes_of(text: Column, model: Model) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): every piece in a word as (first, last, piece_id, score), and characters without one.
+    """``words`` with edges: every piece in a word as (rank, first, last, piece_id, ends, inner), and characters
+    without one; ends and inner are its boundaries as bits, in words short enough.
 
-    Words are dealt once; explode and broadcast join keep that partitioning, so grouping the edges
-    by word moves nothing.
+    ``words`` come dealt by word; explode and broadcast join keep that partitioning, so grouping
+    the edges by word moves nothing.
     """
-    starts = words.repartition("word").select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
+    keys = words.columns
+    starts = words.select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
     ends = F.sequence(F.col("first") + 1, F.least(F.col("first") + longest, F.char_length("word")))
-    spans = starts.select("word", "first", F.explode(ends).alias("last"))
+    spans = starts.select(*keys, "first", F.explode(ends).alias("last"))
     spans = spans.select("*", F.substring("word", F.col("first") + 1, F.col("last") - F.col("first")).alias("piece"))
     met = spans.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or last - first = 1")
-    return met.groupBy("word").agg(F.collect_list(F.struct("first", "last", "piece_id", "score")).alias("edges"))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    short = F.char_length("word") <= LATTICE_CHARS
+    ends = F.when(short, bit(F.col("first")).bitwiseOR(bit(F.col("last"))))
+    inner = F.when(short, bit(F.col("last")) - bit(F.col("first") + 1))
+    # Best score first, then leftmost, when sorted.
+    edge = F.struct((-F.col("score")).alias("rank"), "first", "last", "piece_id", ends.alias("ends"), inner.alias("inner"))
+    return met.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
+
 
+def _merge_fold() -> Column:
+    """The boundaries that are left of a word after all merges; ``ranked`` has its longer edges, best first.
 
-def _merge_fold() -> tuple[Column, Column]:
-    """The ranked merges of a word's edges (a column ``ranked``), and the boundaries that are left after all of them."""
+    A step removes the boundary inside the best edge that has both ends and just one between. The
+    sign bit says that there was none, and spares the remaining steps.
+    """
     long = lambda x: F.lit(x).cast("long")
-    bit = lambda n: F.call_function("shiftleft", long(1), n)
-    wide = F.filter("edges", lambda e: e["last"] - e["first"] > 1)
-    # Best score first, then leftmost: both ends, and the boundaries in between.
-    ranked = F.array_sort(F.transform(wide, lambda e: F.struct((-e["score"]).alias("rank"), e["first"].alias("first"), bit(e["first"]).bitwiseOR(bit(e["last"])).alias("ends"), (bit(e["last"]) - bit(e["first"] + 1)).alias("inner"))))
-    ready = lambda state, e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1)
     n = F.char_length("word")
-    start = bit(n + 1) - 1
-    merge = lambda state, _: state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter(F.col("ranked"), lambda e: ready(state, e)), F.lit(0))["inner"], long(0))))
-    return ranked, F.aggregate(F.sequence(F.lit(1), n), start, merge)
+    start = F.call_function("shiftleft", long(1), n + 1) - 1
+
+    def step(state: Column, _: Column) -> Column:
+        ready = F.filter(F.col("ranked"), lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
+        return F.when(state < 0, state).otherwise(state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], long(0)))).bitwiseOR(F.when(F.size(ready) == 0, long(-(2**63))).otherwise(long(0))))
+
+    return F.aggregate(F.sequence(F.lit(1), n), start, step)
 
 
 def _kept_ids(model: Model) -> Column:
     """Ids of the edges whose ends are boundaries and that hold none."""
-    long = F.lit(1).cast("long")
-    ends = lambda e: F.call_function("shiftleft", long, e["first"]).bitwiseOR(F.call_function("shiftleft", long, e["last"]))
-    inner = lambda e: F.call_function("shiftleft", long, e["last"]) - F.call_function("shiftleft", long, e["first"] + 1)
     state = F.col("state")
-    kept = F.filter("edges", lambda e: (state.bitwiseAND(ends(e)) == ends(e)) & (state.bitwiseAND(inner(e)) == 0))
-    ordered = F.array_sort(F.transform(kept, lambda e: F.struct(e["first"].alias("first"), e["piece_id"].alias("id"))))
-    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(F.col("word"), e["first"] + 1, F.lit(1)), model))))
+    kept = F.filter("edges", lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (state.bitwiseAND(e["inner"]) == 0))
+    ordered = F.sort_array(F.transform(kept, lambda e: F.struct(e["first"].alias("first"), e["piece_id"].alias("id"))))
+    plain = F.transform(ordered, lambda e: e["id"])
+    spelt = F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(F.col("word"), e["first"] + 1, F.lit(1)), model))))
+    return F.when(F.exists(plain, lambda x: x.isNull()), spelt).otherwise(plain)
 
 
 def _viterbi_fold(model: Model) -> Column:
@@ -177,7 +219,7 @@ def _viterbi_fold(model: Model) -> Column:
     worst = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0) - 10.0
     place = F.struct(F.lit(None).cast("double").alias("score"), F.array().cast("array<int>").alias("ids"))
     start = F.concat(F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))), F.array_repeat(place, F.char_length("word")))
-    edges = F.array_sort(F.transform("edges", lambda e: F.struct(e["first"].alias("first"), e["last"].alias("last"), F.coalesce(e["score"], F.lit(worst)).alias("score"), e["piece_id"].alias("id"))))
+    edges = F.array_sort(F.transform("edges", lambda e: F.struct(e["first"].alias("first"), e["last"].alias("last"), F.coalesce(-e["rank"], F.lit(worst)).alias("score"), e["piece_id"].alias("id"))))
 
     def step(state: Column, e: Column) -> Column:
         ids = F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(F.col("word"), e["first"] + 1, F.lit(1)), model))
@@ -222,107 +264,166 @@ def merge_word(word: str, ranks: dict[str, tuple[int, float]], byte_ids: dict[in
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) of distinct normalised words."""
-    spark = words.sparkSession
+    """``words``, distinct normalised ones dealt by the column word, with ids."""
+    spark, keys = words.sparkSession, words.columns
     if model.kind != BPE:
-        return lattice(words, piece_table(spark, model), model.longest).select("word", _viterbi_fold(model).alias("ids"))
+        return lattice(words, piece_table(spark, model), model.longest).select(*keys, _viterbi_fold(model).alias("ids"))
     ranks = {t: (i, s) for i, (t, s, k) in enumerate(model.pieces) if k in (NORMAL, USER)}
     bytes_, unknown = model.byte_ids, model.unknown
 
-    @F.pandas_udf("array<int>")
-    def merged(found: pd.Series) -> pd.Series:
-        return pd.Series([merge_word(w, ranks, bytes_, unknown) for w in found], dtype=object)
+    @F.arrow_udf("array<int>")
+    def merged(found: pa.Array) -> pa.Array:
+        return pa.array([merge_word(w.as_py(), ranks, bytes_, unknown) for w in found], pa.list_(pa.int32()))
 
     short = lattice(words.where(F.char_length("word") <= LATTICE_CHARS), piece_table(spark, model), model.longest)
-    ranked, fold = _merge_fold()
-    short = short.withColumn("ranked", ranked).withColumn("state", fold).select("word", _kept_ids(model).alias("ids"))
-    long = words.where(F.char_length("word") > LATTICE_CHARS).select("word", merged("word").alias("ids"))
+    short = short.withColumn("ranked", F.filter(F.sort_array("edges"), lambda e: e["inner"] != 0)).withColumn("state", _merge_fold())
+    short = short.select(*keys, _kept_ids(model).alias("ids"))
+    long = words.where(F.char_length("word") > LATTICE_CHARS).select(*keys, merged("word").alias("ids"))
     return short.unionByName(long)
 
 
 def decode_words(encoded: DataFrame, model: Model) -> DataFrame:
-    """(word, decoded): pieces put together again from ids, through a join on the id."""
+    """``encoded`` (word and ids, dealt by word) with decoded: pieces put together again from ids, through a join on the id."""
     rows = [(i, None if k == BYTE else t, t[3:5] if k == BYTE else None) for i, (t, _, k) in enumerate(model.pieces) if k in (NORMAL, USER, BYTE)]
     known = encoded.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["piece_id", "piece", "byte"]), "piece_id int, piece string, byte string")
-    exploded = encoded.repartition("word").select("word", F.posexplode("ids").alias("k", "piece_id")).join(F.broadcast(known), "piece_id")
+    exploded = encoded.select("*", F.posexplode("ids").alias("_k", "piece_id")).join(F.broadcast(known), "piece_id")
     code = F.coalesce("byte", F.hex(F.encode("piece", "utf-8")))
-    parts = exploded.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", code.alias("code")))).alias("parts"))
-    whole = F.unhex(F.array_join(F.transform("parts", lambda p: p["code"]), ""))
-    return parts.select("word", F.make_valid_utf8(whole.cast("string")).alias("decoded"))
+    rest = [F.first(c).alias(c) for c in encoded.columns if c != "word"]
+    parts = exploded.groupBy("word").agg(*rest, F.array_sort(F.collect_list(F.struct("_k", code.alias("code")))).alias("_parts"))
+    whole = F.unhex(F.array_join(F.transform("_parts", lambda p: p["code"]), ""))
+    return parts.withColumn("decoded", F.make_valid_utf8(whole.cast("string"))).drop("_parts")
 
 
 def _count_words(model: Model):
-    pattern, normalised = model.words(), model.normalised
+    normalised = model.normalised
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        runs: Counter[str] = Counter()
+        cut = model.cutter()
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
+            words, each = cut(list(runs))
+            held: dict[str, int] = {}
+            for word, n in zip(words, np.repeat(np.fromiter(runs.values(), np.int64, len(runs)), each).tolist()):
+                held[word] = held.get(word, 0) + n
+            runs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    held.update(pattern.findall(normalised(text.as_py())))
-                if len(held) >= COUNTED_AT_ONCE:
+                    runs.update(_RUN.findall(normalised(text.as_py())))
+                if len(runs) >= COUNTED_AT_ONCE:
                     yield flushed()
-        if held:
+        if runs:
             yield flushed()
 
     return run
 
 
+def _grouped_in_memory(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with its lists gathered by hash: partitions of WORDS words fit, and need no sort of all edges on disk."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FALLBACK)
+    conf.set(_FALLBACK, str(10 * WORDS))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(_FALLBACK, before)
+
+
 def vocabulary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(word, n, ids, digest, intact) of every distinct word; intact: decoding its ids gives the word."""
+    lean_batches(docs.sparkSession)
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words(model), "word string, n long")
     counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    encoded = written(encode_words(counted.select("word"), model), "encoded")
-    decoded = decode_words(encoded, model)
+    parts = max(1, -(-counted.count() // WORDS))
+    encoded = _grouped_in_memory(encode_words(counted.repartition(parts, "word"), model), "encoded")
+    forget(counted)
+    decoded = decode_words(encoded.repartition(parts, "word"), model)
     digest = F.pmod(F.xxhash64("ids"), F.lit(PRIME)).cast("long")
-    joined = counted.join(encoded, "word").join(decoded, "word")
-    return written(joined.select("word", "n", "ids", digest.alias("digest"), (F.col("decoded") == F.col("word")).alias("intact")), "vocabulary")
+    out = _grouped_in_memory(decoded.select("word", "n", "ids", digest.alias("digest"), (F.col("decoded") == F.col("word")).alias("intact")), "vocabulary")
+    forget(encoded)
+    return out
 
 
 _OCCURRENCES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("n_pieces", pa.int64()), ("digest", pa.int64()), ("broken", pa.int64())])
 
 
+class _Codes:
+    """Codes of runs' words: those of frequent words, then ones of its own for all others, whose texts it keeps."""
+
+    def __init__(self, cut: Cutter, frequent: dict[str, int]):
+        self.cut, self.frequent = cut, frequent
+        self.sizes = np.zeros(2 * len(frequent) + 1024, np.int64)
+        self.sizes[: len(frequent)] = np.fromiter(map(len, frequent), np.int64, len(frequent))
+        self.renew()
+
+    def renew(self) -> None:
+        self.runs: dict[str, tuple[int, ...]] = {}
+        self.rare: dict[str, int] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Give codes to the runs that are new."""
+        if len(self.runs) >= COUNTED_AT_ONCE:
+            self.renew()
+        fresh = list({r for runs in texts for r in runs if r not in self.runs})
+        words, each = self.cut(fresh)
+        codes, base = [], len(self.frequent)
+        for word in words:
+            code = self.frequent.get(word)
+            if code is None:
+                code = self.rare.get(word)
+                if code is None:
+                    code = self.rare[word] = base + len(self.rare)
+                    if code >= len(self.sizes):
+                        self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+                    self.sizes[code] = len(word)
+            codes.append(code)
+        at = 0
+        for run, n in zip(fresh, each.tolist()):
+            self.runs[run] = tuple(codes[at : at + n])
+            at += n
+
+
 def _occurrences(model: Model, frequent):
     """Words of each text: the frequent ones resolved here into one row, without a word; each other one a row."""
-    pattern, normalised = model.words(), model.normalised
+    normalised = model.normalised
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, digests, pieces, intact = frequent.value if frequent else ({}, *[np.zeros(0, np.int64)] * 2, np.zeros(0, bool))
+        known, digests, pieces, intact = frequent.value if frequent else ({}, *[np.zeros(0, np.int64)] * 2, np.zeros(0, bool))
+        codes = _Codes(model.cutter(), known)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                docs, texts, summary = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-                rare_doc, rare_word, rare_start = [], [], []
-                for k, text in enumerate(texts):
-                    words = pattern.findall(normalised(text)) if text else []
-                    found = np.fromiter((codes.get(w, -1) for w in words), np.int64, len(words))
-                    sizes = np.fromiter(map(len, words), np.int64, len(words))
-                    starts = np.cumsum(sizes) - sizes
-                    known = found >= 0
-                    own = found[known]
-                    summary.append((int(pieces[own].sum()), int(((starts[known] + 1) * digests[own] % PRIME).sum()), int((~intact[own]).sum())))
-                    rare = np.flatnonzero(~known)
-                    rare_doc += [k] * len(rare)
-                    rare_word += [words[i] for i in rare]
-                    rare_start += starts[rare].tolist()
-                names, n = _OCCURRENCES.names, len(rare_word)
+                runs = [_RUN.findall(normalised(t)) if t else [] for t in batch.column(2).to_pylist()]
+                codes.learn(runs)
+                texts = [np.fromiter(chain.from_iterable(map(codes.runs.__getitem__, r)), np.int64) for r in runs]
+                sizes, words = codes.sizes, list(codes.rare)
+                summary, rare_doc, rare_code, rare_start = [], [], [], []
+                for k, found in enumerate(texts):
+                    length = sizes[found]
+                    starts = np.cumsum(length) - length
+                    often = found < len(known)
+                    own = found[often]
+                    summary.append((int(pieces[own].sum()), int(((starts[often] + 1) * digests[own] % PRIME).sum()), int((~intact[own]).sum())))
+                    rare_doc.append(np.full(int((~often).sum()), k))
+                    rare_code.append(found[~often] - len(known))
+                    rare_start.append(starts[~often])
+                names = _OCCURRENCES.names
                 totals = [pa.array(c, pa.int64()) for c in zip(*summary)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(docs), pa.string()), pa.nulls(len(docs), pa.int64()), *totals], names)
-                if n:
-                    row = pa.array(rare_doc, pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(rare_word, pa.string()), pa.array(rare_start, pa.int64()), *[pa.nulls(n, pa.int64())] * 3], names)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), *totals], names)
+                row = pa.array(np.concatenate(rare_doc))
+                if len(row):
+                    text = pa.array([words[i] for i in np.concatenate(rare_code).tolist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), text, pa.array(np.concatenate(rare_start)), *[pa.nulls(len(row), pa.int64())] * 3], names)
 
     return run
 
 
 def _frequent(words: DataFrame, most: int):
-    """A broadcast of at most ``most`` words, those with the highest counts; None if there are no words."""
+    """A broadcast of at most ``most`` words, those with the highest counts (None if there are none), and the least count of them."""
     # How many words have each count: far fewer rows than words, and the cutoff follows from it.
     total, least = 0, None
     for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
@@ -331,20 +432,22 @@ def _frequent(words: DataFrame, most: int):
             break
         least = r["n"]
     if least is None:
-        return None
+        return None, 2**62
     rows = words.where(F.col("n") >= least).select("word", "digest", F.size("ids").cast("long").alias("pieces"), "intact").toPandas()
     codes = {w: i for i, w in enumerate(rows["word"])}
-    return words.sparkSession.sparkContext.broadcast((codes, rows["digest"].to_numpy(np.int64), rows["pieces"].to_numpy(np.int64), rows["intact"].to_numpy(bool)))
+    return words.sparkSession.sparkContext.broadcast((codes, rows["digest"].to_numpy(np.int64), rows["pieces"].to_numpy(np.int64), rows["intact"].to_numpy(bool))), least
 
 
 def encode_digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_pieces, ids_digest, round_trip): piece count, a digest of all ids with their places, and whether decoding gives the text back."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     words = vocabulary(docs, model)
-    rows = docs.mapInArrow(_occurrences(model, _frequent(words, frequent)), "doc_id long, h long, word string, start long, n_pieces long, digest long, broken long")
+    known_words, least = _frequent(words, frequent)
+    # Two branches read what one pass over the texts has made.
+    rows = written(docs.mapInArrow(_occurrences(model, known_words), "doc_id long, h long, word string, start long, n_pieces long, digest long, broken long"), "occurrences")
     known = rows.where("word is null").select("doc_id", "h", "n_pieces", "digest", "broken", F.lit(1).alias("copies"))
     place = ((F.col("start") + 1) * F.col("w.digest")) % PRIME
-    rare = rows.where("word is not null").select("doc_id", "h", "word", "start").join(words.select("word", F.struct("digest", F.size("ids").alias("n"), "intact").alias("w")), "word")
+    rare = rows.where("word is not null").select("doc_id", "h", "word", "start").join(words.where(F.col("n") < least).select("word", F.struct("digest", F.size("ids").alias("n"), "intact").alias("w")), "word")
     rare = rare.select("doc_id", "h", F.col("w.n").cast("long").alias("n_pieces"), place.alias("digest"), F.when(F.col("w.intact"), 0).otherwise(1).cast("long").alias("broken"), F.lit(0).alias("copies"))
     sums = known.unionByName(rare).groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("n_pieces", "digest", "broken", "copies")])
     # Rows repeated whole add up to a multiple of the same sums.
@@ -369,7 +472,7 @@ def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); the meta symbol becomes a space again, the one put in front is dropped."""
     keyed = encoded.withColumn("word", F.xxhash64("doc_id", "ids").cast("string"))
-    texts = decode_words(keyed.select("word", "ids").dropDuplicates(["word"]), model)
+    texts = decode_words(keyed.select("word", "ids").dropDuplicates(["word"]), model).select("word", "decoded")
     plain = F.replace(F.col("decoded"), F.lit(META), F.lit(" "))
     plain = F.substring(plain, 2, 2**31 - 1) if model.dummy_prefix else plain
     return keyed.join(texts, "word", "left").select("doc_id", F.when(F.col("ids").isNotNull(), F.coalesce(plain, F.lit(""))).alias("text"))
