@@ -13,11 +13,13 @@ score. Words over ``LATTICE_CHARS`` characters, of which a bit set can't hold th
 merged with a heap in Python.
 
 Occurrences meet their words' ids in two ways: at most ``FREQUENT`` words, the most frequent ones,
-are broadcast and resolved in place; all other occurrences are joined through a shuffle. Words are
-dealt in partitions of ``WORDS``, so one partition's edges are gathered in memory.
+are broadcast and resolved in place; all other occurrences are joined through a shuffle, and the
+parts of a text are put in order again. Its whole id sequence is what is digested and decoded.
+Words are dealt in partitions of ``WORDS``, so one partition's edges are gathered in memory.
 
 Defined results: null and empty texts have no pieces; characters that no piece holds are encoded
-as bytes; rows repeated whole are encoded once each; other columns are ignored.
+as bytes; a meta symbol in a text is decoded as a space; rows repeated whole are encoded once each;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,6 @@ from askgrid.llm.workspace import forget, lean_batches, written
 META = "▁"
 LATTICE_CHARS, FREQUENT, COUNTED_AT_ONCE, WORDS = 62, 400_000, 400_000, 20_000
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-PRIME = 2**31 - 1
 #: Kinds of pieces, and models, in the file format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -282,16 +284,23 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return short.unionByName(long)
 
 
-def decode_words(encoded: DataFrame, model: Model) -> DataFrame:
-    """``encoded`` (word and ids, dealt by word) with decoded: pieces put together again from ids, through a join on the id."""
-    rows = [(i, None if k == BYTE else t, t[3:5] if k == BYTE else None) for i, (t, _, k) in enumerate(model.pieces) if k in (NORMAL, USER, BYTE)]
-    known = encoded.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["piece_id", "piece", "byte"]), "piece_id int, piece string, byte string")
-    exploded = encoded.select("*", F.posexplode("ids").alias("_k", "piece_id")).join(F.broadcast(known), "piece_id")
-    code = F.coalesce("byte", F.hex(F.encode("piece", "utf-8")))
-    rest = [F.first(c).alias(c) for c in encoded.columns if c != "word"]
-    parts = exploded.groupBy("word").agg(*rest, F.array_sort(F.collect_list(F.struct("_k", code.alias("code")))).alias("_parts"))
-    whole = F.unhex(F.array_join(F.transform("_parts", lambda p: p["code"]), ""))
-    return parts.withColumn("decoded", F.make_valid_utf8(whole.cast("string"))).drop("_parts")
+def _spelling(model: Model):
+    """UTF-8 bytes of whole id sequences, piece after piece; null for null."""
+    codes = pa.array([bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k in (NORMAL, USER) else b"" for t, _, k in model.pieces], pa.binary())
+
+    @F.arrow_udf("binary")
+    def spelt(found: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), codes.take(found.flatten()))
+        return pc.if_else(found.is_valid(), pc.binary_join(parts, b""), pa.scalar(None, pa.binary()))
+
+    return spelt
+
+
+def _text_of(ids: Column, model: Model) -> Column:
+    """The text of an id sequence; the meta symbol becomes a space again, the one put in front is dropped."""
+    plain = F.replace(F.make_valid_utf8(_spelling(model)(ids).cast("string")), F.lit(META), F.lit(" "))
+    return F.substring(plain, 2, 2**31 - 1) if model.dummy_prefix else plain
 
 
 def _count_words(model: Model):
@@ -333,21 +342,19 @@ def _grouped_in_memory(df: DataFrame, name: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(word, n, ids, digest, intact) of every distinct word; intact: decoding its ids gives the word."""
+    """(word, n, ids) of every distinct word."""
     lean_batches(docs.sparkSession)
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words(model), "word string, n long")
     counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     parts = max(1, -(-counted.count() // WORDS))
-    encoded = _grouped_in_memory(encode_words(counted.repartition(parts, "word"), model), "encoded")
+    out = _grouped_in_memory(encode_words(counted.repartition(parts, "word"), model), "vocabulary")
     forget(counted)
-    decoded = decode_words(encoded.repartition(parts, "word"), model)
-    digest = F.pmod(F.xxhash64("ids"), F.lit(PRIME)).cast("long")
-    out = _grouped_in_memory(decoded.select("word", "n", "ids", digest.alias("digest"), (F.col("decoded") == F.col("word")).alias("intact")), "vocabulary")
-    forget(encoded)
     return out
 
 
-_OCCURRENCES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("n_pieces", pa.int64()), ("digest", pa.int64()), ("broken", pa.int64())])
+_PARTS = pa.list_(pa.struct([("start", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+_OCCURRENCES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("original", pa.binary()), ("parts", _PARTS), ("word", pa.string()), ("start", pa.int64())])
+_OCCURRENCES_SQL = "doc_id long, h long, original binary, parts array<struct<start: long, ids: array<int>>>, word string, start long"
 
 
 class _Codes:
@@ -387,37 +394,42 @@ class _Codes:
 
 
 def _occurrences(model: Model, frequent):
-    """Words of each text: the frequent ones resolved here into one row, without a word; each other one a row."""
+    """Each text in one row, with its runs of frequent words resolved as parts, and each of its other words in a row."""
     normalised = model.normalised
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, digests, pieces, intact = frequent.value if frequent else ({}, *[np.zeros(0, np.int64)] * 2, np.zeros(0, bool))
+        known, ids, first_id = frequent.value if frequent else ({}, np.zeros(0, np.int32), np.zeros(1, np.int64))
+        pieces = np.diff(first_id)
         codes = _Codes(model.cutter(), known)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                runs = [_RUN.findall(normalised(t)) if t else [] for t in batch.column(2).to_pylist()]
+                runs = [_RUN.findall(normalised(t)) if t else [] for t in batch.column(3).to_pylist()]
                 codes.learn(runs)
                 texts = [np.fromiter(chain.from_iterable(map(codes.runs.__getitem__, r)), np.int64) for r in runs]
-                sizes, words = codes.sizes, list(codes.rare)
-                summary, rare_doc, rare_code, rare_start = [], [], [], []
-                for k, found in enumerate(texts):
-                    length = sizes[found]
-                    starts = np.cumsum(length) - length
-                    often = found < len(known)
-                    own = found[often]
-                    summary.append((int(pieces[own].sum()), int(((starts[often] + 1) * digests[own] % PRIME).sum()), int((~intact[own]).sum())))
-                    rare_doc.append(np.full(int((~often).sum()), k))
-                    rare_code.append(found[~often] - len(known))
-                    rare_start.append(starts[~often])
-                names = _OCCURRENCES.names
-                totals = [pa.array(c, pa.int64()) for c in zip(*summary)]
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), *totals], names)
-                row = pa.array(np.concatenate(rare_doc))
+                words, found = list(codes.rare), np.concatenate(texts)
+                each = np.fromiter(map(len, texts), np.int64, len(texts))
+                doc = np.repeat(np.arange(len(texts)), each)
+                total = np.concatenate([[0], np.cumsum(codes.sizes[found])])
+                starts = total[:-1] - np.repeat(total[np.cumsum(each) - each], each)
+                often = found < len(known)
+                # A part begins where a frequent word follows another one or begins a text.
+                fresh = np.ones(len(found), bool)
+                fresh[1:] = ~often[:-1] | (doc[1:] != doc[:-1])
+                own, begins = found[often], np.flatnonzero(fresh[often])
+                n = pieces[own]
+                ends = np.cumsum(n)
+                flat = ids[np.repeat(first_id[own] - (ends - n), n) + np.arange(n.sum())]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([(ends - n)[begins], [n.sum()]]), pa.int32()), pa.array(flat, pa.int32()))
+                structs = pa.StructArray.from_arrays([pa.array(starts[often][begins], pa.int64()), lists], fields=list(_PARTS.value_type))
+                borders = np.searchsorted(doc[often][begins], np.arange(len(texts) + 1))
+                parts = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), structs)
+                size = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], parts, pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())], schema=_OCCURRENCES)
+                row = pa.array(doc[~often])
                 if len(row):
-                    text = pa.array([words[i] for i in np.concatenate(rare_code).tolist()], pa.string())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), text, pa.array(np.concatenate(rare_start)), *[pa.nulls(len(row), pa.int64())] * 3], names)
+                    text = pa.array([words[i] for i in (found[~often] - len(known)).tolist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), _PARTS), text, pa.array(starts[~often])], schema=_OCCURRENCES)
 
     return run
 
@@ -433,46 +445,48 @@ def _frequent(words: DataFrame, most: int):
         least = r["n"]
     if least is None:
         return None, 2**62
-    rows = words.where(F.col("n") >= least).select("word", "digest", F.size("ids").cast("long").alias("pieces"), "intact").toPandas()
-    codes = {w: i for i, w in enumerate(rows["word"])}
-    return words.sparkSession.sparkContext.broadcast((codes, rows["digest"].to_numpy(np.int64), rows["pieces"].to_numpy(np.int64), rows["intact"].to_numpy(bool))), least
+    rows = words.where(F.col("n") >= least).select("word", "ids").toArrow().combine_chunks()
+    codes = {w: i for i, w in enumerate(rows["word"].to_pylist())}
+    sizes = pc.list_value_length(rows["ids"]).to_numpy()
+    ids = pc.list_flatten(rows["ids"]).to_numpy().astype(np.int32)
+    return words.sparkSession.sparkContext.broadcast((codes, ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))), least
 
 
-def encode_digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_pieces, ids_digest, round_trip): piece count, a digest of all ids with their places, and whether decoding gives the text back."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, frequent: int) -> DataFrame:
+    """(doc_id, original, copies, ids) of each distinct row: the MD5 of its text, how often it occurs and all its ids in order."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("original"), text.alias("text"))
     words = vocabulary(docs, model)
     known_words, least = _frequent(words, frequent)
     # Two branches read what one pass over the texts has made.
-    rows = written(docs.mapInArrow(_occurrences(model, known_words), "doc_id long, h long, word string, start long, n_pieces long, digest long, broken long"), "occurrences")
-    known = rows.where("word is null").select("doc_id", "h", "n_pieces", "digest", "broken", F.lit(1).alias("copies"))
-    place = ((F.col("start") + 1) * F.col("w.digest")) % PRIME
-    rare = rows.where("word is not null").select("doc_id", "h", "word", "start").join(words.where(F.col("n") < least).select("word", F.struct("digest", F.size("ids").alias("n"), "intact").alias("w")), "word")
-    rare = rare.select("doc_id", "h", F.col("w.n").cast("long").alias("n_pieces"), place.alias("digest"), F.when(F.col("w.intact"), 0).otherwise(1).cast("long").alias("broken"), F.lit(0).alias("copies"))
-    sums = known.unionByName(rare).groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("n_pieces", "digest", "broken", "copies")])
-    # Rows repeated whole add up to a multiple of the same sums.
-    each = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    share = lambda c: F.expr(f"{c} div copies")
-    return each.select("doc_id", share("n_pieces").alias("n_pieces"), share("digest").alias("ids_digest"), (F.col("broken") == 0).alias("round_trip"))
-
-
-def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = written(docs.mapInArrow(_occurrences(model, known_words), _OCCURRENCES_SQL), "occurrences")
+    part = F.struct("start", "ids")
+    known = rows.where("word is null").select("doc_id", "h", "original", "parts", F.lit(None).cast("struct<start: long, ids: array<int>>").alias("part"), F.lit(1).alias("copies"))
+    rare = rows.where("word is not null").select("doc_id", "h", "word", "start").join(words.where(F.col("n") < least).select("word", "ids"), "word")
+    rare = rare.select("doc_id", "h", F.lit(None).cast("binary").alias("original"), F.lit(None).cast(known.schema["parts"].dataType).alias("parts"), part.alias("part"), F.lit(0).alias("copies"))
+    # Rows repeated whole have the same parts: a set keeps each once.
+    met = known.unionByName(rare).groupBy("doc_id", "h").agg(F.first("original", True).alias("original"), F.first("parts", True).alias("parts"), F.collect_set("part").alias("rest"), F.sum("copies").alias("copies"))
+    ids = F.flatten(F.transform(F.array_sort(F.concat("parts", "rest")), lambda p: p["ids"]))
+    return met.select("doc_id", "original", "copies", F.when(F.col("original").isNotNull(), ids).alias("ids"))
+
+
+def _each_copy(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy", "copies")
+
+
+def encode_digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_pieces, ids_digest, round_trip): piece count and xxhash64 of the row's id sequence, and whether decoding that gives the text back (by MD5; true for null)."""
+    rows = _sequences(docs, model, id_col, text_col, frequent)
+    back = F.unhex(F.md5(_text_of(F.col("ids"), model).cast("binary")))
+    pieces = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
+    return _each_copy(rows.select("doc_id", "copies", pieces.alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), back.eqNullSafe(F.col("original")).alias("round_trip"))).select("doc_id", "n_pieces", "ids_digest", "round_trip")
+
+
+def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, ids): the ids of each row's text, in order; null for null text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    words = vocabulary(docs, model)
-    once = docs.dropDuplicates(["doc_id", "h"])
-    rows = once.where("text <> ''").mapInArrow(_occurrences(model, None), "doc_id long, h long, word string, start long, n_pieces long, digest long, broken long")
-    met = rows.where("word is not null").join(words.select("word", "ids"), "word")
-    whole = met.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("parts"))
-    joined = docs.join(whole, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
-    ids = F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), F.when(F.col("text").isNotNull(), F.array().cast("array<int>")))
-    return joined.select("doc_id", ids.alias("ids"))
+    return _each_copy(_sequences(docs, model, id_col, text_col, frequent).select("doc_id", "ids", "copies"))
 
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); the meta symbol becomes a space again, the one put in front is dropped."""
-    keyed = encoded.withColumn("word", F.xxhash64("doc_id", "ids").cast("string"))
-    texts = decode_words(keyed.select("word", "ids").dropDuplicates(["word"]), model).select("word", "decoded")
-    plain = F.replace(F.col("decoded"), F.lit(META), F.lit(" "))
-    plain = F.substring(plain, 2, 2**31 - 1) if model.dummy_prefix else plain
-    return keyed.join(texts, "word", "left").select("doc_id", F.when(F.col("ids").isNotNull(), F.coalesce(plain, F.lit(""))).alias("text"))
+    """(doc_id, text) from (doc_id, ids)."""
+    return encoded.select("doc_id", _text_of(F.col("ids"), model).alias("text"))

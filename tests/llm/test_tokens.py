@@ -34,6 +34,19 @@ def test_digests_do_not_depend_on_what_is_broadcast(odd, model):
     assert few == all_ and len(few) == len(ODD) and all(r[3] for r in few)
 
 
+def test_digests_are_of_the_librarys_ids_and_texts(spark, odd, docs, model):
+    theirs = library.SentencePieceProcessor(model_file=MODEL)
+    metas = spark.createDataFrame([(20, "a▁b"), (21, " two  spaces "), (21, " two  spaces "), (22, "▁")], "doc_id long, text string")
+    both = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text")).unionByName(metas)
+    wanted = [(r.doc_id, r.text, ids := theirs.encode(r.text or ""), r.text is None or theirs.decode(ids) == r.text) for r in both.collect()]
+    wanted = spark.createDataFrame([(a, None if t is None else ids, back) for a, t, ids, back in wanted], "doc_id long, ids array<int>, back boolean")
+    wanted = wanted.selectExpr("doc_id", "coalesce(array_size(ids), 0)", "xxhash64(ids)", "back").collect()
+    for frequent in (0, 300, 100000):
+        got = sp.encode_digests(both, model, frequent=frequent).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, wanted)))
+    assert {r.doc_id for r in got if not r.round_trip} == {20, 22}
+
+
 def test_long_words_merge_alike(model):
     theirs = library.SentencePieceProcessor(model_file=MODEL)
     ranks = {t: (i, s) for i, (t, s, k) in enumerate(model.pieces) if k == sp.NORMAL}
