@@ -13,8 +13,9 @@ partial scores only. For blocks of queries against blocks of candidates:
 
 Integer arithmetic throughout: float64 products where they are exact, 64-bit integers beyond;
 scores that could pass 64 bits are an error, never wrong.
-Of equal candidate vectors only the k + 1 smallest ids can be among a query's best k, so a
-vector that a third of all rows share is scored k + 1 times.
+Of equal candidate vectors only the k + 1 smallest distinct ids can be among a query's best k (one
+of them may be its own), and k rows of each, so a vector that a third of all rows share is scored
+k (k + 1) times at most.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part;
 missing trailing components count as 0; a query with fewer than k candidates returns all;
@@ -137,9 +138,11 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k best rows of ``vectors`` of another id."""
     asked = written(quantised(queries, id_col, vector_col).dropDuplicates(["id", "v"]), "queries")
-    # The same vector: the k + 1 smallest ids suffice; the limit applies in each task before the shuffle too.
+    # The same vector: the k + 1 smallest ids suffice, k rows of each; the limit applies in each task before the shuffle too.
     same = Window.partitionBy("h", "v").orderBy("id")
-    rows = quantised(vectors, id_col, vector_col).withColumn("h", F.xxhash64("v")).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "v")
+    rows = quantised(vectors, id_col, vector_col).withColumn("h", F.xxhash64("v")).groupBy("h", "v", "id").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+    rows = rows.select("id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k))))).select("id", "v")
     known = written(rows, "candidates")
     width = max(known.agg(F.max(F.size("v"))).first()[0] or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
     groups = max(1, min(PARTS, width))

@@ -102,6 +102,14 @@ def test_search_equals_brute_force(spark, scale, width):
     assert sorted(map(tuple, found.collect())) == best(rows, [i for i, _ in rows if i is not None and i % 50 == 0], 5)
 
 
+def test_repeated_rows_of_a_hot_vector_displace_no_id(spark):
+    vectors = [(i, [3.0, 1.0]) for i in [0] * 9 + [1, 2, 3, 4, 5]] + [(6, [1.0, 1.0])] * 2 + [(7, [3.0, 0.0])] * 8
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame, frame.where("vec_id in (0, 1, 6)"), 5).collect())) == best(vectors, [0, 1, 6], 5)
+    few = spark.createDataFrame([(i, [2.0]) for i in (0, 0, 1, 2, 3, 4, 5)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(few, few.where("vec_id = 0"), 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_few_candidates_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.top_k(frame, frame.where("vec_id = 0")).collect())) == [(0, 1, 2, 256 * 768), (0, 2, 1, 256 * 512)]
