@@ -3,8 +3,8 @@
 log posterior = tempered text log likelihood + log P(declared markup language | language)
 + log P(address suffix | language) + log host prior.
 
-Text likelihoods are hashed byte-trigram multinomials, fitted on a bounded sample of rows with a
-known language (``SAMPLE_ROWS``, in hash order). Host priors are counts of the text's best
+Text likelihoods are hashed byte-trigram multinomials, fitted on a bounded sample of distinct texts of
+each known language (``SAMPLE_ROWS``, in hash order); region and script of a language code don't count. Host priors are counts of the text's best
 language by host, smoothed towards the counts of the host's domain, and those towards the whole
 corpus: three grouped aggregations over all rows. Host priors reach the rows by a broadcast
 while there are at most ``BROADCAST_HOSTS`` hosts, and by a shuffled join beyond.
@@ -22,14 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.llm import textcore
 from askgrid.llm.workspace import lean_batches, written
 
-BUCKETS, SAMPLE_ROWS, MAX_LANGUAGES = 1 << 15, 4000, 64
+BUCKETS, SAMPLE_ROWS, PARTS = 1 << 15, 4000, 4
 BROADCAST_HOSTS = 500_000
 #: Trigrams are far from independent: a text counts as so many at most.
 EFFECTIVE = 60.0
@@ -85,11 +85,19 @@ class Likelihoods:
         return (self.log_share[:, grams].mean(axis=1) * min(len(grams), EFFECTIVE)).tolist()
 
 
+def _code(lang: Column) -> Column:
+    """The language of a code, without its region or script: zh of zh-CN."""
+    return F.regexp_extract(F.lower(F.trim(lang.cast("string"))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Likelihoods:
-    """Trigram multinomials from at most ``rows`` rows of known language; the most frequent MAX_LANGUAGES of them."""
-    known = docs.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("lang")).where("text is not null and lang rlike '^[a-z]{2,3}$'")
-    chosen = known.select(F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(rows)
-    found = known.withColumn("h", F.xxhash64("text", "lang")).join(F.broadcast(chosen.distinct()), "h", "left_semi").dropDuplicates(["h"])
+    """Trigram multinomials from at most ``rows`` distinct texts of each known language."""
+    lean_batches(docs.sparkSession)
+    known = docs.select(F.col(text_col).cast("string").alias("text"), _code(F.col(lang_col)).alias("lang")).where("text is not null and lang <> ''").withColumn("h", F.xxhash64("text", "lang"))
+    # The limit applies in each task before the shuffle too.
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("h")
+    found = known.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
     counts: dict[str, np.ndarray] = {}
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
 
@@ -102,11 +110,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": [lang], "bucket": [at.astype(np.int32)], "n": [n[at]]})
 
-    # At most ``rows`` texts take part, so at most so many tasks have a row for each language.
-    for r in found.select("text", "lang").mapInPandas(count, schema).collect():
+    # A language's texts are in one of PARTS tasks each, so at most PARTS rows a language come back.
+    parted = found.select("text", "lang", F.pmod("h", F.lit(PARTS)).alias("part")).repartition("lang", "part")
+    for r in parted.select("text", "lang").mapInPandas(count, schema).toLocalIterator():
         own = counts.setdefault(r["lang"], np.zeros(BUCKETS))
         own[r["bucket"]] += r["n"]
-    languages = sorted(sorted(counts, key=lambda x: (-counts[x].sum(), x))[:MAX_LANGUAGES])
+    languages = sorted(counts)
     smoothed = [np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * BUCKETS)) for x in languages]
     return Likelihoods(tuple(languages), np.array(smoothed).reshape(len(languages), BUCKETS))
 

@@ -14,6 +14,23 @@ def test_languages_of_documents(docs):
     assert np.mean([r.known == r.language for r in rows]) > 0.97
 
 
+def test_every_language_is_fitted_on_distinct_texts(spark):
+    from pyspark.sql import functions as F
+
+    codes = [a + b for a in "abcdefg" for b in "abcdefghij"]
+    rows = [(f"word{c} text{c}", c) for c in codes] + [("sample of Chinese", "zh-CN"), ("another one", " ZH_tw "), ("", "12")]
+    few = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit(few, rows=2)
+    assert set(model.languages) == {*codes, "zh"}
+    # Copies take up one place of the sample, wherever their hash sorts.
+    texts = spark.createDataFrame([(f"{k} {'abcdefgh'[k] * 3}", "en") for k in range(8)], "text string, lang string")
+    first = texts.orderBy(F.xxhash64("text", "lang")).limit(1)
+    hot = texts.unionByName(first.crossJoin(spark.range(50)).select("text", "lang"))
+    rare = spark.createDataFrame([("zzz", "xx")], "text string, lang string")
+    a, b = language.fit(texts.unionByName(rare), rows=8), language.fit(hot.unionByName(rare), rows=8)
+    assert a.languages == b.languages == ("en", "xx") and np.array_equal(a.log_share, b.log_share)
+
+
 def unsure_text(model):
     """A text that English and German, of all languages, explain about as well."""
     de, en = model.languages.index("de"), model.languages.index("en")
