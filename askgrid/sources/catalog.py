@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from askgrid.functions.text import SPARK_TYPES, sample_text, sql_type
+from askgrid.sources.staging import written
 
 EAV = "entity string, attribute string, value string"
 HIDDEN = "tables_metadata"
@@ -125,14 +126,22 @@ class TableCatalog:
 
 
 def dense_rowid(table: DataFrame, order: list[str]) -> DataFrame:
-    """``table`` with rowid 1, 2, 3 ... in order, without gathering it in one task."""
-    dealt = table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    numbered = dealt.withColumn("_n", F.row_number().over(inside)).join(F.broadcast(starts), "_part")
-    return numbered.withColumn("rowid", (F.col("_n") + F.col("_start")).cast("bigint")).drop("_part", "_n", "_start")
+    """``table`` with rowid 1, 2, 3 ... in order, without gathering it in one task.
+
+    Ranges of ``order`` (ties spread by a hash of the row) are sorted and written once, each row
+    with its task and its place there; counting and numbering read that one table, so both see the
+    same ranges. A range's offset is the count of all before it: one row a range is broadcast.
+    """
+    plain = [F.col(f"`{c}`") for c, t in table.dtypes if "map<" not in t and t not in ("variant", "void")]
+    keys = [F.col(f"`{c}`") for c in order] + ([F.xxhash64(*plain)] if plain else [])
+    dealt = table.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    staged = written(dealt.withColumn("_ag_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_ag_at", 33), F.col("_ag_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = staged.groupBy(part.alias("_ag_part")).agg(F.count("*").alias("_ag_c"))
+    before = Window.orderBy("_ag_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = counts.select("_ag_part", F.coalesce(F.sum("_ag_c").over(before), F.lit(0)).alias("_ag_start"))
+    numbered = staged.withColumn("_ag_part", part).join(F.broadcast(starts), "_ag_part")
+    return numbered.select(*[F.col(f"`{c}`") for c in table.columns if c != "rowid"], (F.col("_ag_start") + place + 1).alias("rowid"))
 
 
 def samples(table: DataFrame, column: str, budget: int = 1000) -> DataFrame:

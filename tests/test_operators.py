@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from askgrid.functions import metrics
 from askgrid.operators import chatlog, columns, search, sheets
 from askgrid.plans.assist import Assistant, OfflineModel, choice, cursor, execute, needs_follow_up, replay
 from askgrid.sources import catalog, logs, xlsx
@@ -255,3 +256,23 @@ def test_settings(tmp_path):
 
     (tmp_path / "env").write_text("# note\nexport A='x y'\nB=1=2\n\n")
     assert settings(str(tmp_path / "env")) == {"A": "x y", "B": "1=2"}
+
+
+@pytest.mark.parametrize("table, order", [("orders", ["o_orderdate"]), ("lineitem", ["l_shipdate", "l_orderkey"]), ("lineitem", ["l_returnflag"])])
+def test_row_numbers_lose_no_row_of_whole_tables(spark, table, order):
+    rows = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").repartition(7)
+    numbered = catalog.dense_rowid(rows, order)
+    n = rows.count()
+    assert tuple(numbered.selectExpr("count(*)", "count(distinct rowid)", "min(rowid)", "max(rowid)").first()) == (n, n, 1, n)
+    assert numbered.drop("rowid").exceptAll(rows).count() == 0
+    keys = [tuple(r) for r in numbered.orderBy("rowid").select(*order).collect()]
+    assert keys == sorted(keys)
+
+
+def test_execution_match_sees_every_row(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    got = metrics.execution_match(orders, orders.repartition(5), ["o_orderkey"], ["o_orderkey"]).first()
+    assert (got.left_rows, got.right_rows, got.correct) == (15000, 15000, True)
+    other = orders.withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") == 7, 1).otherwise(0)).drop("o_orderpriority")
+    got = metrics.execution_match(orders, other, ["o_orderkey"], ["o_orderkey"]).first()
+    assert (got.matched, got.correct) == (4, False)
