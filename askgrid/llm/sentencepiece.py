@@ -12,37 +12,41 @@ boundaries as a bit set and removes, until none is left, the boundary whose edge
 score. Words over ``LATTICE_CHARS`` characters, of which a bit set can't hold the boundaries, are
 merged with a heap in Python.
 
-Occurrences meet their words' ids in two ways: at most ``FREQUENT`` words, the most frequent ones,
-are broadcast and resolved in place; all other occurrences are joined through a shuffle, and the
-parts of a text are put in order again. Its whole id sequence is what is digested and decoded.
+A text is read twice: a bounded sample of rows to find ``FREQUENT`` frequent words, which are
+encoded and broadcast (what they are changes no result), and then all texts once. Each task puts
+units of ``UNIT_BYTES`` of text down in a table bucketed by unit: every word as a code, the broadcast
+words by their place there, the unit's other words by their place in a list of its own. Those
+lists alone are shuffled: their distinct words are encoded, joined back and cogrouped with the
+units, which stay where they are, so that whole id sequences are put together in place.
 Words are dealt in partitions of ``WORDS``, so one partition's edges are gathered in memory.
 
 Defined results: null and empty texts have no pieces; characters that no piece holds are encoded
-as bytes; a meta symbol in a text is decoded as a space; rows repeated whole are encoded once each;
-other columns are ignored.
+as bytes; a meta symbol in a text is decoded as a space; rows repeated whole, and rows of one
+doc_id, each have their own result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm.workspace import forget, lean_batches, written
+from askgrid.llm import textcore
+from askgrid.llm.workspace import bucketed, forget, lean_batches, written
 
 META = "▁"
-LATTICE_CHARS, FREQUENT, COUNTED_AT_ONCE, WORDS = 62, 400_000, 400_000, 20_000
+LATTICE_CHARS, FREQUENT, WORDS = 62, 400_000, 20_000
+SAMPLE_BYTES, UNIT_BYTES = 48 << 20, 16 << 20
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Kinds of pieces, and models, in the file format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -76,11 +80,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
         yield key >> 3, struct.unpack("<f", part)[0] if kind == 5 else part
 
 
-_RUN = re.compile(f"{META}+[^{META}]*|[^{META}]+")
-
-
 class Cutter:
-    """Cuts runs, a meta symbol and what follows it, into words: where no piece holds the two characters that meet."""
+    """Cuts runs, meta symbols and what follows them, into words: where no piece holds the two characters that meet."""
 
     def __init__(self, joined: frozenset[str]):
         letters = sorted({c for pair in joined for c in pair})
@@ -91,21 +92,21 @@ class Cutter:
         for pair in joined:
             self.joined[self.place[ord(pair[0])], self.place[ord(pair[1])]] = True
 
-    def __call__(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
+    def __call__(self, runs: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words of all runs, and the number of each run's words; runs are cut together."""
-        if not runs:
-            return [], np.zeros(0, np.int64)
-        whole = "".join(runs)
-        at = self.place[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
-        cut = np.zeros(len(whole) + 1, bool)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(runs)], pa.int32()), runs), "")[0].as_py() or ""
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        at = self.place[points]
+        ends = np.cumsum(pc.utf8_length(runs).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cut = np.zeros(len(points) + 1, bool)
         cut[1:-1] = ~self.joined[at[:-1], at[1:]]
         cut[0] = True
         cut[ends] = True
         edges = np.flatnonzero(cut)
-        places = edges.tolist()
-        words = [whole[i:j] for i, j in zip(places, places[1:])]
-        return words, np.diff(np.searchsorted(edges, ends), prepend=0)
+        size = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)])[edges]
+        words = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(whole.encode()))
+        return words.cast(pa.string()), np.diff(np.searchsorted(edges, ends), prepend=0)
 
 
 @dataclass(frozen=True)
@@ -129,9 +130,6 @@ class Model:
     def cutter(self) -> Cutter:
         return Cutter(frozenset(t[i : i + 2] for t, _, k in self.pieces if k in (NORMAL, USER) for i in range(len(t) - 1)))
 
-    def normalised(self, text: str) -> str:
-        return META * (self.dummy_prefix and bool(text)) + text.replace(" ", META)
-
 
 def load(path: str) -> Model:
     pieces, kind, prefix = [], UNIGRAM, True
@@ -200,8 +198,10 @@ def _merge_fold() -> Column:
     start = F.call_function("shiftleft", long(1), n + 1) - 1
 
     def step(state: Column, _: Column) -> Column:
+        # The lambda is interpreted, so the filter is written once: what it finds decides both cases.
         ready = F.filter(F.col("ranked"), lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
-        return F.when(state < 0, state).otherwise(state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], long(0)))).bitwiseOR(F.when(F.size(ready) == 0, long(-(2**63))).otherwise(long(0))))
+        merged = state.bitwiseAND(F.bitwise_not(F.get(ready, F.lit(0))["inner"]))
+        return F.when(state < 0, state).otherwise(F.coalesce(merged, state.bitwiseOR(long(-(2**63)))))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step)
 
@@ -303,29 +303,63 @@ def _text_of(ids: Column, model: Model) -> Column:
     return F.substring(plain, 2, 2**31 - 1) if model.dummy_prefix else plain
 
 
-def _count_words(model: Model):
-    normalised = model.normalised
+class _Splitter:
+    """Texts as words: which distinct words a batch of texts has, and each text's words in order."""
+
+    def __init__(self, model: Model):
+        self.cut, self.prefix = model.cutter(), model.dummy_prefix
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(distinct words, number of words of each text, place among the distinct of each word)."""
+        spaced = pc.replace_substring(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), META, " ")
+        lists = pc.split_pattern(spaced, " ")
+        each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = lists.flatten().dictionary_encode()
+        code, known = tokens.indices.to_numpy(), tokens.dictionary.cast(pa.string())
+        if not len(code):
+            return pa.array([], pa.string()), each * 0, np.zeros(0, np.int64)
+        # Each token has a meta symbol in front; empty ones leave theirs to the run that follows.
+        empty = code == pc.index(known, "").as_py()
+        head = np.zeros(len(code), bool)
+        head[(np.cumsum(each) - each)[each > 0]] = True
+        begins = head.copy()
+        begins[1:] |= ~empty[:-1]
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, len(code)))
+        run = code[first + size - 1].astype(np.int64)
+        metas = size if self.prefix else size - head[first]
+        odd = metas != 1
+        pairs, place = np.unique(metas[odd] << 32 | run[odd], return_inverse=True)
+        run[odd] = len(known) + place
+        strange = [META * (p >> 32) + known[p & 0xFFFFFFFF].as_py() for p in pairs.tolist()]
+        words, parts = self.cut(pa.concat_arrays([pc.binary_join_element_wise(META, known, ""), pa.array(strange, pa.string())]))
+        words = words.dictionary_encode()
+        inside, start, n = words.indices.to_numpy(), np.cumsum(parts) - parts, parts[run]
+        found = inside[np.repeat(start[run] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        of_text = np.repeat(np.arange(len(each)), each)[first]
+        return words.dictionary, np.bincount(of_text, n, len(each)).astype(np.int64), found
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows put together up to UNIT_BYTES, the text in the last column."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.num_columns - 1).nbytes
+        if size >= UNIT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
 
+def _count_words(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: Counter[str] = Counter()
-        cut = model.cutter()
-
-        def flushed() -> pa.RecordBatch:
-            words, each = cut(list(runs))
-            held: dict[str, int] = {}
-            for word, n in zip(words, np.repeat(np.fromiter(runs.values(), np.int64, len(runs)), each).tolist()):
-                held[word] = held.get(word, 0) + n
-            runs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    runs.update(_RUN.findall(normalised(text.as_py())))
-                if len(runs) >= COUNTED_AT_ONCE:
-                    yield flushed()
-        if runs:
-            yield flushed()
+        split = _Splitter(model)
+        for unit in _units(batches):
+            words, _, found = split(unit.column(0))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(found, minlength=len(words)), pa.int64())], ["word", "n"])
+        textcore.release()
 
     return run
 
@@ -341,137 +375,100 @@ def _grouped_in_memory(df: DataFrame, name: str) -> DataFrame:
         conf.set(_FALLBACK, before)
 
 
-def vocabulary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(word, n, ids) of every distinct word."""
-    lean_batches(docs.sparkSession)
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words(model), "word string, n long")
-    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    parts = max(1, -(-counted.count() // WORDS))
-    out = _grouped_in_memory(encode_words(counted.repartition(parts, "word"), model), "vocabulary")
-    forget(counted)
+def vocabulary(words: DataFrame, model: Model) -> DataFrame:
+    """``words``, distinct ones in the column word, with ids, encoded by the lattice."""
+    words = written(words, "words")
+    parts = max(1, -(-words.count() // WORDS))
+    out = _grouped_in_memory(encode_words(words.repartition(parts, "word"), model), "vocabulary")
+    forget(words)
     return out
 
 
-_PARTS = pa.list_(pa.struct([("start", pa.int64()), ("ids", pa.list_(pa.int32()))]))
-_OCCURRENCES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("original", pa.binary()), ("parts", _PARTS), ("word", pa.string()), ("start", pa.int64())])
-_OCCURRENCES_SQL = "doc_id long, h long, original binary, parts array<struct<start: long, ids: array<int>>>, word string, start long"
-
-
-class _Codes:
-    """Codes of runs' words: those of frequent words, then ones of its own for all others, whose texts it keeps."""
-
-    def __init__(self, cut: Cutter, frequent: dict[str, int]):
-        self.cut, self.frequent = cut, frequent
-        self.sizes = np.zeros(2 * len(frequent) + 1024, np.int64)
-        self.sizes[: len(frequent)] = np.fromiter(map(len, frequent), np.int64, len(frequent))
-        self.renew()
-
-    def renew(self) -> None:
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.rare: dict[str, int] = {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Give codes to the runs that are new."""
-        if len(self.runs) >= COUNTED_AT_ONCE:
-            self.renew()
-        fresh = list({r for runs in texts for r in runs if r not in self.runs})
-        words, each = self.cut(fresh)
-        codes, base = [], len(self.frequent)
-        for word in words:
-            code = self.frequent.get(word)
-            if code is None:
-                code = self.rare.get(word)
-                if code is None:
-                    code = self.rare[word] = base + len(self.rare)
-                    if code >= len(self.sizes):
-                        self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-                    self.sizes[code] = len(word)
-            codes.append(code)
-        at = 0
-        for run, n in zip(fresh, each.tolist()):
-            self.runs[run] = tuple(codes[at : at + n])
-            at += n
-
-
-def _occurrences(model: Model, frequent):
-    """Each text in one row, with its runs of frequent words resolved as parts, and each of its other words in a row."""
-    normalised = model.normalised
+def frequent_words(docs: DataFrame, model: Model, most: int, total: int, text_col: str = "text") -> DataFrame:
+    """(word, n, ids) of the ``most`` most frequent words of a sample of about SAMPLE_BYTES of text."""
+    some = docs.select(text_col).where(F.col(text_col) != "")
+    if total > SAMPLE_BYTES:
+        some = some.sample(SAMPLE_BYTES / total, 7)
+    counted = some.mapInArrow(_count_words(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return vocabulary(counted.orderBy(F.desc("n"), "word").limit(most), model)
+
+
+_UNIT = "unit long, doc_id array<long>, original array<binary>, there array<boolean>, n array<int>, codes binary, others array<string>"
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers below 2^32 by their bytes, the lowest of all first, compressed."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _put_down(model: Model, frequent):
+    """Each unit of texts in one row, its words as codes; words that aren't frequent are listed."""
+    schema = pa.schema([("unit", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("original", pa.list_(pa.binary())), ("there", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("others", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, first_id = frequent.value if frequent else ({}, np.zeros(0, np.int32), np.zeros(1, np.int64))
-        pieces = np.diff(first_id)
-        codes = _Codes(model.cutter(), known)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                runs = [_RUN.findall(normalised(t)) if t else [] for t in batch.column(3).to_pylist()]
-                codes.learn(runs)
-                texts = [np.fromiter(chain.from_iterable(map(codes.runs.__getitem__, r)), np.int64) for r in runs]
-                words, found = list(codes.rare), np.concatenate(texts)
-                each = np.fromiter(map(len, texts), np.int64, len(texts))
-                doc = np.repeat(np.arange(len(texts)), each)
-                total = np.concatenate([[0], np.cumsum(codes.sizes[found])])
-                starts = total[:-1] - np.repeat(total[np.cumsum(each) - each], each)
-                often = found < len(known)
-                # A part begins where a frequent word follows another one or begins a text.
-                fresh = np.ones(len(found), bool)
-                fresh[1:] = ~often[:-1] | (doc[1:] != doc[:-1])
-                own, begins = found[often], np.flatnonzero(fresh[often])
-                n = pieces[own]
-                ends = np.cumsum(n)
-                flat = ids[np.repeat(first_id[own] - (ends - n), n) + np.arange(n.sum())]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([(ends - n)[begins], [n.sum()]]), pa.int32()), pa.array(flat, pa.int32()))
-                structs = pa.StructArray.from_arrays([pa.array(starts[often][begins], pa.int64()), lists], fields=list(_PARTS.value_type))
-                borders = np.searchsorted(doc[often][begins], np.arange(len(texts) + 1))
-                parts = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), structs)
-                size = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], parts, pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())], schema=_OCCURRENCES)
-                row = pa.array(doc[~often])
-                if len(row):
-                    text = pa.array([words[i] for i in (found[~often] - len(known)).tolist()], pa.string())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), _PARTS), text, pa.array(starts[~often])], schema=_OCCURRENCES)
+        split, known, task = _Splitter(model), frequent.value[0], TaskContext.get().partitionId()
+        for k, unit in enumerate(_units(batches)):
+            words, each, found = split(unit.column(2))
+            place = pc.index_in(words, value_set=known)
+            other = place.is_null().to_numpy(zero_copy_only=False)
+            code = np.where(other, len(known) + np.cumsum(other) - 1, pc.fill_null(place, 0).to_numpy(zero_copy_only=False))
+            row = [task << 32 | k, unit.column(0), unit.column(1), unit.column(2).is_valid(), pa.array(each, pa.int32()), _packed(code[found]), words.filter(pa.array(other))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, f in zip(row, schema)], schema=schema)
+        textcore.release()
 
     return run
 
 
-def _frequent(words: DataFrame, most: int):
-    """A broadcast of at most ``most`` words, those with the highest counts (None if there are none), and the least count of them."""
-    # How many words have each count: far fewer rows than words, and the cutoff follows from it.
-    total, least = 0, None
-    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
-        total += r["words"]
-        if total > most:
-            break
-        least = r["n"]
-    if least is None:
-        return None, 2**62
-    rows = words.where(F.col("n") >= least).select("word", "ids").toArrow().combine_chunks()
-    codes = {w: i for i, w in enumerate(rows["word"].to_pylist())}
-    sizes = pc.list_value_length(rows["ids"]).to_numpy()
-    ids = pc.list_flatten(rows["ids"]).to_numpy().astype(np.int32)
-    return words.sparkSession.sparkContext.broadcast((codes, ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))), least
+def _put_together(frequent):
+    """Units and the ids of their other words as whole id sequences."""
+
+    def run(units: pa.Table, others: pa.Table) -> pa.Table:
+        _, flat, sizes = frequent.value
+        others = others.sort_by("code").combine_chunks()
+        own = others["ids"].combine_chunks() if others.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat = np.concatenate([flat, own.flatten().to_numpy()])
+        sizes = np.concatenate([sizes, pc.list_value_length(own).to_numpy()])
+        first = np.cumsum(sizes) - sizes
+        out = []
+        for unit in units.to_batches():
+            for k in range(unit.num_rows):
+                codes, each = _unpacked(unit["codes"][k].as_py()), unit["n"][k].values.to_numpy()
+                n = sizes[codes]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+                borders = ends[np.concatenate([[0], np.cumsum(each)])]
+                lists = pa.LargeListArray.from_arrays(pa.array(borders, pa.int64()), pa.array(ids, pa.int32()), mask=pc.invert(unit["there"][k].values)).cast(pa.list_(pa.int32()))
+                out.append(pa.RecordBatch.from_arrays([unit["doc_id"][k].values, unit["original"][k].values, lists], ["doc_id", "original", "ids"]))
+        textcore.release()
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, frequent: int) -> DataFrame:
-    """(doc_id, original, copies, ids) of each distinct row: the MD5 of its text, how often it occurs and all its ids in order."""
+    """(doc_id, original, ids) of each row: the MD5 of its text and all its ids in order."""
+    spark = docs.sparkSession
+    lean_batches(spark)
     text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.unhex(F.md5(text.cast("binary"))).alias("original"), text.alias("text"))
-    words = vocabulary(docs, model)
-    known_words, least = _frequent(words, frequent)
-    # Two branches read what one pass over the texts has made.
-    rows = written(docs.mapInArrow(_occurrences(model, known_words), _OCCURRENCES_SQL), "occurrences")
-    part = F.struct("start", "ids")
-    known = rows.where("word is null").select("doc_id", "h", "original", "parts", F.lit(None).cast("struct<start: long, ids: array<int>>").alias("part"), F.lit(1).alias("copies"))
-    rare = rows.where("word is not null").select("doc_id", "h", "word", "start").join(words.where(F.col("n") < least).select("word", "ids"), "word")
-    rare = rare.select("doc_id", "h", F.lit(None).cast("binary").alias("original"), F.lit(None).cast(known.schema["parts"].dataType).alias("parts"), part.alias("part"), F.lit(0).alias("copies"))
-    # Rows repeated whole have the same parts: a set keeps each once.
-    met = known.unionByName(rare).groupBy("doc_id", "h").agg(F.first("original", True).alias("original"), F.first("parts", True).alias("parts"), F.collect_set("part").alias("rest"), F.sum("copies").alias("copies"))
-    ids = F.flatten(F.transform(F.array_sort(F.concat("parts", "rest")), lambda p: p["ids"]))
-    return met.select("doc_id", "original", "copies", F.when(F.col("original").isNotNull(), ids).alias("ids"))
-
-
-def _each_copy(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy", "copies")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("original"), text.alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = frequent_words(docs, model, frequent, total).orderBy(F.desc("n"), "word").select("word", "ids").toArrow().combine_chunks()  # at most ``frequent``
+    ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    known = rows["word"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
+    held = spark.sparkContext.broadcast((known, ids.flatten().to_numpy().astype(np.int32), pc.list_value_length(ids).to_numpy().astype(np.int64)))
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * UNIT_BYTES)))
+    units = bucketed(docs.mapInArrow(_put_down(model, held), _UNIT), "units", "unit", buckets)
+    listed = units.select(F.col("unit").alias("of"), F.posexplode("others").alias("code", "word"))
+    words = vocabulary(listed.select("word").distinct(), model)
+    others = listed.join(words, "word").select("of", "code", "ids")
+    whole = units.drop("others").groupBy("unit").cogroup(others.groupBy("of"))
+    return whole.applyInArrow(_put_together(held), "doc_id long, original binary, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -479,12 +476,12 @@ def encode_digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     rows = _sequences(docs, model, id_col, text_col, frequent)
     back = F.unhex(F.md5(_text_of(F.col("ids"), model).cast("binary")))
     pieces = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
-    return _each_copy(rows.select("doc_id", "copies", pieces.alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), back.eqNullSafe(F.col("original")).alias("round_trip"))).select("doc_id", "n_pieces", "ids_digest", "round_trip")
+    return rows.select("doc_id", pieces.alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), back.eqNullSafe(F.col("original")).alias("round_trip"))
 
 
 def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, ids): the ids of each row's text, in order; null for null text."""
-    return _each_copy(_sequences(docs, model, id_col, text_col, frequent).select("doc_id", "ids", "copies"))
+    return _sequences(docs, model, id_col, text_col, frequent).select("doc_id", "ids")
 
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:

@@ -1,66 +1,12 @@
-"""Intermediate tables in the folder that every executor shares.
-
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: a lost executor costs a
-re-run of its tasks, never a re-run of the whole chain.
-"""
+"""Intermediate tables of the operators, and bounds of what goes to Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local temporary one only where the setting is absent (tests)."""
-    found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="askgrid-")
-    return _own[app]
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/askgrid-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete all that this application's operators have written, once no result is read any more."""
-    delete(spark, own_dir(spark))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again under the same schema."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._askgrid_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing lazy reads any more."""
-    path = getattr(df, "_askgrid_path", None)
-    if path:
-        delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+from askgrid.sources.staging import bucketed, delete, forget, new_path, own_dir, shared_dir, sweep, written
 
+__all__ = ["bucketed", "delete", "forget", "lean_batches", "new_path", "own_dir", "shared_dir", "sweep", "table", "written"]
 
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 

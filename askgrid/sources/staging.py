@@ -52,6 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table whose files are dealt by ``key``, so that joining or grouping by it moves nothing; each task writes its own rows, without a shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "ag_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._askgrid_path = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing lazy reads any more."""
     path = getattr(df, "_askgrid_path", None)
