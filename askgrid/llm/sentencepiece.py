@@ -46,7 +46,7 @@ from askgrid.llm.workspace import bucketed, forget, lean_batches, written
 
 META = "▁"
 LATTICE_CHARS, FREQUENT, WORDS = 62, 400_000, 20_000
-SAMPLE_BYTES, UNIT_BYTES = 48 << 20, 16 << 20
+SAMPLE_BYTES, UNIT_BYTES = 32 << 20, 8 << 20
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Kinds of pieces, and models, in the file format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -165,26 +165,28 @@ def _bytes_of(text: Column, model: Model) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, bits: bool = False) -> DataFrame:
     """``words`` with edges: every piece in a word as (rank, first, last, piece_id, ends, inner), and characters
-    without one; ends and inner are its boundaries as bits, in words short enough.
+    without one; ends and inner are its boundaries as bits, where words are short enough to ask for them.
 
     ``words`` come dealt by word; explode and broadcast join keep that partitioning, so grouping
-    the edges by word moves nothing.
+    the edges by word moves nothing. What an edge is made of is computed before the join, in
+    generated code: inside the aggregate it would be interpreted, row by row.
     """
     keys = words.columns
     starts = words.select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
-    ends = F.sequence(F.col("first") + 1, F.least(F.col("first") + longest, F.char_length("word")))
-    spans = starts.select(*keys, "first", F.explode(ends).alias("last"))
-    spans = spans.select("*", F.substring("word", F.col("first") + 1, F.col("last") - F.col("first")).alias("piece"))
-    met = spans.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or last - first = 1")
+    # Pieces are cut from the longest one that can begin at their place: cutting each from the whole word takes five times as long.
+    starts = starts.select(*keys, "first", F.substring(F.col("word"), F.col("first") + 1, F.lit(longest)).alias("tail"))
+    spans = starts.select(*keys, "first", "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("n"))
+    spans = spans.select(*keys, "first", (F.col("first") + F.col("n")).alias("last"), F.left("tail", F.col("n")).alias("piece"))
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
-    short = F.char_length("word") <= LATTICE_CHARS
-    ends = F.when(short, bit(F.col("first")).bitwiseOR(bit(F.col("last"))))
-    inner = F.when(short, bit(F.col("last")) - bit(F.col("first") + 1))
+    none = F.lit(None).cast("long")
+    ends = bit(F.col("first")).bitwiseOR(bit(F.col("last"))) if bits else none
+    inner = bit(F.col("last")) - bit(F.col("first") + 1) if bits else none
+    pieces = pieces.select("piece", "piece_id", (-F.col("score")).alias("rank"))
+    met = spans.select("*", ends.alias("ends"), inner.alias("inner")).join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or last - first = 1")
     # Best score first, then leftmost, when sorted.
-    edge = F.struct((-F.col("score")).alias("rank"), "first", "last", "piece_id", ends.alias("ends"), inner.alias("inner"))
-    return met.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
+    return met.groupBy(*keys).agg(F.collect_list(F.struct("rank", "first", "last", "piece_id", "ends", "inner")).alias("edges"))
 
 
 def _merge_fold() -> Column:
@@ -277,7 +279,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     def merged(found: pa.Array) -> pa.Array:
         return pa.array([merge_word(w.as_py(), ranks, bytes_, unknown) for w in found], pa.list_(pa.int32()))
 
-    short = lattice(words.where(F.char_length("word") <= LATTICE_CHARS), piece_table(spark, model), model.longest)
+    short = lattice(words.where(F.char_length("word") <= LATTICE_CHARS), piece_table(spark, model), model.longest, bits=True)
     short = short.withColumn("ranked", F.filter(F.sort_array("edges"), lambda e: e["inner"] != 0)).withColumn("state", _merge_fold())
     short = short.select(*keys, _kept_ids(model).alias("ids"))
     long = words.where(F.char_length("word") > LATTICE_CHARS).select(*keys, merged("word").alias("ids"))
