@@ -177,8 +177,8 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, bits: bool = Fals
     starts = words.select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
     # Pieces are cut from the longest one that can begin at their place: cutting each from the whole word takes five times as long.
     starts = starts.select(*keys, "first", F.substring(F.col("word"), F.col("first") + 1, F.lit(longest)).alias("tail"))
-    spans = starts.select(*keys, "first", "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("n"))
-    spans = spans.select(*keys, "first", (F.col("first") + F.col("n")).alias("last"), F.left("tail", F.col("n")).alias("piece"))
+    spans = starts.select(*keys, "first", "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("size"))
+    spans = spans.select(*keys, "first", (F.col("first") + F.col("size")).alias("last"), F.left("tail", F.col("size")).alias("piece"))
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
     none = F.lit(None).cast("long")
     ends = bit(F.col("first")).bitwiseOR(bit(F.col("last"))) if bits else none
