@@ -45,7 +45,7 @@ from askgrid.llm import textcore
 from askgrid.llm.workspace import bucketed, forget, lean_batches, written
 
 META = "▁"
-LATTICE_CHARS, FREQUENT, WORDS = 62, 400_000, 20_000
+LATTICE_CHARS, FREQUENT, WORDS = 62, 400_000, 10_000
 SAMPLE_BYTES, UNIT_BYTES = 32 << 20, 8 << 20
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Kinds of pieces, and models, in the file format.
@@ -166,8 +166,8 @@ def _bytes_of(text: Column, model: Model) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, bits: bool = False) -> DataFrame:
-    """``words`` with edges: every piece in a word as (rank, first, last, piece_id, ends, inner), and characters
-    without one; ends and inner are its boundaries as bits, where words are short enough to ask for them.
+    """``words`` with edges: every piece in a word, and characters without one, as (rank, first, last, piece_id); with
+    ``bits``, for words short enough, as (rank, ends, inner, piece_id), ends and inner being boundaries as bits.
 
     ``words`` come dealt by word; explode and broadcast join keep that partitioning, so grouping
     the edges by word moves nothing. What an edge is made of is computed before the join, in
@@ -180,41 +180,45 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, bits: bool = Fals
     spans = starts.select(*keys, "first", "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("size"))
     spans = spans.select(*keys, "first", (F.col("first") + F.col("size")).alias("last"), F.left("tail", F.col("size")).alias("piece"))
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
-    none = F.lit(None).cast("long")
-    ends = bit(F.col("first")).bitwiseOR(bit(F.col("last"))) if bits else none
-    inner = bit(F.col("last")) - bit(F.col("first") + 1) if bits else none
+    place = [bit(F.col("first")).bitwiseOR(bit(F.col("last"))).alias("ends"), (bit(F.col("last")) - bit(F.col("first") + 1)).alias("inner")] if bits else []
     pieces = pieces.select("piece", "piece_id", (-F.col("score")).alias("rank"))
-    met = spans.select("*", ends.alias("ends"), inner.alias("inner")).join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or last - first = 1")
+    met = spans.select("*", *place).join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or last - first = 1")
     # Best score first, then leftmost, when sorted.
-    return met.groupBy(*keys).agg(F.collect_list(F.struct("rank", "first", "last", "piece_id", "ends", "inner")).alias("edges"))
+    edge = F.struct("rank", "ends", "inner", "piece_id") if bits else F.struct("rank", "first", "last", "piece_id")
+    return met.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
 
 
 def _merge_fold() -> Column:
-    """The boundaries that are left of a word after all merges; ``ranked`` has its longer edges, best first.
+    """The boundaries that are left of a word after all merges, from its edges.
 
     A step removes the boundary inside the best edge that has both ends and just one between. The
-    sign bit says that there was none, and spares the remaining steps.
+    sign bit says that there was none, and spares the remaining steps. The ranked edges are bound
+    to a name by a lambda of their own: named by a column, they would be ranked again in each step.
     """
     long = lambda x: F.lit(x).cast("long")
-    n = F.char_length("word")
+    n, none = F.char_length("word"), long(-(2**63))
     start = F.call_function("shiftleft", long(1), n + 1) - 1
+    ranked = F.filter(F.sort_array("edges"), lambda e: e["inner"] != 0)
 
-    def step(state: Column, _: Column) -> Column:
-        # The lambda is interpreted, so the filter is written once: what it finds decides both cases.
-        ready = F.filter(F.col("ranked"), lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
-        merged = state.bitwiseAND(F.bitwise_not(F.get(ready, F.lit(0))["inner"]))
-        return F.when(state < 0, state).otherwise(F.coalesce(merged, state.bitwiseOR(long(-(2**63)))))
+    def folded(ranked: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            ready = lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1)
+            bit = F.aggregate(ranked, none, lambda found, e: F.when((found < 0) & ready(e), state.bitwiseAND(e["inner"])).otherwise(found))
+            return F.when(state < 0, state).otherwise(state.bitwiseXOR(bit))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step)
+        return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+    return F.get(F.transform(F.array(ranked), folded), F.lit(0))
 
 
 def _kept_ids(model: Model) -> Column:
     """Ids of the edges whose ends are boundaries and that hold none."""
     state = F.col("state")
     kept = F.filter("edges", lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (state.bitwiseAND(e["inner"]) == 0))
-    ordered = F.sort_array(F.transform(kept, lambda e: F.struct(e["first"].alias("first"), e["piece_id"].alias("id"))))
+    ordered = F.sort_array(F.transform(kept, lambda e: F.struct(e["ends"].alias("ends"), e["piece_id"].alias("id"))))
     plain = F.transform(ordered, lambda e: e["id"])
-    spelt = F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(F.col("word"), e["first"] + 1, F.lit(1)), model))))
+    first = lambda e: F.bit_count(e["ends"].bitwiseAND(-e["ends"]) - 1)  # noqa: E731  the lowest bit's place
+    spelt = F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_bytes_of(F.substring(F.col("word"), first(e) + 1, F.lit(1)), model))))
     return F.when(F.exists(plain, lambda x: x.isNull()), spelt).otherwise(plain)
 
 
@@ -280,7 +284,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         return pa.array([merge_word(w.as_py(), ranks, bytes_, unknown) for w in found], pa.list_(pa.int32()))
 
     short = lattice(words.where(F.char_length("word") <= LATTICE_CHARS), piece_table(spark, model), model.longest, bits=True)
-    short = short.withColumn("ranked", F.filter(F.sort_array("edges"), lambda e: e["inner"] != 0)).withColumn("state", _merge_fold())
+    short = short.withColumn("state", _merge_fold())
     short = short.select(*keys, _kept_ids(model).alias("ids"))
     long = words.where(F.char_length("word") > LATTICE_CHARS).select(*keys, merged("word").alias("ids"))
     return short.unionByName(long)
