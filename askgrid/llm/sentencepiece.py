@@ -14,10 +14,11 @@ merged with a heap in Python.
 
 A text is read twice: a bounded sample of rows to find ``FREQUENT`` frequent words, which are
 encoded and broadcast (what they are changes no result), and then all texts once. Each task puts
-units of ``UNIT_BYTES`` of text down in a table bucketed by unit: every word as a code, the broadcast
-words by their place there, the unit's other words by their place in a list of its own. Those
-lists alone are shuffled: their distinct words are encoded, joined back and cogrouped with the
-units, which stay where they are, so that whole id sequences are put together in place.
+units of ``UNIT_BYTES`` of text down in a table bucketed by task, so in one file: every word as a
+code, the broadcast words by their place there, the unit's other words by their place in a list of
+its own. Those lists alone are shuffled: their distinct words are encoded, joined back and
+cogrouped with the task's units, which stay where they are, so that whole id sequences are put
+together in place; what a group holds is bounded by the bytes that one task reads.
 Words are dealt in partitions of ``WORDS``, so one partition's edges are gathered in memory.
 
 Defined results: null and empty texts have no pieces; characters that no piece holds are encoded
@@ -46,7 +47,7 @@ from askgrid.llm.workspace import bucketed, forget, lean_batches, written
 
 META = "▁"
 LATTICE_CHARS, FREQUENT, WORDS = 62, 400_000, 10_000
-SAMPLE_BYTES, UNIT_BYTES = 32 << 20, 8 << 20
+SAMPLE_BYTES, UNIT_BYTES = 32 << 20, 4 << 20
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Kinds of pieces, and models, in the file format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -399,7 +400,7 @@ def frequent_words(docs: DataFrame, model: Model, most: int, total: int, text_co
     return vocabulary(counted.orderBy(F.desc("n"), "word").limit(most), model)
 
 
-_UNIT = "unit long, doc_id array<long>, original array<binary>, there array<boolean>, n array<int>, codes binary, others array<string>"
+_UNIT = "task long, unit int, doc_id array<long>, original array<binary>, there array<boolean>, n array<int>, codes binary, others array<string>"
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -415,7 +416,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _put_down(model: Model, frequent):
     """Each unit of texts in one row, its words as codes; words that aren't frequent are listed."""
-    schema = pa.schema([("unit", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("original", pa.list_(pa.binary())), ("there", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("others", pa.list_(pa.string()))])
+    schema = pa.schema([("task", pa.int64()), ("unit", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("original", pa.list_(pa.binary())), ("there", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("others", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known, task = _Splitter(model), frequent.value[0], TaskContext.get().partitionId()
@@ -424,33 +425,35 @@ def _put_down(model: Model, frequent):
             place = pc.index_in(words, value_set=known)
             other = place.is_null().to_numpy(zero_copy_only=False)
             code = np.where(other, len(known) + np.cumsum(other) - 1, pc.fill_null(place, 0).to_numpy(zero_copy_only=False))
-            row = [task << 32 | k, unit.column(0), unit.column(1), unit.column(2).is_valid(), pa.array(each, pa.int32()), _packed(code[found]), words.filter(pa.array(other))]
+            row = [task, k, unit.column(0), unit.column(1), unit.column(2).is_valid(), pa.array(each, pa.int32()), _packed(code[found]), words.filter(pa.array(other))]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, f in zip(row, schema)], schema=schema)
-        textcore.release()
+            del unit, words, each, found, place, other, code, row
+            textcore.release()
 
     return run
 
 
 def _put_together(frequent):
-    """Units and the ids of their other words as whole id sequences."""
+    """A task's units and the ids of their other words as whole id sequences."""
 
     def run(units: pa.Table, others: pa.Table) -> pa.Table:
-        _, flat, sizes = frequent.value
-        others = others.sort_by("code").combine_chunks()
-        own = others["ids"].combine_chunks() if others.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = np.concatenate([flat, own.flatten().to_numpy()])
-        sizes = np.concatenate([sizes, pc.list_value_length(own).to_numpy()])
-        first = np.cumsum(sizes) - sizes
+        _, often, lengths = frequent.value
+        others = others.sort_by([("unit", "ascending"), ("code", "ascending")])
+        of, lists = others["unit"].to_numpy(), others["ids"].combine_chunks() if others.num_rows else pa.array([], pa.list_(pa.int32()))
         out = []
-        for unit in units.to_batches():
-            for k in range(unit.num_rows):
-                codes, each = _unpacked(unit["codes"][k].as_py()), unit["n"][k].values.to_numpy()
-                n = sizes[codes]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
-                borders = ends[np.concatenate([[0], np.cumsum(each)])]
-                lists = pa.LargeListArray.from_arrays(pa.array(borders, pa.int64()), pa.array(ids, pa.int32()), mask=pc.invert(unit["there"][k].values)).cast(pa.list_(pa.int32()))
-                out.append(pa.RecordBatch.from_arrays([unit["doc_id"][k].values, unit["original"][k].values, lists], ["doc_id", "original", "ids"]))
+        for r in units.select(["unit", "doc_id", "original", "there", "n", "codes"]).to_batches(1):
+            begin, end = np.searchsorted(of, r["unit"][0].as_py() + np.arange(2)).tolist()
+            own = lists.slice(begin, end - begin)
+            flat = np.concatenate([often, own.flatten().to_numpy()])
+            sizes = np.concatenate([lengths, pc.list_value_length(own).to_numpy()])
+            first = np.cumsum(sizes) - sizes
+            codes, each = _unpacked(r["codes"][0].as_py()), r["n"][0].values.to_numpy()
+            n = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+            borders = ends[np.concatenate([[0], np.cumsum(each)])]
+            sequences = pa.LargeListArray.from_arrays(pa.array(borders, pa.int64()), pa.array(ids, pa.int32()), mask=pc.invert(r["there"][0].values)).cast(pa.list_(pa.int32()))
+            out.append(pa.RecordBatch.from_arrays([r["doc_id"][0].values, r["original"][0].values, sequences], ["doc_id", "original", "ids"]))
         textcore.release()
         return pa.Table.from_batches(out)
 
@@ -468,12 +471,12 @@ def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, freque
     ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     known = rows["word"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
     held = spark.sparkContext.broadcast((known, ids.flatten().to_numpy().astype(np.int32), pc.list_value_length(ids).to_numpy().astype(np.int64)))
-    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * UNIT_BYTES)))
-    units = bucketed(docs.mapInArrow(_put_down(model, held), _UNIT), "units", "unit", buckets)
-    listed = units.select(F.col("unit").alias("of"), F.posexplode("others").alias("code", "word"))
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 26))
+    units = bucketed(docs.mapInArrow(_put_down(model, held), _UNIT), "units", "task", buckets)
+    listed = units.select(F.col("task").alias("of"), "unit", F.posexplode("others").alias("code", "word"))
     words = vocabulary(listed.select("word").distinct(), model)
-    others = listed.join(words, "word").select("of", "code", "ids")
-    whole = units.drop("others").groupBy("unit").cogroup(others.groupBy("of"))
+    others = listed.join(words, "word").select("of", "unit", "code", "ids")
+    whole = units.drop("others").groupBy("task").cogroup(others.groupBy("of"))
     return whole.applyInArrow(_put_together(held), "doc_id long, original binary, ids array<int>")
 
 
