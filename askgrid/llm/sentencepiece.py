@@ -438,8 +438,8 @@ def _put_together(frequent):
 
     def run(units: pa.Table, others: pa.Table) -> pa.Table:
         _, often, lengths = frequent.value
-        others = others.sort_by([("unit", "ascending"), ("code", "ascending")])
-        of, lists = others["unit"].to_numpy(), others["ids"].combine_chunks() if others.num_rows else pa.array([], pa.list_(pa.int32()))
+        others = others.sort_by([("part", "ascending"), ("code", "ascending")])
+        of, lists = others["part"].to_numpy(), others["ids"].combine_chunks() if others.num_rows else pa.array([], pa.list_(pa.int32()))
         out = []
         for r in units.select(["unit", "doc_id", "original", "there", "n", "codes"]).to_batches(1):
             begin, end = np.searchsorted(of, r["unit"][0].as_py() + np.arange(2)).tolist()
@@ -473,9 +473,9 @@ def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, freque
     held = spark.sparkContext.broadcast((known, ids.flatten().to_numpy().astype(np.int32), pc.list_value_length(ids).to_numpy().astype(np.int64)))
     buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 26))
     units = bucketed(docs.mapInArrow(_put_down(model, held), _UNIT), "units", "task", buckets)
-    listed = units.select(F.col("task").alias("of"), "unit", F.posexplode("others").alias("code", "word"))
+    listed = units.select(F.col("task").alias("of"), F.col("unit").alias("part"), F.posexplode("others").alias("code", "word"))
     words = vocabulary(listed.select("word").distinct(), model)
-    others = listed.join(words, "word").select("of", "unit", "code", "ids")
+    others = listed.join(words, "word").select("of", "part", "code", "ids")
     whole = units.drop("others").groupBy("task").cogroup(others.groupBy("of"))
     return whole.applyInArrow(_put_together(held), "doc_id long, original binary, ids array<int>")
 
