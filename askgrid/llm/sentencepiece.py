@@ -295,7 +295,6 @@ def _spelling(model: Model):
     """UTF-8 bytes of whole id sequences, piece after piece; null for null."""
     codes = pa.array([bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k in (NORMAL, USER) else b"" for t, _, k in model.pieces], pa.binary())
 
-    @F.arrow_udf("binary")
     def spelt(found: pa.Array) -> pa.Array:
         sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
         parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), codes.take(found.flatten()))
@@ -304,12 +303,19 @@ def _spelling(model: Model):
     return spelt
 
 
-def _text_of(ids: Column, model: Model) -> Column:
-    """The text of an id sequence; the meta symbol becomes a space again, the one put in front is dropped."""
-    plain = F.replace(F.make_valid_utf8(_spelling(model)(ids).cast("string")), F.lit(META), F.lit(" "))
+def _text_of(spelt: Column, model: Model) -> Column:
+    """The text that bytes spell; the meta symbol becomes a space again, the one put in front is dropped."""
+    plain = F.replace(F.make_valid_utf8(spelt.cast("string")), F.lit(META), F.lit(" "))
     return F.substring(plain, 2, 2**31 - 1) if model.dummy_prefix else plain
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans: from each start so many as its size says. They number below 2^31 in a unit."""
+    out = np.repeat(starts.astype(np.int32) - (np.cumsum(sizes, dtype=np.int32) - sizes.astype(np.int32)), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class _Splitter:
     """Texts as words: which distinct words a batch of texts has, and each text's words in order."""
 
@@ -321,6 +327,7 @@ class _Splitter:
         spaced = pc.replace_substring(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), META, " ")
         lists = pc.split_pattern(spaced, " ")
         each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        del spaced
         tokens = lists.flatten().dictionary_encode()
         code, known = tokens.indices.to_numpy(), tokens.dictionary.cast(pa.string())
         if not len(code):
@@ -331,20 +338,22 @@ class _Splitter:
         head[(np.cumsum(each) - each)[each > 0]] = True
         begins = head.copy()
         begins[1:] |= ~empty[:-1]
-        first = np.flatnonzero(begins)
-        size = np.diff(np.append(first, len(code)))
-        run = code[first + size - 1].astype(np.int64)
+        first = np.flatnonzero(begins).astype(np.int32)
+        size = np.diff(np.append(first, np.int32(len(code))))
+        run = code[first + size - 1]
         metas = size if self.prefix else size - head[first]
         odd = metas != 1
-        pairs, place = np.unique(metas[odd] << 32 | run[odd], return_inverse=True)
+        pairs, place = np.unique(metas[odd].astype(np.int64) << 32 | run[odd], return_inverse=True)
         run[odd] = len(known) + place
         strange = [META * (p >> 32) + known[p & 0xFFFFFFFF].as_py() for p in pairs.tolist()]
         words, parts = self.cut(pa.concat_arrays([pc.binary_join_element_wise(META, known, ""), pa.array(strange, pa.string())]))
         words = words.dictionary_encode()
-        inside, start, n = words.indices.to_numpy(), np.cumsum(parts) - parts, parts[run]
-        found = inside[np.repeat(start[run] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        of_text = np.repeat(np.arange(len(each)), each)[first]
-        return words.dictionary, np.bincount(of_text, n, len(each)).astype(np.int64), found
+        of_text = np.repeat(np.arange(len(each), dtype=np.int32), each)[first]
+        del tokens, lists, code, empty, head, begins, first, size, metas, odd
+        parts = parts.astype(np.int32)
+        inside, start, n = words.indices.to_numpy(), np.cumsum(parts, dtype=np.int32) - parts, parts[run]
+        each = np.bincount(of_text, n, len(each)).astype(np.int64)
+        return words.dictionary, each, inside[_spread(start[run], n)]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,12 +401,12 @@ def vocabulary(words: DataFrame, model: Model) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, model: Model, most: int, total: int, text_col: str = "text") -> DataFrame:
-    """(word, n, ids) of the ``most`` most frequent words of a sample of about SAMPLE_BYTES of text."""
+    """(word): the ``most`` most frequent words of a sample of about SAMPLE_BYTES of text, in order of frequency."""
     some = docs.select(text_col).where(F.col(text_col) != "")
     if total > SAMPLE_BYTES:
         some = some.sample(SAMPLE_BYTES / total, 7)
     counted = some.mapInArrow(_count_words(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return vocabulary(counted.orderBy(F.desc("n"), "word").limit(most), model)
+    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
 _UNIT = "task long, unit int, doc_id array<long>, original array<binary>, there array<boolean>, n array<int>, codes binary, others array<string>"
@@ -411,7 +420,7 @@ def _packed(codes: np.ndarray) -> bytes:
 
 def _unpacked(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def _put_down(model: Model, frequent):
@@ -419,12 +428,12 @@ def _put_down(model: Model, frequent):
     schema = pa.schema([("task", pa.int64()), ("unit", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("original", pa.list_(pa.binary())), ("there", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("others", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, task = _Splitter(model), frequent.value[0], TaskContext.get().partitionId()
+        split, known, task = _Splitter(model), frequent.value, TaskContext.get().partitionId()
         for k, unit in enumerate(_units(batches)):
             words, each, found = split(unit.column(2))
             place = pc.index_in(words, value_set=known)
             other = place.is_null().to_numpy(zero_copy_only=False)
-            code = np.where(other, len(known) + np.cumsum(other) - 1, pc.fill_null(place, 0).to_numpy(zero_copy_only=False))
+            code = np.where(other, np.int32(len(known) - 1) + np.cumsum(other, dtype=np.int32), pc.fill_null(place, 0).to_numpy(zero_copy_only=False))
             row = [task, k, unit.column(0), unit.column(1), unit.column(2).is_valid(), pa.array(each, pa.int32()), _packed(code[found]), words.filter(pa.array(other))]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, f in zip(row, schema)], schema=schema)
             del unit, words, each, found, place, other, code, row
@@ -433,11 +442,11 @@ def _put_down(model: Model, frequent):
     return run
 
 
-def _put_together(frequent):
-    """A task's units and the ids of their other words as whole id sequences."""
+def _put_together(frequent, spelt):
+    """A task's units and the ids of their other words as whole id sequences, and with ``spelt`` what those spell."""
 
     def run(units: pa.Table, others: pa.Table) -> pa.Table:
-        _, often, lengths = frequent.value
+        often, lengths = frequent.value
         others = others.sort_by([("part", "ascending"), ("code", "ascending")])
         of, lists = others["part"].to_numpy(), others["ids"].combine_chunks() if others.num_rows else pa.array([], pa.list_(pa.int32()))
         out = []
@@ -450,40 +459,42 @@ def _put_together(frequent):
             codes, each = _unpacked(r["codes"][0].as_py()), r["n"][0].values.to_numpy()
             n = sizes[codes]
             ends = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+            ids = flat[_spread(first[codes], n)]
             borders = ends[np.concatenate([[0], np.cumsum(each)])]
             sequences = pa.LargeListArray.from_arrays(pa.array(borders, pa.int64()), pa.array(ids, pa.int32()), mask=pc.invert(r["there"][0].values)).cast(pa.list_(pa.int32()))
-            out.append(pa.RecordBatch.from_arrays([r["doc_id"][0].values, r["original"][0].values, sequences], ["doc_id", "original", "ids"]))
+            row = {"doc_id": r["doc_id"][0].values, "original": r["original"][0].values, "ids": sequences}
+            out.append(pa.RecordBatch.from_pydict(row | ({"spelt": spelt(sequences)} if spelt else {})))
         textcore.release()
         return pa.Table.from_batches(out)
 
     return run
 
 
-def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, frequent: int) -> DataFrame:
-    """(doc_id, original, ids) of each row: the MD5 of its text and all its ids in order."""
+def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, frequent: int, spelt: bool = False) -> DataFrame:
+    """(doc_id, original, ids) of each row: the MD5 of its text and all its ids in order; with ``spelt``, the bytes that these decode to."""
     spark = docs.sparkSession
     lean_batches(spark)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("original"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    rows = frequent_words(docs, model, frequent, total).orderBy(F.desc("n"), "word").select("word", "ids").toArrow().combine_chunks()  # at most ``frequent``
-    ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    known = rows["word"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    held = spark.sparkContext.broadcast((known, ids.flatten().to_numpy().astype(np.int32), pc.list_value_length(ids).to_numpy().astype(np.int64)))
+    share = lambda x: spark.sparkContext.broadcast(x)
+    often = frequent_words(docs, model, frequent, total).toArrow()["word"].combine_chunks()  # at most ``frequent``
     buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 26))
-    units = bucketed(docs.mapInArrow(_put_down(model, held), _UNIT), "units", "task", buckets)
+    units = bucketed(docs.mapInArrow(_put_down(model, share(often)), _UNIT), "units", "task", buckets)
     listed = units.select(F.col("task").alias("of"), F.col("unit").alias("part"), F.posexplode("others").alias("code", "word"))
-    words = vocabulary(listed.select("word").distinct(), model)
-    others = listed.join(words, "word").select("of", "part", "code", "ids")
+    known = spark.createDataFrame(pa.table({"word": often, "place": pa.array(np.arange(len(often)), pa.int64())}))
+    words = vocabulary(listed.select("word").distinct().withColumn("place", F.lit(None).cast("long")).unionByName(known), model)
+    found = words.where("place is not null").orderBy("place").select("ids").toArrow()["ids"].combine_chunks()
+    ids = share((found.flatten().to_numpy().astype(np.int32), pc.list_value_length(found).to_numpy().astype(np.int32)))
+    others = listed.join(words.where("place is null").select("word", "ids"), "word").select("of", "part", "code", "ids")
     whole = units.drop("others").groupBy("task").cogroup(others.groupBy("of"))
-    return whole.applyInArrow(_put_together(held), "doc_id long, original binary, ids array<int>")
+    return whole.applyInArrow(_put_together(ids, _spelling(model) if spelt else None), "doc_id long, original binary, ids array<int>" + ", spelt binary" * spelt)
 
 
 def encode_digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_pieces, ids_digest, round_trip): piece count and xxhash64 of the row's id sequence, and whether decoding that gives the text back (by MD5; true for null)."""
-    rows = _sequences(docs, model, id_col, text_col, frequent)
-    back = F.unhex(F.md5(_text_of(F.col("ids"), model).cast("binary")))
+    rows = _sequences(docs, model, id_col, text_col, frequent, spelt=True)
+    back = F.unhex(F.md5(_text_of(F.col("spelt"), model).cast("binary")))
     pieces = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
     return rows.select("doc_id", pieces.alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), back.eqNullSafe(F.col("original")).alias("round_trip"))
 
@@ -495,4 +506,4 @@ def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text
 
 def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
-    return encoded.select("doc_id", _text_of(F.col("ids"), model).alias("text"))
+    return encoded.select("doc_id", _text_of(F.arrow_udf(_spelling(model), "binary")("ids"), model).alias("text"))
