@@ -14,11 +14,12 @@ merged with a heap in Python.
 
 A text is read twice: a bounded sample of rows to find ``FREQUENT`` frequent words, which are
 encoded and broadcast (what they are changes no result), and then all texts once. Each task puts
-units of ``UNIT_BYTES`` of text down in a table bucketed by task, so in one file: every word as a
-code, the broadcast words by their place there, the unit's other words by their place in a list of
-its own. Those lists alone are shuffled: their distinct words are encoded, joined back and
-cogrouped with the task's units, which stay where they are, so that whole id sequences are put
-together in place; what a group holds is bounded by the bytes that one task reads.
+units of ``UNIT_BYTES`` of text down in a table bucketed by groups of ``GROUP`` units: every word as
+a code, the broadcast words by their place there, the unit's other words by their place in a list
+of its own. Those lists alone are shuffled: their distinct words are encoded, joined back and
+cogrouped with the units, which stay where they are, so that whole id sequences are put together
+in place. A group's sequences are in memory at once, and a group is a file at most, so the two
+constants should grow with executors.
 Words are dealt in partitions of ``WORDS``, so one partition's edges are gathered in memory.
 
 Defined results: null and empty texts have no pieces; characters that no piece holds are encoded
@@ -47,7 +48,7 @@ from askgrid.llm.workspace import bucketed, forget, lean_batches, written
 
 META = "▁"
 LATTICE_CHARS, FREQUENT, WORDS = 62, 400_000, 10_000
-SAMPLE_BYTES, UNIT_BYTES = 32 << 20, 4 << 20
+SAMPLE_BYTES, UNIT_BYTES, GROUP = 32 << 20, 4 << 20, 2
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Kinds of pieces, and models, in the file format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -409,7 +410,7 @@ def frequent_words(docs: DataFrame, model: Model, most: int, total: int, text_co
     return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
-_UNIT = "task long, unit int, doc_id array<long>, original array<binary>, there array<boolean>, n array<int>, codes binary, others array<string>"
+_UNIT = "grp long, unit int, doc_id array<long>, original array<binary>, there array<boolean>, n array<int>, codes binary, others array<string>"
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -425,7 +426,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _put_down(model: Model, frequent):
     """Each unit of texts in one row, its words as codes; words that aren't frequent are listed."""
-    schema = pa.schema([("task", pa.int64()), ("unit", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("original", pa.list_(pa.binary())), ("there", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("others", pa.list_(pa.string()))])
+    schema = pa.schema([("grp", pa.int64()), ("unit", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("original", pa.list_(pa.binary())), ("there", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())), ("codes", pa.binary()), ("others", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known, task = _Splitter(model), frequent.value, TaskContext.get().partitionId()
@@ -434,16 +435,16 @@ def _put_down(model: Model, frequent):
             place = pc.index_in(words, value_set=known)
             other = place.is_null().to_numpy(zero_copy_only=False)
             code = np.where(other, np.int32(len(known) - 1) + np.cumsum(other, dtype=np.int32), pc.fill_null(place, 0).to_numpy(zero_copy_only=False))
-            row = [task, k, unit.column(0), unit.column(1), unit.column(2).is_valid(), pa.array(each, pa.int32()), _packed(code[found]), words.filter(pa.array(other))]
+            row = [task << 32 | k // GROUP, k, unit.column(0), unit.column(1), unit.column(2).is_valid(), pa.array(each, pa.int32()), _packed(code[found]), words.filter(pa.array(other))]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, f in zip(row, schema)], schema=schema)
-            del unit, words, each, found, place, other, code, row
+            del unit, words, each, found, place, other, code, row  # before the next unit is read
             textcore.release()
 
     return run
 
 
 def _put_together(frequent, spelt):
-    """A task's units and the ids of their other words as whole id sequences, and with ``spelt`` what those spell."""
+    """A group of units and the ids of their other words as whole id sequences, and with ``spelt`` what those spell."""
 
     def run(units: pa.Table, others: pa.Table) -> pa.Table:
         often, lengths = frequent.value
@@ -480,14 +481,14 @@ def _sequences(docs: DataFrame, model: Model, id_col: str, text_col: str, freque
     share = lambda x: spark.sparkContext.broadcast(x)
     often = frequent_words(docs, model, frequent, total).toArrow()["word"].combine_chunks()  # at most ``frequent``
     buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 26))
-    units = bucketed(docs.mapInArrow(_put_down(model, share(often)), _UNIT), "units", "task", buckets)
-    listed = units.select(F.col("task").alias("of"), F.col("unit").alias("part"), F.posexplode("others").alias("code", "word"))
+    units = bucketed(docs.mapInArrow(_put_down(model, share(often)), _UNIT), "units", "grp", buckets)
+    listed = units.select(F.col("grp").alias("of"), F.col("unit").alias("part"), F.posexplode("others").alias("code", "word"))
     known = spark.createDataFrame(pa.table({"word": often, "place": pa.array(np.arange(len(often)), pa.int64())}))
     words = vocabulary(listed.select("word").distinct().withColumn("place", F.lit(None).cast("long")).unionByName(known), model)
     found = words.where("place is not null").orderBy("place").select("ids").toArrow()["ids"].combine_chunks()
     ids = share((found.flatten().to_numpy().astype(np.int32), pc.list_value_length(found).to_numpy().astype(np.int32)))
     others = listed.join(words.where("place is null").select("word", "ids"), "word").select("of", "part", "code", "ids")
-    whole = units.drop("others").groupBy("task").cogroup(others.groupBy("of"))
+    whole = units.drop("others").groupBy("grp").cogroup(others.groupBy("of"))
     return whole.applyInArrow(_put_together(ids, _spelling(model) if spelt else None), "doc_id long, original binary, ids array<int>" + ", spelt binary" * spelt)
 
 
