@@ -9,9 +9,14 @@ language by host, smoothed towards the counts of the host's domain, and those to
 corpus: three grouped aggregations over all rows. Host priors reach the rows by a broadcast
 while there are at most ``BROADCAST_HOSTS`` hosts, and by a shuffled join beyond.
 
+Each text is scored once: the evidence is written down with the columns that are kept, and both
+the priors and the fusion read that table.
+
 Defined results: null, blank or letterless text has no language (``und``), posterior 0 and isn't
-kept; a null host or address has the domain's or the corpus's prior; an empty table gives an
-empty result. Added columns are language, posterior and kept; inner columns begin with ``_ag_``.
+kept; a null host or address has the domain's or the corpus's prior; ties go to the first language
+by name; rows repeated whole have equal results; an empty table gives an empty result. Added
+columns are language, posterior and kept, with ``ag_`` in front where the input has a column of
+that name, which stays as it is; inner columns begin with ``_ag_``.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.llm import textcore
-from askgrid.llm.workspace import lean_batches, written
+from askgrid.llm.workspace import free_name, lean_batches, written
 
 BUCKETS, SAMPLE_ROWS, PARTS = 1 << 15, 4000, 4
 BROADCAST_HOSTS = 500_000
@@ -144,17 +149,20 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def identify(docs: DataFrame, model: Likelihoods, text_col: str = "text", host: Column | None = None, declared: Column | None = None, markup: bool = False) -> DataFrame:
-    """``docs`` with language, posterior and kept; host and declared are expressions over its columns."""
+def identify(docs: DataFrame, model: Likelihoods, text_col: str = "text", host: Column | None = None, declared: Column | None = None, markup: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or their columns ``keep``, with language, posterior and kept; host and declared are expressions over its columns."""
     lean_batches(docs.sparkSession)
-    languages = model.languages
+    languages, keep = model.languages, docs.columns if keep is None else keep
+    added = [free_name(keep, c) for c in ("language", "posterior", "kept")]
+    own = [F.col(f"`{c}`") for c in keep]
     host = (F.lit(None) if host is None else host).cast("string")
     declared = (F.lit(None) if declared is None else declared).cast("string")
     if not languages:
-        return docs.withColumns({"language": F.lit("und"), "posterior": F.lit(0.0), "kept": F.lit(False)})
+        return docs.select(*own, *[F.lit(v).alias(c) for v, c in zip(("und", 0.0, False), added)])
     text = F.col(text_col).cast("string")
     best = lambda scores: F.array_position(scores, F.array_max(scores)) - 1  # noqa: E731  ties to the first by name
-    seen = docs.select(host.alias("_ag_host"), _text_evidence(model, markup)(text).alias("_ag_text")).where("_ag_text is not null")
+    scored = written(docs.select(*own, host.alias("_ag_host"), declared.alias("_ag_said"), _text_evidence(model, markup)(text).alias("_ag_text")), "evidence")
+    seen = scored.select("_ag_host", "_ag_text").where("_ag_text is not null")
     votes = [F.count_if(F.col("_ag_best") == k).alias(f"_ag_v{k}") for k in range(len(languages))]
     # Pre-aggregated by host in each task, so a host with a third of all rows is one row a task.
     hosts = seen.select("_ag_host", best(F.col("_ag_text")).alias("_ag_best")).groupBy("_ag_host").agg(*votes)
@@ -175,9 +183,9 @@ def identify(docs: DataFrame, model: Likelihoods, text_col: str = "text", host:
     priors = near.select("_ag_host", F.array(*prior).alias("_ag_prior"))
     priors = F.broadcast(priors) if named.count() <= BROADCAST_HOSTS else priors
 
-    rows = docs.withColumn("_ag_text", _text_evidence(model, markup)(text)).withColumn("_ag_host", host).join(priors, "_ag_host", "left")
+    rows = scored.join(priors, "_ag_host", "left")
     names = {x: [x] for x in languages}
-    said = _named(F.lower(F.substring_index(F.substring_index(declared, "-", 1), "_", 1)), languages, names, DECLARED)
+    said = _named(F.lower(F.substring_index(F.substring_index(F.col("_ag_said"), "-", 1), "_", 1)), languages, names, DECLARED)
     suffix = _named(F.lower(F.substring_index(F.col("_ag_host"), ".", -1)), languages, {x: SUFFIXES.get(x, []) for x in languages}, SUFFIX)
     scores = [F.col("_ag_text")[k] + F.coalesce(F.col("_ag_prior")[k], F.lit(float(np.log(share[k])))) + said[k] + suffix[k] for k in range(len(languages))]
     rows = rows.withColumn("_ag_scores", F.when(F.col("_ag_text").isNotNull(), F.array(*scores)))
@@ -186,9 +194,15 @@ def identify(docs: DataFrame, model: Likelihoods, text_col: str = "text", host:
     language = F.lit("und")
     for k, name in reversed(list(enumerate(languages))):  # ties to the first by name
         language = F.when(F.col("_ag_scores")[k] == top, name).otherwise(language)
-    rows = rows.withColumns({"language": language, "posterior": F.coalesce(1 / mass, F.lit(0.0))})
-    rows = rows.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= LEAST_POSTERIOR))
-    return rows.select(*docs.columns, "language", "posterior", "kept")
+    rows = rows.withColumns({"_ag_language": language, "_ag_posterior": F.coalesce(1 / mass, F.lit(0.0))})
+    kept = (F.col("_ag_language") != "und") & (F.col("_ag_posterior") >= LEAST_POSTERIOR)
+    return rows.select(*own, *[v.alias(c) for v, c in zip((F.col("_ag_language"), F.col("_ag_posterior"), kept), added)])
+
+
+def keep_known(docs: DataFrame, model: Likelihoods, **evidence) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` keeps, with all their columns and no others."""
+    kept = free_name(docs.columns, "kept")
+    return identify(docs, model, **evidence).where(F.col(f"`{kept}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def page_host(url: Column) -> Column:

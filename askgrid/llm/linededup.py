@@ -16,7 +16,9 @@ shuffled join, which adaptive execution splits where one line has a third of all
 
 Defined results: null text stays null, with no lines; lines without a word stay; rows repeated
 whole are one document and get equal results; rows that share a doc_id but not the text are
-ordered by a hash of it, and a null doc_id comes first. Inner columns begin with ``_ag_``.
+ordered by a hash of it, and a null doc_id comes first. Added columns are n_lines and n_deleted,
+with ``ag_`` in front where the input has a column of that name, which stays as it is; inner
+columns begin with ``_ag_``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.workspace import forget, written
+from askgrid.llm.workspace import forget, free_name, written
 
 MIN_LINES, MIN_CHARS = 4, 50
 _WORD = r"[^\x20\x09-\x0D]"
@@ -98,5 +100,5 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.coalesce(F.size("_ag_lines"), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), F.size("_ag_lines") - 1), F.col("_ag_gone"))
     text = F.when(F.col("_ag_gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.col("_ag_lines")[i]), "\n"))
-    made = {text_col: text, "n_lines": F.when(F.col("_ag_lines").isNull(), 0).otherwise(n), "n_deleted": F.coalesce(F.when(F.col("_ag_gone").isNull(), 0).otherwise(F.size("_ag_gone")), F.lit(0))}
+    made = {text_col: text, free_name(docs.columns, "n_lines"): F.when(F.col("_ag_lines").isNull(), 0).otherwise(n), free_name(docs.columns, "n_deleted"): F.coalesce(F.when(F.col("_ag_gone").isNull(), 0).otherwise(F.size("_ag_gone")), F.lit(0))}
     return rows.select(*[made.pop(c).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in made.items()])

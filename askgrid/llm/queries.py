@@ -75,7 +75,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askgrid.llm.language import fit, identify
 
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, fit(docs), host=F.col("source"), declared=markup_language(F.col("text")))
+    found = identify(docs, fit(docs), host=F.col("source"), declared=markup_language(F.col("text")), keep=["doc_id"])
     return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "kept")
 
 
@@ -84,7 +84,7 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askgrid.llm.language import fit, identify
 
     pages = table(spark, sf_dir, "pages").withColumn("host", page_host(F.col("url")))
-    found = identify(pages, fit(table(spark, sf_dir, "documents")), "html", F.col("host"), markup_language(F.col("html")), markup=True)
+    found = identify(pages, fit(table(spark, sf_dir, "documents")), "html", F.col("host"), markup_language(F.col("html")), markup=True, keep=["page_id", "host"])
     return found.select("page_id", "host", "language", F.round("posterior", 6).alias("posterior"), "kept")
 
 

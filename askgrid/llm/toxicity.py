@@ -13,7 +13,9 @@ vectorised pass over the bytes of every whole text.
 
 Defined results: null or blank text has no segment and gets the score of the bias alone;
 a null doc_id is scored and not held out; without labels every score is the smoothed prior;
-repeated label rows count once each.
+an id whose label rows differ is toxic, and of several texts under one id the first in order is
+learnt from; rows repeated whole are each scored; equal scores are equally judged; columns that
+are added have names of their own output, the input's others being left out or untouched.
 """
 
 from __future__ import annotations
@@ -170,14 +172,15 @@ def train(texts: list[str], toxic: list[int], steps: int = 140, seed: int = 5) -
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(id, toxic, text) of the bounded sample: labelled rows outside the held-out fold, in hash order, within the row and byte bounds."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0)
+    known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         own = known.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = own if picked is None else picked.unionByName(own)
     # Bounded by MAX_TOXIC + MAX_CLEAN rows of two numbers.
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id").where("text is not null")
-    sizes = sorted(rows.select(F.xxhash64("id").alias("h"), "id", F.octet_length("text").alias("size")).dropDuplicates(["id"]).collect())
+    rows = rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    sizes = sorted(rows.select(F.xxhash64("id").alias("h"), "id", F.octet_length("text").alias("size")).collect())
     total, chosen = 0, []
     for r in sizes:
         if total + r["size"] <= MAX_TRAIN_BYTES:
@@ -186,7 +189,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     if not chosen:
         return None
     some = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    return rows.join(F.broadcast(some), "id").dropDuplicates(["id"]).select("id", "toxic", "text")
+    return rows.join(F.broadcast(some), "id").select("id", "toxic", "text")
 
 
 def _train_task(frame: pd.DataFrame) -> pd.DataFrame:

@@ -49,11 +49,18 @@ def test_everything_is_packed(stages):
 
 
 def test_odd_and_empty_tables(spark, sf, odd, none):
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    from pyspark.sql import functions as F
+
+    odd, none = (d.withColumns({"n_lines": F.lit("mine"), "N_deleted": F.lit("yours"), "posterior": F.lit("his"), "score": F.lit(None).cast("int")}) for d in (odd, none))
+    untouched = [c for c in odd.columns if c not in ("text", "n_chars")]
     for docs in (odd, none):
+        before, rows = docs, docs.count()
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, sf)
-        assert set(columns) <= set(docs.columns) and docs.count() <= len(ODD)
+            assert docs.columns == odd.columns
+        assert docs.select(*untouched).exceptAll(before.select(*untouched)).count() == 0 and docs.count() <= rows
+        kept = [r.doc_id for r in docs.collect()]
+        assert kept.count(1) == kept.count(2) == min(rows, 1)  # copies, the later one without its line by now, and that row repeated whole
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
 
 

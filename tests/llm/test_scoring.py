@@ -72,10 +72,44 @@ def test_markup_and_hosts(spark):
 
 def test_language_of_odd_and_empty_tables(odd, none):
     model = language.fit(odd)
-    found = language.identify(odd.drop("language", "kept"), model)
-    assert found.count() == len(ODD) and {r.doc_id for r in found.where("language = 'und'").collect()} >= {3, 4, 5}
-    assert language.identify(none.drop("language", "kept"), model).count() == 0
-    assert language.identify(odd.drop("language", "kept"), language.fit(none)).where("kept").count() == 0
+    for fitted in (model, language.fit(none)):
+        found = language.identify(odd, fitted)
+        assert found.columns == [*odd.columns, "ag_language", "posterior", "ag_kept"]
+        assert found.select(*odd.columns).exceptAll(odd).count() == odd.exceptAll(found.select(*odd.columns)).count() == 0
+        assert {r.doc_id for r in found.where("ag_language = 'und'").collect()} >= {3, 4, 5}
+    assert found.where("ag_kept").count() == 0
+    assert language.identify(none, model).count() == 0
+    assert language.keep_known(odd, model).columns == odd.columns
+
+
+def test_posterior_equals_the_formula_by_hand(spark, docs):
+    from pyspark.sql import functions as F
+
+    model = language.fit(docs)
+    rows = [(r.doc_id, r.text, f"h{r.doc_id % 3}.site{r.doc_id % 2}.{'de' if r.doc_id % 5 else 'org'}", "de-AT" if r.doc_id % 4 == 0 else None) for r in docs.orderBy("doc_id").limit(60).collect()]
+    frame = spark.createDataFrame(rows, "k long, text string, host string, said string")
+    got = {r.k: (r.language, round(r.posterior, 9)) for r in language.identify(frame, model, host=F.col("host"), declared=F.col("said")).collect()}
+    names, n = model.languages, len(model.languages)
+    text = {k: np.array(model.of(t)) for k, t, _, _ in rows if model.of(t)}
+    votes, domain = {}, lambda h: ".".join(h.split(".")[-2:])
+    for k, _, h, _ in rows:
+        if k in text:
+            votes.setdefault(h, np.zeros(n))[text[k].argmax()] += 1
+    whole = sum(votes.values())
+    share = (whole + 1) / (whole.sum() + n)
+    for k, _, h, said in rows:
+        if k not in text:
+            assert got[k] == ("und", 0.0)
+            continue
+        near = sum(v for x, v in votes.items() if domain(x) == domain(h))
+        wide = (near + language.DOMAIN_WEIGHT * share) / (near.sum() + language.DOMAIN_WEIGHT)
+        score = text[k] + np.log((votes[h] + language.HOST_WEIGHT * wide) / (votes[h].sum() + language.HOST_WEIGHT))
+        if said:
+            score += [np.log(language.DECLARED if x == "de" else (1 - language.DECLARED) / (n - 1)) for x in names]
+        if h.endswith(".de"):
+            score += [np.log(language.SUFFIX if x == "de" else (1 - language.SUFFIX) / (n - 1)) for x in names]
+        p = np.exp(score - score.max())
+        assert got[k] == (names[score.argmax()], round(1 / p.sum(), 9))
 
 
 WORDS = [a + b for a in "ba de fi go ku la me no pi ro".split() for b in "ba de fi go ku la me no pi ro".split()]
@@ -107,6 +141,27 @@ def test_toxicity_is_learnt_and_carries_to_misspellings(spark):
     assert docs.count() - toxicity.keep_civil(docs, model).count() == sum(r.predicted for r in found.values())
 
 
+def test_scores_equal_the_layers_by_hand(spark, docs):
+    rows = toxic_texts(200, 4)
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame, labels)
+    found = {r.doc_id: r.score for r in toxicity.score_documents(frame, model).collect()}
+    for i, text, _ in rows[:50]:
+        words, best = text.split(" "), 0.0
+        vectors = [np.mean([model.embeddings[b] for b in toxicity.subwords(w)[0]], axis=0) for w in words]
+        logits = [np.mean(vectors[a : a + toxicity.SEGMENT], axis=0) @ model.softmax for a in range(0, len(words), toxicity.SEGMENT)]
+        best = max(float(z[1] - z[0]) for z in logits)
+        assert abs(found[i] - 1 / (1 + np.exp(-(best + model.bias[1] - model.bias[0])))) < 1e-4
+
+
+def test_labels_that_differ_are_toxic(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i in range(20) for t in ((0, 1, 1) if i % 2 else (0, 0))], "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in toxicity.training_rows(docs, labels).collect())
+    assert got == sorted((i, i % 2, "another text" if i == 3 else f"text {i}") for i in range(20) if zlib.crc32(str(i).encode()) % 5)
+
+
 def test_held_out_labels_are_never_read(spark):
     rows = toxic_texts(200, 2)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
