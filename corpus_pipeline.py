@@ -1,8 +1,12 @@
 """The corpus pipeline: language, toxicity, repeated lines, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller may write and
-read again; all but the last return the columns of documents. An empty table passes through;
-rows whose text is null or has no letters are rejected by the first stage.
+read again; all but the last return exactly the columns of their input, extra ones with any names
+included. An empty table passes through; rows whose text is null or has no letters are rejected by
+the first stage; ties of languages go to the first by name, and a score of just 0.5 is toxic. Rows
+repeated whole are judged alike by the first three stages, and one of them stays after the fourth;
+rows that share a doc_id but not the text count as one document there, near to whatever one of
+them is near to.
 """
 
 from __future__ import annotations
@@ -19,8 +23,7 @@ NEAR = 80
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language that the evidence supports."""
-    found = language.identify(docs, language.fit(docs), host=F.col("source"), declared=language.markup_language(F.col("text")))
-    return found.where("kept").select(*docs.columns)
+    return language.keep_known(docs, language.fit(docs), host=F.col("source"), declared=language.markup_language(F.col("text")))
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +33,21 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated lines and line runs; the length follows the text."""
-    cleaned = linededup.delete_repeats(docs).drop("n_lines", "n_deleted")
-    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    length = F.char_length("text").cast("long").alias("n_chars")
+    return linededup.delete_repeats(docs).select(*[length if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates."""
-    verdicts = neardup.near_duplicates(docs, percent=NEAR)
-    dropped = written(verdicts.where("not kept").select("doc_id").distinct(), "dropped")
-    dropped = F.broadcast(dropped) if dropped.count() <= neardup.BROADCAST_IDS else dropped
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    verdicts = written(neardup.near_duplicates(docs, percent=NEAR), "verdicts")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= neardup.BROADCAST_IDS else ids
+    left = docs.join(few(verdicts.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    again = verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    # Rows of one doc_id are rare: only they are compared whole.
+    once = left.join(few(again), "doc_id", "left_semi").select(*docs.columns).distinct()
+    return left.join(few(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
