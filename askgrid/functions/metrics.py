@@ -48,6 +48,12 @@ def execution_match(left: DataFrame, right: DataFrame, left_order: list[str], ri
     return one.select("left_rows", "right_rows", "matched", columns.alias("columns"), right_answer.alias("correct"))
 
 
+def request_totals(rows: DataFrame, value: str, ok: Column) -> DataFrame:
+    """(succeeded, failed, total, mean): how many requests went well and how many did not, and the time that all took; one pass."""
+    good = F.coalesce(ok, F.lit(False))
+    return rows.agg(F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+
+
 def latency_stats(rows: DataFrame, value: str, ok: Column | None = None) -> DataFrame:
     """n, success_rate, mean, median, least, greatest, p95 and p99; a percentile is the value at place floor(n * q), from 0.
 

@@ -146,7 +146,9 @@ def embedding_text(column: str, value: Column, most: int = 512) -> Column:
 def cell_type(value: Column) -> Column:
     """NULL, BOOLEAN, NUMBER, DATETIME or STRING."""
     v = F.trim(value)
-    day = F.coalesce(F.try_to_timestamp(v, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(v, F.lit("yyyy-MM-dd")), F.try_to_timestamp(v, F.lit("dd/MM/yyyy")))
+    # A text that can't be a date is told by its pattern: each failing parse would throw.
+    formats = {r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy"}
+    day = F.coalesce(*[F.when(v.rlike(p), F.try_to_timestamp(v, F.lit(f))) for p, f in formats.items()])
     return (
         F.when(v.isNull() | (v == "") | (F.lower(v) == "nan"), "NULL")
         .when(F.lower(v).isin("true", "false"), "BOOLEAN")

@@ -22,19 +22,28 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Character trigrams hashed to a fixed number of signed dimensions: no network, same result everywhere."""
+    """Character trigrams hashed (MD5) to a fixed number of signed dimensions: no network, same result everywhere."""
 
     def __init__(self, dimensions: int = 256):
         self.dimensions = dimensions
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def _place(self, gram: str) -> tuple[int, int]:
+        """Dimension and sign of a trigram; each is hashed once while fewer than a million are known."""
+        found = self.known.get(gram)
+        if found is None:
+            code = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big")
+            found = code % self.dimensions, 1 if code >> 31 else -1
+            if len(self.known) < 1_000_000:
+                self.known[gram] = found
+        return found
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions), np.float32)
-        for row, text in zip(out, texts):
-            padded = f"  {text.lower()} "
-            for i in range(len(padded) - 2):
-                code = int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode(), digest_size=8).digest(), "little")
-                row[code % self.dimensions] += 1 if code >> 40 & 1 else -1
-        return out
+        padded = [f"  {text.lower()} " for text in texts]
+        places = [self._place(p[i : i + 3]) for p in padded for i in range(len(p) - 2)]
+        at = np.array(places, np.int64).reshape(-1, 2)
+        row = np.repeat(np.arange(len(texts)), [len(p) - 2 for p in padded])
+        return np.bincount(row * self.dimensions + at[:, 0], at[:, 1], len(texts) * self.dimensions).reshape(len(texts), self.dimensions).astype(np.float32)
 
 
 def unit(vector: Column) -> Column:
@@ -122,15 +131,10 @@ def rerank_batches(rows: DataFrame, size: int = 3, order: str = "rowid") -> Data
 
 
 def rerank(rows: DataFrame, judge, size: int = 3) -> DataFrame:
-    """Rows that ``judge(list of row dicts) -> list of rowids`` finds relevant, asked batch by batch; ids outside of a batch are ignored."""
-    columns = rows.columns
+    """Rows that ``judge(list of row dicts) -> list of rowids`` finds relevant, asked batch by batch in the order of rowid; ids outside of a batch are ignored."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = []
-            for at in range(0, len(frame), size):
-                part = frame.iloc[at : at + size]
-                keep += list(set(judge(part.to_dict("records"))) & set(part["rowid"]))
-            yield pd.DataFrame({"rowid": pd.Series(keep, dtype="int64")})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = frame.drop(columns="batch").sort_values("rowid")
+        return pd.DataFrame({"rowid": pd.Series(sorted(set(judge(part.to_dict("records"))) & set(part["rowid"])), dtype="int64")})
 
-    return rows.join(rows.select(*columns).mapInPandas(run, "rowid long").distinct(), "rowid", "left_semi")
+    return rows.join(rerank_batches(rows, size).groupBy("batch").applyInPandas(run, "rowid long"), "rowid", "left_semi")

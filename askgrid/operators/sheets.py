@@ -150,7 +150,7 @@ def snippet(rows: DataFrame, n: int, rowid: str = "rowid", seed: int = 42) -> Da
     if total <= 3 * n:
         return rows
     ends = rows.where((F.col(rowid) <= n) | (F.col(rowid) > total - n))
-    middle = rows.where((F.col(rowid) > n) & (F.col(rowid) <= total - n)).orderBy(F.xxhash64(F.lit(seed), rowid), rowid).limit(n)
+    middle = rows.where((F.col(rowid) > n) & (F.col(rowid) <= total - n)).orderBy(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col(rowid).cast("string"))), rowid).limit(n)
     return ends.unionByName(middle)
 
 

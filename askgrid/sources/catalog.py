@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from askgrid.functions.text import SPARK_TYPES, sample_text, sql_type
 from askgrid.sources.staging import written
 
 EAV = "entity string, attribute string, value string"
-HIDDEN = "tables_metadata"
+HIDDEN, NAME_FILE = "tables_metadata", "_table_name"
 #: What the sink does with a table that exists, in Spark's words.
 MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
 
@@ -48,19 +48,53 @@ def collapsed_columns(columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(n, k) for n, k in out.values()]
 
 
+def without_twins(table: DataFrame) -> DataFrame:
+    """``table`` with columns whose names differ in case alone as one: the first spelling, and the first column that isn't text."""
+    pairs = list(table.dtypes)
+    if len({c.lower() for c, _ in pairs}) == len(pairs):
+        return table
+    numbered, out = table.toDF(*[f"_ag_{k}" for k in range(len(pairs))]), []
+    for name, _ in collapsed_columns(pairs):
+        own = [k for k, (c, _) in enumerate(pairs) if c.lower() == name.lower()]
+        out.append(F.col(f"_ag_{next((k for k in own if pairs[k][1] != 'string'), own[0])}").alias(name))
+    return numbered.select(*out)
+
+
 def joined_lists(table: DataFrame) -> DataFrame:
     """List columns as texts."""
     return table.withColumns({c: F.array_join(F.col(f"`{c}`").cast("array<string>"), "; ") for c, t in table.dtypes if t.startswith("array")})
 
 
 class TableCatalog:
-    """Tables under one folder; each is a temporary view by its own name, whatever characters that has."""
+    """Tables under one folder; each is a temporary view by its own name, whatever characters that has.
+
+    A new catalog over the folder finds the tables, their metadata and their value indexes again:
+    each table's folder holds its name in a file that table reads pass over.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, include: list[str] | None = None, ignore: list[str] | None = None):
         if include and ignore:
             raise ValueError("either include or ignore, not both")
         self.spark, self.folder, self.include, self.ignore = spark, folder, include, set(ignore or [])
         self.tables: dict[str, DataFrame] = {}
+        for name, path in self._found().items():
+            self.register(name, spark.read.parquet(path))
+
+    def _path(self, path: str):
+        own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return own.getFileSystem(self.spark._jsc.hadoopConfiguration()), own
+
+    def _found(self) -> dict[str, str]:
+        """Path by name of the tables that the folder holds."""
+        files, folder = self._path(self.folder)
+        out = {}
+        for status in files.listStatus(folder) if files.exists(folder) else []:
+            _, name = self._path(f"{status.getPath()}/{NAME_FILE}")
+            if files.exists(name):
+                stream = files.open(name)
+                out[bytes(stream.readAllBytes()).decode()] = status.getPath().toString()
+                stream.close()
+        return out
 
     def path(self, name: str) -> str:
         """A folder name of plain characters, unlike any other table's."""
@@ -73,28 +107,41 @@ class TableCatalog:
         return table
 
     def write(self, name: str, table: DataFrame, if_exists: str = "fail", order: list[str] | None = None, least_rows: int = 0) -> DataFrame | None:
-        """Write a table and register it; ``order`` gives rows a dense rowid by those columns.
-
-        Tables of fewer than ``least_rows`` rows are left out.
+        """Write a table and register it; ``order`` gives rows a dense rowid by those columns, after those of the rows there are.
 
-        Row numbers need one order over all rows: ranges are sorted in parallel, and each range's
-        offset comes from the counts of those before it.
+        Tables of fewer than ``least_rows`` rows are left out. Columns whose names differ in case
+        alone become one, and lists texts. Rows are appended to a table of the same columns and
+        types only; a table that exists raises FileExistsError where ``if_exists`` is fail.
         """
+        if if_exists not in MODES:
+            raise ValueError(f"if_exists is one of {', '.join(MODES)}")
         if least_rows and table.limit(least_rows).count() < least_rows:
             return None
-        table = joined_lists(table)
+        table, path = joined_lists(without_twins(table)), self.path(name)
+        files, own = self._path(path)
+        old = self.spark.read.parquet(path) if files.exists(own) else None
+        if old is not None and if_exists == "fail":
+            raise FileExistsError(name)
         if order:
             table = dense_rowid(table, order)
-        path = self.path(name)
-        try:
-            table.write.mode(MODES[if_exists]).option("parquet.compression", "zstd").parquet(path)
-        except AnalysisException as e:
-            raise FileExistsError(name) from e
+        if old is not None and if_exists == "append":
+            if dict(old.dtypes) != dict(table.dtypes):
+                raise ValueError(f"{name} has other columns: {sorted(set(old.dtypes) ^ set(table.dtypes))}")
+            if order:
+                last = old.agg(F.max("rowid")).first()[0] or 0
+                table = table.withColumn("rowid", F.col("rowid") + last)
+            table = table.select(*[F.col(f"`{c}`") for c in old.columns])
+        elif old is not None:
+            table = written(table, "replacing")  # it may be made of what it replaces
+        table.write.mode(MODES[if_exists]).option("parquet.compression", "zstd").parquet(path)
+        stream = files.create(self._path(f"{path}/{NAME_FILE}")[1], True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
         return self.register(name, self.spark.read.parquet(path))
 
     def names(self) -> list[str]:
-        """Usable tables, sorted; metadata stays hidden."""
-        known = {n for n in self.tables if n != HIDDEN and not n.endswith("__metadata")}
+        """Usable tables, sorted; metadata and indexes stay hidden."""
+        known = {n for n in self.tables if n != HIDDEN and not n.endswith(("__metadata", "__index"))}
         if missing := (set(self.include or []) | self.ignore) - known:
             raise ValueError(f"no such tables: {sorted(missing)}")
         return sorted(known & set(self.include) if self.include else known - self.ignore)
@@ -102,12 +149,32 @@ class TableCatalog:
     def schema(self) -> dict[str, dict[str, str]]:
         return {n: {c: t for c, t in self.tables[n].dtypes if t != "void"} for n in self.names()}
 
+    def _upsert(self, name: str, rows: DataFrame, if_exists: str) -> DataFrame:
+        old = self.tables.get(name)
+        if old is not None and if_exists == "fail":
+            raise FileExistsError(name)
+        return self.write(name, upserted(old if if_exists == "append" else None, rows.select("entity", "attribute", "value")), "replace")
+
     def describe(self, table: str, rows: DataFrame, if_exists: str = "append") -> DataFrame:
         """Upsert column metadata (entity, attribute, value) of a table."""
-        name = f"{table}__metadata"
-        new = upserted(self.tables.get(name) if if_exists == "append" else None, rows)
-        kept = self.spark.createDataFrame(new.collect(), EAV)  # a few rows a column
-        return self.register(name, kept)
+        return self._upsert(f"{table}__metadata", rows, if_exists)
+
+    def describe_tables(self, rows: DataFrame, if_exists: str = "append") -> DataFrame:
+        """Upsert metadata (entity, attribute, value) of tables: their summaries and kinds of source."""
+        return self._upsert(HIDDEN, rows, if_exists)
+
+    def write_index(self, table: str, index: DataFrame, if_exists: str = "replace") -> DataFrame:
+        """Keep a table's value index (table_name, column_name, value, embedding)."""
+        flat = index.withColumn("embedding", F.col("embedding").cast("array<float>").cast("string"))
+        return self.write(f"{table}__index", flat, if_exists)
+
+    def index(self, tables: list[str] | None = None) -> DataFrame | None:
+        """The value indexes of the tables, or of all, as one; rows without a value or a whole vector are left out."""
+        found = [t for n, t in sorted(self.tables.items()) if n.endswith("__index") and (tables is None or n.removesuffix("__index") in tables)]
+        if not found:
+            return None
+        rows = reduce(DataFrame.unionByName, found).withColumn("embedding", F.from_json(F.col("embedding"), "array<float>"))
+        return rows.where("value is not null and embedding is not null and not exists(embedding, x -> x is null)")
 
     def ddl(self, table: str, columns: list[str] | None = None, samples: dict[str, list] | None = None, comments: bool = False) -> str:
         """CREATE TABLE text of a table, with sample values and, on request, column descriptions."""

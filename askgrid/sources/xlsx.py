@@ -5,7 +5,9 @@
     spark.read.format("xlsx").option("relation", "merges").load(path)
 
 Option ``sheets`` is a comma-separated list of names; all sheets without it. Rows and columns
-count from 1. A file's sheets are read by separate tasks with a streaming XML parser.
+count from 1. A file's sheets are read by separate tasks with a streaming XML parser. The path of a
+folder is all its workbooks; their sheets are then called ``book/sheet``. Numbers that a cell's
+style shows as dates are read as dates.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,6 +27,9 @@ MERGES = "sheet string, range_str string, min_row int, max_row int, min_col int,
 #: Namespaces of the file format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Fixed values of the file format: built-in numbers of date and time formats, and rows that a sheet can have.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+MOST_ROWS = 1_048_576
 
 
 def place(ref: str) -> tuple[int, int]:
@@ -46,14 +53,37 @@ def sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(n, t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"xl/{t}")) for n, t in targets]
 
 
+def _words(item: ElementTree.Element) -> str:
+    """The text of a string and of its formatted runs, without what tells how it is pronounced."""
+    return "".join(t.text or "" for t in [*item.findall(f"{_MAIN}t"), *item.findall(f"{_MAIN}r/{_MAIN}t")])
+
+
 def _shared(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
-    return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    return [_words(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+
+
+def date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")) for f in root.iter(f"{_MAIN}numFmt")}
+    shows = {n for n, code in own.items() if re.search("[dmyhs]", code.lower())} | (DATE_FORMATS - own.keys())
+    return {k for k, x in enumerate(root.findall(f"{_MAIN}cellXfs/{_MAIN}xf")) if int(x.get("numFmtId", 0)) in shows}
+
+
+def moment(serial: float, since_1904: bool = False) -> str:
+    """A serial day number as text: a date, or a time of day too where it has one. Day 60 of 1900 never was."""
+    start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30) if serial >= 60 else datetime(1899, 12, 31)
+    at = start + timedelta(seconds=round(serial * 86400))
+    return at.strftime("%Y-%m-%d" if at.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S")
 
 
 def cells(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple]:
-    words = _shared(book)
+    words, dates = _shared(book), date_styles(book)
+    since_1904 = any(x.get("date1904") in ("1", "true") for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}workbookPr"))
     with book.open(part) as f:
         for _, e in ElementTree.iterparse(f):
             if e.tag != f"{_MAIN}c":
@@ -62,7 +92,9 @@ def cells(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple]:
             if kind == "s" and value is not None:
                 value, kind = words[int(value)], "STRING"
             elif kind == "inlineStr":
-                value, kind = "".join(t.text or "" for t in e.iter(f"{_MAIN}t")), "STRING"
+                value, kind = "".join(_words(x) for x in e.findall(f"{_MAIN}is")), "STRING"
+            elif kind == "n" and value and int(e.get("s", 0)) in dates:
+                value, kind = moment(float(value), since_1904), "DATETIME"
             else:
                 kind = {"b": "BOOLEAN", "str": "STRING", "d": "DATETIME", "e": "NULL"}.get(kind, "NUMBER")
                 value = {"0": "false", "1": "true"}.get(value, value) if kind == "BOOLEAN" else None if kind == "NULL" else value
@@ -71,6 +103,53 @@ def cells(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple]:
             e.clear()
 
 
+def _letters(column: int) -> str:
+    out = ""
+    while column:
+        column, rest = divmod(column - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def _cell(value, ref: str) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, (int, float)):
+        return f'<c r="{ref}"><v>{value!r}</v></c>'
+    if isinstance(value, date):
+        whole = isinstance(value, datetime)
+        since = (value.replace(tzinfo=None) if whole else datetime(value.year, value.month, value.day)) - datetime(1899, 12, 30)
+        return f'<c r="{ref}" s="{2 if whole else 1}"><v>{since.total_seconds() / 86400!r}</v></c>'
+    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value))
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def write_workbook(path: str, sheets: dict[str, Iterable[list]], merged: dict[str, list[str]] | None = None) -> None:
+    """A workbook of rows of values, streamed row by row; a sheet holds at most MOST_ROWS rows and more raise ValueError."""
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main, rel = _MAIN.strip("{}"), _REL.strip("{}")
+    packages = "http://schemas.openxmlformats.org/package/2006"
+    with _created(path) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as book:
+        for k, (name, rows) in enumerate(sheets.items(), 1):
+            with book.open(f"xl/worksheets/sheet{k}.xml", "w") as out:
+                out.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+                for r, row in enumerate(rows, 1):
+                    if r > MOST_ROWS:
+                        raise ValueError(f"a sheet holds at most {MOST_ROWS} rows")
+                    out.write(f'<row r="{r}">{"".join(_cell(v, f"{_letters(c)}{r}") for c, v in enumerate(row, 1))}</row>'.encode())
+                ranges = "".join(f'<mergeCell ref="{x}"/>' for x in (merged or {}).get(name, []))
+                out.write(f"</sheetData>{f'<mergeCells>{ranges}</mergeCells>' if ranges else ''}</worksheet>".encode())
+        parts = [(k, escape(n, {'"': "&quot;"})) for k, n in enumerate(sheets, 1)]
+        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{"".join(f"""<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>""" for k, n in parts)}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{packages}/relationships">{"".join(f"""<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>""" for k, _ in parts)}<Relationship Id="rId{len(parts) + 1}" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'{head}<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{packages}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kinds}.styles+xml"/>{"".join(f"""<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kinds}.worksheet+xml"/>""" for k, _ in parts)}</Types>')
+
+
 def merges(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple]:
     with book.open(part) as f:
         for _, e in ElementTree.iterparse(f):
@@ -86,24 +165,49 @@ class Sheet(InputPartition):
         self.path, self.name, self.part = path, name, part
 
 
-def _opened(path: str):
+def _files(path: str):
     from pyarrow import fs
 
-    store, own = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _opened(path: str):
+    store, own = _files(path)
     return store.open_input_file(own)
 
 
+def _created(path: str):
+    store, own = _files(path.replace("file:///", "/").removeprefix("file:"))
+    return store.open_output_stream(own)
+
+
+def _books(path: str) -> list[str]:
+    """The workbook, or those of a folder in order of their names."""
+    from pyarrow import fs
+
+    store, own = _files(path)
+    if store.get_file_info(own).type != fs.FileType.Directory:
+        return [path]
+    found = sorted(x.path for x in store.get_file_info(fs.FileSelector(own)) if x.path.endswith(".xlsx") and not x.base_name.startswith(("~", ".")))
+    return [path.rstrip("/") + "/" + posixpath.basename(x) for x in found]
+
+
 class XlsxReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.merged = options["path"].replace("file:///", "/"), options.get("relation", "cells") == "merges"
+        self.path, self.merged = options["path"].replace("file:///", "/").removeprefix("file:"), options.get("relation", "cells") == "merges"
         self.wanted = {s.strip() for s in options["sheets"].split(",")} if options.get("sheets") else None
 
     def partitions(self) -> list[Sheet]:
-        with _opened(self.path) as f, zipfile.ZipFile(f) as book:
-            found = sheets(book)
-        if self.wanted and self.wanted - {n for n, _ in found}:
-            raise ValueError(f"no such sheet: {sorted(self.wanted - {n for n, _ in found})}")
-        return [Sheet(self.path, n, p) for n, p in found if self.wanted is None or n in self.wanted]
+        books, out, names = _books(self.path), [], set()
+        for path in books:
+            with _opened(path) as f, zipfile.ZipFile(f) as book:
+                found = sheets(book)
+            names |= {n for n, _ in found}
+            lead = "" if books == [self.path] else posixpath.basename(path).removesuffix(".xlsx") + "/"
+            out += [Sheet(path, lead + n, p) for n, p in found if self.wanted is None or n in self.wanted]
+        if self.wanted and self.wanted - names:
+            raise ValueError(f"no such sheet: {sorted(self.wanted - names)}")
+        return out
 
     def read(self, partition: Sheet) -> Iterator[tuple]:
         with _opened(partition.path) as f, zipfile.ZipFile(f) as book:
