@@ -181,3 +181,31 @@ def components(rows: DataFrame, column: str, kind: str) -> DataFrame:
     if kind == "quantity":
         return rows.withColumns({f"{column}_số": number_in(own), f"{column}_đơn vị": unit_in(own)})
     raise ValueError(f"no components of {kind}")
+
+
+def transformed(rows: DataFrame, names: list[str], transform: Callable[[dict], dict], attempts: int = 3) -> DataFrame:
+    """``rows`` with the columns ``names`` as ``transform`` gives them, row by row, as texts; other columns never reach it.
+
+    An answer must have exactly those names; a row is asked again up to ``attempts`` times, keeps
+    its values if none fits, and ``errors`` names the columns then.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in names]
+    answer = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField("errors", T.ArrayType(T.StringType()))])
+
+    @F.pandas_udf(answer)
+    def asked(own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in own.to_dict("records"):
+            said, tries = None, 0
+            while said is None and tries < attempts:
+                tries += 1
+                try:
+                    found = transform(dict(row))
+                except (ValueError, KeyError, TypeError):
+                    continue
+                said = found if isinstance(found, dict) and set(found) == set(names) else None
+            out.append({**{c: None if v is None else str(v) for c, v in (said or row).items()}, "errors": [] if said else list(names)})
+        return pd.DataFrame(out, columns=[*names, "errors"])
+
+    made = rows.select(*kept, asked(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])).alias("_ag_made"))
+    return made.select(*kept, *[F.col(f"_ag_made.`{c}`").alias(c) for c in names], F.col("_ag_made.errors").alias("errors"))

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import SparkSession
 
-from askgrid.plans.tree import Node, parse, relations, resolve, scopes
+from askgrid.plans.tree import Node, extent, parse, relations, resolve, scopes
 
 Schema = dict[str, dict[str, str]]
 Edit = tuple[int, int, str]
@@ -83,27 +83,99 @@ def expand_stars(spark: SparkSession, sql: str, linked: Schema) -> str:
 #: Date arithmetic and format codes of the dialect.
 _UNITS = "day|month|year|hour|minute|second"
 _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+_PREDICATES = {"EqualTo", "EqualNullSafe", "Like", "ILike", "RLike", "In", "InSubquery", "And", "Or", "Not", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "IsNull", "IsNotNull", "Exists", "Between"}
+_COMPARED = {"EqualTo", "EqualNullSafe", "In", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual"}
+_ARITHMETIC = {"Add", "Subtract", "Multiply"}
+_INTEGRAL = {"tinyint", "smallint", "int", "integer", "bigint", "long"}
 
 
-def to_spark(sql: str) -> str:
-    """Dialect functions in Spark's words, outside of string literals where the form has no literal of its own."""
+def _function(node: Node) -> str | None:
+    return node.name_parts[-1].lower() if node.kind == "UnresolvedFunction" else None
 
-    def date(m: re.Match) -> str:
+
+def _call(sql: str, node: Node) -> str | None:
+    """A dialect function in Spark's words; None for all others."""
+    name, given = _function(node), node.children
+    parts = [sql[slice(*x)] if (x := extent(n, sql)) else "" for n in given]
+    if name == "date" and given and (given[0].text or "").lower() == "now":
         out = "current_date()"
-        for sign, n, unit in re.findall(rf"'\s*([+-]?)(\d+)\s+({_UNITS})s?\s*'", m[1] or "", re.I):
-            out += f" {sign or '+'} interval {n} {unit.lower()}"
+        for n in given[1:]:
+            found = re.fullmatch(rf"\s*([+-]?)(\d+)\s+({_UNITS})s?\s*", n.text or "", re.I)
+            if not found:
+                return None
+            out += f" {found[1] or '+'} interval {found[2]} {found[3].lower()}"
         return out
-
-    def strftime(m: re.Match) -> str:
-        pattern = m[1]
+    if name == "strftime" and len(given) == 2 and given[0].text is not None:
+        pattern = given[0].text
         for code, own in _FORMATS.items():
             pattern = pattern.replace(code, own)
-        return f"date_format({m[2]}, '{pattern}')"
+        value = "current_timestamp()" if (given[1].text or "").lower() == "now" else parts[1]
+        return "date_format({}, '{}')".format(value, pattern.replace("'", "''"))
+    if name == "group_concat" and len(given) in (1, 2):
+        return f"listagg({'DISTINCT ' if node.j.isDistinct() else ''}{parts[0]}, {parts[1] if len(given) == 2 else repr(',')})"
+    return None
+
+
+def _integral(node: Node, tables: dict[str, str | None], schema: Schema) -> bool:
+    if node.kind == "Literal":
+        return node.j.dataType().simpleString() in _INTEGRAL
+    if node.kind == "UnresolvedAttribute":
+        found = resolve(node.name_parts, tables, schema)
+        return bool(found) and schema[found[0]][found[1]].lower() in _INTEGRAL
+    if node.kind in _ARITHMETIC | {"UnaryMinus", "UnaryPositive", "IntegralDivide", "Divide"}:
+        return all(_integral(n, tables, schema) for n in node.children)
+    return _function(node) in ("count", "length") or _function(node) in ("sum", "min", "max", "abs") and all(_integral(n, tables, schema) for n in node.children)
+
 
-    sql = re.sub(r"(?i)\bdate\(\s*'now'((?:\s*,\s*'[^']*')*)\s*\)", date, sql)
-    sql = re.sub(r"(?i)\bstrftime\(\s*'([^']*)'\s*,\s*([^()]+?)\s*\)", strftime, sql)
-    sql = re.sub(r"(?i)\bgroup_concat\(\s*(distinct\s+)?([^(),]+?)\s*\)", r"listagg(\1\2, ',')", sql)
-    return re.sub(r"(?i)\bgroup_concat\(\s*(distinct\s+)?([^(),]+?)\s*,\s*('(?:[^']|'')*')\s*\)", r"listagg(\1\2, \3)", sql)
+def _dialect_edits(spark: SparkSession, sql: str, schema: Schema) -> set[Edit]:
+    edits: set[Edit] = set()
+
+    def as_number(n: Node) -> None:
+        if n.kind in _PREDICATES and (place := extent(n, sql)):
+            edits.add((*place, f"cast(({sql[slice(*place)]}) AS int)"))
+
+    for plan, tables in scopes(parse(spark, sql)):
+        shown = plan.expressions if plan.kind in ("Project", "Aggregate") else []
+        for n in shown:
+            as_number(n.children[0] if n.kind in ("Alias", "UnresolvedAlias") else n)
+        for n in plan.expression_nodes():
+            if (own := _call(sql, n)) is not None and n.span:
+                edits.add((*n.span, own))
+            elif _function(n) in ("max", "min", "sum", "avg") or n.kind in _ARITHMETIC:
+                for x in n.children:
+                    as_number(x)
+            elif n.kind == "Divide":
+                left, right = (extent(x, sql) for x in n.children)
+                slash = sql.find("/", left[1], right[0]) if left and right else -1
+                known = n.children[1].kind == "Literal" and n.children[1].sql.strip("LDSBD") not in ("0", "0.0")
+                whole = all(_integral(x, tables, schema) for x in n.children)
+                if slash >= 0 and (whole or not known and not sql[slice(*right)].startswith("nullif(")):
+                    edits |= {(slash, slash + 1, " div " if whole else "/")} if whole else set()
+                    edits |= set() if known or sql[slice(*right)].startswith("nullif(") else {(*right, f"nullif({sql[slice(*right)]}, 0)")}
+            elif n.kind in _COMPARED:
+                for x in n.children:
+                    for y in n.children:
+                        if _is_text(x, tables, schema) and y.kind == "Literal" and y.text is None and y.span and re.fullmatch(r"-?[\d.]+", sql[slice(*y.span)]):
+                            edits.add((*y.span, f"'{sql[slice(*y.span)]}'"))
+                        elif _integral(x, tables, schema) and x.kind == "UnresolvedAttribute" and y.text is not None and y.span and not re.fullmatch(r"\s*[+-]?\d+\s*", y.text):
+                            edits.add((*y.span, f"try_cast({sql[slice(*y.span)]} AS double)"))
+    return edits
+
+
+def to_spark(spark: SparkSession, sql: str, schema: Schema | None = None) -> str:
+    """The dialect in Spark's words, at the places that the parser names and so never inside of literals.
+
+    Functions (GROUP_CONCAT, strftime, DATE('now', ...)) are renamed; predicates used as values are
+    0 and 1; whole numbers are divided without a rest, and by zero give null; a text column meets a
+    number as text, and a number that meets other text is compared with null. Innermost parts go
+    first, and the text is parsed again until nothing is left to rewrite.
+    """
+    while True:
+        edits = _dialect_edits(spark, sql, schema or {})
+        inner = {e for e in edits if not any(o != e and e[0] <= o[0] and o[1] <= e[1] for o in edits)}
+        if not inner:
+            return sql
+        sql = splice(sql, inner)
 
 
 def insensitive_like(sql: str) -> str:
@@ -113,4 +185,4 @@ def insensitive_like(sql: str) -> str:
 
 def refined(spark: SparkSession, sql: str, schema: Schema, linked: Schema | None = None) -> str:
     """All rewrites; the text comes back as it was if none applies."""
-    return fold_case(spark, expand_stars(spark, to_spark(sql), linked if linked is not None else {}), schema)
+    return fold_case(spark, expand_stars(spark, to_spark(spark, sql, schema), linked if linked is not None else {}), schema)

@@ -6,6 +6,7 @@ Offsets are code points, so they index Python strings.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark import SparkContext
@@ -91,6 +92,31 @@ class Node:
             todo = n.children + todo if n.subquery is None else todo
 
 
+def extent(node: Node, sql: str) -> tuple[int, int] | None:
+    """Where an expression with all its parts stands in the text, with the parentheses that belong to them.
+
+    The parser's own place of a predicate begins at its keyword, and leaves parentheses out.
+    """
+    spans = [n.span for n in node.walk() if n.span]
+    if not spans:
+        return None
+    start, stop = min(a for a, _ in spans), max(b for _, b in spans)
+    while True:
+        depth = least = 0
+        for x in _LITERAL.sub(lambda m: " " * len(m[0]), sql[start:stop]):
+            depth += (x == "(") - (x == ")")
+            least = min(least, depth)
+        if least < 0:  # a closing one too many
+            start = sql.rindex("(", 0, start)
+        elif depth > 0:
+            stop = sql.index(")", stop) + 1
+        else:
+            return start, stop
+
+
+_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+
+
 def parse(spark: SparkSession, sql: str) -> Node:
     """The parsed statement, names not resolved yet."""
     return Node(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))

@@ -276,3 +276,72 @@ def test_execution_match_sees_every_row(spark):
     other = orders.withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") == 7, 1).otherwise(0)).drop("o_orderpriority")
     got = metrics.execution_match(orders, other, ["o_orderkey"], ["o_orderkey"]).first()
     assert (got.matched, got.correct) == (4, False)
+
+
+def test_a_workbook_becomes_typed_tables_that_a_new_catalog_finds(spark, tmp_path):
+    import datetime
+
+    from askgrid.plans.ingest import ingest
+
+    day, at = datetime.date(2024, 2, 29), datetime.datetime(2023, 12, 31, 18, 30)
+    rows = [["Name", "Day", "At", "Price", "Open"], ["a", day, at, 1.5, True], ["b", day, at, 2, False], ["c", None, None, "x", True]]
+    book = str(tmp_path / "book.xlsx")
+    xlsx.write_workbook(book, {"Homes": [[None], [None, *rows[0]], *[[None, *r] for r in rows[1:]]], "Two": [["k"], [1], [2], [], ["k", "K"], ["3", "x"]]}, {"Two": ["A2:A3"]})
+    own = catalog.TableCatalog(spark, str(tmp_path / "tables"))
+    assert ingest(spark, own, book) == ["Homes", "Two 1", "Two 2"]
+    again = catalog.TableCatalog(spark, str(tmp_path / "tables"))
+    assert again.names() == ["Homes", "Two 1", "Two 2"]
+    got = again.tables["Homes"].orderBy("rowid")
+    assert dict(got.dtypes) == {"rowid": "bigint", "Name": "string", "Day": "string", "At": "string", "Price": "string", "Open": "bigint"}
+    assert tuple(got.first()) == (1, "a", "2024-02-29", "2023-12-31 18:30:00", "1.5", 1)
+    assert [r.k for r in again.tables["Two 1"].orderBy("rowid").collect()] == [1, 1] and again.tables["Two 2"].columns == ["rowid", "k", "K_2"]
+    assert again.tables["Homes__metadata"].where("entity = 'Open' and attribute = 'type'").first().value == "boolean"
+    assert again.tables["tables_metadata"].where("attribute = 'data_source'").count() == 3
+    logs.export(again.tables["Homes"].orderBy("rowid"), str(tmp_path / "out.xlsx"), "xlsx", footer=[["Total", None, 2]])
+    spark.dataSource.register(xlsx.XlsxSource)
+    assert spark.read.format("xlsx").load(str(tmp_path / "out.xlsx")).where("r = 5").orderBy("c").select("v").collect()[0].v == "Total"
+    assert {r.sheet for r in spark.read.format("xlsx").load(str(tmp_path)).select("sheet").distinct().collect()} == {"book/Homes", "book/Two", "out/Sheet1"}
+
+
+def test_only_fitting_rows_are_appended(spark, tmp_path):
+    own = catalog.TableCatalog(spark, str(tmp_path))
+    own.write("t", spark.range(3), order=["id"])
+    with pytest.raises(FileExistsError):
+        own.write("t", spark.range(3))
+    with pytest.raises(ValueError):
+        own.write("t", spark.createDataFrame([("x",)], "name string"), "append")
+    own.write("t", spark.range(3, 5), "append", order=["id"])
+    assert sorted(map(tuple, own.tables["t"].collect())) == [(k, k + 1) for k in range(5)]
+    own.write("t", own.tables["t"].where("id > 3"), "replace")
+    assert own.tables["t"].count() == 1
+    own.write("twins", spark.createDataFrame([("1", 2.0)], "a string, b double").toDF("x", "X"))
+    assert own.tables["twins"].dtypes == [("x", "double")]
+    index = spark.createDataFrame([("t", "c", "v", [1.0, 2.0]), ("t", "c", None, [1.0, 2.0]), ("t", "c", "w", None)], search.INDEX)
+    own.write_index("t", index)
+    assert [r.value for r in catalog.TableCatalog(spark, str(tmp_path)).index().collect()] == ["v"] and "t__index" not in own.names()
+
+
+def test_rows_are_transformed_or_kept(spark):
+    def tidy(row):
+        if row["a"] == "bad":
+            return {"other": 1}
+        return {"a": row["a"].upper()}
+
+    rows = spark.createDataFrame([(1, "x"), (2, "bad"), (3, "y")], "rowid long, a string")
+    got = sorted(tuple(r) for r in columns.transformed(rows, ["a"], tidy).collect())
+    assert got == [(1, "X", []), (2, "bad", ["a"]), (3, "Y", [])]
+
+
+def test_a_models_answers_about_tables_are_checked(spark):
+    from askgrid.plans import ingest
+
+    model = OfflineModel({"edges": '```json\n{"header": [0, 9], "footer": [0, 2, "x"]}\n```', "labels": '["p", "q"]', "groups": '[["b", "a"], ["zz"]]'})
+    assert ingest.header_and_footer(model, [["a"], ["1"], ["Total"]]) == ([0], [2])
+    assert ingest.generated_labels(model, [], ["Column 1", "Column 2"]) == ["p", "q"] and ingest.generated_labels(model, [], ["only"]) == ["only"]
+    frame = spark.createDataFrame([("abcdefg", "abcdefg", "1")], "a string, b string, c string")
+    assert ingest.grouped(frame, ["a", "b", "c"], model) == [["a", "b", "c"]] and ingest.header_and_footer(OfflineModel({"edges": "no idea"}), [["a"]]) == ([], [])
+
+
+def test_json_arrays_come_back(spark, tmp_path):
+    logs.write_json(spark.range(7).selectExpr("id", "concat('t\"', id) AS t"), str(tmp_path / "j"))
+    assert sorted(map(tuple, logs.read_json(spark, str(tmp_path / "j"), "id long, t string").collect())) == [(k, f't"{k}') for k in range(7)]
