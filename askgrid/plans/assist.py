@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from askgrid.operators import search
 from askgrid.plans.guard import NotAQuery, checked
 from askgrid.plans.predicates import predicate_values, unsupported
-from askgrid.plans.relax import Relaxed, relax
+from askgrid.plans.relax import Relaxed, TooManySubsets, relax
 from askgrid.plans.rewrite import Schema, refined
 from askgrid.sources.catalog import TableCatalog, pivoted
 
@@ -44,6 +44,9 @@ class OfflineModel:
             return own(**given) if callable(own) else own
         return getattr(self, f"_{step}")(**given)
 
+    def _follow_up(self, question: str, tables: list[str]) -> str:
+        return f"Which of these is it about: {', '.join(tables)}?" if tables else "No table seems to be about this. What are you looking for?"
+
     def _rewrite(self, messages: list[tuple[str, str]]) -> str:
         return " ".join(t for r, t in messages if r == "user")
 
@@ -100,10 +103,10 @@ def choice(text: str) -> str:
 class Assistant:
     """The served pipeline, with optional predicate retry, reranking and answers."""
 
-    def __init__(self, spark: SparkSession, catalog: TableCatalog, model: LanguageModel, embedder: search.Embedder | None = None, index: DataFrame | None = None, retry: bool = False, judge=None, answers: bool = False):
+    def __init__(self, spark: SparkSession, catalog: TableCatalog, model: LanguageModel, embedder: search.Embedder | None = None, index: DataFrame | None = None, retry: bool = False, judge=None, answers: bool = False, follow_up: bool = False):
         self.spark, self.catalog, self.model, self.index = spark, catalog, model, index
         self.embedder = embedder or search.HashingEmbedder()
-        self.retry, self.judge, self.answers = retry, judge, answers
+        self.retry, self.judge, self.answers, self.follow_up = retry, judge, answers, follow_up
 
     def understand(self, s: State) -> State:
         """A standalone question, and the tables it is about: all of them while they are few and narrow."""
@@ -175,13 +178,18 @@ class Assistant:
         if s.rows or s.error or s.message or not s.queries:
             return s
         try:
-            found = relax(self.spark, s.queries[-1])
-        except (ValueError, PySparkException):
+            found = relax(self.spark, s.queries[-1], usable=set(self.catalog.names()))
+        except TooManySubsets as e:
+            return replace(s, message=f"No rows, and not relaxed: {e}")
+        except PySparkException:
             return s
         return replace(s, relaxed=found, message=f"No rows; {found.count} without: {', '.join(found.dropped)}" if found else s.message)
 
     def search(self, conversation: list[tuple[str, str]]) -> State:
-        s = self.write(self.link(self.sample(self.understand(State(conversation)))))
+        s = self.understand(State(conversation))
+        if self.follow_up and needs_follow_up(s.tables):
+            return replace(s, message=self.model.ask("follow_up", question=s.question, tables=s.tables))
+        s = self.write(self.link(self.sample(s)))
         if self.retry and self.absent_values(s):
             s = self.write(s)
         s = self.relax(self.run(s))

@@ -1,8 +1,15 @@
-"""Relaxing an over-constrained filter: the largest subset of its constraints that has rows.
-
-The condition is brought into disjunctive form. All constraints of a branch are evaluated in one
-scan, as bits of a number; grouping by that number gives at most 2^n counts, and each subset's
-count is the sum over the numbers that contain it.
+"""Relaxing an over-constrained query: the largest subset of its constraints that has rows.
+
+A filtered projection is relaxed in one scan. Its condition is brought into disjunctive form, all
+constraints of a branch are evaluated as bits of a number, and the rows' numbers are counted: a
+row with the number m has all constraints of m, so the largest subset with rows is the number
+with the most bits among those that occur. Only that one comes back, however many constraints
+there are.
+
+Other queries (with GROUP BY, HAVING, DISTINCT, WITH, UNION, or filters in subqueries) have no
+row that shows what a constraint does to their result. Every WHERE of every scope gives its
+conjuncts, and subsets are run as queries, the largest first; beyond ``MOST_PROBES`` of them
+TooManySubsets tells the caller so.
 """
 
 from __future__ import annotations
@@ -14,11 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.plans.guard import checked
-from askgrid.plans.tree import Node, frame
+from askgrid.plans.rewrite import splice
+from askgrid.plans.tree import Node, extent, frame, relations
 
-#: Constraints of one branch; 2^n counts come back.
-MOST = 12
 DEFAULT_ROWS = 15
+#: Queries that a search through subsets may take, branches that a condition may have, and bits of a mask.
+MOST_PROBES, MOST_BRANCHES, MASK_BITS = 200, 64, 62
+
+
+class TooManySubsets(ValueError):
+    """No subset was found within the bounds."""
 
 
 @dataclass
@@ -30,66 +42,119 @@ class Relaxed:
 
 
 def disjuncts(condition: Node, negated: bool = False) -> list[list[str]]:
-    """Disjunctive form: a list of lists of SQL constraints."""
+    """Disjunctive form: a list of lists of SQL constraints; MOST_BRANCHES lists at most."""
     kind = condition.kind
     if kind == "Not" and condition.children[0].kind in ("And", "Or", "Not"):
         return disjuncts(condition.children[0], not negated)
     if kind in ("And", "Or"):
         left, right = (disjuncts(c, negated) for c in condition.children)
-        return left + right if (kind == "Or") != negated else [a + [x for x in b if x not in a] for a in left for b in right]
+        either = (kind == "Or") != negated
+        if (len(left) + len(right) if either else len(left) * len(right)) > MOST_BRANCHES:
+            raise TooManySubsets(f"at most {MOST_BRANCHES} branches in a condition")
+        return left + right if either else [a + [x for x in b if x not in a] for a in left for b in right]
     return [[f"(NOT {condition.sql})" if negated else condition.sql]]
 
 
 def masks(source: DataFrame, constraints: list[str]) -> DataFrame:
     """(mask, n): how many rows satisfy exactly the constraints whose bits are set; null counts as not satisfied."""
-    if len(constraints) > MOST:
-        raise ValueError(f"at most {MOST} constraints in a branch")
-    mask = F.lit(0)
+    if len(constraints) > MASK_BITS:
+        raise TooManySubsets(f"at most {MASK_BITS} constraints in a branch")
+    mask = F.lit(0).cast("bigint")
     for k, c in enumerate(constraints):
-        mask = mask + F.when(F.coalesce(F.expr(c), F.lit(False)), 1 << k).otherwise(0)
+        mask = mask.bitwiseOR(F.when(F.expr(c), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return source.select(mask.alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
 
 
-def best_subset(counts: dict[int, int], n: int) -> tuple[tuple[int, ...], int] | None:
+def best_subset(counts: DataFrame, n: int) -> tuple[tuple[int, ...], int] | None:
     """The largest set of constraints that some rows satisfy, the first of them in order, and its count."""
-    for size in range(n, 0, -1):
-        for chosen in combinations(range(n), size):
-            need = sum(1 << k for k in chosen)
-            found = sum(c for m, c in counts.items() if m & need == need)
-            if found:
-                return chosen, found
+    # Of equally many bits the first constraints in order: reversed, their bits are the greatest number.
+    order = [F.desc(F.bit_count("mask")), F.desc(F.reverse(F.lpad(F.bin("mask"), n, "0")))]
+    best = counts.where("mask <> 0").orderBy(*order).limit(1).first()
+    if best is None:
+        return None
+    need = F.lit(best["mask"]).cast("bigint")
+    found = counts.where(F.col("mask").bitwiseAND(need) == need).agg(F.sum("n")).first()[0]
+    return tuple(k for k in range(n) if best["mask"] >> k & 1), found
+
+
+def constraints(sql: str, root: Node, usable: set[str] | None = None) -> list[tuple[int, int]]:
+    """Places of the conjuncts of every WHERE, in all scopes, in order; of scopes with a usable table alone, where those are named."""
+
+    def conjuncts(n: Node) -> list[Node]:
+        return [x for c in n.children for x in conjuncts(c)] if n.kind == "And" else [n]
+
+    places = set()
+    for plan in root.plans():
+        if plan.kind != "Filter":
+            continue
+        tables = {t.lower() for t in relations(plan.children[0]).values() if t}
+        if usable is None or tables & {t.lower() for t in usable}:
+            places |= {p for n in conjuncts(plan.expressions[0]) if (p := extent(n, sql))}
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(places):  # what the parser makes two comparisons of, such as BETWEEN, is one constraint
+        if out and start == out[-1][0]:
+            out[-1] = (start, max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
+def _by_probes(spark: SparkSession, sql: str, root: Node, max_rows: int, usable: set[str] | None) -> Relaxed | None:
+    """Subsets of all scopes' constraints, the fewest dropped first; a dropped one becomes true."""
+    places = constraints(sql, root, usable)
+    texts = [sql[a:b] for a, b in places]
+    holds = lambda k: sum(places[k][0] <= a and b <= places[k][1] for a, b in places)
+    order = sorted(range(len(places)), key=lambda k: (holds(k), k))  # a constraint with others inside goes after them
+    probes = 0
+    for size in range(len(places) + 1):
+        for gone in combinations(order, size):
+            if any(i != j and places[j][0] <= places[i][0] and places[i][1] <= places[j][1] for i in gone for j in gone):
+                continue  # dropped with the constraint around it
+            probes += 1
+            if probes > MOST_PROBES:
+                raise TooManySubsets(f"no rows in {MOST_PROBES} subsets of {len(places)} constraints")
+            own = spark.sql(splice(sql, {(*places[k], "true") for k in gone}))
+            if own.limit(1).count():
+                if not gone:
+                    return None
+                return Relaxed([t for k, t in enumerate(texts) if k not in gone], [texts[k] for k in sorted(gone)], own.count(), own.limit(max_rows))
     return None
 
 
-def _parts(root: Node) -> tuple[list[str], Node, int | None]:
-    """Select list, filter and limit of a query without aggregation above its filter."""
+def _parts(root: Node) -> tuple[list[str], Node, int | None] | None:
+    """Select list, filter and limit of a filtered projection; None of any other query."""
     limit, node = None, root
     while node.kind in ("GlobalLimit", "LocalLimit", "Sort"):
         if node.kind == "GlobalLimit":
             limit = int(node.j.limitExpr().sql())
         node = node.children[0]
     if node.kind != "Project" or node.children[0].kind != "Filter":
-        raise ValueError("only a filtered projection can be relaxed")
+        return None
     names = []
     for e in node.expressions:
         names.append("*" if e.kind == "UnresolvedStar" else e.children[0].sql if e.kind == "UnresolvedAlias" else f"{e.children[0].sql} AS `{e.j.name()}`" if e.kind == "Alias" else e.sql)
     return names, node.children[0], limit
 
 
-def relax(spark: SparkSession, sql: str, max_rows: int = DEFAULT_ROWS) -> Relaxed | None:
+def relax(spark: SparkSession, sql: str, max_rows: int = DEFAULT_ROWS, usable: set[str] | None = None) -> Relaxed | None:
     """The query with as many of its constraints as have rows; None if it has rows, or no subset has any.
 
-    One branch is relaxed, the others stay as they are. A limit of the query overrides ``max_rows``.
+    Of a filtered projection one branch is relaxed, the others stay as they are, and its limit
+    overrides ``max_rows``; constraints of scopes without a ``usable`` table are never dropped.
     """
     sql, root = checked(spark, sql)
-    names, where, limit = _parts(root)
+    parts = _parts(root)
+    if parts is None or any(n.subquery is not None for n in parts[1].expression_nodes()) or any(p.kind == "Filter" for p in parts[1].children[0].plans()):
+        return _by_probes(spark, sql, root, max_rows, usable)
+    names, where, limit = parts
+    if usable is not None and not constraints(sql, root, usable):
+        return None
     source = frame(spark, where.children[0])
     branches = disjuncts(where.expressions[0])
     best: tuple[int, tuple[int, ...], int] | None = None
-    for b, constraints in enumerate(branches):
-        counts = {r["mask"]: r["n"] for r in masks(source, constraints).collect()}  # 2^n rows at most
-        found = best_subset(counts, len(constraints))
-        if found and len(found[0]) == len(constraints):
+    for b, own in enumerate(branches):
+        found = best_subset(masks(source, own), len(own))
+        if found and len(found[0]) == len(own):
             return None
         if found and (best is None or len(found[0]) > len(best[1])):
             best = (b, *found)

@@ -132,8 +132,40 @@ def test_other_branches_stay(spark, rooms):
 def test_nothing_to_relax(spark, rooms):
     assert relax.relax(spark, "SELECT id FROM rooms WHERE rooms = 1") is None
     assert relax.relax(spark, "SELECT id FROM rooms WHERE rooms = 99") is None
-    with pytest.raises(ValueError):
-        relax.relax(spark, "SELECT count(*) FROM rooms WHERE rooms = 1 GROUP BY district")
+    assert relax.relax(spark, "SELECT count(*) FROM rooms WHERE rooms = 1 GROUP BY district") is None
+    assert relax.relax(spark, "SELECT count(*) FROM rooms WHERE rooms = 99") is None  # one row, of nothing
+
+
+def test_twenty_constraints(spark, rooms):
+    many = [f"id <> {1000 + k}" for k in range(19)]
+    found = relax.relax(spark, f"SELECT id FROM rooms WHERE {' AND '.join([*many, 'rooms = 77'])}")
+    assert found.dropped == ["(rooms = 77)"] and len(found.kept) == 19 and found.count == 40
+
+
+@pytest.mark.parametrize(
+    "sql, dropped, n",
+    [
+        ("SELECT district, count(*) AS n FROM rooms WHERE rooms = 77 AND price BETWEEN 10 AND 200 GROUP BY district", ["rooms = 77"], 4),
+        ("SELECT district FROM rooms WHERE (id > 5) AND rooms = 1 GROUP BY district HAVING count(*) > 8", ["rooms = 1"], 2),
+        ("WITH c AS (SELECT * FROM rooms WHERE district = 'no' AND rooms = 1) SELECT id FROM c WHERE price >= 0", ["district = 'no'"], 8),
+        ("SELECT id FROM rooms WHERE id IN (SELECT id FROM rooms WHERE rooms = 77 AND price > 300) AND rooms = 2", ["rooms = 77"], 2),
+        ("SELECT id FROM rooms WHERE rooms = 77 UNION SELECT id FROM rooms WHERE price < 0 AND district = 'd1'", ["rooms = 77"], 40),
+        ("SELECT DISTINCT district FROM rooms WHERE NOT (id >= 0 OR rooms = 3)", ["NOT (id >= 0 OR rooms = 3)"], 4),
+    ],
+)
+def test_every_scope_is_relaxed(spark, rooms, sql, dropped, n):
+    found = relax.relax(spark, sql)
+    assert (found and found.dropped, found and found.count) == (dropped, n)
+
+
+def test_bounds_and_unusable_tables_reach_the_caller(spark, rooms):
+    long = " AND ".join(f"id = {1000 + k}" for k in range(40))
+    with pytest.raises(relax.TooManySubsets):
+        relax.relax(spark, f"SELECT DISTINCT id FROM rooms WHERE {long}")
+    with pytest.raises(relax.TooManySubsets):
+        relax.relax(spark, f"SELECT id FROM rooms WHERE {' AND '.join(f'(id = {k} OR rooms = {k + 50})' for k in range(8))}")
+    assert relax.relax(spark, "SELECT DISTINCT id FROM rooms WHERE rooms = 77", usable={"halls"}) is None
+    assert relax.relax(spark, "SELECT DISTINCT id FROM rooms WHERE rooms = 77", usable={"Rooms"}).count == 40
 
 
 def test_negations_reach_the_constraints(spark):
