@@ -16,12 +16,16 @@ def precision_at_k(predictions: Column, targets: Column, k: int) -> Column:
     return F.when(F.coalesce(F.size(predictions), F.lit(0)) == 0, 0.0).otherwise(hits / k)
 
 
-def recall_at_k(predictions: Column, targets: Column, k: int, required: int | None = None) -> Column:
-    """Share of the targets that are among the first k predictions; of ``required`` targets, k at most, where given."""
+def recall_at_k(predictions: Column, targets: Column, k: int, required: int | None = None, total: Column | None = None) -> Column:
+    """Share of the targets that are among the first k predictions; of ``required`` targets, k at most, where given.
+
+    With ``total``, the number of targets, those that were never predicted needn't be listed.
+    """
     found = F.size(F.filter(F.array_distinct(targets), lambda x: F.array_contains(F.slice(predictions, 1, max(1, k)), x)))
-    need = F.size(targets) if required is None else F.lit(max(1, min(required, k)))
-    share = F.least(F.lit(1.0), found / need)
-    return F.when(F.size(targets) == 0, 1.0).when((F.size(predictions) == 0) | F.lit(k <= 0), 0.0).otherwise(share)
+    every = F.size(targets) if total is None else total
+    need = every if required is None else F.lit(max(1, min(required, k)))
+    share = F.least(F.lit(1.0), found / F.nullif(need, F.lit(0)))
+    return F.when(every == 0, 1.0).when((F.size(predictions) == 0) | F.lit(k <= 0), 0.0).otherwise(share)
 
 
 def column_signatures(result: DataFrame, order: list[str]) -> DataFrame:

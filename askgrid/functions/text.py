@@ -44,10 +44,15 @@ def flat_header(rows: Column) -> Column:
     return F.array_join(F.filter(rows, lambda x: x.isNotNull() & (F.trim(x) != "")), "_")
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space around it, line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def last_fence(text: Column, language: str) -> Column:
     """The body of the last fenced block of a language; null without one."""
     blocks = F.regexp_extract_all(text, F.lit(rf"(?s)```{language}\s*(.*?)```"), 1)
-    return F.when(F.size(blocks) > 0, F.trim(F.element_at(blocks, -1)))
+    return F.when(F.size(blocks) > 0, stripped(F.element_at(blocks, -1)))
 
 
 def json_block(text: Column) -> Column:
@@ -64,6 +69,12 @@ def tool_call(text: Column) -> Column:
     return F.struct(F.get_json_object(body, "$.name").alias("name"), F.get_json_object(body, "$.arguments").alias("arguments"))
 
 
+def tool_calls(text: Column) -> Column:
+    """[(name, arguments)] of all tool calls in tags, in order."""
+    bodies = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), 1)
+    return F.transform(bodies, lambda b: F.struct(F.get_json_object(b, "$.name").alias("name"), F.get_json_object(b, "$.arguments").alias("arguments")))
+
+
 def route_choice(text: Column) -> Column:
     """sql, vector or none: the JSON answer's choice, else the first of the words in the text, else vector."""
     said = F.lower(F.get_json_object(F.coalesce(json_block(text), text), "$.choice"))
@@ -87,7 +98,7 @@ def normal_sql(sql: Column) -> Column:
 
 
 def without_reasoning(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)^.*</think>", ""))
+    return stripped(F.regexp_replace(text, r"(?s)^.*</think>", ""))
 
 
 def tokens(text: Column) -> Column:
@@ -124,7 +135,12 @@ def is_sensitive(text: Column, words: list[str]) -> Column:
 
 def section(text: Column, title: str) -> Column:
     """What stands between a title with a colon and the next such title."""
-    return F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n){title}:\s*(.*?)(?=\n[\p{{L}} ]+:|$)", 1))
+    return stripped(F.regexp_extract(text, rf"(?s)(?:^|\n){title}:\s*(.*?)(?=\n[\p{{L}} ]+:|$)", 1))
+
+
+def sections(text: Column, titles: list[str]) -> Column:
+    """A structured answer: what stands under each title, as one struct; null for a title that isn't there."""
+    return F.struct(*[F.nullif(section(text, t), F.lit("")).alias(t) for t in titles])
 
 
 def relatedness(related: Column, duplicate: Column, rewrite: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askgrid.functions import metrics, text
-from askgrid.operators import chatlog, columns, search, sheets
+from askgrid.operators import chatlog, columns, search
 from askgrid.plans import predicates, relax, rewrite
 from askgrid.plans.guard import checked
 from askgrid.sources import catalog
@@ -212,9 +213,24 @@ def value_index_distinct(spark, sf_dir):
     return search.distinct_values(read(spark, sf_dir, "part"), "part")
 
 
-@query()
+_TRIGRAMS = (
+    "WITH vals AS (SELECT DISTINCT 'p_name' AS c, trim(p_name) AS v FROM part UNION SELECT DISTINCT 'p_brand', trim(p_brand) FROM part UNION SELECT DISTINCT 'p_type', trim(p_type) FROM part),"
+    " texts AS (SELECT c, v, 0 AS q, '  ' || lower(c || ': ' || v) || ' ' AS t FROM vals UNION ALL SELECT c, v, 1, '  ' || lower({shown}) || ' ' FROM {asked}),"
+    " grams AS (SELECT c, v, q, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i+2])) AS g FROM texts),"
+    " codes AS (SELECT c, v, q, ('0x' || substr(md5(g), 1, 8))::BIGINT AS code FROM grams),"
+    " dims AS (SELECT c, v, q, code % 256 AS d, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS w FROM codes GROUP BY ALL),"
+    " norms AS (SELECT c, v, q, sqrt(sum(w * w)) AS n FROM dims GROUP BY ALL),"
+    " pairs AS (SELECT a.c AS ac, a.v AS av, b.c, b.v FROM texts a JOIN texts b ON a.q = 1 AND b.q = 0 {same}),"
+    " dots AS (SELECT a.c AS ac, a.v AS av, b.c, b.v, sum(a.w * b.w) AS dot FROM dims a JOIN dims b ON a.q = 1 AND b.q = 0 AND a.d = b.d GROUP BY ALL),"
+    " scored AS (SELECT p.c AS column_name, p.av AS asked, p.v AS value, round(coalesce(d.dot, 0) / x.n / y.n, 4) AS score FROM pairs p LEFT JOIN dots d ON d.ac = p.ac AND d.av = p.av AND d.c = p.c AND d.v = p.v"
+    " JOIN norms x ON x.q = 1 AND x.c = p.ac AND x.v = p.av JOIN norms y ON y.q = 0 AND y.c = p.c AND y.v = p.v),"
+    " ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name, asked ORDER BY score DESC, value)::INT AS rank FROM scored)"
+)
+
+
+@query(_TRIGRAMS.format(shown="c || ': ' || v", same="AND a.c = b.c", asked="(VALUES ('p_name', 'smal widgit'), ('p_type', 'standrd')) a(c, v)") + " SELECT 'part' AS table_name, column_name, asked, value, score, rank FROM ranked WHERE rank <= 3")
 def similar_part_values(spark, sf_dir):
-    """Closest values of two misspelt predicates, by hashed trigrams (no SQL form)."""
+    """Closest values of two misspelt predicates, by hashed trigrams."""
     part = read(spark, sf_dir, "part")
     embedder = search.HashingEmbedder()
     index = search.embed_values(search.distinct_values(part, "part"), embedder)
@@ -222,11 +238,24 @@ def similar_part_values(spark, sf_dir):
     return search.similar_values(wanted, index, embedder, 3)
 
 
+@query(_TRIGRAMS.format(shown="v", same="", asked="(VALUES ('', 'which widgets are small')) a(c, v)") + " SELECT 'part' AS table_name, column_name, value, score, rank FROM ranked WHERE rank <= 3")
+def values_like_a_message(spark, sf_dir):
+    """The closest values of every text column to a whole question; the index grows by what it lacks."""
+    values, embedder = search.distinct_values(read(spark, sf_dir, "part"), "part"), search.HashingEmbedder()
+    half = search.embed_values(values.where("column_name = 'p_brand'"), embedder)
+    return search.similar_to_message("which widgets are small", search.extend_index(half, values, embedder), embedder, 3)
+
+
 def _judged(spark, sf_dir):
-    found = _knn(spark, sf_dir, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("score"), "vec_id", "label"))), lambda x: x["vec_id"]).alias("predictions"))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    wanted = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(rows, "label").where("vec_id <> query_id")
-    return found.join(wanted.groupBy("query_id").agg(F.collect_set("vec_id").alias("targets")), "query_id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<bigint>")))
+    """The first 10 predictions of each query, those of them that are targets (rows of the query's label), and how many targets there are; a label's rows are counted, never listed."""
+    labels = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    wanted = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("_wanted"))
+    sizes = labels.groupBy(F.col("label").alias("_wanted")).agg(F.count("*").alias("_n"))
+    found = _knn(spark, sf_dir, 10).join(wanted, "query_id")
+    place = F.array_sort(F.collect_list(F.struct("rank", "vec_id", (F.col("label") == F.col("_wanted")).alias("hit"))))
+    lists = found.groupBy("query_id", "_wanted").agg(place.alias("_p")).join(sizes, "_wanted", "left")
+    hits = F.transform(F.filter("_p", lambda x: x["hit"]), lambda x: x["vec_id"])
+    return lists.select("query_id", F.transform("_p", lambda x: x["vec_id"]).alias("predictions"), hits.alias("targets"), (F.col("_n") - 1).alias("n_targets"))
 
 
 _JUDGED = f"{_KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s), p AS (SELECT query_id, list(vec_id ORDER BY k) FILTER (k <= 5) AS top FROM r GROUP BY 1), t AS (SELECT a.vec_id AS query_id, coalesce(list(b.vec_id) FILTER (b.vec_id IS NOT NULL), []) AS targets FROM e a LEFT JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1), h AS (SELECT query_id, targets, len(list_filter(top, lambda x: list_contains(targets, x))) AS hits FROM p JOIN t USING (query_id))"
@@ -239,20 +268,27 @@ def precision_at_k(spark, sf_dir):
 
 @query(f"{_JUDGED} SELECT query_id, CASE WHEN len(targets) = 0 THEN 1.0 ELSE round(hits::DOUBLE / len(targets), 6) END::DOUBLE AS score FROM h")
 def recall_at_k(spark, sf_dir):
-    return _judged(spark, sf_dir).select("query_id", F.round(metrics.recall_at_k(F.col("predictions"), F.col("targets"), 5), 6).alias("score"))
+    return _judged(spark, sf_dir).select("query_id", F.round(metrics.recall_at_k(F.col("predictions"), F.col("targets"), 5, total=F.col("n_targets")), 6).alias("score"))
 
 
 @query(f"{_JUDGED} SELECT query_id, CASE WHEN len(targets) = 0 THEN 1.0 ELSE round(least(1.0, hits / 2.0::DOUBLE), 6) END::DOUBLE AS score FROM h")
 def recall_required_n(spark, sf_dir):
-    return _judged(spark, sf_dir).select("query_id", F.round(metrics.recall_at_k(F.col("predictions"), F.col("targets"), 5, required=2), 6).alias("score"))
+    return _judged(spark, sf_dir).select("query_id", F.round(metrics.recall_at_k(F.col("predictions"), F.col("targets"), 5, required=2, total=F.col("n_targets")), 6).alias("score"))
 
 
-@query("SELECT count(*) AS left_rows, count(*) AS right_rows, 3::BIGINT AS matched, 3::BIGINT AS columns, true AS correct FROM (SELECT DISTINCT p_brand FROM part)")
+@query(
+    "WITH c AS (SELECT * FROM orders WHERE o_orderkey % 7 <> 0)"
+    " SELECT 'same' AS kind, count(*) AS left_rows, count(*) AS right_rows, 6::BIGINT AS matched, 6::BIGINT AS columns, true AS correct FROM orders"
+    " UNION ALL SELECT 'changed', count(*), count(*), 6 - count(DISTINCT CASE WHEN o_totalprice <> o_totalprice + (o_orderkey = 7)::INT THEN 1 END), 6, (6 - count(DISTINCT CASE WHEN o_orderkey = 7 THEN 1 END)) / 6.0 > 0.8 FROM orders"
+    " UNION ALL SELECT 'fewer', (SELECT count(*) FROM orders), (SELECT count(*) FROM c), 0, 6, false"
+)
 def execution_accuracy(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    left = part.groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_size").alias("m"))
-    right = part.groupBy("p_brand").agg(F.max("p_size").alias("most"), F.count("*").alias("count")).select("most", "p_brand", "count")
-    return metrics.execution_match(left, right, ["p_brand"], ["p_brand"]).withColumn("matched", F.col("matched").cast("bigint"))
+    """Whole orders against themselves dealt anew, with one value changed, and with rows left out; a changed key alone leaves five of six columns."""
+    orders = read(spark, sf_dir, "orders")
+    changed = orders.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") == 7, 1).otherwise(0))
+    others = {"same": orders.select(*reversed(orders.columns)).repartition(7), "changed": changed, "fewer": orders.where("o_orderkey % 7 <> 0")}
+    rows = [metrics.execution_match(orders, o, ["o_orderkey"], ["o_orderkey"]).select(F.lit(k).alias("kind"), "*") for k, o in others.items()]
+    return reduce(DataFrame.unionByName, rows).withColumn("matched", F.col("matched").cast("bigint"))
 
 
 _PLACED = "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)"
@@ -353,28 +389,15 @@ def cell_types(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(cells).groupBy(text.cell_type(F.col("v")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
-def column_relatedness(spark, sf_dir):
-    """Which text columns of part share long stretches (no SQL form: longest common blocks)."""
-    return columns.related_columns(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
-
-
-_GRID = [(1, 2, "Name"), (1, 3, "Price"), (2, 2, "a"), (2, 3, "1"), (3, 3, "2"), (4, 2, "c"), (4, 3, "3"), (6, 1, "Solo"), (8, 4, "H"), (9, 4, "x"), (10, 4, "y"), (10, 5, "wide")]
-
-
-def _grid(spark):
-    return spark.createDataFrame([("s", *x) for x in _GRID], "sheet string, r int, c int, v string")
+def _related_sql() -> str:
+    near = "len(list_filter(range(1, length({x}) - 3), lambda i: contains({y}, {x}[i:i+4]))) > 0 OR contains({x}, {y}) OR contains({y}, {x})"
+    return " UNION ALL ".join(f"SELECT '{a}' AS left, '{b}' AS right, bool_and({near.format(x=f'lower(trim({a}))', y=f'lower(trim({b}))')}) AS related FROM part" for a, b in (("p_name", "p_brand"), ("p_name", "p_type"), ("p_brand", "p_type")))
 
 
-@query("SELECT * FROM (VALUES ('s', 0, 1, 4, 2, 2, 3), ('s', 1, 8, 9, 4, 1, 1)) t(sheet, table_index, start_row, end_row, start_col, num_cols, num_data_rows)")
-def table_detect(spark, sf_dir):
-    return sheets.detect_tables(_grid(spark))
-
-
-@query(f"WITH g AS (SELECT * FROM (VALUES {', '.join(map(str, _GRID))}) t(r, c, v)), m AS (SELECT 2 AS r1, 3 AS r2, 2 AS c1, 2 AS c2), f AS (SELECT 2 AS r, 2 AS c UNION ALL SELECT 3, 2) SELECT 's' AS sheet, r, c, v FROM g WHERE (r, c) NOT IN (SELECT (r, c) FROM f) UNION ALL SELECT 's', f.r, f.c, 'a' FROM f")
-def merge_fill(spark, sf_dir):
-    merges = spark.createDataFrame([("s", 2, 3, 2, 2)], "sheet string, min_row int, max_row int, min_col int, max_col int")
-    return sheets.fill_merged(_grid(spark), merges)
+@query(_related_sql().replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+def column_relatedness(spark, sf_dir):
+    """Which text columns of part share five characters in a row in every row."""
+    return columns.related_columns(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
 
 @query("SELECT p_partkey AS rowid, floor((p_partkey - 1) / 3)::BIGINT AS batch FROM part")
@@ -382,9 +405,14 @@ def rerank_batches(spark, sf_dir):
     return search.rerank_batches(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("rowid"))).select("rowid", F.col("batch").cast("bigint").alias("batch"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rowid FROM orders")
+@query("SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rowid FROM orders")
 def rowid_dense(spark, sf_dir):
-    return catalog.dense_rowid(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "rowid")
+    return catalog.dense_rowid(read(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rowid FROM lineitem")
+def rowid_lineitem(spark, sf_dir):
+    return catalog.dense_rowid(read(spark, sf_dir, "lineitem"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
 @query("SELECT * FROM (VALUES ('string', 'TEXT'), ('integer', 'INTEGER'), ('number', 'REAL'), ('boolean', 'INTEGER'), ('datetime', 'TEXT'), ('array', 'TEXT')) t(json_type, sql_type)")
@@ -409,3 +437,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 2) AS mean, max(p_size) AS largest FROM part WHERE p_name LIKE '%WIDGET%' GROUP BY p_brand HAVING avg(p_retailprice) < (SELECT avg(p_retailprice) FROM part) ORDER BY mean, p_brand;",
     )
+
+
+from askgrid import queries_tables, queries_text  # noqa: E402,F401  they register their own
