@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from askgrid.sources.catalog import dense_rowid
 
 
+#: Ranges of values that are counted apart.
+RANGES = 64
+
+
 def precision_at_k(predictions: Column, targets: Column, k: int) -> Column:
     """Share of the first k predictions that are targets; repeated predictions count every time."""
     if k <= 0:
@@ -67,10 +71,11 @@ def latency_stats(rows: DataFrame, value: str, ok: Column | None = None) -> Data
     counts = rows.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("c"), F.count_if(F.coalesce(ok, F.lit(True)) if ok is not None else F.lit(True)).alias("k"))
     places = [F.expr(f"max_by(v, v) FILTER (WHERE below <= least(floor(n * {q}D), n - 1))").alias(f"p{name}") for q, name in (("0.95", 95), ("0.99", 99))]
     whole = counts.agg(F.sum("c").alias("n"), F.sum("k").alias("k"), F.sum(F.col("v") * F.col("c")).alias("total"))
-    # Running counts over distinct values, range by range: offsets of ranges first, then inside each range.
-    bounds = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    part = F.least(F.lit(255), F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * 256)).alias("part")
-    ranged = counts.join(F.broadcast(bounds), F.lit(True)).select("v", "c", part)
+    # Running counts over distinct values, range by range: bounds are quantiles, so that ranges are alike in size
+    # however the values lie; offsets of ranges first, then inside each range.
+    cuts = counts.agg(F.coalesce(F.approx_percentile("v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES), F.array().cast("array<double>")).alias("cuts"))
+    part = F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part")
+    ranged = counts.join(F.broadcast(cuts), F.lit(True)).select("v", "c", part)  # one row of RANGES numbers
     offsets = ranged.groupBy("part").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(offsets.select("part", "before")), "part").withColumn("below", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)))

@@ -8,12 +8,16 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askgrid.functions.text import embedding_text
 
-QUERY_BLOCK, ROW_BLOCK = 512, 20_000
+QUERY_BLOCK, ROW_BLOCK, MOST_QUERIES = 512, 20_000, 8192
+MARGIN = 1.1e-4  # scores that may round alike
 INDEX = "table_name string, column_name string, value string, embedding array<float>"
 
 
@@ -81,27 +85,75 @@ def extend_index(index: DataFrame, values: DataFrame, embedder: Embedder) -> Dat
     return index.unionByName(embed_values(fresh, embedder))
 
 
+def _best_of_batches(asked: pa.Table, query: str, shared: list[str], keys: list[str], value: str, k: int | None, least: float | None, leave_self: bool):
+    """Scores of each batch of rows with all queries by one matrix product a block; what can't be among the best of the batch stays there."""
+    wanted = np.stack(asked["_q"].to_pylist()).astype(np.float64) if asked.num_rows else np.zeros((0, 0))
+    places = {}
+    for i, key in enumerate(zip(*[asked[c].to_pylist() for c in shared]) if shared else [()] * asked.num_rows):
+        places.setdefault(key, []).append(i)
+    own = asked[query].combine_chunks()
+    ids = np.array(own.to_pylist(), object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch["embedding"]
+            whole = pc.equal(pc.list_value_length(vectors), wanted.shape[1]).fill_null(False)
+            batch = batch.filter(whole)
+            if not batch.num_rows or not len(wanted):
+                continue
+            rows = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+            rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[batch[c].to_pylist() for c in keys]) if keys else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(i)
+            rest = batch.drop_columns("embedding")
+            names = np.array(batch[value].to_pylist(), object) if leave_self else None
+            for key, inside in groups.items():
+                asks = places.get(tuple(key[keys.index(c)] for c in shared), [])
+                for at in range(0, len(asks), QUERY_BLOCK):
+                    some = np.array(asks[at : at + QUERY_BLOCK])
+                    scores = rows[inside] @ wanted[some].T
+                    if leave_self:
+                        scores[names[inside][:, None] == ids[some][None, :]] = -np.inf
+                    good = np.isfinite(scores)
+                    if least is not None:
+                        good &= scores >= least - MARGIN
+                    if k is not None and len(inside) > k:
+                        good &= scores >= np.partition(scores, len(inside) - k, axis=0)[len(inside) - k] - MARGIN
+                    r, q = np.nonzero(good)
+                    if len(r):
+                        out = rest.take(pa.array(np.array(inside)[r]))
+                        yield pa.RecordBatch.from_arrays([*out.columns, own.take(pa.array(some[q])), pa.array(scores[r, q])], [*out.schema.names, query, "score"])
+
+    return run
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int | None, keys: list[str], value: str, query: str = "query_id", least: float | None = None, leave_self: bool = False) -> DataFrame:
     """The k best rows of ``index`` for each row of ``queries`` (query, embedding), or all that score ``least``: score, rank; ties to the smaller value.
 
-    The query set meets all rows in blocks. While it fits in one block of QUERY_BLOCK queries it is
-    broadcast; beyond, blocks of queries and of rows are joined on both their numbers, so no task
-    gets more than one block of each. The best k are cut in each task before anything is shuffled.
+    Up to MOST_QUERIES queries go to every task, which multiplies its rows' matrix with theirs and
+    keeps what may be among the best, to within the rounding of scores. Beyond, blocks of queries
+    and of rows are joined on both their numbers, so no task gets more than one block of each.
+    Rows without a whole vector take no part.
     """
     shared = [c for c in keys if c in queries.columns]
-    asked = queries.select(query, *shared, unit(F.col("embedding")).alias("_q"))
-    rows = index.withColumn("_v", unit(F.col("embedding"))).drop("embedding")
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    if blocks <= 1:
-        met = rows.withColumn("_b", F.lit(0)).join(F.broadcast(asked.withColumn("_b", F.lit(0))), ["_b", *shared])
+    asked = queries.select(query, *shared, unit(F.col("embedding")).alias("_q")).where("_q is not null and not exists(_q, x -> x is null)")
+    n = asked.count()
+    if n <= MOST_QUERIES:
+        rows = index.where("embedding is not null and not exists(embedding, x -> x is null)")
+        rest = T.StructType([*[f for f in index.schema if f.name != "embedding"], asked.schema[query], T.StructField("score", T.DoubleType())])
+        found = rows.select(*[f.name for f in index.schema]).mapInArrow(_best_of_batches(asked.toArrow(), query, shared, keys, value, k, least, leave_self), rest)
+        scored = found.withColumn("score", F.round("score", 4))
     else:
+        blocks, rows = -(-n // QUERY_BLOCK), index.withColumn("_v", unit(F.col("embedding"))).drop("embedding")
         parts = max(1, -(-rows.count() // ROW_BLOCK))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         asked = asked.withColumn("_b", own(query, blocks)).withColumn("_c", every(parts))
-        met = rows.withColumn("_c", own(value, parts)).withColumn("_b", every(blocks)).join(asked, ["_b", "_c", *shared]).drop("_c")
-    met = met.where(F.col(value) != F.col(query)) if leave_self else met
-    scored = met.withColumn("score", F.round(dot(F.col("_q"), F.col("_v")), 4)).drop("_q", "_v", "_b")
+        met = rows.withColumn("_c", own(value, parts)).withColumn("_b", every(blocks)).join(asked, ["_b", "_c", *shared])
+        met = met.where(F.col(value) != F.col(query)) if leave_self else met
+        scored = met.withColumn("score", F.round(dot(F.col("_q"), F.col("_v")), 4)).drop("_q", "_v", "_b", "_c").where("score is not null")
     scored = scored.where(F.col("score") >= least) if least is not None else scored
     if k is None:
         return scored

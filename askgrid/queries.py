@@ -148,7 +148,7 @@ def predicate_literals(spark, sf_dir):
 _CONDITIONS = ["p_size > 40", "p_name LIKE '%widget%'", "p_retailprice < 1000", "p_brand = 'none'"]
 
 
-@query(f"SELECT ({' + '.join(f'CASE WHEN {c} THEN {1 << k} ELSE 0 END' for k, c in enumerate(_CONDITIONS))})::INT AS mask, count(*) AS n FROM part GROUP BY 1")
+@query(f"SELECT ({' + '.join(f'CASE WHEN {c} THEN {1 << k} ELSE 0 END' for k, c in enumerate(_CONDITIONS))})::BIGINT AS mask, count(*) AS n FROM part GROUP BY 1")
 def relax_masks(spark, sf_dir):
     return relax.masks(read(spark, sf_dir, "part"), _CONDITIONS)
 

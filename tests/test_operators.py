@@ -345,3 +345,16 @@ def test_a_models_answers_about_tables_are_checked(spark):
 def test_json_arrays_come_back(spark, tmp_path):
     logs.write_json(spark.range(7).selectExpr("id", "concat('t\"', id) AS t"), str(tmp_path / "j"))
     assert sorted(map(tuple, logs.read_json(spark, str(tmp_path / "j"), "id long, t string").collect())) == [(k, f't"{k}') for k in range(7)]
+
+
+def test_nearest_is_alike_in_one_and_in_many_blocks(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
+    rows = rows.unionByName(spark.createDataFrame([(9001, 1, None), (9002, 1, [1.0, 2.0]), (9003, 1, [0.0] * 64)], "vec_id long, label int, embedding array<float>"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    for keys, k, least in ((["label"], 3, None), ([], 4, None), ([], None, 0.3)):
+        got = []
+        for most in (8192, 0):
+            monkeypatch.setattr(search, "MOST_QUERIES", most)
+            found = search.nearest(asked, rows.where("vec_id <> 9002"), k, keys, "vec_id", least=least, leave_self=True)
+            got.append(sorted((r.query_id, r.vec_id, r.score) for r in found.collect()))
+        assert got[0] == got[1] and len(got[0]) > 20
