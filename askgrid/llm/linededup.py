@@ -5,9 +5,10 @@ part of it). A suffix is named by its first line, then by its first 2, 4, 8 ...
 of 2n lines is made of the names of n lines at its start and n lines further on. Suffixes of one
 name share so long a prefix, which is an interval of the suffix array whose longest common prefix
 is at least that long. A name that occurs once can't be part of a longer repeat, so each round
-goes on with the repeated ones alone and the tables shrink. Doubling ends at ``min_lines``: the
-union of repeated windows of ``min_lines`` lines is exactly the union of all maximal repeated runs
-of at least so many lines, whatever their length.
+goes on with the repeated ones alone, the tables shrink, and doubling ends when no name occurs
+twice. ``min_lines`` is one of the lengths on the way. A suffix's longest interval is the longest
+run, of the lengths named, that begins there and has been seen before; runs of neighbouring
+suffixes overlap, and what they cover without a gap is a maximal repeated run.
 
 A line is deleted if it is in a run of ``min_lines`` lines, or is itself a line of ``min_chars``
 characters, that occurs earlier: in an earlier document by doc_id, or further up. Everything is
@@ -23,7 +24,10 @@ columns begin with ``_ag_``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrid.llm.workspace import forget, free_name, written
@@ -66,28 +70,60 @@ def _ahead(rows: DataFrame, by: int) -> DataFrame:
     return both.select(*_KEY, "pos", *_hashes(F.col("n1"), F.col("m1"), F.col("n2"), F.col("m2")))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_ag_id, _ag_hash, line): line numbers, from 0, of all later copies."""
+def _suffixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, pos, line, chars, name): every line with a word as the suffix that begins there."""
     word = lambda x: x["s"].rlike(_WORD)
     lines = F.filter(F.transform(_lines(text_col), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), word)
     named = F.transform(lines, lambda x: F.struct(x["i"].alias("line"), F.char_length(x["s"]).alias("chars"), F.xxhash64(x["s"]).alias("n1"), F.xxhash64(F.lit(1), x["s"]).alias("n2")))
-    rows = _keyed(docs, id_col, text_col).select(*_KEY, F.posexplode(named).alias("pos", "x")).select(*_KEY, "pos", "x.*")
-    level = _repeated(rows, "suffixes-1")
-    place = level.select(*_KEY, "pos", "line").distinct()
-    found = level.where(F.col("later") & (F.col("chars") >= min_chars)).select(*_KEY, "line")
+    return _keyed(docs, id_col, text_col).select(*_KEY, F.posexplode(named).alias("pos", "x")).select(*_KEY, "pos", "x.*")
+
+
+def _spans(min_lines: int) -> Iterator[tuple[int, int]]:
+    """(length named so far, further lines): doubling, by way of ``min_lines``."""
+    span = 1
+    while True:
+        step = min_lines - span if span < min_lines < 2 * span else span
+        yield span, step
+        span += step
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
+    """(key, pos, line, gone, begins): repeated lines in their documents, whether they are later copies, and whether such a one begins a maximal run."""
+    level = _repeated(_suffixes(docs, id_col, text_col), "suffixes-1")
+    lines, ends = level, []
     if min_lines <= 1:
-        found = level.where("later").select(*_KEY, "line")
+        ends.append(level.where("later").select(*_KEY, "pos", (F.col("pos") + 1).alias("end")))
+    for span, step in _spans(min_lines):
+        level = _repeated(_ahead(level.select(*_KEY, "pos", *_NAME), step), f"suffixes-{span + step}")
+        if level.isEmpty():
+            break
+        if span + step >= min_lines:
+            ends.append(level.where("later").select(*_KEY, "pos", (F.col("pos") + span + step).alias("end")))
+    own = F.col("later") & (F.col("chars") >= min_chars)
+    marked = lines.select(*_KEY, "pos", "line", F.when(own, F.col("pos") + 1).alias("own")).distinct()
+    if ends:
+        longest = reduce(DataFrame.unionByName, ends).groupBy(*_KEY, "pos").agg(F.max("end").alias("end"))
+        marked = marked.join(longest, [*_KEY, "pos"], "left")
     else:
-        span = 1
-        level = level.select(*_KEY, "pos", *_NAME)
-        while 2 * span <= min_lines:
-            level = _repeated(_ahead(level, span), f"suffixes-{2 * span}")
-            span *= 2
-        if span < min_lines:
-            level = _repeated(_ahead(level.select(*_KEY, "pos", *_NAME), min_lines - span), f"suffixes-{min_lines}")
-        inside = level.where("later").select(*_KEY, F.explode(F.sequence(F.col("pos"), F.col("pos") + min_lines - 1)).alias("pos")).distinct()
-        found = found.unionByName(inside.join(place, [*_KEY, "pos"]).select(*_KEY, "line"))
-    return found.distinct()
+        marked = marked.withColumn("end", F.lit(None).cast("int"))
+    # Every line of a repeated run is a repeated line, so runs are covered row by row.
+    before = Window.partitionBy(*_KEY).orderBy("pos")
+    reach = F.coalesce(F.max(F.greatest("end", "own")).over(before), F.lit(-1))
+    earlier = F.coalesce(F.max(F.greatest("end", "own")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    return marked.select(*_KEY, "pos", "line", (reach > F.col("pos")).alias("gone"), (earlier <= F.col("pos")).alias("begins"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(_ag_id, _ag_hash, line): line numbers, from 0, of all later copies."""
+    return _marked(docs, id_col, text_col, min_lines, min_chars).where("gone").select(*_KEY, "line")
+
+
+def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, first_line, last_line, lines): the maximal runs of later copies in each distinct document, lines without a word inside them not counted."""
+    gone = _marked(docs, id_col, text_col, min_lines, min_chars).where("gone")
+    run = F.count_if("begins").over(Window.partitionBy(*_KEY).orderBy("pos"))
+    runs = gone.withColumn("_ag_run", run).groupBy(*_KEY, "_ag_run").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("lines"))
+    return runs.select(F.nullif("_ag_id", F.lit(-(2**63))).alias(id_col), "first_line", "last_line", "lines")
 
 
 def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:

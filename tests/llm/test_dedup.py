@@ -111,3 +111,13 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert out.count() == len(ODD) and rows[3].text is None and rows[4].text == "" and rows[2].text == ""
     assert rows[11].text == "\nother" and rows[10].n_deleted == 0
     assert linededup.delete_repeats(none).count() == 0
+
+
+def test_maximal_runs_of_any_length(spark):
+    long = [f"line {k}" for k in range(37)]
+    rows = [(1, "\n".join(["p", *long, "q"])), (2, "\n".join(["x", *long[3:36], "", "y"])), (3, "\n".join(["z", *long[:5], "", *long[5:9], "w", *long[20:23]])), (4, "\n".join(long[10:14] + ["new"] + long[30:34])), (5, "a\na\na\na\na\na\na")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(r) for r in linededup.maximal_runs(frame, min_chars=1000).collect())
+    assert found == [(2, 1, 33, 33), (3, 1, 10, 9), (4, 0, 3, 4), (4, 5, 8, 4), (5, 1, 6, 6)]
+    kept = sorted((r.doc_id, r.text) for r in linededup.delete_repeats(frame, min_chars=1000).collect())
+    assert kept == cleaned(rows, 4, 1000)
