@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.llm import language, linededup, neardup, packing, toxicity
-from askgrid.llm.workspace import table, written
+from askgrid.llm.workspace import forget, table, written
 
 #: Percent of shared five-word shingles from which documents count as near duplicates.
 NEAR = 80
@@ -68,8 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next reads it."""
+    """All stages over documents, each written before the next reads it; what a stage has read goes then.
+
+    What the last stage reads stays until ``workspace.sweep``, which a caller may call once the
+    result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
