@@ -173,7 +173,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         n = left.count()
         wanted = -(-n // group)
         groups = max(1, wanted if groups is None else min(wanted, groups // 2))
-        dealt = left.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(step)), F.lit(groups)))
+        # Dealt by place too, so that one row repeated many times goes to all groups.
+        dealt = left.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(step)), F.lit(groups)))
         packed = written(dealt.groupBy("pack_group").applyInPandas(_pack(step, capacity, groups == 1), schema), f"packed-{step}")
         forget(left)
         kept.append(packed.where("not released").select(*columns, "sequence_id", "offset"))

@@ -1,8 +1,9 @@
 """Quality rules and a hashed n-gram importance score.
 
 Two multinomials over ``BUCKETS`` hashed word unigrams and bigrams are estimated: the raw corpus
-over all documents, the trusted target over labelled rows of quality 1 (at most ``TARGET_ROWS``
-of them, in hash order). A document's score is its mean log likelihood ratio per n-gram, and
+over all documents, the trusted target over all labelled rows of quality 1, whose ids reach the
+texts by a broadcast while there are at most ``BROADCAST_IDS`` of them, and by a shuffled join
+beyond. A document's score is its mean log likelihood ratio per n-gram, and
 every document is decided by the same fixed threshold.
 
 Defined results: null or blank text has no words, fails the base rules and is not kept; without
@@ -23,7 +24,7 @@ from askgrid.llm import textcore
 from askgrid.llm.workspace import lean_batches
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 500_000
+BROADCAST_IDS = 2_000_000
 #: Mean log likelihood ratio per n-gram below which a document is dropped.
 THRESHOLD = -0.05
 _SYMBOL = np.zeros(256, np.int64)
@@ -75,10 +76,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """log(target / raw) of each bucket, add-one smoothed; raw counts cover every document."""
     lean_batches(docs.sparkSession)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS).withColumn("trusted", F.lit(True))
+    trusted = trusted.withColumn("trusted", F.lit(True))
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # TARGET_ROWS ids bound this broadcast.
-    marked = marked.join(F.broadcast(trusted), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    marked = marked.join(trusted, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = marked.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.collect():  # BUCKETS rows at most

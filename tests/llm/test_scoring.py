@@ -236,3 +236,27 @@ def test_words_are_split_at_six_characters_alone(text):
     assert words == re.findall(r"[^\x20\x09-\x0D]+", text)
     hashes = textcore.word_hashes(body)
     assert len(set(hashes.tolist())) == len(set(words)) and len(hashes) == len(words)
+
+
+def test_quality_scores_equal_the_ratios_by_hand(spark, sf, docs, monkeypatch):
+    import re
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ratios = quality.log_ratios(docs, labels)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert np.array_equal(ratios, quality.log_ratios(docs, labels))
+    found = {r.doc_id: r for r in quality.judge(docs, ratios).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        hashes = [textcore.word_hashes(w.encode()) for w in words]
+        grams = [int(h[0]) for h in hashes] + [int(textcore.windows(np.concatenate(p), 2)[0]) for p in zip(hashes, hashes[1:])]
+        score = np.mean([ratios[g % quality.BUCKETS] for g in grams]) if grams else 0.0
+        own = found[r.doc_id]
+        assert own.n_words == len(words) and own.word_chars == sum(map(len, words)) and abs(own.log_ratio - score) < 1e-9
+        assert own.kept == (not own.base_failed and own.log_ratio >= quality.THRESHOLD)
+
+
+def test_ties_of_languages_go_to_the_first_by_name(spark):
+    docs = spark.createDataFrame([("abc abd", "yy"), ("abc abd", "xx")], "text string, lang string")
+    rows = language.identify(spark.createDataFrame([(1, "abc")], "k long, text string"), language.fit(docs)).collect()
+    assert [(r.language, r.posterior) for r in rows] == [("xx", 0.5)]

@@ -135,3 +135,9 @@ def test_bounds_never_pass_the_optimum():
         bins, offsets, made = packing.best_fit_decreasing(np.array(items), 20)
         assert packing.lower_bound(np.array(items), 20) <= exact <= made
         assert max(o + n for o, n in zip(offsets, items)) <= 20
+
+
+def test_a_row_repeated_many_times_is_dealt_to_all_groups(spark):
+    items = spark.range(6000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "1000L AS length", "5L AS ids_crc32")
+    got = packing.pack(items, group=1000)
+    assert got.count() == 6000 and got.select("sequence_id").distinct().count() == 3000
