@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
@@ -11,13 +13,22 @@ from askgrid.plans.tree import Node, parse
 WRITES = ("plans.logical.Command", "plans.logical.ParsedStatement")
 
 
+#: String literals, comments and names in backticks stay; what is in double quotes is a name.
+_TOKENS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|"((?:[^"]|"")*)\"""", re.S)
+
+
 class NotAQuery(ValueError):
     """The statement is not a single read-only query."""
 
 
+def with_names(sql: str) -> str:
+    """Names in double quotes as names in backticks, whatever the session takes double quotes for."""
+    return _TOKENS.sub(lambda m: m[0] if m[1] is None else "`" + m[1].replace('""', '"').replace("`", "``") + "`", sql)
+
+
 def checked(spark: SparkSession, sql: str) -> tuple[str, Node]:
-    """The statement without a closing semicolon, and its parsed form; several statements or a write raise NotAQuery."""
-    sql = sql.strip()
+    """The statement without a closing semicolon, names in backticks, and its parsed form; several statements or a write raise NotAQuery."""
+    sql = with_names(sql.strip())
     while sql.endswith(";"):
         sql = sql[:-1].rstrip()
     try:

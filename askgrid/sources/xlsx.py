@@ -177,7 +177,10 @@ def _opened(path: str):
 
 
 def _created(path: str):
+    """A new file, its folder made where it is missing."""
     store, own = _files(path.replace("file:///", "/").removeprefix("file:"))
+    if posixpath.dirname(own):
+        store.create_dir(posixpath.dirname(own), recursive=True)
     return store.open_output_stream(own)
 
 

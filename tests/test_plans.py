@@ -1,6 +1,7 @@
 import pytest
 
 from askgrid.plans import guard, predicates, relax, rewrite
+from askgrid.plans.assist import execute
 
 SCHEMA = {
     "customers": {"id": "bigint", "first_name": "string", "last_name": "string", "country": "string"},
@@ -179,3 +180,11 @@ def test_profiles(spark, rooms):
     table = spark.table("rooms")
     assert tuple(relax.profile(table, "price").first()) == (0, 390)
     assert [tuple(r) for r in relax.profile(table, "district").collect()] == [(f"d{i}", 10) for i in range(4)]
+
+
+def test_names_in_double_quotes_in_any_session(spark, sf):
+    foreign = spark.newSession()
+    foreign.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "false")
+    foreign.read.parquet(f"{sf}/part.parquet").createOrReplaceTempView("part")
+    said = execute(foreign, """SELECT "p_brand" AS "the ""brand" FROM "part" WHERE "p_brand" <> '"x"' /* "y */ ORDER BY 1 LIMIT 1;""")
+    assert said["error"] is None and list(said["result"][0]) == ['the "brand'] and said["result"][0]['the "brand'].startswith("Brand#")
