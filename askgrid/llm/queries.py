@@ -163,8 +163,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, log_ratios(docs, table(spark, sf_dir, "labels")))
 
 
+def replanted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by the checksum h of its id, repeats its words from the a-th on with a period p.
+
+    With g = h div 10 and n words, a = g mod n and p = 1 + (n - a) div (3 + g mod 8). A null id changes nothing.
+    """
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = F.coalesce(F.col("h") % 10 == 0, F.lit(False))
+    words = F.when(chosen, F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    cut = hashed.select("doc_id", "text", words.alias("words"), F.floor(F.col("h") / 10).alias("g"))
+    cut = cut.withColumn("n", F.when(F.size("words") > 0, F.size("words"))).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    said = lambda start, length: F.array_join(F.slice("words", start, length), " ")
+    rest = F.col("n") - F.col("a")
+    again = F.repeat(F.concat(said(F.col("a") + 1, F.col("p")), F.lit(" ")), F.floor(rest / F.col("p")).cast("int"))
+    text = F.concat_ws(" ", said(F.lit(1), F.col("a")), again, said(F.col("a") + 1, (rest % F.col("p")).cast("int")))
+    return cut.select("doc_id", F.when(F.col("n").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.periodic import find_runs
+
+    found = find_runs(replanted(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("b.length") / -F.col("b.period"))
+    return out.select("doc_id", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, pages_language, chat_streams)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, op13_periodic_runs, pages_language, chat_streams)}
 
 
 def oracle_sql() -> dict[str, str]:
