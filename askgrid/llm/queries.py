@@ -163,6 +163,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, log_ratios(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.hardneg import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+      WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askgrid.llm.urlfilter import judge_urls
+
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+OP12_SQL = """
+WITH r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+m AS (SELECT u.*, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS n
+      FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+"""
+
+
 def replanted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every tenth document, by the checksum h of its id, repeats its words from the a-th on with a period p.
 
@@ -193,10 +234,10 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, op13_periodic_runs, pages_language, chat_streams)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_language_id, op4_best_fit_packing, op5_line_dedup, op6_minhash_neardup, op7_exact_topk, op8_toxicity, op9_chat_format, op10_quality, op11_hard_negatives, op12_url_filter, op13_periodic_runs, pages_language, chat_streams)}
 
 
 def oracle_sql() -> dict[str, str]:
     said = _op9_sql()
     own = "UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
-    return {"op2_warc": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_topk": OP7_SQL, "op9_chat_format": said, "chat_streams": said.replace(own, "")}
+    return {"op2_warc": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_topk": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_url_filter": OP12_SQL, "op9_chat_format": said, "chat_streams": said.replace(own, "")}

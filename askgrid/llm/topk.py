@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrid.llm.workspace import forget, written
@@ -37,13 +37,13 @@ PARTS = 2
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale * x) of each component of the vectors that take part."""
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256, **also: Column) -> DataFrame:
+    """(id, v): floor(scale * x) of each component of the vectors that take part; ``also`` are further columns."""
     value = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     # NaN compares above every number, and so fails the upper bound.
     sound = F.forall(value, lambda x: x.isNotNull() & (x > float("-inf")) & (x < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), value.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.coalesce(sound, F.lit(False)))
-    return rows.select("id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), value.alias("x"), *(c.alias(n) for n, c in also.items())).where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.coalesce(sound, F.lit(False)))
+    return rows.select("id", *also, F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def _blob(groups: int, width: int):
