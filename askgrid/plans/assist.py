@@ -179,10 +179,8 @@ class Assistant:
             return s
         try:
             found = relax(self.spark, s.queries[-1], usable=set(self.catalog.names()))
-        except TooManySubsets as e:
-            return replace(s, message=f"No rows, and not relaxed: {e}")
-        except PySparkException:
-            return s
+        except (TooManySubsets, PySparkException) as e:
+            return replace(s, message=f"No rows, and not relaxed: {str(e).splitlines()[0]}")
         return replace(s, relaxed=found, message=f"No rows; {found.count} without: {', '.join(found.dropped)}" if found else s.message)
 
     def search(self, conversation: list[tuple[str, str]]) -> State:

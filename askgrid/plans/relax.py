@@ -1,32 +1,43 @@
-"""Relaxing an over-constrained query: the largest subset of its constraints that has rows.
-
-A filtered projection is relaxed in one scan. Its condition is brought into disjunctive form, all
-constraints of a branch are evaluated as bits of a number, and the rows' numbers are counted: a
-row with the number m has all constraints of m, so the largest subset with rows is the number
-with the most bits among those that occur. Only that one comes back, however many constraints
-there are.
-
-Other queries (with GROUP BY, HAVING, DISTINCT, WITH, UNION, or filters in subqueries) have no
-row that shows what a constraint does to their result. Every WHERE of every scope gives its
-conjuncts, and subsets are run as queries, the largest first; beyond ``MOST_PROBES`` of them
-TooManySubsets tells the caller so.
+"""Relaxing an over-constrained query: the largest set of its constraints that has rows.
+
+A filtered projection is relaxed in one scan. Its condition is a tree of AND and OR over constraints;
+all of them are evaluated as bits, and the rows' bits are counted. How much of the condition a row
+keeps is a number too: what its parts keep added up for AND, the most of them for OR. The row that
+keeps most tells the branch and the constraints, however many of either there are.
+
+Other queries (with GROUP BY, HAVING, DISTINCT, WITH, UNION, filters in subqueries, or tables joined
+by their filter) have no row that shows what a constraint does to their result. Every WHERE of every
+scope gives its conjuncts, and ``lattice`` searches for the fewest to drop by conflicts. Where a
+query's rows needn't grow with what is dropped (HAVING, NOT IN, EXCEPT, scalar subqueries),
+a failed probe tells of no other set, and after ``MOST_PROBES`` of them TooManySubsets tells the
+caller so.
+
+What is relaxed is always the query's own text with constraints cut out, so that its order, limit,
+windows and names stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.plans.guard import checked
+from askgrid.plans.lattice import fewest_dropped, join_sides, top_conjuncts
+from askgrid.plans.masks import bit, has_bit, holding, masks
 from askgrid.plans.rewrite import splice
-from askgrid.plans.tree import Node, extent, frame, relations
+from askgrid.plans.tree import Node, blanked, extent, frame, relations
+from askgrid.sources.staging import forget, written
+
+__all__ = ["DEFAULT_ROWS", "Relaxed", "TooManySubsets", "condition", "constraints", "masks", "profile", "relax"]
 
 DEFAULT_ROWS = 15
-#: Queries that a search through subsets may take, branches that a condition may have, and bits of a mask.
-MOST_PROBES, MOST_BRANCHES, MASK_BITS = 200, 64, 62
+#: Queries that a search may run where no probe rules out another.
+MOST_PROBES = 200
+
+#: A constraint's text, or ("and" | "or", parts).
+Condition = str | tuple[str, list]
 
 
 class TooManySubsets(ValueError):
@@ -35,61 +46,103 @@ class TooManySubsets(ValueError):
 
 @dataclass
 class Relaxed:
+    """``probes`` is the number of queries that were run, scans for masks not counted."""
+
     kept: list[str]
     dropped: list[str]
     count: int
     rows: DataFrame
+    probes: int = 0
 
 
-def disjuncts(condition: Node, negated: bool = False) -> list[list[str]]:
-    """Disjunctive form: a list of lists of SQL constraints; MOST_BRANCHES lists at most."""
-    kind = condition.kind
-    if kind == "Not" and condition.children[0].kind in ("And", "Or", "Not"):
-        return disjuncts(condition.children[0], not negated)
-    if kind in ("And", "Or"):
-        left, right = (disjuncts(c, negated) for c in condition.children)
-        either = (kind == "Or") != negated
-        if (len(left) + len(right) if either else len(left) * len(right)) > MOST_BRANCHES:
-            raise TooManySubsets(f"at most {MOST_BRANCHES} branches in a condition")
-        return left + right if either else [a + [x for x in b if x not in a] for a in left for b in right]
-    return [[f"(NOT {condition.sql})" if negated else condition.sql]]
-
-
-def masks(source: DataFrame, constraints: list[str]) -> DataFrame:
-    """(mask, n): how many rows satisfy exactly the constraints whose bits are set; null counts as not satisfied."""
-    if len(constraints) > MASK_BITS:
-        raise TooManySubsets(f"at most {MASK_BITS} constraints in a branch")
-    mask = F.lit(0).cast("bigint")
-    for k, c in enumerate(constraints):
-        mask = mask.bitwiseOR(F.when(F.expr(c), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return source.select(mask.alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
-
-
-def best_subset(counts: DataFrame, n: int) -> tuple[tuple[int, ...], int] | None:
-    """The largest set of constraints that some rows satisfy, the first of them in order, and its count."""
-    # Of equally many bits the first constraints in order: reversed, their bits are the greatest number.
-    order = [F.desc(F.bit_count("mask")), F.desc(F.reverse(F.lpad(F.bin("mask"), n, "0")))]
-    best = counts.where("mask <> 0").orderBy(*order).limit(1).first()
-    if best is None:
-        return None
-    need = F.lit(best["mask"]).cast("bigint")
-    found = counts.where(F.col("mask").bitwiseAND(need) == need).agg(F.sum("n")).first()[0]
-    return tuple(k for k in range(n) if best["mask"] >> k & 1), found
+def _parts(n: Node, kind: str) -> list[Node]:
+    return [x for c in n.children for x in _parts(c, kind)] if n.kind == kind else [n]
 
 
-def constraints(sql: str, root: Node, usable: set[str] | None = None) -> list[tuple[int, int]]:
-    """Places of the conjuncts of every WHERE, in all scopes, in order; of scopes with a usable table alone, where those are named."""
+def _places(n: Node, sql: str) -> list[tuple[tuple[int, int], list[Node]]]:
+    """Parts of an AND or OR with their places; what the parser makes two comparisons of, such as BETWEEN, is one part."""
+    out: list[tuple[tuple[int, int], list[Node]]] = []
+    for x in _parts(n, n.kind):
+        start, stop = extent(x, sql)
+        if out and out[-1][0][0] == start:
+            out[-1] = ((start, max(stop, out[-1][0][1])), [*out[-1][1], x])
+        else:
+            out.append(((start, stop), [x]))
+    return out
+
+
+def condition(n: Node, sql: str, negated: bool = False) -> Condition:
+    """AND and OR over constraints, NOT moved down to them."""
+
+    def constraint(place: tuple[int, int]) -> str:
+        text = sql[slice(*place)].strip()
+        while text.startswith("(") and text.endswith(")") and _one_group(text):
+            text = text[1:-1].strip()
+        return f"(NOT ({text}))" if negated else f"({text})"
+
+    if n.kind == "Not" and (n.children[0].kind == "Not" or n.children[0].kind in ("And", "Or") and len(_places(n.children[0], sql)) > 1):
+        return condition(n.children[0], sql, not negated)
+    places = _places(n, sql) if n.kind in ("And", "Or") else [(extent(n, sql), [n])]
+    if len(places) == 1:
+        return constraint(places[0][0])
+    kind, parts = "or" if (n.kind == "Or") != negated else "and", []
+    for place, own in places:
+        part = condition(own[0], sql, negated) if len(own) == 1 else constraint(place)
+        parts += part[1] if isinstance(part, tuple) and part[0] == kind else [part]
+    return kind, parts
+
+
+def _one_group(text: str) -> bool:
+    """Whether the parentheses that begin and end a text belong together."""
+    depth = 0
+    for k, x in enumerate(blanked(text)):
+        depth += (x == "(") - (x == ")")
+        if depth == 0 and k < len(text) - 1:
+            return False
+    return True
+
+
+def _leaves(c: Condition) -> list[str]:
+    """The constraints, each once, in order."""
+    return list(dict.fromkeys([c] if isinstance(c, str) else [x for part in c[1] for x in _leaves(part)]))
+
+
+def _kept(c: Condition, at: dict[str, int]) -> Column:
+    """How many constraints of the best branch a row of masks keeps."""
+    if isinstance(c, str):
+        return bit(at[c])
+    parts = [_kept(x, at) for x in c[1]]
+    if c[0] == "or":
+        return F.greatest(*parts)
+    return sum(parts[1:], parts[0])
 
-    def conjuncts(n: Node) -> list[Node]:
-        return [x for c in n.children for x in conjuncts(c)] if n.kind == "And" else [n]
 
+def _whole(c: Condition, at: dict[str, int]) -> Column:
+    """Whether a row of masks satisfies the condition, as 0 or 1."""
+    if isinstance(c, str):
+        return bit(at[c])
+    return (F.greatest if c[0] == "or" else F.least)(*[_whole(x, at) for x in c[1]])
+
+
+def _branch(c: Condition, has: set[str]) -> list[str]:
+    """The constraints of the branch that keeps most, the first of equals."""
+    if isinstance(c, str):
+        return [c]
+    parts = [_branch(x, has) for x in c[1]]
+    if c[0] == "or":
+        return max(parts, key=lambda p: sum(x in has for x in p))
+    return list(dict.fromkeys(x for p in parts for x in p))
+
+
+def constraints(sql: str, root: Node, usable: set[str] | None = None) -> list[tuple[int, int]]:
+    """Places of the conjuncts of every WHERE, in all scopes, in order; of scopes with a usable table alone, where those are named."""
     places = set()
     for plan in root.plans():
         if plan.kind != "Filter":
             continue
         tables = {t.lower() for t in relations(plan.children[0]).values() if t}
         if usable is None or tables & {t.lower() for t in usable}:
-            places |= {p for n in conjuncts(plan.expressions[0]) if (p := extent(n, sql))}
+            places |= {p for n in top_conjuncts(plan.expressions[0]) if (p := extent(n, sql))}
     out: list[tuple[int, int]] = []
     for start, stop in sorted(places):  # what the parser makes two comparisons of, such as BETWEEN, is one constraint
         if out and start == out[-1][0]:
@@ -99,72 +152,84 @@ def constraints(sql: str, root: Node, usable: set[str] | None = None) -> list[tu
     return out
 
 
-def _by_probes(spark: SparkSession, sql: str, root: Node, max_rows: int, usable: set[str] | None) -> Relaxed | None:
-    """Subsets of all scopes' constraints, the fewest dropped first; a dropped one becomes true."""
+def _limited(root: Node) -> bool:
+    while root.kind in ("UnresolvedWith", "WithWindowDefinition", "Sort") and root.children:
+        root = root.children[0]
+    return root.kind in ("GlobalLimit", "LocalLimit")
+
+
+def _shown(spark: SparkSession, sql: str, root: Node, max_rows: int) -> DataFrame:
+    """The rows of a query; its own limit overrides ``max_rows``."""
+    rows = spark.sql(sql)
+    return rows if _limited(root) else rows.limit(max_rows)
+
+
+def _by_lattice(spark: SparkSession, sql: str, root: Node, max_rows: int, usable: set[str] | None) -> Relaxed | None:
+    """The constraints of all scopes, the fewest dropped; a dropped one becomes true."""
     places = constraints(sql, root, usable)
     texts = [sql[a:b] for a, b in places]
-    holds = lambda k: sum(places[k][0] <= a and b <= places[k][1] for a, b in places)
+    inside = lambda a, b: places[b][0] <= places[a][0] and places[a][1] <= places[b][1]
+    holds = lambda k: sum(inside(j, k) for j in range(len(places)))
     order = sorted(range(len(places)), key=lambda k: (holds(k), k))  # a constraint with others inside goes after them
-    probes = 0
-    for size in range(len(places) + 1):
-        for gone in combinations(order, size):
-            if any(i != j and places[j][0] <= places[i][0] and places[i][1] <= places[j][1] for i in gone for j in gone):
-                continue  # dropped with the constraint around it
-            probes += 1
-            if probes > MOST_PROBES:
-                raise TooManySubsets(f"no rows in {MOST_PROBES} subsets of {len(places)} constraints")
-            own = spark.sql(splice(sql, {(*places[k], "true") for k in gone}))
-            if own.limit(1).count():
-                if not gone:
-                    return None
-                return Relaxed([t for k, t in enumerate(texts) if k not in gone], [texts[k] for k in sorted(gone)], own.count(), own.limit(max_rows))
-    return None
-
-
-def _parts(root: Node) -> tuple[list[str], Node, int | None] | None:
-    """Select list, filter and limit of a filtered projection; None of any other query."""
-    limit, node = None, root
-    while node.kind in ("GlobalLimit", "LocalLimit", "Sort"):
-        if node.kind == "GlobalLimit":
-            limit = int(node.j.limitExpr().sql())
+
+    def without(gone: frozenset[int]) -> str:
+        return splice(sql, {(*places[k], "true") for k in gone})
+
+    def give_up(probes: int) -> None:
+        if probes > MOST_PROBES:
+            raise TooManySubsets(f"no rows in {MOST_PROBES} subsets of {len(places)} constraints")
+
+    gone, probes = fewest_dropped(spark, root, sql, places, order, inside, lambda g: not spark.sql(without(g)).limit(1).isEmpty(), give_up)
+    if not gone:
+        return None
+    relaxed = without(gone)
+    return Relaxed([t for k, t in enumerate(texts) if k not in gone], [texts[k] for k in sorted(gone)], spark.sql(relaxed).count(), _shown(spark, relaxed, root, max_rows), probes)
+
+
+def _filtered_projection(root: Node) -> Node | None:
+    """The filter of a projection of joined tables; None of any other query."""
+    node = root
+    while node.kind in ("GlobalLimit", "LocalLimit", "Sort", "WithWindowDefinition"):
         node = node.children[0]
     if node.kind != "Project" or node.children[0].kind != "Filter":
         return None
-    names = []
-    for e in node.expressions:
-        names.append("*" if e.kind == "UnresolvedStar" else e.children[0].sql if e.kind == "UnresolvedAlias" else f"{e.children[0].sql} AS `{e.j.name()}`" if e.kind == "Alias" else e.sql)
-    return names, node.children[0], limit
+    where = node.children[0]
+    if any(x.subquery is not None for e in where.expressions for x in e.walk()) or any(p.kind == "Filter" for p in where.children[0].plans()):
+        return None
+    joins = [p for p in where.children[0].plans() if p.kind == "Join"]
+    return None if any(not p.expressions and join_sides(p)[0] in ("Inner", "Cross") for p in joins) else where
 
 
 def relax(spark: SparkSession, sql: str, max_rows: int = DEFAULT_ROWS, usable: set[str] | None = None) -> Relaxed | None:
     """The query with as many of its constraints as have rows; None if it has rows, or no subset has any.
 
-    Of a filtered projection one branch is relaxed, the others stay as they are, and its limit
-    overrides ``max_rows``; constraints of scopes without a ``usable`` table are never dropped.
+    Of a filtered projection the branch that keeps most is relaxed (of rows that keep as many, the one
+    with the first constraints in order), and its limit overrides ``max_rows``; constraints of scopes
+    without a ``usable`` table are never dropped.
     """
     sql, root = checked(spark, sql)
-    parts = _parts(root)
-    if parts is None or any(n.subquery is not None for n in parts[1].expression_nodes()) or any(p.kind == "Filter" for p in parts[1].children[0].plans()):
-        return _by_probes(spark, sql, root, max_rows, usable)
-    names, where, limit = parts
+    where = _filtered_projection(root)
+    place = where and extent(where.expressions[0], sql)
+    if where is None or place is None:
+        return _by_lattice(spark, sql, root, max_rows, usable)
     if usable is not None and not constraints(sql, root, usable):
         return None
-    source = frame(spark, where.children[0])
-    branches = disjuncts(where.expressions[0])
-    best: tuple[int, tuple[int, ...], int] | None = None
-    for b, own in enumerate(branches):
-        found = best_subset(masks(source, own), len(own))
-        if found and len(found[0]) == len(own):
-            return None
-        if found and (best is None or len(found[0]) > len(best[1])):
-            best = (b, *found)
-    if best is None:
+    tree = condition(where.expressions[0], sql)
+    every = _leaves(tree)
+    at = {c: k for k, c in enumerate(every)}
+    counts = written(masks(frame(spark, where.children[0]), every), "masks")
+    # One row of each set of constraints that occurs: the scan of the table is done.
+    first = [F.desc(bit(k)) for k in range(len(every))]
+    best = counts.select("*", _kept(tree, at).alias("kept"), _whole(tree, at).alias("whole")).orderBy(F.desc("whole"), F.desc("kept"), *first).limit(1).first()
+    if best is None or best["whole"] or not best["kept"]:
+        forget(counts)
         return None
-    b, chosen, count = best
-    kept = [branches[b][k] for k in chosen]
-    whole = " OR ".join("(" + " AND ".join(kept if k == b else own) + ")" for k, own in enumerate(branches))
-    rows = source.where(whole).selectExpr(*names).limit(limit or max_rows)
-    return Relaxed(kept, [c for c in branches[b] if c not in kept], count, rows)
+    has = {c for c, k in at.items() if has_bit(best, k)}
+    branch = _branch(tree, has)
+    kept = [c for c in branch if c in has]
+    count = holding(counts, [at[c] for c in kept]).agg(F.sum("n")).first()[0]
+    forget(counts)
+    return Relaxed(kept, [c for c in branch if c not in has], count, _shown(spark, splice(sql, {(*place, " AND ".join(kept))}), root, max_rows))
 
 
 def profile(table: DataFrame, column: str) -> DataFrame:

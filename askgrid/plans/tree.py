@@ -92,6 +92,11 @@ class Node:
             todo = n.children + todo if n.subquery is None else todo
 
 
+def blanked(sql: str) -> str:
+    """The text with spaces for literals, quoted names and comments."""
+    return _LITERAL.sub(lambda m: " " * len(m[0]), sql)
+
+
 def extent(node: Node, sql: str) -> tuple[int, int] | None:
     """Where an expression with all its parts stands in the text, with the parentheses that belong to them.
 
@@ -103,7 +108,7 @@ def extent(node: Node, sql: str) -> tuple[int, int] | None:
     start, stop = min(a for a, _ in spans), max(b for _, b in spans)
     while True:
         depth = least = 0
-        for x in _LITERAL.sub(lambda m: " " * len(m[0]), sql[start:stop]):
+        for x in blanked(sql[start:stop]):
             depth += (x == "(") - (x == ")")
             least = min(least, depth)
         if least < 0:  # a closing one too many

@@ -128,3 +128,31 @@ def relax_subquery(spark, sf_dir):
 @query("SELECT DISTINCT c_nationkey AS k, 'c_acctbal > 1e9' AS dropped FROM customer")
 def relax_union(spark, sf_dir):
     return _relaxed(spark, sf_dir, "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 1e9 UNION SELECT s_nationkey FROM supplier WHERE s_suppkey < 0", "customer", "supplier")
+
+
+@query("SELECT p_partkey, 'p_name = ''none''' AS dropped FROM part WHERE p_size > 10 ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 7")
+def relax_ordered(spark, sf_dir):
+    """The order is applied before the limit."""
+    found = _relaxed(spark, sf_dir, "SELECT p_partkey FROM part WHERE p_size > 10 AND p_name = 'none' ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 7", "part")
+    return found.withColumn("dropped", F.translate("dropped", "()", ""))
+
+
+@query("SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n, '(s_name LIKE ''none%'')' AS dropped FROM supplier WHERE s_acctbal > 0")
+def relax_window(spark, sf_dir):
+    return _relaxed(spark, sf_dir, "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier WHERE s_acctbal > 0 AND s_name LIKE 'none%'", "supplier")
+
+
+def _fits(column: str, n: int) -> str:
+    """``n`` constraints that every row satisfies."""
+    return " AND ".join(f"{column} <> -{k}" for k in range(1, n + 1))
+
+
+@query("SELECT c_custkey, count(*) AS n, 'o_totalprice < 0; o_orderstatus = ''none''; c_mktsegment = ''none''; l_quantity > 1000' AS dropped FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0 AND o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY c_custkey")
+def relax_many_scopes(spark, sf_dir):
+    """Some forty constraints in a common table, two joined scopes and a subquery, of which four have to go."""
+    sql = f"""WITH o AS (SELECT * FROM orders WHERE {_fits("o_orderkey", 12)} AND o_totalprice < 0 AND o_orderstatus = 'none' AND o_orderstatus = 'F')
+              SELECT c_custkey, count(*) AS n FROM customer JOIN o ON c_custkey = o_custkey
+              WHERE c_acctbal > 0 AND {_fits("c_custkey", 10)} AND c_mktsegment = 'none'
+                AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 1000 AND l_returnflag = 'R' AND {_fits("l_suppkey", 10)})
+              GROUP BY c_custkey"""
+    return _relaxed(spark, sf_dir, sql, "customer", "orders", "lineitem")
