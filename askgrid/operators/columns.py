@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Callable
-from difflib import SequenceMatcher
 from itertools import combinations
 
 import pandas as pd
@@ -18,9 +17,41 @@ LEAST_COMMON = 5
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common block, without regard to case."""
+    """Length of the longest common block, without regard to case: ``b`` is read once through an automaton of the blocks of ``a``."""
     a, b = a.lower(), b.lower()
-    return SequenceMatcher(None, a, b).find_longest_match(0, len(a), 0, len(b)).size
+    steps: list[dict[str, int]] = [{}]
+    longest, shorter = [0], [-1]
+    last = 0
+    for x in a:
+        own, at = len(steps), last
+        steps.append({})
+        longest.append(longest[last] + 1)
+        shorter.append(0)
+        while at >= 0 and x not in steps[at]:
+            steps[at][x] = own
+            at = shorter[at]
+        if at >= 0:
+            to = steps[at][x]
+            if longest[to] > longest[at] + 1:  # blocks that end here in more places than the longest one does
+                copy = len(steps)
+                steps.append(dict(steps[to]))
+                longest.append(longest[at] + 1)
+                shorter.append(shorter[to])
+                while at >= 0 and steps[at].get(x) == to:
+                    steps[at][x] = copy
+                    at = shorter[at]
+                shorter[to] = to = copy
+            shorter[own] = to
+        last = own
+    best = at = n = 0
+    for x in b:
+        while at and x not in steps[at]:
+            at = shorter[at]
+            n = longest[at]
+        if x in steps[at]:
+            at, n = steps[at][x], n + 1
+        best = max(best, n)
+    return best
 
 
 @F.pandas_udf(T.IntegerType())
@@ -28,22 +59,29 @@ def common_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+def blocks(text: Column, n: int) -> Column:
+    """Every block of ``n`` characters of a text, each once, in one pass over it."""
+    # The second half of a surrogate pair begins no character.
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"), 1))
+
+
 def related_columns(rows: DataFrame, columns: list[str], least: int = LEAST_COMMON) -> DataFrame:
     """(left, right, related): whether two columns share ``least`` characters in a row, or one holds the other, in every row where both have text.
 
-    One scan: each pair of columns is a Boolean aggregate of it.
+    Texts share a block of ``least`` characters or more if they share one of just so many. So each
+    cell is cut into such blocks once, the pairs of a row's cells are compared where the row is, and
+    only their verdicts are gathered, after each task has combined its own; the plan does not grow
+    with the number of columns. Pairs without a row that has both are not related.
     """
-    pairs = list(combinations(columns, 2))
-    text = {c: F.lower(F.trim(F.col(f"`{c}`").cast("string"))) for c in columns}
-
-    def near(a: str, b: str) -> Column:
-        x, y = text[a], text[b]
-        good = F.contains(x, y) | F.contains(y, x) | (common_length_udf(x, y) >= least)
-        return F.bool_and(F.when((x != "") & (y != ""), good))
-
-    wide = rows.agg(*[F.coalesce(near(a, b), F.lit(False)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{k}").alias("related")) for k, (a, b) in enumerate(pairs)])
-    return wide.select(F.explode(cells).alias("e")).select("e.*")
+    text = lambda c: F.lower(F.trim(F.col(f"`{c}`").cast("string")))
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), text(c).alias("t"), blocks(text(c), least).alias("b")) for k, c in enumerate(columns)])
+    each = rows.select(F.filter(cells, lambda x: x["t"] != "").alias("cells"))
+    each = each.select("cells", F.explode("cells").alias("x"))
+    each = each.select("x", F.explode(F.filter("cells", lambda y: y["k"] > F.col("x.k"))).alias("y"))
+    good = F.contains("x.t", F.col("y.t")) | F.contains("y.t", F.col("x.t")) | F.arrays_overlap("x.b", "y.b")
+    found = each.select(F.col("x.k").alias("i"), F.col("y.k").alias("j"), good.alias("good")).groupBy("i", "j").agg(F.bool_and("good").alias("good"))
+    pairs = rows.sparkSession.createDataFrame([(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)], "i int, j int, left string, right string")
+    return pairs.join(found, ["i", "j"], "left").select("left", "right", F.coalesce("good", F.lit(False)).alias("related"))
 
 
 def rule_groups(columns: list[str], edges: list[tuple[str, str]], most: int = 10) -> list[list[str]]:

@@ -400,6 +400,27 @@ def column_relatedness(spark, sf_dir):
     return columns.related_columns(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
 
+_BLOCKS = lambda x: f"list_transform(range(1, greatest(length({x}) - 3, 1)), lambda i: substr({x}, i, 5))"
+
+
+@query(f"""
+WITH d AS (SELECT a.text AS whole, upper(substr(a.text, 200)) AS late, a.source AS source, substr(b.text, 1, 3000) AS other, substr(a.text, 1, 500) || '...' || substr(b.text, 1, 500) AS mixed
+           FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+t AS (SELECT {", ".join(f"lower(trim({c})) AS {c}" for c in ("whole", "late", "source", "other", "mixed"))} FROM d),
+g AS (SELECT *, {", ".join(f"{_BLOCKS(c)} AS {c}_b" for c in ("whole", "late", "source", "other", "mixed"))} FROM t)
+{" UNION ALL ".join(f"SELECT '{a}' AS left, '{b}' AS right, coalesce(bool_and(contains({a}, {b}) OR contains({b}, {a}) OR list_has_any({a}_b, {b}_b)) FILTER ({a} <> '' AND {b} <> ''), false) AS related FROM g" for a, b in (("whole", "late"), ("whole", "source"), ("whole", "other"), ("whole", "mixed"), ("late", "source"), ("late", "other"), ("late", "mixed"), ("source", "other"), ("source", "mixed"), ("other", "mixed")))}
+""")
+def related_documents(spark, sf_dir):
+    """Columns of long texts: documents, what is in them from the 200th character on, and the documents after them."""
+    docs = read(spark, sf_dir, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    rows = docs.join(after, "doc_id").select(
+        F.col("text").alias("whole"), F.upper(F.substr("text", F.lit(200))).alias("late"), "source", F.substring("next", 1, 3000).alias("other"),
+        F.concat(F.substring("text", 1, 500), F.lit("..."), F.substring("next", 1, 500)).alias("mixed"),
+    )
+    return columns.related_columns(rows, rows.columns)
+
+
 @query("SELECT p_partkey AS rowid, floor((p_partkey - 1) / 3)::BIGINT AS batch FROM part")
 def rerank_batches(spark, sf_dir):
     return search.rerank_batches(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("rowid"))).select("rowid", F.col("batch").cast("bigint").alias("batch"))

@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 
 import pytest
@@ -358,3 +359,27 @@ def test_nearest_is_alike_in_one_and_in_many_blocks(spark, sf, monkeypatch):
             found = search.nearest(asked, rows.where("vec_id <> 9002"), k, keys, "vec_id", least=least, leave_self=True)
             got.append(sorted((r.query_id, r.vec_id, r.score) for r in found.collect()))
         assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_longest_common_blocks_of_any_length():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abAB") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        low = [b.lower()[i:j] for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
+        assert columns.common_length(a, b) == max([len(x) for x in low if x in a.lower()], default=0)
+    shared = "xyzzy " * 60
+    assert columns.common_length("p q " * 200 + shared, "r s t-" * 3000 + shared) == 360
+
+
+def test_columns_of_long_texts_are_related_without_python(spark):
+    shared = "".join(chr(97 + k % 7) for k in range(360))
+    long = ["".join(chr(0x4E00 + (k * k * n) % 900) for k in range(20_000)) for n in (7, 11)]
+    rows = spark.createDataFrame(
+        [(long[0] + shared, shared.upper() + long[1], " x" * 5000, "\U00010000abcd", "\U00010400abcd"), ("Plain Text", "ain tex", "no", None, "x"), (" ", "z", "zzzzzz", "\U00010000abcd", None)],
+        "a string, b string, `c d` string, e string, f string",
+    )
+    found = columns.related_columns(rows, rows.columns)
+    assert {(r.left, r.right) for r in found.where("related").collect()} == {("a", "b")} and found.count() == 10
+    assert columns.related_columns(rows.where("false"), ["a", "b"]).collect()[0].related is False
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
