@@ -76,7 +76,8 @@ def related_columns(rows: DataFrame, columns: list[str], least: int = LEAST_COMM
     text = lambda c: F.lower(F.trim(F.col(f"`{c}`").cast("string")))
     cells = F.array(*[F.struct(F.lit(k).alias("k"), text(c).alias("t"), blocks(text(c), least).alias("b")) for k, c in enumerate(columns)])
     each = rows.select(F.filter(cells, lambda x: x["t"] != "").alias("cells"))
-    each = each.select("cells", F.explode("cells").alias("x"))
+    # Outer, as a filter on the number of cells would compute all of them once more.
+    each = each.select("cells", F.explode_outer("cells").alias("x"))
     each = each.select("x", F.explode(F.filter("cells", lambda y: y["k"] > F.col("x.k"))).alias("y"))
     good = F.contains("x.t", F.col("y.t")) | F.contains("y.t", F.col("x.t")) | F.arrays_overlap("x.b", "y.b")
     found = each.select(F.col("x.k").alias("i"), F.col("y.k").alias("j"), good.alias("good")).groupBy("i", "j").agg(F.bool_and("good").alias("good"))

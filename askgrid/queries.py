@@ -400,7 +400,7 @@ def column_relatedness(spark, sf_dir):
     return columns.related_columns(read(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
 
-_BLOCKS = lambda x: f"list_transform(range(1, greatest(length({x}) - 3, 1)), lambda i: substr({x}, i, 5))"
+_BLOCKS = lambda x: f"list_transform(list_zip(string_split({x}, ''), string_split({x}, '')[2:], string_split({x}, '')[3:], string_split({x}, '')[4:], string_split({x}, '')[5:]), lambda z: z[1] || z[2] || z[3] || z[4] || z[5])"
 
 
 @query(f"""
