@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-from askgrid.plans.tree import Node, extent, parse, relations, resolve, scopes
+from askgrid.plans.tree import Node, blanked, extent, parse, relations, resolve, scopes
 
 Schema = dict[str, dict[str, str]]
 Edit = tuple[int, int, str]
@@ -80,61 +81,141 @@ def expand_stars(spark: SparkSession, sql: str, linked: Schema) -> str:
     return splice(sql, edits)
 
 
-#: Date arithmetic and format codes of the dialect.
+#: Units, format codes and modifiers of the dialect's dates, in Spark's words. {t} is the time.
 _UNITS = "day|month|year|hour|minute|second"
-_FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+_FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%f": "ss.SSS", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm"}
+_PARTS = {
+    "%w": "cast(dayofweek({t}) - 1 AS string)",
+    "%u": "cast(pmod(dayofweek({t}) - 2, 7) + 1 AS string)",
+    "%W": "lpad(cast((dayofyear({t}) + 6 - pmod(dayofweek({t}) - 2, 7)) div 7 AS string), 2, '0')",
+    "%s": "cast(unix_seconds(cast({t} AS timestamp)) AS string)",
+    "%J": "cast(unix_micros(cast({t} AS timestamp)) / 86400000000D + 2440587.5D AS string)",
+    "%%": "'%'",
+}
+_DATES = {"date": "cast({t} AS date)", "datetime": "date_format({t}, 'yyyy-MM-dd HH:mm:ss')", "time": "date_format({t}, 'HH:mm:ss')", "julianday": "(unix_micros(cast({t} AS timestamp)) / 86400000000D + 2440587.5D)", "unixepoch": "unix_seconds(cast({t} AS timestamp))"}
+_NO_CHANGE = {"localtime", "utc", "auto", "subsec", "subsecond"}
 _PREDICATES = {"EqualTo", "EqualNullSafe", "Like", "ILike", "RLike", "In", "InSubquery", "And", "Or", "Not", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "IsNull", "IsNotNull", "Exists", "Between"}
-_COMPARED = {"EqualTo", "EqualNullSafe", "In", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual"}
+_COMPARED = {"Between", "EqualTo", "EqualNullSafe", "In", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual"}
 _ARITHMETIC = {"Add", "Subtract", "Multiply"}
 _INTEGRAL = {"tinyint", "smallint", "int", "integer", "bigint", "long"}
 
+#: What the analyzed plan says of a node of the text: types of its parts, and which of them are columns.
+Types = dict[tuple[str, tuple[int, int]], list[tuple[str, bool]]]
+
 
 def _function(node: Node) -> str | None:
     return node.name_parts[-1].lower() if node.kind == "UnresolvedFunction" else None
 
 
+def _kind(node: Node) -> str:
+    """The kind of a node; the parser tells BETWEEN as a function."""
+    return "Between" if _function(node) == "between" else node.kind
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _moved(time: str, modifier: str, whole_days: bool) -> str | None:
+    """A time after a modifier; None if that is unknown. Months count from the first day, as days beyond a month's end run over."""
+    said = modifier.strip().lower()
+    if said in _NO_CHANGE:
+        return time
+    if found := re.fullmatch(r"start of (day|month|year)", said):
+        return f"trunc({time}, '{found[1]}')" if whole_days and found[1] != "day" else time if whole_days else f"date_trunc('{found[1]}', {time})"
+    if found := re.fullmatch(r"weekday ([0-6])", said):
+        return f"({time} + make_interval(0, 0, 0, pmod({found[1]} + 1 - dayofweek({time}), 7)))" if not whole_days else f"date_add({time}, pmod({found[1]} + 1 - dayofweek({time}), 7))"
+    found = re.fullmatch(rf"([+-]?)\s*(\d+)\s+({_UNITS})s?", said)
+    if not found:
+        return None
+    sign, n, unit = found[1] or "+", found[2], found[3]
+    if unit in ("month", "year"):
+        first = f"trunc({time}, 'month')" if whole_days else f"date_trunc('month', {time})"
+        rest = f"dayofmonth({time}) - 1"
+        moved = f"{first} {sign} interval {n} {unit}"
+        return f"date_add({moved}, {rest})" if whole_days else f"({moved} + ({time} - {first}))"
+    return f"{time} {sign} interval {n} {unit}"
+
+
+def _time(given: list[Node], parts: list[str], whole_days: bool) -> str | None:
+    """The time that a function's arguments name: now, a text or a column, then modifiers."""
+    if not given:
+        out = "current_date()" if whole_days else "current_timestamp()"
+    elif (given[0].text or "").strip().lower() == "now":
+        out = "current_date()" if whole_days else "current_timestamp()"
+    else:
+        out = f"try_cast({parts[0]} AS {'date' if whole_days else 'timestamp'})" if given[0].text is not None or len(given) > 1 else parts[0]
+    for n in given[1:]:
+        out = None if n.text is None else _moved(out, n.text, whole_days)
+        if out is None:
+            return None
+    return out
+
+
 def _call(sql: str, node: Node) -> str | None:
     """A dialect function in Spark's words; None for all others."""
     name, given = _function(node), node.children
     parts = [sql[slice(*x)] if (x := extent(n, sql)) else "" for n in given]
-    if name == "date" and given and (given[0].text or "").lower() == "now":
-        out = "current_date()"
-        for n in given[1:]:
-            found = re.fullmatch(rf"\s*([+-]?)(\d+)\s+({_UNITS})s?\s*", n.text or "", re.I)
-            if not found:
-                return None
-            out += f" {found[1] or '+'} interval {found[2]} {found[3].lower()}"
-        return out
-    if name == "strftime" and len(given) == 2 and given[0].text is not None:
-        pattern = given[0].text
-        for code, own in _FORMATS.items():
-            pattern = pattern.replace(code, own)
-        value = "current_timestamp()" if (given[1].text or "").lower() == "now" else parts[1]
-        return "date_format({}, '{}')".format(value, pattern.replace("'", "''"))
+    if name in _DATES and (name != "date" or len(given) != 1 or given[0].text is not None):
+        whole_days = name == "date" and not any(re.search("hour|minute|second", (n.text or "").lower()) for n in given[1:])
+        time = _time(given, parts, whole_days)
+        return time if time is None or whole_days else _DATES[name].format(t=time)
+    if name == "strftime" and given and given[0].text is not None:
+        time = _time(given[1:], parts[1:], False)
+        codes = re.findall(r"%.|[^%]+|%$", given[0].text, re.S)
+        if time is None:
+            return None
+        if any(c[0] == "%" and c not in _FORMATS and c not in _PARTS for c in codes):
+            return "cast(NULL AS string)"
+        if all(c in _FORMATS or not re.search(r"[A-Za-z'\[\]{}#%]", c) for c in codes):
+            return f"date_format({time}, '{''.join(_FORMATS.get(c, c) for c in codes)}')"
+        said = [f"date_format({time}, '{_FORMATS[c]}')" if c in _FORMATS else _PARTS[c].format(t=time) if c in _PARTS else _text(c) for c in codes]
+        return f"concat({', '.join(said)})"
     if name == "group_concat" and len(given) in (1, 2):
         return f"listagg({'DISTINCT ' if node.j.isDistinct() else ''}{parts[0]}, {parts[1] if len(given) == 2 else repr(',')})"
+    if name == "iif" and len(given) == 3:
+        return f"if({', '.join(parts)})"
+    if name == "total" and len(given) == 1:
+        return f"coalesce(cast(sum({parts[0]}) AS double), 0D)"
     return None
 
 
-def _integral(node: Node, tables: dict[str, str | None], schema: Schema) -> bool:
-    if node.kind == "Literal":
-        return node.j.dataType().simpleString() in _INTEGRAL
-    if node.kind == "UnresolvedAttribute":
-        found = resolve(node.name_parts, tables, schema)
-        return bool(found) and schema[found[0]][found[1]].lower() in _INTEGRAL
-    if node.kind in _ARITHMETIC | {"UnaryMinus", "UnaryPositive", "IntegralDivide", "Divide"}:
-        return all(_integral(n, tables, schema) for n in node.children)
-    return _function(node) in ("count", "length") or _function(node) in ("sum", "min", "max", "abs") and all(_integral(n, tables, schema) for n in node.children)
+def _types(spark: SparkSession, sql: str) -> Types | None:
+    """Types that the analyzed plan gives to the parts of arithmetic and comparisons, by their place; None if it can't be analyzed yet.
+
+    Casts that the analyzer put in are looked through: they stand at the place of what they are put into.
+    """
+    try:
+        root = Node(spark.sql(sql)._jdf.queryExecution().analyzed())
+    except PySparkException:
+        return None
+    out: Types = {}
+    for n in root.walk():
+        if n.is_plan or n.kind not in _COMPARED | {"Divide", "Remainder"} or not n.span:
+            continue
+        parts = []
+        for x in n.children:
+            while x.kind == "Cast" and x.span in (n.span, None):
+                x = x.children[0]
+            kind = "double" if x.kind in ("Round", "BRound") else x.j.dataType().simpleString()
+            parts.append((kind, x.kind in ("AttributeReference", "OuterReference")))
+        out[n.kind, n.span] = parts
+    for (kind, span), parts in list(out.items()):
+        if kind == "GreaterThanOrEqual" and (most := out.get(("LessThanOrEqual", span))):
+            out["Between", span] = parts + most[1:]
+    return out
 
 
 def _dialect_edits(spark: SparkSession, sql: str, schema: Schema) -> set[Edit]:
     edits: set[Edit] = set()
+    root = parse(spark, sql)
 
     def as_number(n: Node) -> None:
-        if n.kind in _PREDICATES and (place := extent(n, sql)):
+        if _kind(n) in _PREDICATES and (place := extent(n, sql)):
             edits.add((*place, f"cast(({sql[slice(*place)]}) AS int)"))
 
-    for plan, tables in scopes(parse(spark, sql)):
+    typed: list[Node] = []
+    for plan, tables in scopes(root):
         shown = plan.expressions if plan.kind in ("Project", "Aggregate") else []
         for n in shown:
             as_number(n.children[0] if n.kind in ("Alias", "UnresolvedAlias") else n)
@@ -144,21 +225,60 @@ def _dialect_edits(spark: SparkSession, sql: str, schema: Schema) -> set[Edit]:
             elif _function(n) in ("max", "min", "sum", "avg") or n.kind in _ARITHMETIC:
                 for x in n.children:
                     as_number(x)
-            elif n.kind == "Divide":
-                left, right = (extent(x, sql) for x in n.children)
-                slash = sql.find("/", left[1], right[0]) if left and right else -1
-                known = n.children[1].kind == "Literal" and n.children[1].sql.strip("LDSBD") not in ("0", "0.0")
-                whole = all(_integral(x, tables, schema) for x in n.children)
-                if slash >= 0 and (whole or not known and not sql[slice(*right)].startswith("nullif(")):
-                    edits |= {(slash, slash + 1, " div " if whole else "/")} if whole else set()
-                    edits |= set() if known or sql[slice(*right)].startswith("nullif(") else {(*right, f"nullif({sql[slice(*right)]}, 0)")}
-            elif n.kind in _COMPARED:
+            elif n.kind in ("Divide", "Remainder"):
+                for x in n.children:
+                    as_number(x)
+                typed.append(n)
+            elif _kind(n) in _COMPARED:
+                typed.append(n)
                 for x in n.children:
                     for y in n.children:
-                        if _is_text(x, tables, schema) and y.kind == "Literal" and y.text is None and y.span and re.fullmatch(r"-?[\d.]+", sql[slice(*y.span)]):
-                            edits.add((*y.span, f"'{sql[slice(*y.span)]}'"))
-                        elif _integral(x, tables, schema) and x.kind == "UnresolvedAttribute" and y.text is not None and y.span and not re.fullmatch(r"\s*[+-]?\d+\s*", y.text):
-                            edits.add((*y.span, f"try_cast({sql[slice(*y.span)]} AS double)"))
+                        if _is_text(x, tables, schema):
+                            edits |= _as_text(sql, y)
+    if edits or not typed:
+        return edits
+    known = _types(spark, sql) or {}
+    for n in typed:
+        kinds = known.get((_kind(n), n.span)) if n.span else None
+        if kinds is None or len(kinds) != len(n.children):
+            continue
+        if n.kind in ("Divide", "Remainder"):
+            edits |= _divided(sql, n, [k for k, _ in kinds])
+            continue
+        for x, (kind, is_column) in zip(n.children, kinds):
+            for y in n.children:
+                if kind == "string" and is_column:
+                    edits |= _as_text(sql, y)
+                elif kind in _INTEGRAL and is_column and y.text is not None and y.span and not re.fullmatch(r"\s*[+-]?\d+\s*", y.text):
+                    edits.add((*y.span, f"try_cast({sql[slice(*y.span)]} AS double)"))
+    return edits
+
+
+def _as_text(sql: str, literal: Node) -> set[Edit]:
+    """A number that meets a text column is text."""
+    said = sql[slice(*literal.span)] if literal.kind == "Literal" and literal.text is None and literal.span else ""
+    return {(*literal.span, f"'{said}'")} if re.fullmatch(r"-?[\d.]+", said) else set()
+
+
+def _divided(sql: str, n: Node, kinds: list[str]) -> set[Edit]:
+    """Whole numbers are divided without a rest, other numbers' rest is that of their whole parts, and by zero gives null."""
+    left, right = (extent(x, sql) for x in n.children)
+    sign = "/" if n.kind == "Divide" else "%"
+    at = blanked(sql).find(sign, left[1], right[0]) if left and right else -1
+    if at < 0:
+        return set()
+    edits, whole = set(), all(k in _INTEGRAL for k in kinds)
+    said = sql[slice(*right)]
+    if n.kind == "Remainder" and not whole:
+        place = sql[slice(*left)]
+        if not place.startswith("cast("):
+            edits |= {(*left, f"cast({place} AS bigint)"), (*right, f"nullif(cast({said} AS bigint), 0)")}
+        return edits
+    if n.kind == "Divide" and whole:
+        edits.add((at, at + 1, " div "))
+    zero_free = n.children[1].kind == "Literal" and not re.fullmatch(r"[0.]*", n.children[1].sql.strip("LDSB"))
+    if not zero_free and not said.startswith("nullif("):
+        edits.add((*right, f"nullif({said}, 0)"))
     return edits
 
 
@@ -166,7 +286,8 @@ def to_spark(spark: SparkSession, sql: str, schema: Schema | None = None) -> str
     """The dialect in Spark's words, at the places that the parser names and so never inside of literals.
 
     Functions (GROUP_CONCAT, strftime, DATE('now', ...)) are renamed; predicates used as values are
-    0 and 1; whole numbers are divided without a rest, and by zero give null; a text column meets a
+    0 and 1. What depends on types goes by those of the analyzed statement, whatever an expression is
+    made of: whole numbers are divided without a rest, and by zero give null; a text column meets a
     number as text, and a number that meets other text is compared with null. Innermost parts go
     first, and the text is parsed again until nothing is left to rewrite.
     """

@@ -156,3 +156,15 @@ def relax_many_scopes(spark, sf_dir):
                 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 1000 AND l_returnflag = 'R' AND {_fits("l_suppkey", 10)})
               GROUP BY c_custkey"""
     return _relaxed(spark, sf_dir, sql, "customer", "orders", "lineitem")
+
+
+folded(
+    "dialect_casts",
+    "SELECT p_partkey, CAST(p_size AS INTEGER) / 3 AS third, p_size % 7 / 2 AS half, CASE WHEN p_size > 20 THEN p_size ELSE 1 END / 4 AS quarter, (SELECT count(*) FROM part) / (p_size + 1) AS share, p_size % (p_size - 10) AS rest FROM part",
+    "SELECT p_partkey, p_size::INT // 3 AS third, p_size % 7 // 2 AS half, CASE WHEN p_size > 20 THEN p_size ELSE 1 END // 4 AS quarter, (SELECT count(*) FROM part) // (p_size + 1) AS share, CASE WHEN p_size <> 10 THEN p_size % (p_size - 10) END AS rest FROM part",
+)
+folded(
+    "dialect_dates",
+    "SELECT o_orderkey, strftime('%Y, week %W, day %w; it''s %j', o_orderdate) AS said, date(o_orderdate, 'start of month', '+1 month', '-1 day') AS month_end, date(o_orderdate, 'weekday 1') AS monday, datetime(o_orderdate, '-30 minutes') AS earlier FROM orders WHERE o_orderdate >= date('1995-03-15', 'start of year')",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y, week %W, day %w; it''s %j') AS said, last_day(o_orderdate) AS month_end, (o_orderdate + INTERVAL 1 DAY * ((8 - dayofweek(o_orderdate)) % 7))::DATE AS monday, strftime(o_orderdate - INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS earlier FROM orders WHERE o_orderdate >= DATE '1995-01-01'",
+)
