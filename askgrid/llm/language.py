@@ -4,7 +4,8 @@ log posterior = tempered text log likelihood + log P(declared markup language |
 + log P(address suffix | language) + log host prior.
 
 Text likelihoods are hashed byte-trigram multinomials, fitted on a bounded sample of distinct texts of
-each known language (``SAMPLE_ROWS``, in hash order); region and script of a language code don't count. Host priors are counts of the text's best
+each labelled language (``SAMPLE_ROWS``, in hash order); region and script of a language code don't
+count, and labels that are no codes (``German``) are names of their own. Host priors are counts of the text's best
 language by host, smoothed towards the counts of the host's domain, and those towards the whole
 corpus: three grouped aggregations over all rows. Host priors reach the rows by a broadcast
 while there are at most ``BROADCAST_HOSTS`` hosts, and by a shuffled join beyond.
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.llm import textcore
-from askgrid.llm.workspace import free_name, lean_batches, written
+from askgrid.llm.workspace import forget, free_name, lean_batches, written
 
 BUCKETS, SAMPLE_ROWS, PARTS = 1 << 15, 4000, 4
 BROADCAST_HOSTS = 500_000
+#: Labelled languages that a model holds at most, and hashes of chosen texts that are broadcast; more are joined by a shuffle.
+MOST_LANGUAGES, BROADCAST_TEXTS = 300, 500_000
 #: Trigrams are far from independent: a text counts as so many at most.
 EFFECTIVE = 60.0
 #: Chance that a declared language or an address suffix speaks for the language it names.
@@ -90,19 +93,29 @@ class Likelihoods:
         return (self.log_share[:, grams].mean(axis=1) * min(len(grams), EFFECTIVE)).tolist()
 
 
-def _code(lang: Column) -> Column:
-    """The language of a code, without its region or script: zh of zh-CN."""
-    return F.regexp_extract(F.lower(F.trim(lang.cast("string"))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+def _label(lang: Column) -> Column:
+    """The language that a label names: of a code, what stands before its region or script (zh of zh-CN), else the label."""
+    said = F.lower(F.trim(lang.cast("string")))
+    return F.regexp_replace(said, r"^([a-z]{2,3})[-_].*$", "$1")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Likelihoods:
-    """Trigram multinomials from at most ``rows`` distinct texts of each known language."""
+    """Trigram multinomials from at most ``rows`` distinct texts of each labelled language.
+
+    Any label with a letter counts, but for ``und``; ValueError where there are more than MOST_LANGUAGES.
+    """
     lean_batches(docs.sparkSession)
-    known = docs.select(F.col(text_col).cast("string").alias("text"), _code(F.col(lang_col)).alias("lang")).where("text is not null and lang <> ''").withColumn("h", F.xxhash64("text", "lang"))
+    known = docs.select(F.col(text_col).cast("string").alias("text"), _label(F.col(lang_col)).alias("lang"))
+    known = known.where(r"text is not null and lang rlike '\\p{L}' and lang <> 'und'").withColumn("h", F.xxhash64("text", "lang"))
     # The limit applies in each task before the shuffle too.
     order = Window.partitionBy("lang").orderBy("h")
-    chosen = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("h")
-    found = known.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
+    chosen = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    chosen = written(chosen.select("lang", "h"), "chosen")
+    if (named := chosen.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{named} languages are labelled, and at most {MOST_LANGUAGES} can be told apart")
+    few = chosen.select("h")
+    few = F.broadcast(few) if chosen.count() <= BROADCAST_TEXTS else few
+    found = known.join(few, "h", "left_semi").dropDuplicates(["h"])
     counts: dict[str, np.ndarray] = {}
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
 
@@ -120,6 +133,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     for r in parted.select("text", "lang").mapInPandas(count, schema).toLocalIterator():
         own = counts.setdefault(r["lang"], np.zeros(BUCKETS))
         own[r["bucket"]] += r["n"]
+    forget(chosen)
     languages = sorted(counts)
     smoothed = [np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * BUCKETS)) for x in languages]
     return Likelihoods(tuple(languages), np.array(smoothed).reshape(len(languages), BUCKETS))

@@ -31,6 +31,24 @@ def test_every_language_is_fitted_on_distinct_texts(spark):
     assert a.languages == b.languages == ("en", "xx") and np.array_equal(a.log_share, b.log_share)
 
 
+def test_labels_that_are_no_codes(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    names = F.create_map(*[F.lit(x) for x in ("en", " English ", "de", "GERMAN", "fr", "français", "es", "Español (latino)")])
+    named = docs.withColumn("lang", names[F.col("lang")])
+    codes, model = language.fit(docs), language.fit(named)
+    assert model.languages == ("english", "español (latino)", "français", "german")
+    order = [codes.languages.index(x) for x in ("en", "es", "fr", "de")]
+    assert np.allclose(model.log_share, codes.log_share[order])
+    assert language.keep_known(named, model).count() == language.keep_known(docs, codes).count() > 0
+    assert language.fit(docs.withColumn("lang", F.lit("und"))).languages == ()
+    monkeypatch.setattr(language, "BROADCAST_TEXTS", 0)
+    assert np.array_equal(language.fit(docs).log_share, codes.log_share)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language.fit(docs)
+
+
 def unsure_text(model):
     """A text that English and German, of all languages, explain about as well."""
     de, en = model.languages.index("de"), model.languages.index("en")
