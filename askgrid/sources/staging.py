@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+#: Catalog tables that stand for folders, by application and path.
+_named: dict[str, dict[str, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def sweep(spark: SparkSession) -> None:
     """Delete all that this application has staged, once no result is read any more."""
+    for name in _named.pop(spark.sparkContext.applicationId, {}).values():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     delete(spark, own_dir(spark))
 
 
@@ -58,15 +62,18 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     path = new_path(spark, name)
     table = "ag_" + path.rsplit("-", 1)[-1]
     df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    _named.setdefault(spark.sparkContext.applicationId, {})[path] = table
     out = spark.table(table)
     out._askgrid_path = path
     return out
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing lazy reads any more."""
+    """Delete a table made by ``written`` or ``bucketed`` that nothing lazy reads any more."""
     path = getattr(df, "_askgrid_path", None)
     if path:
+        if name := _named.get(df.sparkSession.sparkContext.applicationId, {}).pop(path, None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         delete(df.sparkSession, path)
 
 

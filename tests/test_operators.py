@@ -383,3 +383,16 @@ def test_columns_of_long_texts_are_related_without_python(spark):
     assert columns.related_columns(rows.where("false"), ["a", "b"]).collect()[0].related is False
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_bucketed_tables_leave_no_names(spark):
+    from askgrid.sources import staging
+
+    names = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("ag_")}
+    before = names()
+    a, b = (staging.bucketed(spark.range(9), "units", "id", 2) for _ in range(2))
+    assert len(names() - before) == 2 and a.count() == 9
+    staging.forget(a)
+    assert len(names() - before) == 1 and b.count() == 9
+    staging.sweep(spark)
+    assert names() == before
