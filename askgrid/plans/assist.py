@@ -155,7 +155,7 @@ class Assistant:
         sql = last_block(said, "sql") or said.strip()
         try:
             own, _ = checked(self.spark, sql)
-            better = refined(self.spark, own, self.catalog.schema(), s.linked)
+            better = refined(self.spark, own, self.catalog.schema(), s.linked, self.catalog.folded)
         except (NotAQuery, PySparkException) as e:
             return replace(s, queries=[*s.queries, sql], error=str(e).splitlines()[0])
         return replace(s, queries=[*s.queries, sql] + ([better] if better != own else []), error=None)

@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 
 from askgrid.plans.tree import Node, blanked, extent, parse, relations, resolve, scopes
 
+#: What the catalog's views with lower-case companions end in.
+FOLDED = "__folded"
 Schema = dict[str, dict[str, str]]
 Edit = tuple[int, int, str]
 
@@ -34,29 +36,80 @@ def _is_text(node: Node, tables: dict[str, str | None], schema: Schema) -> bool:
     return bool(found) and schema[found[0]][found[1]].lower() in ("string", "text")
 
 
-def _folded(sql: str, column: Node, values: list[Node]) -> set[Edit]:
-    """Edits that lower a column and its literals; none if a literal's text could change its meaning."""
+def _literals_folded(sql: str, values: list[Node]) -> set[Edit] | None:
+    """Edits that lower literals; None if a literal's text could change its meaning."""
     places = [(v.span, sql[slice(*v.span)] if v.span else "") for v in values]
-    if not column.span or any(v.text is None or not place or "\\" in text for v, (place, text) in zip(values, places)):
-        return set()
-    start, stop = column.span
-    return {(start, stop, f"lower({sql[start:stop]})"), *((*place, text.lower()) for place, text in places)}
+    if any(v.text is None or not place or "\\" in text for v, (place, text) in zip(values, places)):
+        return None
+    return {(*place, text.lower()) for place, text in places}
 
 
-def fold_case(spark: SparkSession, sql: str, schema: Schema) -> str:
-    """Text columns compared by =, <>, LIKE or IN with literals are compared in lower case."""
+def _shown_with_companions(sql: str, root: Node, tables: set[str], schema: Schema) -> set[Edit] | None:
+    """Edits that read ``tables`` (lower-case names) from the views with companions, stars meaning the other columns still; None where that can't be said."""
+    if tables & {name.lower() for p in root.plans() for name, _ in p.common_tables}:
+        return None
     edits: set[Edit] = set()
-    for plan, tables in scopes(parse(spark, sql)):
+    real = {t.lower(): t for t in schema}
+    plans = list(root.plans())
+    for p in plans:
+        if p.kind == "SubqueryAlias" and p.children[0].kind == "UnresolvedRelation" and p.children[0].name_parts[-1].lower() in tables:
+            own = p.children[0]
+            edits.add((*own.span, quoted(real[own.name_parts[-1].lower()] + FOLDED)))
+        if p.kind not in ("Project", "Aggregate"):
+            continue
+        stars = [n for n in p.expression_nodes() if n.kind == "UnresolvedStar"]
+        here = relations(p.children[0])
+        if not stars or not tables & {(t or "").lower() for t in here.values()}:
+            continue
+        if any(j.kind == "Join" and j.j.joinType().toString().startswith(("Using", "Natural")) for j in p.children[0].plans()) or any(not n.span for n in stars):
+            return None
+        for n in stars:
+            target = n.j.target()
+            wanted = target.get().apply(target.get().size() - 1).lower() if target.isDefined() else None
+            said = [f"{quoted(a)}.{quoted(c)}" if t and t.lower() in tables else f"{quoted(a)}.*" for a, t in here.items() if wanted in (None, a.lower()) for c in (schema[real[t.lower()]] if t and t.lower() in tables else [""])]
+            edits.add((*n.span, ", ".join(said)))
+    done = {(a, b) for a, b, _ in edits}
+    for p in plans:
+        if p.kind == "UnresolvedRelation" and p.name_parts[-1].lower() in tables:
+            if not p.span:
+                return None
+            if p.span not in done:
+                edits.add((*p.span, f"{quoted(real[p.name_parts[-1].lower()] + FOLDED)} AS {quoted(p.name_parts[-1])}"))
+    return edits
+
+
+def fold_case(spark: SparkSession, sql: str, schema: Schema, companions: dict[str, dict[str, str]] | None = None) -> str:
+    """Text columns compared by =, <>, LIKE or IN with literals are compared in lower case.
+
+    Columns with a lower-case companion in the catalog are read from there, so that the predicate
+    reaches the scan; all others have lower() round them.
+    """
+    known = {t.lower(): {c.lower(): own for c, own in cs.items()} for t, cs in (companions or {}).items()}
+    plain: set[Edit] = set()
+    low: set[Edit] = set()
+    used: set[str] = set()
+    root = parse(spark, sql)
+    for plan, tables in scopes(root):
         for n in plan.expression_nodes():
-            sides = n.children
+            sides, found = n.children, []
             if n.kind in ("EqualTo", "EqualNullSafe", "Like"):
                 pairs = [(sides[0], sides[1])] if n.kind == "Like" else [(sides[0], sides[1]), (sides[1], sides[0])]
-                for column, value in pairs:
-                    if value.text is not None and _is_text(column, tables, schema):
-                        edits |= _folded(sql, column, [value])
+                found = [(column, [value]) for column, value in pairs if value.text is not None and _is_text(column, tables, schema)]
             elif n.kind == "In" and _is_text(sides[0], tables, schema):
-                edits |= _folded(sql, sides[0], sides[1:])
-    return splice(sql, edits)
+                found = [(sides[0], sides[1:])]
+            for column, values in found:
+                literals = _literals_folded(sql, values)
+                if literals is None or not column.span:
+                    continue
+                said, (table, name) = sql[slice(*column.span)], resolve(column.name_parts, tables, schema)
+                own = known.get(table.lower(), {}).get(name.lower())
+                aliases = [a for a, t in tables.items() if t and t.lower() == table.lower()]
+                alias = column.name_parts[-2] if len(column.name_parts) > 1 else aliases[0]
+                plain |= {(*column.span, f"lower({said})"), *literals}
+                low |= {(*column.span, f"{quoted(alias)}.{quoted(own)}" if own else f"lower({said})"), *literals}
+                used |= {table.lower()} if own else set()
+    shown = _shown_with_companions(sql, root, used, schema) if used else None
+    return splice(sql, plain if shown is None else low | shown)
 
 
 def expand_stars(spark: SparkSession, sql: str, linked: Schema) -> str:
@@ -304,6 +357,6 @@ def insensitive_like(sql: str) -> str:
     return re.sub(r"'(?:[^']|'')*'|\blike\b", lambda m: m[0] if m[0].startswith("'") else "ILIKE", sql, flags=re.I)
 
 
-def refined(spark: SparkSession, sql: str, schema: Schema, linked: Schema | None = None) -> str:
+def refined(spark: SparkSession, sql: str, schema: Schema, linked: Schema | None = None, companions: dict[str, dict[str, str]] | None = None) -> str:
     """All rewrites; the text comes back as it was if none applies."""
-    return fold_case(spark, expand_stars(spark, to_spark(spark, sql, schema), linked if linked is not None else {}), schema)
+    return fold_case(spark, expand_stars(spark, to_spark(spark, sql, schema), linked if linked is not None else {}), schema, companions)

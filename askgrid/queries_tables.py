@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from askgrid.operators import chatlog, columns, search, sheets
 from askgrid.plans.ingest import ingest
+from askgrid.plans.rewrite import refined
 from askgrid.queries import query, read
 from askgrid.sources import catalog, logs, xlsx
 from askgrid.sources.staging import new_path
@@ -223,3 +224,22 @@ def exported_tables(spark, sf_dir):
     wide = cells.groupBy("r").pivot("c", [1, 2, 3]).agg(F.first("v")).select(*[F.col(str(k + 1)).cast(t).alias(c) for k, (c, t) in enumerate(nation.dtypes)])
     found = {"json": logs.read_json(spark, f"{path}-json", schema), "csv": spark.read.option("header", True).schema(schema).csv(f"{path}-csv"), "xlsx": wide}
     return reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in found.items()])
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE lower(p_brand) IN ('brand#3', 'brand#7') AND lower(p_type) LIKE 'sm%' AND lower(p_name) <> 'x'")
+def casefold_pushed(spark, sf_dir):
+    """Predicates on lower-case companions, which the scan takes; the columns of the table are as they were."""
+    own = catalog.TableCatalog(spark, new_path(spark, "catalog"))
+    own.write("part", read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), fold=["p_name", "p_brand", "p_type"])
+    return spark.sql(refined(spark, "SELECT * FROM part WHERE p_brand IN ('BRAND#3', 'brand#7') AND p_type LIKE 'sM%' AND p_name <> 'X'", own.schema(), None, own.folded))
+
+
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY (o_orderstatus <> 'F') ORDER BY o_orderdate, o_orderkey) + CASE WHEN o_orderstatus <> 'F' THEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') ELSE 0 END AS rowid FROM orders")
+def versioned_table(spark, sf_dir):
+    """A table replaced, appended to and compacted; the row numbers of what is appended follow."""
+    own, orders = catalog.TableCatalog(spark, new_path(spark, "catalog")), read(spark, sf_dir, "orders")
+    rows = orders.select("o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    own.write("orders", rows.limit(3))
+    own.write("orders", rows.where("o_orderstatus = 'F'"), "replace", order=["o_orderdate", "o_orderkey"])
+    own.write("orders", rows.where("o_orderstatus <> 'F'"), "append", order=["o_orderdate", "o_orderkey"])
+    return own.compact("orders").select("o_orderkey", "o_orderpriority", "rowid")

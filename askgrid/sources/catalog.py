@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askgrid.functions.text import SPARK_TYPES, sample_text, sql_type
-from askgrid.sources.staging import written
+from askgrid.plans.rewrite import FOLDED
+from askgrid.sources.staging import delete, written
 
 EAV = "entity string, attribute string, value string"
-HIDDEN, NAME_FILE = "tables_metadata", "_table_name"
-#: What the sink does with a table that exists, in Spark's words.
-MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
+HIDDEN, LOG = "tables_metadata", "_log"
+#: What the lower-case companions of text columns begin with.
+LOW = "_ag_low_"
+MODES = ("replace", "append", "fail")
+#: Times that metadata are merged anew with what another writer has written meanwhile.
+TRIES = 20
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster; nothing was changed."""
 
 
 def upserted(old: DataFrame | None, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -68,8 +79,12 @@ def joined_lists(table: DataFrame) -> DataFrame:
 class TableCatalog:
     """Tables under one folder; each is a temporary view by its own name, whatever characters that has.
 
-    A new catalog over the folder finds the tables, their metadata and their value indexes again:
-    each table's folder holds its name in a file that table reads pass over.
+    A new catalog over the folder finds the tables, their metadata and their value indexes again.
+    A table's folder holds a folder of rows for each write and a log of versions: a version names the
+    folders that it consists of, and comes to be by the renaming of one file, which fails where there
+    is one of that number. So a reader sees a version whole and goes on seeing it, a crash leaves at
+    most rows that no version names (``vacuum`` deletes them), and of two writers that saw the same
+    version one raises Conflict.
     """
 
     def __init__(self, spark: SparkSession, folder: str, include: list[str] | None = None, ignore: list[str] | None = None):
@@ -77,24 +92,50 @@ class TableCatalog:
             raise ValueError("either include or ignore, not both")
         self.spark, self.folder, self.include, self.ignore = spark, folder, include, set(ignore or [])
         self.tables: dict[str, DataFrame] = {}
-        for name, path in self._found().items():
-            self.register(name, spark.read.parquet(path))
+        self.folded: dict[str, dict[str, str]] = {}
+        for name, parts in self._found().items():
+            self.register(name, spark.read.parquet(*parts))
 
     def _path(self, path: str):
         own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return own.getFileSystem(self.spark._jsc.hadoopConfiguration()), own
 
-    def _found(self) -> dict[str, str]:
-        """Path by name of the tables that the folder holds."""
-        files, folder = self._path(self.folder)
-        out = {}
-        for status in files.listStatus(folder) if files.exists(folder) else []:
-            _, name = self._path(f"{status.getPath()}/{NAME_FILE}")
-            if files.exists(name):
-                stream = files.open(name)
-                out[bytes(stream.readAllBytes()).decode()] = status.getPath().toString()
-                stream.close()
-        return out
+    def _listed(self, path: str) -> list[str]:
+        files, own = self._path(path)
+        return [x.getPath().toString() for x in files.listStatus(own)] if files.exists(own) else []
+
+    def _version(self, root: str) -> tuple[int, str | None, list[str]]:
+        """Number, table name and folders of the last version; 0, None and none where there is none."""
+        last = max((x for x in self._listed(f"{root}/{LOG}") if x.endswith(".json")), default=None)
+        if last is None:
+            return 0, None, []
+        files, own = self._path(last)
+        stream = files.open(own)
+        said = json.loads(bytes(stream.readAllBytes()).decode())
+        stream.close()
+        return int(last.rsplit("/", 1)[1].removesuffix(".json")), said["name"], [f"{root}/{x}" for x in said["parts"]]
+
+    def _commit(self, root: str, number: int, name: str, parts: list[str]) -> None:
+        """Make a version, or raise Conflict where one of that number is there."""
+        files, draft = self._path(f"{root}/{LOG}/{uuid.uuid4().hex}.draft")
+        stream = files.create(draft, True)
+        stream.write(bytearray(json.dumps({"name": name, "parts": [x.rsplit("/", 1)[1] for x in parts]}).encode()))
+        stream.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        keep_old = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        context = hadoop.FileContext.getFileContext(files.makeQualified(draft).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(files.makeQualified(draft), files.makeQualified(self._path(f"{root}/{LOG}/{number:020d}.json")[1]), keep_old)
+        except Py4JJavaError as e:
+            files.delete(draft, False)
+            if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            raise Conflict(name) from None
+
+    def _found(self) -> dict[str, list[str]]:
+        """Folders by name of the tables that the catalog's folder holds."""
+        found = (self._version(x) for x in self._listed(self.folder))
+        return {name: parts for _, name, parts in found if name is not None}
 
     def path(self, name: str) -> str:
         """A folder name of plain characters, unlike any other table's."""
@@ -102,42 +143,85 @@ class TableCatalog:
         return f"{self.folder}/{plain}-{hashlib.sha1(name.encode()).hexdigest()[:10]}"
 
     def register(self, name: str, table: DataFrame) -> DataFrame:
+        """Show a table as a view of its name; lower-case companions are in a view of their own."""
+        low = [c for c in table.columns if c.startswith(LOW)]
+        self.folded.pop(name, None)
+        if low:
+            table.createOrReplaceTempView(f"`{name}{FOLDED}`")
+            self.folded[name] = {c.removeprefix(LOW): c for c in low}
+            table = table.drop(*low)
         table.createOrReplaceTempView(f"`{name}`")
         self.tables[name] = table
         return table
 
-    def write(self, name: str, table: DataFrame, if_exists: str = "fail", order: list[str] | None = None, least_rows: int = 0) -> DataFrame | None:
+    def refresh(self, name: str) -> DataFrame | None:
+        """The last version of a table, written by whomever; None where there is none."""
+        _, _, parts = self._version(self.path(name))
+        return self.register(name, self.spark.read.parquet(*parts)) if parts else None
+
+    def write(self, name: str, table: DataFrame, if_exists: str = "fail", order: list[str] | None = None, least_rows: int = 0, fold: list[str] | None = None) -> DataFrame | None:
         """Write a table and register it; ``order`` gives rows a dense rowid by those columns, after those of the rows there are.
 
         Tables of fewer than ``least_rows`` rows are left out. Columns whose names differ in case
         alone become one, and lists texts. Rows are appended to a table of the same columns and
-        types only; a table that exists raises FileExistsError where ``if_exists`` is fail.
+        types only; a table that exists raises FileExistsError where ``if_exists`` is fail, and
+        Conflict where another writer has written a version since this one began. Text columns that
+        ``fold`` names (when appending, those of the table there is) get a lower-case companion with
+        a bloom filter, which predicates without regard to case are pushed down to.
         """
         if if_exists not in MODES:
             raise ValueError(f"if_exists is one of {', '.join(MODES)}")
         if least_rows and table.limit(least_rows).count() < least_rows:
             return None
-        table, path = joined_lists(without_twins(table)), self.path(name)
-        files, own = self._path(path)
-        old = self.spark.read.parquet(path) if files.exists(own) else None
-        if old is not None and if_exists == "fail":
+        table, root = joined_lists(without_twins(table)), self.path(name)
+        number, _, parts = self._version(root)
+        if parts and if_exists == "fail":
             raise FileExistsError(name)
+        old = self.spark.read.parquet(*parts) if parts and if_exists == "append" else None
         if order:
             table = dense_rowid(table, order)
-        if old is not None and if_exists == "append":
+        low = [c.removeprefix(LOW) for c in old.columns if c.startswith(LOW)] if old is not None else fold or []
+        table = table.withColumns({f"{LOW}{c}": F.lower(F.col(f"`{c}`")) for c in low if c in table.columns})
+        if old is not None:
             if dict(old.dtypes) != dict(table.dtypes):
                 raise ValueError(f"{name} has other columns: {sorted(set(old.dtypes) ^ set(table.dtypes))}")
             if order:
                 last = old.agg(F.max("rowid")).first()[0] or 0
                 table = table.withColumn("rowid", F.col("rowid") + last)
             table = table.select(*[F.col(f"`{c}`") for c in old.columns])
-        elif old is not None:
-            table = written(table, "replacing")  # it may be made of what it replaces
-        table.write.mode(MODES[if_exists]).option("parquet.compression", "zstd").parquet(path)
-        stream = files.create(self._path(f"{path}/{NAME_FILE}")[1], True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
-        return self.register(name, self.spark.read.parquet(path))
+        rows = f"{root}/rows-{uuid.uuid4().hex}"
+        writer = table.write.option("parquet.compression", "zstd")
+        for c in low:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{LOW}{c}", "true")
+        writer.parquet(rows)
+        try:
+            self._commit(root, number + 1, name, [*parts, rows] if old is not None else [rows])
+        except Conflict:
+            delete(self.spark, rows)
+            raise
+        return self.refresh(name)
+
+    def compact(self, name: str) -> DataFrame | None:
+        """The rows of all writes in one folder; Conflict where the table is being written."""
+        root = self.path(name)
+        number, _, parts = self._version(root)
+        if len(parts) > 1:
+            rows = f"{root}/rows-{uuid.uuid4().hex}"
+            self.spark.read.parquet(*parts).write.option("parquet.compression", "zstd").parquet(rows)
+            self._commit(root, number + 1, name, [rows])
+        return self.refresh(name)
+
+    def vacuum(self, name: str) -> None:
+        """Delete what the last version doesn't name: once no reader of an older one is left, and no writer is at work."""
+        root = self.path(name)
+        number, _, parts = self._version(root)
+        named = {x.rsplit("/", 1)[1] for x in parts} | {LOG}
+        for x in self._listed(root):
+            if x.rsplit("/", 1)[1] not in named:
+                delete(self.spark, x)
+        for x in self._listed(f"{root}/{LOG}"):
+            if not x.endswith(f"{number:020d}.json"):
+                delete(self.spark, x)
 
     def names(self) -> list[str]:
         """Usable tables, sorted; metadata and indexes stay hidden."""
@@ -150,10 +234,17 @@ class TableCatalog:
         return {n: {c: t for c, t in self.tables[n].dtypes if t != "void"} for n in self.names()}
 
     def _upsert(self, name: str, rows: DataFrame, if_exists: str) -> DataFrame:
-        old = self.tables.get(name)
-        if old is not None and if_exists == "fail":
-            raise FileExistsError(name)
-        return self.write(name, upserted(old if if_exists == "append" else None, rows.select("entity", "attribute", "value")), "replace")
+        """Merge metadata with the last version of them, and again where another writer was faster."""
+        own = rows.select("entity", "attribute", "value")
+        for _ in range(TRIES):
+            old = self.refresh(name)
+            if old is not None and if_exists == "fail":
+                raise FileExistsError(name)
+            try:
+                return self.write(name, upserted(old if if_exists == "append" else None, own), "replace")
+            except Conflict:
+                continue
+        raise Conflict(name)
 
     def describe(self, table: str, rows: DataFrame, if_exists: str = "append") -> DataFrame:
         """Upsert column metadata (entity, attribute, value) of a table."""

@@ -396,3 +396,85 @@ def test_bucketed_tables_leave_no_names(spark):
     assert len(names() - before) == 1 and b.count() == 9
     staging.sweep(spark)
     assert names() == before
+
+
+def test_readers_and_writers_of_versions(spark, tmp_path):
+    one, two = catalog.TableCatalog(spark, str(tmp_path)), catalog.TableCatalog(spark, str(tmp_path))
+    one.write("t", spark.range(3), order=["id"])
+    pinned = one.tables["t"]
+    two.write("t", spark.range(10, 14), "replace", order=["id"])
+    assert pinned.count() == 3 and two.tables["t"].count() == 4 and one.refresh("t").count() == 4
+    # Another writer commits between this one's look at the table and its own commit.
+    real = one._commit
+    one._commit = lambda *given: (two.write("t", spark.range(20, 22), "append", order=["id"]), real(*given))
+    with pytest.raises(catalog.Conflict):
+        one.write("t", spark.range(30, 33), "append", order=["id"])
+    one._commit = real
+    one.write("t", spark.range(30, 33), "append", order=["id"])
+    rows = sorted(map(tuple, catalog.TableCatalog(spark, str(tmp_path)).tables["t"].collect()))
+    assert [r[1] for r in rows] == list(range(1, 10)) and len({r[0] for r in rows}) == 9
+    # A crash after the rows, before the version: nobody sees them.
+    one._commit = lambda *given: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        one.write("u", spark.range(3))
+    with pytest.raises(ZeroDivisionError):
+        one.write("t", spark.range(3), "replace")
+    one._commit = real
+    again = catalog.TableCatalog(spark, str(tmp_path))
+    assert again.names() == ["t"] and again.tables["t"].count() == 9
+    assert sorted(map(tuple, again.compact("t").collect())) == rows
+    again.vacuum("t")
+    assert len([x for x in (tmp_path / one.path("t").rsplit("/", 1)[1]).iterdir() if x.name.startswith("rows-")]) == 1
+    assert sorted(map(tuple, catalog.TableCatalog(spark, str(tmp_path)).tables["t"].collect())) == rows
+
+
+def test_metadata_of_two_writers_are_merged(spark, tmp_path):
+    one, two = catalog.TableCatalog(spark, str(tmp_path)), catalog.TableCatalog(spark, str(tmp_path))
+    facts = lambda *rows: spark.createDataFrame(list(rows), catalog.EAV)
+    real, calls = one._commit, []
+
+    def raced(*given):
+        if not calls:
+            calls.append(1)
+            two.describe("t", facts(("a", "description", "theirs"), ("b", "description", "theirs")))
+        return real(*given)
+
+    one._commit = raced
+    one.describe("t", facts(("a", "description", "ours"), ("c", "description", "ours")))
+    assert sorted((r.entity, r.value) for r in one.tables["t__metadata"].collect()) == [("a", "ours"), ("b", "theirs"), ("c", "ours")]
+
+
+def test_folded_predicates_reach_the_scan(spark, tmp_path):
+    from askgrid.plans.rewrite import refined
+
+    rows = spark.range(40_000).selectExpr("id", "concat('Name ', id % 20000 * 2) AS name", "if(id % 3 = 0, 'NORTH', 'South') AS `the side`")
+    own = catalog.TableCatalog(spark, str(tmp_path))
+    own.write("Homes", rows, fold=["name", "the side"])
+    other = spark.createDataFrame([(1, "x")], "id long, note string")
+    own.write("notes", other)
+    again = catalog.TableCatalog(spark, str(tmp_path))
+    assert again.tables["Homes"].columns == ["id", "name", "the side"] and again.names() == ["Homes", "notes"] and list(again.schema()["Homes"]) == ["id", "name", "the side"]
+
+    def both(sql):
+        fast, slow = (spark.sql(refined(spark, sql, again.schema(), None, low)) for low in (again.folded, None))
+        assert fast.columns == slow.columns and sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())), sql
+        return fast
+
+    scan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = both("SELECT * FROM Homes WHERE name = 'NAME 6'")
+    assert one.count() == 2 and "EqualTo(_ag_low_name,name 6)" in scan(one)
+    assert "In(_ag_low_name, [name 4,name 8])" in scan(both("SELECT h.id FROM homes h WHERE h.name IN ('NAME 4', 'Name 8') ORDER BY h.id"))
+    assert "StringStartsWith(`_ag_low_the side`,nor)" in scan(both("SELECT count(*) AS n FROM Homes WHERE `the side` LIKE 'NOR%' AND name <> 'x'"))
+    both("SELECT h.*, n.note FROM Homes h JOIN notes n ON h.id = n.id WHERE 'south' = h.`the side` AND n.note = 'X'")
+    both("SELECT * FROM Homes h, notes WHERE h.id = notes.id AND h.name LIKE '%2'")
+    both("SELECT id FROM notes n WHERE EXISTS (SELECT * FROM Homes WHERE Homes.id = n.id AND name = 'name 2')")
+    both("WITH a AS (SELECT * FROM Homes WHERE name = 'name 2') SELECT a.* FROM a UNION ALL SELECT * FROM Homes WHERE `the side` = 'x'")
+    both("WITH homes AS (SELECT 1 AS id, 'A' AS name) SELECT * FROM homes WHERE name = 'a'")
+    # A value that the bloom filter doesn't have, between the least and the greatest: no row group is read.
+    none = both("SELECT id FROM Homes WHERE name = 'Name 3333'")
+    plan = none._jdf.queryExecution().executedPlan()
+    reads = lambda p: [p] if "Scan" in p.nodeName() else [x for k in range(p.children().size()) for x in reads(p.children().apply(k))]
+    none.collect()
+    assert [reads(plan)[0].metrics().apply("numOutputRows").value()] == [0]
+    own.write("Homes", rows.limit(1), "append")
+    assert again.refresh("Homes").count() == 40_001
