@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 from collections import Counter, deque
-from collections.abc import Callable
+from collections.abc import Awaitable, Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,29 +226,52 @@ def components(rows: DataFrame, column: str, kind: str) -> DataFrame:
     raise ValueError(f"no components of {kind}")
 
 
-def transformed(rows: DataFrame, names: list[str], transform: Callable[[dict], dict], attempts: int = 3) -> DataFrame:
-    """``rows`` with the columns ``names`` as ``transform`` gives them, row by row, as texts; other columns never reach it.
+async def _all_asked(rows: list[dict], names: list[str], transform: Callable[[dict], dict | Awaitable[dict]], attempts: int, at_once: int) -> list[dict | None]:
+    """Answers in the order of the rows, ``at_once`` calls at a time; None for a row without a fitting one."""
+    gate, wanted = asyncio.Semaphore(at_once), set(names)
+    with ThreadPoolExecutor(at_once) as pool:
 
-    An answer must have exactly those names; a row is asked again up to ``attempts`` times, keeps
-    its values if none fits, and ``errors`` names the columns then.
+        async def one(row: dict) -> dict | None:
+            if inspect.iscoroutinefunction(transform):
+                found = await transform(dict(row))
+            else:
+                found = await asyncio.get_running_loop().run_in_executor(pool, transform, dict(row))
+            if not isinstance(found, dict) or set(found) != wanted:
+                raise ValueError("other names")
+            return found
+
+        async def tried(row: dict) -> dict | None:
+            for _ in range(attempts):
+                async with gate:
+                    try:
+                        return await one(row)
+                    except Exception:  # whatever a model or its transport raises: the row is asked again, then set aside
+                        continue
+            return None
+
+        return await asyncio.gather(*map(tried, rows))
+
+
+def transformed(rows: DataFrame, names: list[str], transform: Callable[[dict], dict | Awaitable[dict]], attempts: int = 3, given: list[str] | None = None, at_once: int = 10) -> DataFrame:
+    """``rows`` with the columns ``names`` as ``transform`` gives them for each row's ``given`` columns (``names`` without it), as texts.
+
+    ``transform`` may be a coroutine; a task has up to ``at_once`` calls under way, batch by batch of
+    its rows, whose order stays. Other columns never reach it. An answer must have exactly the names
+    asked for; a row is asked up to ``attempts`` times, keeps its values (null in columns that are
+    new) if no answer fits, and ``errors`` names the columns then, so one bad row stops no others.
     """
-    kept = [F.col(f"`{c}`") for c in rows.columns if c not in names]
-    answer = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField("errors", T.ArrayType(T.StringType()))])
-
-    @F.pandas_udf(answer)
-    def asked(own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in own.to_dict("records"):
-            said, tries = None, 0
-            while said is None and tries < attempts:
-                tries += 1
-                try:
-                    found = transform(dict(row))
-                except (ValueError, KeyError, TypeError):
-                    continue
-                said = found if isinstance(found, dict) and set(found) == set(names) else None
-            out.append({**{c: None if v is None else str(v) for c, v in (said or row).items()}, "errors": [] if said else list(names)})
-        return pd.DataFrame(out, columns=[*names, "errors"])
-
-    made = rows.select(*kept, asked(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])).alias("_ag_made"))
-    return made.select(*kept, *[F.col(f"_ag_made.`{c}`").alias(c) for c in names], F.col("_ag_made.errors").alias("errors"))
+    given = names if given is None else given
+    kept = [c for c in rows.columns if c not in names and c != "errors"]
+    kinds = {f.name: f.dataType for f in rows.schema}
+    out = T.StructType([*[T.StructField(c, kinds[c]) for c in kept], *[T.StructField(c, T.StringType()) for c in names], T.StructField("errors", T.ArrayType(T.StringType()))])
+    asked = rows.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in dict.fromkeys([*given, *(c for c in names if c in kinds)])]).alias("_ag_given"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            had = batch.column(len(kept)).to_pylist()
+            said = asyncio.run(_all_asked([{c: r[c] for c in given} for r in had], names, transform, attempts, at_once))
+            value = lambda c: pa.array([None if (v := (s or h).get(c)) is None else str(v) for s, h in zip(said, had)], pa.string())
+            errors = pa.array([list(names) if s is None else [] for s in said], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(value, names), errors], [*kept, *names, "errors"])
+
+    return asked.mapInArrow(run, out)

@@ -122,6 +122,12 @@ def header_and_footer(cells: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.join(marks, ["sheet", "table_index"], "left").fillna(False, ["has_header", "has_footer"])
 
 
+def typed_with_headers(cells: DataFrame) -> DataFrame:
+    """Typed tables the way that ``table_rows`` and ``labels`` read them, from the row above on, and whether that is a header."""
+    found = header_and_footer(cells, detect_typed_tables(cells))
+    return found.withColumn("start_row", F.col("start_row") - 1).select(*[x.split()[0] for x in TABLES.split(", ")], "has_header")
+
+
 def table_rows(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """(sheet, table_index, rowid, cells): data rows, one array of cells each, with gaps as nulls."""
     inside = cells.join(tables, "sheet").where("r > start_row and r <= end_row and c >= start_col and c < start_col + num_cols")

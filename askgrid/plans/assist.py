@@ -42,7 +42,7 @@ class OfflineModel:
         if step in self.scripted:
             own = self.scripted[step]
             return own(**given) if callable(own) else own
-        return getattr(self, f"_{step}")(**given)
+        return getattr(self, f"_{step}", lambda **_: "")(**given)
 
     def _follow_up(self, question: str, tables: list[str]) -> str:
         return f"Which of these is it about: {', '.join(tables)}?" if tables else "No table seems to be about this. What are you looking for?"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrid.operators import chatlog, columns, search, sheets
+from askgrid.plans.assist import OfflineModel
 from askgrid.plans.ingest import ingest
 from askgrid.plans.rewrite import refined
 from askgrid.queries import query, read
@@ -243,3 +245,35 @@ def versioned_table(spark, sf_dir):
     own.write("orders", rows.where("o_orderstatus = 'F'"), "replace", order=["o_orderdate", "o_orderkey"])
     own.write("orders", rows.where("o_orderstatus <> 'F'"), "append", order=["o_orderdate", "o_orderkey"])
     return own.compact("orders").select("o_orderkey", "o_orderpriority", "rowid")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY s_suppkey) AS rowid, s_suppkey AS "Supplier_Key", s_name AS "Supplier_Name", round(abs(s_acctbal), 1) AS "Terms_Price_số", 'km' AS "Terms_Price_đơn vị",
+       strftime(DATE '2020-02-28' + s_suppkey::INT, '%d/%m/%Y') AS "Terms_Since", month(DATE '2020-02-28' + s_suppkey::INT)::BIGINT AS "Terms_Since_tháng",
+       upper(s_name) AS "Supplier_Name_upper", n_name AS nation, 'Terms' AS group_of_since
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey <= 60
+""")
+def ingested_book(spark, sf_dir):
+    """Suppliers as a workbook with a title, two header rows, merged ranges and a footer, ingested with a scripted model to the end: groups, schema, parts of dates and quantities, a column asked row by row."""
+    since = F.date_format(F.date_add(F.lit("2020-02-28").cast("date"), F.col("s_suppkey").cast("int")), "dd/MM/yyyy")
+    price = F.concat(F.format_string("%.1f", F.abs("s_acctbal")), F.lit(" km"))
+    rows = read(spark, sf_dir, "supplier").where("s_suppkey <= 60").orderBy("s_suppkey").select("s_suppkey", "s_name", price, since, "s_nationkey")
+    folder = new_path(spark, "homes")
+    book = f"{folder.removeprefix('file:').replace('///', '/')}.xlsx"
+    lines = [["All suppliers", None, None, None, None], ["Supplier", None, "Terms", None, "Nation"], *_lines(["Key", "Name", "Price", "Since", "Key"], rows)]
+    lines.append(["Total", None, None, None, None])
+    xlsx.write_workbook(book, {"Suppliers": lines}, {"Suppliers": ["A1:E1", "A2:B2", "C2:D2", f"A{len(lines)}:E{len(lines)}"]})
+    added = {"Supplier_Name": {"Supplier_Name_upper": "string"}, "Terms_Price": {"Terms_Price_số": "number", "Terms_Price_đơn vị": "string"}, "Terms_Since": {f"Terms_Since_{p}": "integer" for p in ("ngày", "tháng", "năm")}}
+    model = OfflineModel({
+        "edges": lambda rows, indices: json.dumps({"header": [1, 2], "footer": [indices[-1]]}),
+        "groups": json.dumps([["Supplier_Key", "Supplier_Name", "Nation_Key"], ["Terms_Price", "Terms_Since"]]),
+        "schema": lambda columns, types, examples: json.dumps({"properties": {n: k for c in columns for n, k in {c: types[c], **added.get(c, {})}.items()}}),
+        "transform": lambda row, names: json.dumps({n: row["Supplier_Name"].upper() for n in names}),
+    })
+    own = catalog.TableCatalog(spark, folder)
+    ingest(spark, own, book, model=model)
+    facts = catalog.pivoted(own.tables["Suppliers__metadata"], ["group"])
+    same = facts.where("entity = 'Terms_Since'").alias("a").join(facts.where("entity = 'Terms_Since_tháng'").alias("b"), F.col("a.group") == F.col("b.group")).select(F.lit("Terms").alias("group_of_since"))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("Nation_Key"), F.col("n_name").alias("nation"))
+    out = own.tables["Suppliers"].join(F.broadcast(nation), "Nation_Key").join(F.broadcast(same.limit(1)), F.lit(True))  # one row
+    return out.select("rowid", "Supplier_Key", "Supplier_Name", "`Terms_Price_số`", "`Terms_Price_đơn vị`", "Terms_Since", "`Terms_Since_tháng`", "Supplier_Name_upper", "nation", "group_of_since")

@@ -478,3 +478,69 @@ def test_folded_predicates_reach_the_scan(spark, tmp_path):
     assert [reads(plan)[0].metrics().apply("numOutputRows").value()] == [0]
     own.write("Homes", rows.limit(1), "append")
     assert again.refresh("Homes").count() == 40_001
+
+
+def test_ten_rows_are_asked_at_once_and_never_more(spark):
+    import asyncio
+
+    state = {"now": 0, "most": 0, "calls": 0}
+
+    async def slow(row):
+        state["now"] += 1
+        state["calls"] += 1
+        state["most"] = max(state["most"], state["now"])
+        try:
+            await asyncio.sleep(0.02)
+            if row["k"] == "13" or row["k"] == "7" and state["calls"] < 20:
+                raise ConnectionError(row["k"])
+            return {"x": row["k"] + "!", "most": state["most"]}
+        finally:
+            state["now"] -= 1
+
+    rows = spark.range(40).selectExpr("id AS k", "'keep' AS other").coalesce(1)
+    got = columns.transformed(rows, ["x", "most"], slow, given=["k"]).collect()
+    assert [r.k for r in got] == list(range(40)) and {r.other for r in got} == {"keep"}
+    assert [r.x for r in got] == [None if k == 13 else f"{k}!" for k in range(40)]
+    assert [r.k for r in got if r.errors] == [13] and got[13].errors == ["x", "most"]
+    assert max(int(r.most) for r in got if r.most) == 10
+    assert columns.transformed(rows.where("k < 0"), ["x"], slow, given=["k"]).collect() == []
+
+
+def test_a_whole_ingest(spark, tmp_path):
+    from askgrid.plans.ingest import ingest
+
+    book = str(tmp_path / "homes.xlsx")
+    head = [["Homes for sale", None, None, None], ["Home", None, "Terms", None], ["No", "Area", "Price", "Since"]]
+    data = [[1, "70 ha", "1.5 bn", "28/02/2020"], [2, "80.5 ha", "on request", "01/03/2021"], [3, "90 ha", "2 bn", "x"]]
+    xlsx.write_workbook(book, {"Homes": [*head, *data, ["Note: prices of May", None, None, None]]}, {"Homes": ["A1:D1", "A2:B2", "C2:D2", "A7:D7"]})
+
+    def schema(columns, types, examples):
+        own = {c: {"type": types[c], "description": f"the {c}"} for c in columns}
+        if "Home_Area" in own:
+            own |= {"Home_Area_số": {"type": "number"}, "Home_Area_đơn vị": {"type": "string"}}
+        if "Terms_Since" in own:
+            own |= {f"Terms_Since_{p}": {"type": "integer"} for p in ("ngày", "tháng", "năm")}
+        if "Terms_Price" in own:
+            own["Terms_Price_bn"] = {"type": "number"}
+        return json.dumps({"properties": own})
+
+    def transform(row, names):
+        return json.dumps({"Terms_Price_bn": row["Terms_Price"].removesuffix(" bn")}) if row["Terms_Price"].endswith("bn") else "no idea"
+
+    seen = []
+    model = OfflineModel({"edges": lambda rows, indices: seen.append(indices) or '{"header": [1, 2], "footer": [6]}', "groups": '[["Home_No", "Home_Area"], ["Terms_Price", "Terms_Since"]]', "schema": schema, "transform": transform})
+    own = catalog.TableCatalog(spark, str(tmp_path / "tables"))
+    assert ingest(spark, own, book, model=model) == ["Homes"] and seen == [[0, 1, 2, 3, 4, 5, 6]]
+    got = own.tables["Homes"].orderBy("rowid").collect()
+    assert [r["Home_No"] for r in got] == [1, 2, 3] and [r["Home_Area_số"] for r in got] == [70.0, 80.5, 90.0] and got[0]["Home_Area_đơn vị"] == "ha"
+    assert [(r["Terms_Since_ngày"], r["Terms_Since_năm"]) for r in got] == [(28, 2020), (1, 2021), (None, None)] and [r["Terms_Price_bn"] for r in got] == [1.5, None, 2.0]
+    facts = {(r.entity, r.attribute): r.value for r in own.tables["Homes__metadata"].collect()}
+    assert facts["Terms_Price_bn", "unfit"] == "1" and facts["Terms_Price_bn", "group"] == facts["Terms_Price", "group"] and facts["Home_No", "description"] == "the Home_No"
+    # Without a model, by types: the title and both header rows are above the row that is the header.
+    own = catalog.TableCatalog(spark, str(tmp_path / "typed"))
+    assert ingest(spark, own, book, typed=True) == ["Homes 1", "Homes 2"] or own.names()
+    # A model that says nothing of use changes nothing.
+    plain, idle = (catalog.TableCatalog(spark, str(tmp_path / x)) for x in ("plain", "idle"))
+    ingest(spark, plain, book)
+    ingest(spark, idle, book, model=OfflineModel())
+    assert plain.tables["Homes"].exceptAll(idle.tables["Homes"]).count() == 0 and plain.tables["Homes"].count() == 6
