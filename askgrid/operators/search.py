@@ -59,6 +59,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def sound(vector: Column) -> Column:
+    """Whether a vector has components, all of them there and finite."""
+    value = lambda x: x.cast("double")  # noqa: E731  NaN compares above every number
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & (value(x) > float("-inf")) & (value(x) < float("inf"))), F.lit(False))
+
+
 def distinct_values(table: DataFrame, name: str, columns: list[str] | None = None, most: int = 512) -> DataFrame:
     """(table_name, column_name, value, text): the distinct values of the text columns, trimmed before they are compared, from one scan."""
     columns = columns or [c for c, t in table.dtypes if t == "string" and c != "rowid"]
@@ -86,45 +92,54 @@ def extend_index(index: DataFrame, values: DataFrame, embedder: Embedder) -> Dat
 
 
 def _best_of_batches(asked: pa.Table, query: str, shared: list[str], keys: list[str], value: str, k: int | None, least: float | None, leave_self: bool):
-    """Scores of each batch of rows with all queries by one matrix product a block; what can't be among the best of the batch stays there."""
-    wanted = np.stack(asked["_q"].to_pylist()).astype(np.float64) if asked.num_rows else np.zeros((0, 0))
-    places = {}
-    for i, key in enumerate(zip(*[asked[c].to_pylist() for c in shared]) if shared else [()] * asked.num_rows):
-        places.setdefault(key, []).append(i)
+    """Scores of each batch of rows with all queries of as many components, by one matrix product a block; what can't be among the best of the batch stays there."""
+    vectors = asked["_q"].to_pylist()
     own = asked[query].combine_chunks()
     ids = np.array(own.to_pylist(), object)
+    by_width: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        by_width.setdefault(len(v), []).append(i)
+    named = list(zip(*[asked[c].to_pylist() for c in shared])) if shared else [()] * asked.num_rows
+    matrices = {}
+    for width, some in by_width.items():
+        places: dict[tuple, list[int]] = {}
+        for n, i in enumerate(some):
+            places.setdefault(named[i], []).append(n)
+        matrices[width] = np.array(some), np.array([vectors[i] for i in some], np.float64), places
+
+    def met(batch: pa.RecordBatch, asks_of: np.ndarray, wanted: np.ndarray, places: dict[tuple, list[int]]) -> Iterator[pa.RecordBatch]:
+        rows = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*[batch[c].to_pylist() for c in keys]) if keys else [()] * batch.num_rows):
+            groups.setdefault(key, []).append(i)
+        rest = batch.drop_columns("embedding")
+        names = np.array(batch[value].to_pylist(), object) if leave_self else None
+        for key, inside in groups.items():
+            asks = places.get(tuple(key[keys.index(c)] for c in shared), [])
+            for at in range(0, len(asks), QUERY_BLOCK):
+                some = np.array(asks[at : at + QUERY_BLOCK])
+                scores = rows[inside] @ wanted[some].T
+                if leave_self:
+                    scores[names[inside][:, None] == ids[asks_of[some]][None, :]] = -np.inf
+                good = np.isfinite(scores)
+                if least is not None:
+                    good &= scores >= least - MARGIN
+                if k is not None and len(inside) > k:
+                    good &= scores >= np.partition(scores, len(inside) - k, axis=0)[len(inside) - k] - MARGIN
+                r, q = np.nonzero(good)
+                if len(r):
+                    out = rest.take(pa.array(np.array(inside)[r]))
+                    yield pa.RecordBatch.from_arrays([*out.columns, own.take(pa.array(asks_of[some[q]])), pa.array(scores[r, q])], [*out.schema.names, query, "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch["embedding"]
-            whole = pc.equal(pc.list_value_length(vectors), wanted.shape[1]).fill_null(False)
-            batch = batch.filter(whole)
-            if not batch.num_rows or not len(wanted):
-                continue
-            rows = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*[batch[c].to_pylist() for c in keys]) if keys else [()] * batch.num_rows):
-                groups.setdefault(key, []).append(i)
-            rest = batch.drop_columns("embedding")
-            names = np.array(batch[value].to_pylist(), object) if leave_self else None
-            for key, inside in groups.items():
-                asks = places.get(tuple(key[keys.index(c)] for c in shared), [])
-                for at in range(0, len(asks), QUERY_BLOCK):
-                    some = np.array(asks[at : at + QUERY_BLOCK])
-                    scores = rows[inside] @ wanted[some].T
-                    if leave_self:
-                        scores[names[inside][:, None] == ids[some][None, :]] = -np.inf
-                    good = np.isfinite(scores)
-                    if least is not None:
-                        good &= scores >= least - MARGIN
-                    if k is not None and len(inside) > k:
-                        good &= scores >= np.partition(scores, len(inside) - k, axis=0)[len(inside) - k] - MARGIN
-                    r, q = np.nonzero(good)
-                    if len(r):
-                        out = rest.take(pa.array(np.array(inside)[r]))
-                        yield pa.RecordBatch.from_arrays([*out.columns, own.take(pa.array(some[q])), pa.array(scores[r, q])], [*out.schema.names, query, "score"])
+            widths = pc.list_value_length(batch["embedding"])
+            for width, given in matrices.items():
+                fits = batch.filter(pc.equal(widths, width))
+                if fits.num_rows:
+                    yield from met(fits, *given)
 
     return run
 
@@ -135,15 +150,16 @@ def nearest(queries: DataFrame, index: DataFrame, k: int | None, keys: list[str]
     Up to MOST_QUERIES queries go to every task, which multiplies its rows' matrix with theirs and
     keeps what may be among the best, to within the rounding of scores. Beyond, blocks of queries
     and of rows are joined on both their numbers, so no task gets more than one block of each.
-    Rows without a whole vector take no part.
+    Queries and rows whose vector is null or empty, or has a null, NaN or infinite component, take no
+    part, and vectors of unequal length don't meet, whatever the number of queries.
     """
     shared = [c for c in keys if c in queries.columns]
-    asked = queries.select(query, *shared, unit(F.col("embedding")).alias("_q")).where("_q is not null and not exists(_q, x -> x is null)")
+    asked = queries.where(sound(F.col("embedding"))).select(query, *shared, unit(F.col("embedding")).alias("_q"))
+    index = index.where(sound(F.col("embedding")))
     n = asked.count()
     if n <= MOST_QUERIES:
-        rows = index.where("embedding is not null and not exists(embedding, x -> x is null)")
         rest = T.StructType([*[f for f in index.schema if f.name != "embedding"], asked.schema[query], T.StructField("score", T.DoubleType())])
-        found = rows.select(*[f.name for f in index.schema]).mapInArrow(_best_of_batches(asked.toArrow(), query, shared, keys, value, k, least, leave_self), rest)
+        found = index.mapInArrow(_best_of_batches(asked.toArrow(), query, shared, keys, value, k, least, leave_self), rest)
         scored = found.withColumn("score", F.round("score", 4))
     else:
         blocks, rows = -(-n // QUERY_BLOCK), index.withColumn("_v", unit(F.col("embedding"))).drop("embedding")
@@ -152,6 +168,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int | None, keys: list[str]
         own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         asked = asked.withColumn("_b", own(query, blocks)).withColumn("_c", every(parts))
         met = rows.withColumn("_c", own(value, parts)).withColumn("_b", every(blocks)).join(asked, ["_b", "_c", *shared])
+        met = met.where(F.size("_q") == F.size("_v"))
         met = met.where(F.col(value) != F.col(query)) if leave_self else met
         scored = met.withColumn("score", F.round(dot(F.col("_q"), F.col("_v")), 4)).drop("_q", "_v", "_b", "_c").where("score is not null")
     scored = scored.where(F.col("score") >= least) if least is not None else scored

@@ -350,15 +350,17 @@ def test_json_arrays_come_back(spark, tmp_path):
 
 def test_nearest_is_alike_in_one_and_in_many_blocks(spark, sf, monkeypatch):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
-    rows = rows.unionByName(spark.createDataFrame([(9001, 1, None), (9002, 1, [1.0, 2.0]), (9003, 1, [0.0] * 64)], "vec_id long, label int, embedding array<float>"))
+    rows = rows.unionByName(spark.createDataFrame([(9001, 1, None), (9050, 1, [1.0, 2.0]), (9051, 1, [2.0, 1.0]), (9052, 2, [1.0, 2.0]), (9003, 1, [0.0] * 64), (9100, 1, [float("nan")] * 64), (9101, 1, [float("inf")] + [0.0] * 63), (9150, 1, []), (9200, 1, [None, 1.0])], "vec_id long, label int, embedding array<float>"))
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
     for keys, k, least in ((["label"], 3, None), ([], 4, None), ([], None, 0.3)):
         got = []
         for most in (8192, 0):
             monkeypatch.setattr(search, "MOST_QUERIES", most)
-            found = search.nearest(asked, rows.where("vec_id <> 9002"), k, keys, "vec_id", least=least, leave_self=True)
+            found = search.nearest(asked, rows, k, keys, "vec_id", least=least, leave_self=True)
             got.append(sorted((r.query_id, r.vec_id, r.score) for r in found.collect()))
         assert got[0] == got[1] and len(got[0]) > 20
+        assert {q for q, _, _ in got[0] if q > 9000} == {9050} and {v for q, v, _ in got[0] if q == 9050} <= {9051, 9052}
+        assert not {9001, 9100, 9101, 9150, 9200} & {v for _, v, _ in got[0]}
 
 
 def test_longest_common_blocks_of_any_length():
