@@ -13,7 +13,7 @@ from askgrid.operators import chatlog, columns, search
 from askgrid.plans import predicates, relax, rewrite
 from askgrid.plans.guard import checked
 from askgrid.sources import catalog
-from askgrid.streaming import sessions
+from askgrid.streaming import replay, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -461,3 +461,17 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from askgrid import queries_tables, queries_text  # noqa: E402,F401  they register their own
+
+
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS session, ts, event_id, event_type AS role, coalesce(props, '') AS text FROM events),
+g AS (SELECT *, sum(fresh) OVER w AS n FROM (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)) WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)),
+r AS (SELECT *, sum(turned) OVER w AS run FROM (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS turned, role = lag(role) OVER w AND text = lag(text) OVER w AS again FROM g WINDOW w AS (PARTITION BY session, n ORDER BY ts, event_id)) WINDOW w AS (PARTITION BY session, n ORDER BY ts, event_id)),
+t AS (SELECT session, n, run, any_value(role) AS role, string_agg(text, chr(10) ORDER BY ts, event_id) AS text FROM r WHERE again IS NOT TRUE GROUP BY ALL)
+SELECT a.session, a.run::BIGINT AS place, a.text AS current_message, coalesce((SELECT string_agg(b.role || ':' || b.text, chr(10) ORDER BY b.run) FROM t b WHERE b.session = a.session AND b.n = a.n AND b.run < a.run), '') AS history
+FROM t a WHERE a.role = 'click'
+""")
+def replayed_events(spark, sf_dir):
+    """Clicks as a user's turns, with what came before them in their conversation."""
+    found = replay.samples(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type", "props", user="click", gap="12 hours")
+    return found.select("session", "place", "current_message", F.array_join(F.transform("conversation_history", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").alias("history"))
