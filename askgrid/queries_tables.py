@@ -127,10 +127,11 @@ def reranked_rows(spark, sf_dir):
 def workbook_to_table(spark, sf_dir):
     """Suppliers as a workbook with dates and flags, ingested, and read from a catalog that is opened anew."""
     since = F.date_add(F.lit("2020-02-28").cast("date"), F.col("s_suppkey").cast("int"))
-    rows = read(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name", "s_acctbal", F.col("s_suppkey") % 2 == 1, since)
+    rows = read(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name", "s_acctbal", F.col("s_suppkey") % 2 == 1, since).toDF("Key", "Name", "Balance", "Odd", "Since")
     folder = new_path(spark, "workbook")
     book = f"{folder.removeprefix('file:').replace('///', '/')}.xlsx"
-    xlsx.write_workbook(book, {"Suppliers": _lines(["Key", "Name", "Balance", "Odd", "Since"], rows)})
+    spark.dataSource.register(xlsx.XlsxSource)
+    rows.write.format("xlsx").mode("overwrite").option("sheet", "Suppliers").save(book)
     ingest(spark, catalog.TableCatalog(spark, folder), book)
     found = catalog.TableCatalog(spark, folder).tables
     facts = catalog.pivoted(found["Suppliers__metadata"], ["type", "unfit"]).where("entity = 'Since'").select(F.col("type").alias("since_kind"), F.col("unfit").cast("int").alias("unfit"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +54,10 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def export(rows: DataFrame, path: str, file_format: str = "csv", header: bool = True, footer: list[list] | None = None) -> None:
-    """A table as csv, json or parquet, or as one xlsx file, which alone takes footer rows."""
+    """A table as csv, json or parquet, or as one xlsx file, which alone takes footer rows; tasks write its rows, in the order of the table."""
     if file_format == "xlsx":
-        return xlsx.write_workbook(path, {"Sheet1": chain([rows.columns] if header else [], (list(r) for r in rows.toLocalIterator()), footer or [])})
+        rows.sparkSession.dataSource.register(xlsx.XlsxSource)
+        return rows.write.format("xlsx").mode("overwrite").option("header", header).option("footer", json.dumps(footer or [], default=str)).save(path)
     if file_format not in ("csv", "json", "parquet") or footer:
         raise ValueError(f"cannot export as {file_format}" + " with a footer" * bool(footer))
     writer = rows.write.mode("overwrite").format(file_format)

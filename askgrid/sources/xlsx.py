@@ -3,6 +3,7 @@
     spark.dataSource.register(XlsxSource)
     spark.read.format("xlsx").load(path)                             # sheet, r, c, v, vtype
     spark.read.format("xlsx").option("relation", "merges").load(path)
+    table.write.format("xlsx").mode("overwrite").save(path)          # options sheet, header, footer (JSON rows)
 
 Option ``sheets`` is a comma-separated list of names; all sheets without it. Rows and columns
 count from 1. A file's sheets are read by separate tasks with a streaming XML parser. The path of a
@@ -12,15 +13,18 @@ style shows as dates are read as dates.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 CELLS = "sheet string, r int, c int, v string, vtype string"
 MERGES = "sheet string, range_str string, min_row int, max_row int, min_col int, max_col int, rows_spanned int, cols_spanned int, merge_type string"
@@ -84,10 +88,16 @@ def moment(serial: float, since_1904: bool = False) -> str:
 def cells(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple]:
     words, dates = _shared(book), date_styles(book)
     since_1904 = any(x.get("date1904") in ("1", "true") for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}workbookPr"))
+    r = c = 0
     with book.open(part) as f:
-        for _, e in ElementTree.iterparse(f):
-            if e.tag != f"{_MAIN}c":
+        for event, e in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start" and e.tag == f"{_MAIN}row":  # rows and cells without a place follow the ones before them
+                r, c = int(e.get("r", r + 1)), 0
+            if event == "start" or e.tag != f"{_MAIN}c":
+                if event == "end" and e.tag == f"{_MAIN}row":
+                    e.clear()
                 continue
+            r, c = place(e.get("r")) if e.get("r") else (r, c + 1)
             kind, value = e.get("t", "n"), e.findtext(f"{_MAIN}v")
             if kind == "s" and value is not None:
                 value, kind = words[int(value)], "STRING"
@@ -99,7 +109,7 @@ def cells(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple]:
                 kind = {"b": "BOOLEAN", "str": "STRING", "d": "DATETIME", "e": "NULL"}.get(kind, "NUMBER")
                 value = {"0": "false", "1": "true"}.get(value, value) if kind == "BOOLEAN" else None if kind == "NULL" else value
             if value is not None and value != "":
-                yield (name, *place(e.get("r")), value, kind)
+                yield name, r, c, value, kind
             e.clear()
 
 
@@ -111,23 +121,43 @@ def _letters(column: int) -> str:
     return out
 
 
-def _cell(value, ref: str) -> str:
+def _cell(value, ref: str | None) -> str:
+    """A cell; one without a place holds its own even if it is empty."""
+    at = f' r="{ref}"' if ref else ""
     if value is None:
-        return ""
+        return "" if ref else "<c/>"
     if isinstance(value, bool):
-        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+        return f'<c{at} t="b"><v>{int(value)}</v></c>'
     if isinstance(value, (int, float)):
-        return f'<c r="{ref}"><v>{value!r}</v></c>'
+        return f"<c{at}><v>{value!r}</v></c>"
     if isinstance(value, date):
         whole = isinstance(value, datetime)
         since = (value.replace(tzinfo=None) if whole else datetime(value.year, value.month, value.day)) - datetime(1899, 12, 30)
-        return f'<c r="{ref}" s="{2 if whole else 1}"><v>{since.total_seconds() / 86400!r}</v></c>'
+        return f'<c{at} s="{2 if whole else 1}"><v>{since.total_seconds() / 86400!r}</v></c>'
     text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value))
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    return f'<c{at} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def _rows(rows: Iterable[list]) -> Iterator[bytes]:
+    """Rows with their places."""
+    for r, row in enumerate(rows, 1):
+        if r > MOST_ROWS:
+            raise ValueError(f"a sheet holds at most {MOST_ROWS} rows")
+        yield f'<row r="{r}">{"".join(_cell(v, f"{_letters(c)}{r}") for c, v in enumerate(row, 1))}</row>'.encode()
+
+
+def _follow(row: Iterable) -> bytes:
+    """A row that follows the one before it, wherever that is."""
+    return f'<row>{"".join(_cell(v, None) for v in row)}</row>'.encode()
 
 
 def write_workbook(path: str, sheets: dict[str, Iterable[list]], merged: dict[str, list[str]] | None = None) -> None:
     """A workbook of rows of values, streamed row by row; a sheet holds at most MOST_ROWS rows and more raise ValueError."""
+    _write_sheets(path, {name: _rows(rows) for name, rows in sheets.items()}, merged)
+
+
+def _write_sheets(path: str, sheets: dict[str, Iterable[bytes]], merged: dict[str, list[str]] | None = None) -> None:
+    """A workbook of sheets whose rows are written already."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     main, rel = _MAIN.strip("{}"), _REL.strip("{}")
     packages = "http://schemas.openxmlformats.org/package/2006"
@@ -135,10 +165,8 @@ def write_workbook(path: str, sheets: dict[str, Iterable[list]], merged: dict[st
         for k, (name, rows) in enumerate(sheets.items(), 1):
             with book.open(f"xl/worksheets/sheet{k}.xml", "w") as out:
                 out.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-                for r, row in enumerate(rows, 1):
-                    if r > MOST_ROWS:
-                        raise ValueError(f"a sheet holds at most {MOST_ROWS} rows")
-                    out.write(f'<row r="{r}">{"".join(_cell(v, f"{_letters(c)}{r}") for c, v in enumerate(row, 1))}</row>'.encode())
+                for chunk in rows:
+                    out.write(chunk)
                 ranges = "".join(f'<mergeCell ref="{x}"/>' for x in (merged or {}).get(name, []))
                 out.write(f"</sheetData>{f'<mergeCells>{ranges}</mergeCells>' if ranges else ''}</worksheet>".encode())
         parts = [(k, escape(n, {'"': "&quot;"})) for k, n in enumerate(sheets, 1)]
@@ -217,6 +245,66 @@ class XlsxReader(DataSourceReader):
             yield from (merges if self.merged else cells)(book, partition.name, partition.part)
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    """What a task has written: where, the place of its partition, and how many rows."""
+
+    path: str
+    partition: int
+    rows: int
+
+
+class XlsxWriter(DataSourceWriter):
+    """Tasks write their rows as parts of a sheet; the commit puts the parts that count together.
+
+    Parts lie in a folder beside the workbook that goes with the commit, whatever tasks that were
+    killed or tried twice have left in it. The workbook gets its name once it is whole.
+    """
+
+    def __init__(self, options: dict, names: list[str]):
+        self.path = options["path"].replace("file:///", "/").removeprefix("file:")
+        self.sheet, self.names = options.get("sheet", "Sheet1"), names if options.get("header", "true").lower() == "true" else None
+        self.footer = json.loads(options.get("footer", "[]"))
+        self.folder = f"{self.path}.{uuid.uuid4().hex}.parts"
+
+    def write(self, iterator: Iterator) -> Part:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        path, n = f"{self.folder}/{task.partitionId():06}-{task.taskAttemptId()}", 0
+        with _created(path) as out:
+            for n, row in enumerate(iterator, 1):
+                out.write(_follow(row))
+        return Part(path, task.partitionId(), n)
+
+    def _sheet(self, parts: list[Part]) -> Iterator[bytes]:
+        yield from (_follow(row) for row in [self.names] if row)
+        for p in sorted(parts, key=lambda p: p.partition):
+            with _opened(p.path) as f:
+                while chunk := f.read(1 << 20):
+                    yield chunk
+        yield from map(_follow, self.footer)
+
+    def commit(self, messages: list[Part | None]) -> None:
+        parts = [p for p in messages if p is not None]
+        if sum(p.rows for p in parts) + bool(self.names) + len(self.footer) > MOST_ROWS:
+            self.abort(messages)
+            raise ValueError(f"a sheet holds at most {MOST_ROWS} rows")
+        draft = f"{self.folder}/whole"
+        _write_sheets(draft, {self.sheet: self._sheet(parts)})
+        store, own = _files(draft)
+        store.move(own, _files(self.path)[1])
+        self.abort(messages)
+
+    def abort(self, messages: list[Part | None]) -> None:
+        from pyarrow import fs
+
+        store, own = _files(self.folder)
+        store.delete_dir_contents(own, missing_dir_ok=True)
+        if store.get_file_info(own).type == fs.FileType.Directory:
+            store.delete_dir(own)
+
+
 class XlsxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -227,3 +315,8 @@ class XlsxSource(DataSource):
 
     def reader(self, schema) -> XlsxReader:
         return XlsxReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> XlsxWriter:
+        if not overwrite:
+            raise ValueError("a workbook is replaced, not appended to: mode overwrite")
+        return XlsxWriter(self.options, schema.names)

@@ -546,3 +546,28 @@ def test_a_whole_ingest(spark, tmp_path):
     ingest(spark, plain, book)
     ingest(spark, idle, book, model=OfflineModel())
     assert plain.tables["Homes"].exceptAll(idle.tables["Homes"]).count() == 0 and plain.tables["Homes"].count() == 6
+
+
+def test_tasks_write_the_parts_of_a_workbook(spark, tmp_path):
+    import datetime
+
+    path = str(tmp_path / "deep" / "out.xlsx")
+    rows = spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, concat('<', id, '&')) AS text", "id % 2 = 0 AS even", "date_add(DATE '2024-01-01', cast(id AS int)) AS day", "id / 8 AS x").orderBy(F.desc("id"))
+    spark.dataSource.register(xlsx.XlsxSource)
+    logs.export(rows.repartitionByRange(7, F.desc("id")).sortWithinPartitions(F.desc("id")), path, "xlsx", footer=[["Total", None, 2000]])
+    cells = {(c.r, c.c): c.v for c in spark.read.format("xlsx").load(path).collect()}
+    assert [cells[1, k] for k in range(1, 6)] == ["id", "text", "even", "day", "x"] and cells[2002, 1] == "Total" and cells[2002, 3] == "2000" and (2002, 2) not in cells
+    for k in range(2000):
+        i = 1999 - k
+        day = str(datetime.date(2024, 1, 1) + datetime.timedelta(i))
+        assert tuple(cells.get((k + 2, c)) for c in range(1, 6)) == (str(i), None if i % 3 == 0 else f"<{i}&", "true" if i % 2 == 0 else "false", day, repr(i / 8))
+    assert [x.name for x in (tmp_path / "deep").iterdir() if not x.name.startswith(".")] == ["out.xlsx"]
+    # A task that fails leaves neither a workbook nor parts, and an older workbook as it was.
+    before = (tmp_path / "deep" / "out.xlsx").read_bytes()
+    with pytest.raises(Exception):
+        rows.selectExpr("id", "assert_true(id <> 77) AS t").write.format("xlsx").mode("overwrite").save(path)
+    assert (tmp_path / "deep" / "out.xlsx").read_bytes() == before and len(list((tmp_path / "deep").iterdir())) == 1
+    with pytest.raises(Exception):
+        rows.write.format("xlsx").mode("append").save(path)
+    logs.export(rows.where("id < 0"), path, "xlsx", header=False)
+    assert spark.read.format("xlsx").load(path).count() == 0
