@@ -460,7 +460,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from askgrid import queries_tables, queries_text  # noqa: E402,F401  they register their own
+from askgrid import queries_assistant, queries_tables, queries_text  # noqa: E402,F401  they register their own
 
 
 @query("""
