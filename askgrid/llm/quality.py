@@ -8,7 +8,7 @@ every document is decided by the same fixed threshold.
 
 Defined results: null or blank text has no words, fails the base rules and is not kept; without
 trusted rows the ratio is 0 for every document and the base rules decide alone; repeated rows
-count and are scored once each. Other columns of the input are ignored.
+count and are scored once each; an id whose labels differ is trusted if one of them is 1. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

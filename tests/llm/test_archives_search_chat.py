@@ -158,6 +158,21 @@ def test_streams_fold_to_final_messages(spark):
     assert chat.digests(chat.format_log(events.limit(0))).count() == 0
 
 
+def test_one_very_long_conversation(spark):
+    """Hundreds of thousands of turns in one conversation, and a text of a million characters, are read back whole."""
+    from pyspark.sql import functions as F
+
+    n, long = 200_000, "<|end|> long " * 80_000
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    turns = turns.unionByName(spark.createDataFrame([(1, n, "user", "q"), (1, n + 1, "assistant", long), (2, 0, "user", "short")], "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.digests(chat.format_log(chat.turns_as_events(turns))).collect()}
+    told = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(n)] + [("user", "q"), ("assistant", long)]
+    loss = "".join(t for r, t in told if r == "assistant")
+    assert got[1].n_turns == n + 2 and got[2].n_turns == 1 and got[1].loss_chars == len(loss)
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in told).encode()).hexdigest() and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_final_events_release_messages():
     told = [("delta", "a", "assistant", "x"), ("final", "a", None, None), ("message", None, "user", "y")]
     seen = chat.fold(iter(told))

@@ -239,6 +239,13 @@ def test_ratios_equal_brute_force(spark):
     assert not quality.log_ratios(docs, labels.limit(0)).any()
 
 
+def test_quality_labels_that_differ_are_trusted(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "a b x y")], "doc_id long, text string")
+    labels = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, quality int")
+    both = quality.log_ratios(docs, labels((1, 0), (1, 1), (1, None), (2, 0)))
+    assert both.any() and np.array_equal(both, quality.log_ratios(docs, labels((1, 1))))
+
+
 def test_quality_of_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judge(none, quality.log_ratios(none, labels)).count() == 0
