@@ -7,9 +7,11 @@ way every time. Every answer of a model is validated before it is used.
 from __future__ import annotations
 
 import re
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
@@ -233,6 +235,63 @@ def execute(spark: SparkSession, sql: str, limit: int = PROBED, args: dict | Non
     return {"result": [{k: _shown(v) for k, v in r.asDict().items()} for r in rows], "error": None}
 
 
+class Requests:
+    """Queries of many callers on one session: ``at_once`` under way, the others wait in their order.
+
+    Each has a tag, which ``cancel`` stops it by, a scheduler pool (fair where the cluster schedules
+    so), and ``seconds`` from its beginning until it is stopped; whoever is stopped is told so as an
+    error, and the others go on.
+    """
+
+    def __init__(self, spark: SparkSession, at_once: int = AT_ONCE, seconds: float = 60.0, pool: str = "requests"):
+        self.spark, self.seconds, self.pool = spark, seconds, pool
+        self._workers = ThreadPoolExecutor(at_once)
+        self._stopped: dict[str, str] = {}
+
+    def __enter__(self) -> Requests:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._workers.shutdown(wait=True, cancel_futures=True)
+
+    def submit(self, sql: str, tag: str | None = None, **given) -> Future:
+        """What ``execute`` returns, once it is there; ``given`` are its arguments."""
+        tag = tag or f"askgrid-{uuid.uuid4().hex}"
+        out = self._workers.submit(self._run, sql, tag, given)
+        out.tag = tag
+        return out
+
+    def cancel(self, tag: str, why: str = "cancelled") -> None:
+        """Stop the request with a tag, whether it is under way or waits."""
+        self._stopped.setdefault(tag, why)
+
+    def _watch(self, tag: str, done: threading.Event) -> None:
+        """Cancel a request's jobs, those that begin later too, once it is to be stopped."""
+        until = time.monotonic() + self.seconds
+        while not done.wait(0.1):
+            if time.monotonic() > until:
+                self._stopped.setdefault(tag, f"stopped after {self.seconds:g} seconds")
+            if tag in self._stopped:
+                self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def _run(self, sql: str, tag: str, given: dict) -> dict:
+        if tag in self._stopped:
+            return {"result": [], "error": self._stopped.pop(tag)}
+        done, context = threading.Event(), self.spark.sparkContext
+        threading.Thread(target=self._watch, args=(tag, done), daemon=True).start()
+        context.setLocalProperty("spark.scheduler.pool", self.pool)
+        context.addJobTag(tag)
+        try:
+            out = execute(self.spark, sql, **given)
+        except Exception as e:  # a job that is stopped ends in an error of the scheduler's
+            out = {"result": [], "error": str(e).splitlines()[0]}
+        finally:
+            done.set()
+            context.removeJobTag(tag)
+        why = self._stopped.pop(tag, None)
+        return {"result": [], "error": why} if why and out["error"] else out
+
+
 def cursor(spark: SparkSession, sql: str, args: dict | None = None) -> Iterator[dict]:
     """All rows of a query, partition by partition."""
     own, _ = checked(spark, sql)

@@ -305,3 +305,25 @@ def test_values_of_the_dialect(spark, v, sql):
     c, schema = v
     got = spark.sql(rewrite.to_spark(spark, sql, schema)).collect()
     assert sorted(((r.k, alike(r.e)) for r in got), key=str) == sorted(((k, alike(e)) for k, e in c.execute(sql).fetchall()), key=str)
+
+
+def test_a_slow_query_is_stopped_while_others_answer(spark, rooms):
+    import time
+
+    from askgrid.plans.assist import Requests
+
+    slow = "SELECT max(sha2(cast(id AS string), 512)) AS m FROM range(0, 1000000000000, 1, 1)"  # one task, so that cores are free
+    with Requests(spark, at_once=2, seconds=15) as requests:
+        began = time.monotonic()
+        timed, other = requests.submit(slow), requests.submit(slow, tag="theirs")
+        waits = requests.submit("SELECT count(*) AS n FROM rooms")
+        gone = requests.submit(slow, tag="gone")
+        requests.cancel("gone")
+        time.sleep(2)
+        requests.cancel("theirs", "no longer wanted")
+        assert other.result()["error"] == "no longer wanted"
+        assert waits.result() == {"result": [{"n": 40}], "error": None} and not timed.done()
+        assert timed.result()["error"] == "stopped after 15 seconds" and gone.result()["error"] == "cancelled"
+        assert requests.submit("SELECT nothing FROM rooms").result()["error"] and time.monotonic() - began < 60
+        assert requests.submit("SELECT id FROM rooms ORDER BY id", fetch="one").result()["result"] == [{"id": 0}]
+    assert not spark.sparkContext.getJobTags()
