@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.operators import chatlog, columns, search, sheets
+from askgrid.operators import columns, search, sheets
 from askgrid.plans.assist import OfflineModel
 from askgrid.plans.ingest import ingest
 from askgrid.plans.rewrite import refined

@@ -3,7 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 
 from askgrid.streaming import replay
 
