@@ -3,7 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-
 from askgrid.streaming import replay
 
 SCHEMA = "session string, at timestamp, event string, role string, text string"
