@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from askgrid.functions.text import embedding_text
 
-QUERY_BLOCK, ROW_BLOCK, MOST_QUERIES = 512, 20_000, 8192
+QUERY_BLOCK, ASKED_BLOCK, ROW_BLOCK, MOST_QUERIES = 512, 4096, 20_000, 8192
+#: Components, or scores, that are in memory at once: 8 MB of them.
+CELLS = 1 << 20
 MARGIN = 1.1e-4  # scores that may round alike
 INDEX = "table_name string, column_name string, value string, embedding array<float>"
 
@@ -55,10 +57,6 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def sound(vector: Column) -> Column:
     """Whether a vector has components, all of them there and finite."""
     value = lambda x: x.cast("double")  # noqa: E731  NaN compares above every number
@@ -91,55 +89,101 @@ def extend_index(index: DataFrame, values: DataFrame, embedder: Embedder) -> Dat
     return index.unionByName(embed_values(fresh, embedder))
 
 
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), width)
+
+
 def _best_of_batches(asked: pa.Table, query: str, shared: list[str], keys: list[str], value: str, k: int | None, least: float | None, leave_self: bool):
-    """Scores of each batch of rows with all queries of as many components, by one matrix product a block; what can't be among the best of the batch stays there."""
-    vectors = asked["_q"].to_pylist()
-    own = asked[query].combine_chunks()
-    ids = np.array(own.to_pylist(), object)
-    by_width: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        by_width.setdefault(len(v), []).append(i)
+    """Scores of each batch of rows with all queries of as many components, by one matrix product a block; what can't be among the best of the batch stays there.
+
+    At most CELLS components of rows and CELLS scores are held at once, whatever the batch and the queries.
+    """
+    vectors, own = asked["_q"].combine_chunks(), asked[query].combine_chunks()
+    ids, lengths = own.to_pylist(), pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     named = list(zip(*[asked[c].to_pylist() for c in shared])) if shared else [()] * asked.num_rows
     matrices = {}
-    for width, some in by_width.items():
-        places: dict[tuple, list[int]] = {}
-        for n, i in enumerate(some):
-            places.setdefault(named[i], []).append(n)
-        matrices[width] = np.array(some), np.array([vectors[i] for i in some], np.float64), places
-
-    def met(batch: pa.RecordBatch, asks_of: np.ndarray, wanted: np.ndarray, places: dict[tuple, list[int]]) -> Iterator[pa.RecordBatch]:
-        rows = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    for width in np.unique(lengths).tolist():
+        some = np.nonzero(lengths == width)[0]
+        places: dict[tuple, tuple[list[int], dict]] = {}  # of the queries of a key: their rows of the matrix, and where among these an id is
+        for n, i in enumerate(some.tolist()):
+            asks, of = places.setdefault(named[i], ([], {}))
+            of.setdefault(ids[i], []).append(len(asks))
+            asks.append(n)
+        matrices[width] = some, _matrix(vectors.take(pa.array(some)), width), places
+
+    def met(batch: pa.RecordBatch, asks_of: np.ndarray, wanted: np.ndarray, places: dict[tuple, tuple[list[int], dict]]) -> Iterator[pa.RecordBatch]:
+        rows = _matrix(batch["embedding"], wanted.shape[1])
         length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         rows = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
         groups: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(*[batch[c].to_pylist() for c in keys]) if keys else [()] * batch.num_rows):
             groups.setdefault(key, []).append(i)
         rest = batch.drop_columns("embedding")
-        names = np.array(batch[value].to_pylist(), object) if leave_self else None
+        names = batch[value].to_pylist() if leave_self else []
         for key, inside in groups.items():
-            asks = places.get(tuple(key[keys.index(c)] for c in shared), [])
-            for at in range(0, len(asks), QUERY_BLOCK):
-                some = np.array(asks[at : at + QUERY_BLOCK])
-                scores = rows[inside] @ wanted[some].T
-                if leave_self:
-                    scores[names[inside][:, None] == ids[asks_of[some]][None, :]] = -np.inf
+            asks, of = places.get(tuple(key[keys.index(c)] for c in shared), ([], {}))
+            itself = np.array([(q, r) for r, i in enumerate(inside) for q in of.get(names[i], ())] if leave_self else [], np.int64).reshape(-1, 2)
+            among, inside, step = rows[inside].T, np.array(inside), max(1, min(QUERY_BLOCK, CELLS // len(inside)))
+            for at in range(0, len(asks), step):
+                some = np.array(asks[at : at + step])
+                scores = wanted[some] @ among
+                q, r = itself[(itself[:, 0] >= at) & (itself[:, 0] < at + step)].T
+                scores[q - at, r] = -np.inf
                 good = np.isfinite(scores)
                 if least is not None:
                     good &= scores >= least - MARGIN
                 if k is not None and len(inside) > k:
-                    good &= scores >= np.partition(scores, len(inside) - k, axis=0)[len(inside) - k] - MARGIN
-                r, q = np.nonzero(good)
+                    good &= scores >= np.partition(scores, len(inside) - k, axis=1)[:, len(inside) - k, None] - MARGIN
+                q, r = np.nonzero(good)
                 if len(r):
-                    out = rest.take(pa.array(np.array(inside)[r]))
-                    yield pa.RecordBatch.from_arrays([*out.columns, own.take(pa.array(asks_of[some[q]])), pa.array(scores[r, q])], [*out.schema.names, query, "score"])
+                    out = rest.take(pa.array(inside[r]))
+                    yield pa.RecordBatch.from_arrays([*out.columns, own.take(pa.array(asks_of[some[q]])), pa.array(scores[q, r])], [*out.schema.names, query, "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths = pc.list_value_length(batch["embedding"])
             for width, given in matrices.items():
-                fits = batch.filter(pc.equal(widths, width))
-                if fits.num_rows:
-                    yield from met(fits, *given)
+                fits, most = batch.filter(pc.equal(widths, width)), max(1, CELLS // width)
+                for at in range(0, fits.num_rows, most):
+                    yield from met(fits.slice(at, most), *given)
+
+    return run
+
+
+def _packed(vector: str, most: int):
+    """A task's rows in blocks of about ``most`` rows or CELLS components at most, a block one binary value."""
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema) as out:
+            out.write_table(pa.Table.from_batches(parts).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            step = max(1, min(most, CELLS // (pc.max(pc.list_value_length(batch[vector])).as_py() or 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                if held and n + part.num_rows > step:
+                    yield block(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield block(held)
+
+    return run
+
+
+def _best_of_blocks(*how):
+    """As _best_of_batches, of rows that each hold a block of queries and one of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, rows in zip(batch["_asked"], batch["_rows"]):
+                asked, rows = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (asked, rows))
+                yield from _best_of_batches(asked, *how)(rows.to_batches())
 
     return run
 
@@ -147,30 +191,29 @@ def _best_of_batches(asked: pa.Table, query: str, shared: list[str], keys: list[
 def nearest(queries: DataFrame, index: DataFrame, k: int | None, keys: list[str], value: str, query: str = "query_id", least: float | None = None, leave_self: bool = False) -> DataFrame:
     """The k best rows of ``index`` for each row of ``queries`` (query, embedding), or all that score ``least``: score, rank; ties to the smaller value.
 
-    Up to MOST_QUERIES queries go to every task, which multiplies its rows' matrix with theirs and
-    keeps what may be among the best, to within the rounding of scores. Beyond, blocks of queries
-    and of rows are joined on both their numbers, so no task gets more than one block of each.
+    Up to MOST_QUERIES queries of CELLS components in all go to every task, which multiplies its
+    rows' matrix with theirs and keeps what may be among the best, to within the rounding of scores.
+    Beyond, queries and rows are packed in blocks, every block of queries is joined with every block
+    of rows, and a pair of blocks is multiplied likewise, so that no task holds more than some of each.
     Queries and rows whose vector is null or empty, or has a null, NaN or infinite component, take no
     part, and vectors of unequal length don't meet, whatever the number of queries.
     """
     shared = [c for c in keys if c in queries.columns]
     asked = queries.where(sound(F.col("embedding"))).select(query, *shared, unit(F.col("embedding")).alias("_q"))
     index = index.where(sound(F.col("embedding")))
-    n = asked.count()
-    if n <= MOST_QUERIES:
-        rest = T.StructType([*[f for f in index.schema if f.name != "embedding"], asked.schema[query], T.StructField("score", T.DoubleType())])
-        found = index.mapInArrow(_best_of_batches(asked.toArrow(), query, shared, keys, value, k, least, leave_self), rest)
-        scored = found.withColumn("score", F.round("score", 4))
+    how = query, shared, keys, value, k, least, leave_self
+    rest = T.StructType([*[f for f in index.schema if f.name != "embedding"], asked.schema[query], T.StructField("score", T.DoubleType())])
+    n, components = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("_q")), F.lit(0))).first()
+    if n <= MOST_QUERIES and components <= CELLS:
+        found = index.mapInArrow(_best_of_batches(asked.toArrow(), *how), rest)
     else:
-        blocks, rows = -(-n // QUERY_BLOCK), index.withColumn("_v", unit(F.col("embedding"))).drop("embedding")
-        parts = max(1, -(-rows.count() // ROW_BLOCK))
+        blocks, parts = max(1, -(-n // ASKED_BLOCK), -(-components // CELLS)), max(1, -(-index.count() // ROW_BLOCK))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        asked = asked.withColumn("_b", own(query, blocks)).withColumn("_c", every(parts))
-        met = rows.withColumn("_c", own(value, parts)).withColumn("_b", every(blocks)).join(asked, ["_b", "_c", *shared])
-        met = met.where(F.size("_q") == F.size("_v"))
-        met = met.where(F.col(value) != F.col(query)) if leave_self else met
-        scored = met.withColumn("score", F.round(dot(F.col("_q"), F.col("_v")), 4)).drop("_q", "_v", "_b", "_c").where("score is not null")
+        asks = asked.repartition(blocks).mapInArrow(_packed("_q", ASKED_BLOCK), "block binary").select(F.col("block").alias("_asked"), own("block", blocks).alias("_b"), every(parts).alias("_c"))
+        rows = index.mapInArrow(_packed("embedding", ROW_BLOCK), "block binary").select(F.col("block").alias("_rows"), own("block", parts).alias("_c"), every(blocks).alias("_b"))
+        found = rows.join(asks, ["_b", "_c"]).select("_asked", "_rows").mapInArrow(_best_of_blocks(*how), rest)
+    scored = found.withColumn("score", F.round("score", 4))
     scored = scored.where(F.col("score") >= least) if least is not None else scored
     if k is None:
         return scored

@@ -363,6 +363,52 @@ def test_nearest_is_alike_in_one_and_in_many_blocks(spark, sf, monkeypatch):
         assert not {9001, 9100, 9101, 9150, 9200} & {v for _, v, _ in got[0]}
 
 
+@pytest.mark.parametrize("n, width, asked", [(10_000, 64, 600), (2_500, 2_048, 40)])
+def test_scores_held_at_once_are_bounded(n, width, asked):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = np.random.default_rng(5).standard_normal((n, width)).astype(np.float32)
+    wanted = np.divide(rows[:asked], np.linalg.norm(rows[:asked].astype(float), axis=1, keepdims=True))
+    lists = lambda x: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * width, x.reshape(-1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), lists(rows)], ["vec_id", "embedding"])
+    table = pa.table({"query_id": pa.array(range(asked)), "_q": lists(wanted)})
+    best = search._best_of_batches(table, "query_id", [], [], "vec_id", 3, None, True)
+    tracemalloc.start()
+    found: dict[int, list] = {}
+    for out in best(iter([batch])):
+        for v, q, score in zip(*(out[c].to_pylist() for c in ("vec_id", "query_id", "score"))):
+            found.setdefault(q, []).append((-score, v))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    scores = wanted @ (rows / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)).T
+    np.fill_diagonal(scores, -np.inf)
+    assert [[v for _, v in sorted(found[q])[:3]] for q in range(asked)] == np.argsort(-scores, axis=1)[:, :3].tolist()
+
+
+def test_blocks_of_many_queries_are_multiplied_and_lose_nothing(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").where("vec_id < 300")
+    rows = rows.unionByName(spark.createDataFrame([(9050, 1, [1.0, 2.0]), (9051, 1, [2.0, 1.0]), (9052, 2, [1.0, 2.0])], "vec_id long, label int, embedding array<float>"))
+    asked = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    asked = asked.unionByName(asked.where("query_id < 20").withColumn("label", (F.col("label") + 1) % 10))  # an id that asks in two groups
+    for keys, k, least in ((["label"], 3, None), ([], 4, None), ([], None, 0.3)):
+        got = []
+        for blocks in (False, True):
+            if blocks:  # few components at once, so that even these queries are joined in blocks
+                monkeypatch.setattr(search, "CELLS", 700, raising=False)
+                monkeypatch.setattr(search, "ASKED_BLOCK", 9, raising=False)
+                monkeypatch.setattr(search, "ROW_BLOCK", 70)
+            found = search.nearest(asked, rows, k, keys, "vec_id", least=least, leave_self=True)
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "MapInArrow" in plan and "zip_with" not in plan.partition("MapInArrow")[0] and ("Join" in plan) == blocks
+            got.append(sorted((r.query_id, r.vec_id, r.score) for r in found.collect()))
+        assert got[0] == got[1] and len(got[0]) > 60
+        monkeypatch.undo()
+
+
 def test_longest_common_blocks_of_any_length():
     rng = random.Random(3)
     for _ in range(300):
